@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaflow.llm.common import read
+from lemmaflow.llm.packing import pack_minimum_slack
 from lemmaflow.llm.simhash import simhash_components
+from lemmaflow.llm.tokens import pack_tokens
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(read(spark, sf_dir, "documents"), size=2048, end_id=50256)
+
+
+def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_minimum_slack(read(spark, sf_dir, "documents"), size=1024, end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_token_packing": op4_token_packing,
+    "op6_bin_slack": op6_bin_slack,
 }
 
 ORACLES: dict[str, str] = {}
