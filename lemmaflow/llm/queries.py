@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaflow.llm.common import read
+from lemmaflow.llm.lines import remove_cross_site_lines
 from lemmaflow.llm.packing import pack_minimum_slack
 from lemmaflow.llm.simhash import simhash_components
+from lemmaflow.llm.spans import remove_repeated_spans
 from lemmaflow.llm.tokens import pack_tokens
 
 
@@ -16,6 +18,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return remove_cross_site_lines(docs, site="source", min_sites=10, min_words=3).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return remove_repeated_spans(docs, run=3, min_words=12).select("doc_id", "text", "n_sentences", "n_removed")
+
+
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents"), size=2048, end_id=50256)
 
@@ -26,8 +38,38 @@ def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_line_spread": op2_line_spread,
+    "op3_sentence_spans": op3_sentence_spans,
     "op4_token_packing": op4_token_packing,
     "op6_bin_slack": op6_bin_slack,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_spread": """
+        WITH docs AS (
+            SELECT *, row_number() OVER () AS r, string_split(text, chr(10)) AS parts FROM documents
+        ), lines AS (
+            SELECT r, doc_id, coalesce(source, '') AS site, text,
+                   unnest(parts) AS line, unnest(range(len(parts))) AS pos
+            FROM docs
+        ), named AS (
+            SELECT *, lower(trim(line, ' ')) AS norm FROM lines
+        ), common AS (
+            SELECT norm FROM named
+            WHERE norm <> '' AND len(regexp_split_to_array(norm, '[ \\t\\n\\x0B\\f\\r]+')) >= 3
+            GROUP BY norm HAVING count(DISTINCT site) >= 10
+        ), ranked AS (
+            SELECT r, pos, norm, rank() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, text, pos) AS k
+            FROM named SEMI JOIN common USING (norm)
+        ), gone AS (
+            SELECT r, pos FROM ranked WHERE k > 1
+        ), rest AS (
+            SELECT named.r, string_agg(line, chr(10) ORDER BY named.pos) FILTER (gone.r IS NULL) AS text,
+                   count(*) AS n_lines, count(gone.r) AS n_removed
+            FROM named LEFT JOIN gone ON gone.r = named.r AND gone.pos = named.pos GROUP BY named.r
+        )
+        SELECT doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(rest.text, '') END AS text,
+               coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+        FROM docs LEFT JOIN rest USING (r)
+    """,
+}
