@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lemmaflow.llm.common import read
 from lemmaflow.llm.lines import remove_cross_site_lines
+from lemmaflow.llm.mixing import mix_report
 from lemmaflow.llm.packing import pack_minimum_slack
 from lemmaflow.llm.simhash import simhash_components
 from lemmaflow.llm.spans import remove_repeated_spans
 from lemmaflow.llm.tokens import pack_tokens
+from lemmaflow.llm.topk import top_k
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +34,26 @@ def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents"), size=2048, end_id=50256)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(read(spark, sf_dir, "documents"), cap=3).drop("source", "shards")
+
+
 def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_minimum_slack(read(spark, sf_dir, "documents"), size=1024, end_id=2)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_spread": op2_line_spread,
     "op3_sentence_spans": op3_sentence_spans,
     "op4_token_packing": op4_token_packing,
+    "op5_mixing": op5_mixing,
     "op6_bin_slack": op6_bin_slack,
+    "op7_topk": op7_topk,
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +84,17 @@ ORACLES: dict[str, str] = {
                coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
         FROM docs LEFT JOIN rest USING (r)
     """,
+    "op7_topk": """
+        WITH whole AS (
+            SELECT vec_id AS id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.id <> c.id AND len(q.v) = len(c.v) WHERE q.id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM scored
+        )
+        SELECT * FROM ranked WHERE "rank" <= 20
+    """,
 }
