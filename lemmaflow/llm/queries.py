@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaflow.llm.common import read
+from lemmaflow.llm.licenses import scan_licenses
 from lemmaflow.llm.lines import remove_cross_site_lines
 from lemmaflow.llm.mixing import mix_report
 from lemmaflow.llm.packing import pack_minimum_slack
+from lemmaflow.llm.quality import quality_verdicts
 from lemmaflow.llm.simhash import simhash_components
 from lemmaflow.llm.spans import remove_repeated_spans
 from lemmaflow.llm.tokens import pack_tokens
 from lemmaflow.llm.topk import top_k
+from lemmaflow.llm.toxicity import toxicity_scores
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +49,18 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("notices")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_spread": op2_line_spread,
@@ -54,6 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_bin_slack": op6_bin_slack,
     "op7_topk": op7_topk,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
