@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from lemmaflow.llm.common import durable
 
 #: Labelled texts that training uses at most.
-SAMPLE = 20_000
+SAMPLE = 12_000
 #: Hash buckets of n-grams, and how many of them, at most, the model keeps.
 BUCKETS = 1 << 20
-FEATURES = 10_000
+FEATURES = 5_000
 SIZES = (3, 4, 5)
 _SLICE = 1 << 20
 
@@ -114,8 +114,6 @@ class ToxicityModel:
         chosen = sorted((r["bucket"], r["ratio"]) for r in best.collect())  # `size` rows at most
         own = np.array([b for b, _ in chosen], dtype=np.int64)
         ratios = np.array([r for _, r in chosen])
-        place = np.full(buckets, -1, dtype=np.int32)
-        place[own] = np.arange(len(own))
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.zeros(buckets, dtype=bool)
