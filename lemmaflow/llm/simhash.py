@@ -166,7 +166,7 @@ def _blocks(counts: dict[int, int], least: int, pieces: int, most: int) -> dict[
     return out
 
 
-def hamming_forest(fps: DataFrame, radius: int, words: int, least: int = 16384, pieces: int = 32, most: int = 4_000_000) -> DataFrame:
+def hamming_forest(fps: DataFrame, radius: int, words: int, least: int = 1024, pieces: int = 32, most: int = 4_000_000) -> DataFrame:
     """Edges (a, b) of a forest that has the components of all links at radius or fewer differing
     bits between distinct fingerprints. fps: (fp binary, pop int), no repeats.
 
