@@ -42,12 +42,13 @@ def without_comments(text: Column, mode: str = "inline") -> Column:
 
 
 def first_declaration(text: Column) -> Column:
-    """From the first line that begins a declaration to the line before the next one; empty if none."""
+    """From the first line that begins a declaration to the line before the next one; empty if none,
+    null for a null text."""
     rows = lines(text)
     marks = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(_START), i)), lambda i: i.isNotNull())
     first = F.get(marks, F.lit(0))
     second = F.coalesce(F.get(marks, F.lit(1)), F.size(rows))
-    return F.when(first.isNull(), F.lit("")).otherwise(F.trim(F.array_join(F.slice(rows, first + 1, second - first), "\n")))
+    return F.when(text.isNull(), None).when(first.isNull(), F.lit("")).otherwise(F.trim(F.array_join(F.slice(rows, first + 1, second - first), "\n")))
 
 
 def folded(text: Column) -> Column:

@@ -98,7 +98,7 @@ _SIGNED = r"""signed AS (SELECT *, 'theorem _' || rtrim(split_part(' : ' || spli
 )
 def signature_diversity(spark, sf):
     c = views.candidates(spark, sf)
-    rows = c.select("id", "problem_id", F.concat(F.lit("theorem _"), F.rtrim(F.substring_index(F.concat(F.lit(" : "), F.element_at(F.split("code", r"theorem t\d+ : ", 2), 2)), ":=", 1))).alias("signature"))
+    rows = c.select("id", "problem_id", T.signature(F.col("code")).alias("signature"))
     out = metrics.signature_diversity(rows, ["problem_id"])
     first = rows.groupBy("problem_id", "signature").agg(F.min("id").alias("top_first"))
     return out.join(first, (out.top_signature == first.signature) & (out.problem_id == first.problem_id)).select(out.problem_id, "signatures", "distinct_signatures", "top_count", "top_first")
