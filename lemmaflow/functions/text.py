@@ -112,3 +112,173 @@ def complexity(code: Column) -> Column:
     steps = F.transform(F.regexp_extract_all(code, F.lit(r"[()\[\]{}]"), F.lit(0)), lambda c: F.when(c.isin("(", "[", "{"), 1).otherwise(-1))
     depth = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
     return F.struct(F.size(rows).alias("loc"), F.size(notes).alias("comments"), decisions.alias("decisions"), depth.alias("depth"))
+
+
+_PROVABLE = r"^[ \t]*(?:noncomputable\s+)?(?:theorem|lemma)\b"
+#: Declarations that the guard against placeholders looks at.
+_GUARDED = r"(?m)^\s*(?:noncomputable\s+)?(?:theorem|lemma|example|def|abbrev|opaque|axiom|instance)\b"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def preamble(code: Column) -> Column:
+    """The lines before the first declaration, without attribute lines; all lines if there is none."""
+    rows = lines(stripped(code))
+    marks = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(_START), i)), lambda i: i.isNotNull())
+    head = F.slice(rows, F.lit(1), F.coalesce(F.get(marks, F.lit(0)), F.size(rows)))
+    kept = F.array_join(F.filter(head, lambda x: ~x.rlike(r"^\s*@\[")), "\n")
+    return F.when(code.isNotNull(), stripped(kept))
+
+
+def opaque_header(header: Column) -> Column:
+    """A header whose "abbrev name : type := sorry" lines are opaque declarations instead, so that
+    they do not count as open proofs."""
+    return stripped(F.regexp_replace(header, r"(?m)^([ \t]*)abbrev\s+([^\s:]+)\s*:\s*(.+?)\s*:=\s*sorry[ \t]*$", "$1opaque $2 : $3"))
+
+
+def header_and_theorem(text: Column) -> Column:
+    """(header, theorem) of a whole file, cut where its first theorem begins; no theorem: empty."""
+    whole = stripped(text)
+    at = F.regexp_instr(whole, F.lit(r"(?m)^[ \t]*(?:noncomputable\s+)?theorem\b"))
+    header = F.when(at == 0, whole).otherwise(stripped(F.substr(whole, F.lit(1), at - 1)))
+    return F.struct(header.alias("header"), F.when(at == 0, F.lit("")).otherwise(stripped(F.substr(whole, at))).alias("theorem"))
+
+
+def compose_file(header: Column, statement: Column) -> Column:
+    """Header, a blank line, statement; the statement alone where there is no header."""
+    head, body = stripped(F.coalesce(header, F.lit(""))), stripped(F.coalesce(statement, F.lit("")))
+    return F.when(head == "", body).otherwise(F.concat(head, F.lit("\n\n"), body))
+
+
+def theorem_key(problem_id: Column) -> Column:
+    """The problem's name without its number: 0000_name -> name."""
+    return F.regexp_replace(stripped(F.coalesce(problem_id, F.lit(""))), r"^\d+_", "")
+
+
+def theorem_blocks(code: Column) -> Column:
+    """Parts of a file that begin with a theorem or lemma and end before the next one."""
+    parts = F.split(F.coalesce(code, F.lit("")), f"(?m)(?={_PROVABLE})")
+    return F.transform(F.filter(parts, lambda x: x.rlike(_PROVABLE)), stripped)
+
+
+def has_closed_block(code: Column) -> Column:
+    """Is there a theorem or lemma whose block has no sorry?"""
+    return F.exists(theorem_blocks(code), lambda x: ~F.contains(x, F.lit("sorry")))
+
+
+def theorem_name(code: Column) -> Column:
+    """Name of the first theorem or lemma, null if there is none."""
+    return F.nullif(F.regexp_extract(code, r"(?m)^\s*(?:noncomputable\s+)?(?:theorem|lemma)\s+([A-Za-z0-9_']+)", 1), F.lit(""))
+
+
+def target_is_open(code: Column, name: Column) -> Column:
+    """Is the named theorem missing, or is there a sorry from it to the end of the file?"""
+    at = F.regexp_instr(code, F.concat(F.lit(r"(?m)^\s*(?:noncomputable\s+)?(?:theorem|lemma)\s+\Q"), name, F.lit(r"\E\b")))
+    return F.when(F.coalesce(at, F.lit(0)) == 0, True).otherwise(F.contains(F.substr(code, at), F.lit("sorry")))
+
+
+def solution_tags(statement: Column) -> Column:
+    """Names ending in _solution that a statement's abbrev chunks leave to be filled in."""
+    parts = F.transform(F.split(stripped(without_comments(F.coalesce(statement, F.lit("")), "line_start")), "\n\n"), stripped)
+    own = F.filter(parts, lambda x: ~x.rlike("^(import|set_option|open)"))
+    return F.filter(F.transform(own, lambda x: F.regexp_extract(x, r"(?m)^\s*abbrev\s+([A-Za-z0-9_]+_solution)\b", 1)), lambda x: x != "")
+
+
+def with_answer_checks(code: Column, statement: Column, answers: Column) -> Column:
+    """(ok, reason, code): the code with one equality check for each tag and answer. Without tags or
+    answers nothing is checked; unequal numbers and blank answers are errors and leave it as it is."""
+    tags = solution_tags(statement)
+    known = F.coalesce(answers, F.array().cast("array<string>"))
+    blank = F.exists(known, lambda x: F.coalesce(stripped(x), F.lit("")) == "")
+    checks = F.array_join(F.transform(F.arrays_zip(tags.alias("t"), known.alias("a")), lambda p: F.concat(F.lit("\n\nexample: "), p["t"], F.lit(" = "), stripped(p["a"]), F.lit(" := by\n  try rfl\n  try norm_num"))), "")
+    idle = (F.size(tags) == 0) | (F.size(known) == 0)
+    reason = F.when(idle, "").when(F.size(tags) != F.size(known), F.concat(F.lit("arity mismatch: tags="), F.size(tags).cast("string"), F.lit(" answers="), F.size(known).cast("string"))).when(blank, "empty answer").otherwise("")
+    return F.struct((reason == "").alias("ok"), reason.alias("reason"), F.when(idle | (reason != ""), code).otherwise(F.concat(code, checks)).alias("code"))
+
+
+def truncated(message: Column, most: int = 500) -> Column:
+    message = F.coalesce(message, F.lit(""))
+    return F.when(F.length(message) <= most, message).otherwise(F.concat(F.substring(message, 1, most), F.lit("... [truncated]")))
+
+
+def redacted(message: Column) -> Column:
+    """Without home folders' paths. Fixed value: the characters that end a path, the letter s among them."""
+    return F.regexp_replace(F.coalesce(message, F.lit("")), r"/(?:home|Users)/[^\\s:'\"`]+", "[REDACTED_PATH]")
+
+
+def accuracy_section(reasons: Column) -> Column:
+    """What a judge writes after its heading "5. Accuracy Confirmation"; empty without that."""
+    return stripped(F.regexp_extract(F.coalesce(reasons, F.lit("")), r"(?is)\b5\s*\.?\s*Accuracy\s*Confirmation\s*:?\s*(.*)\z", 1))
+
+
+def declaration_type(declaration: Column) -> Column:
+    """The type that a declaration states: from its first colon outside brackets to the next := that
+    is outside brackets, white space folded; null if there is none."""
+    tokens = F.regexp_extract_all(declaration, F.lit(r"[(\[{]|[)\]}]|:=|:|[^()\[\]{}:]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("phase"), F.lit("").alias("text"))
+
+    def step(a, t):
+        depth = F.when(t.isin("(", "[", "{"), a["depth"] + 1).when(t.isin(")", "]", "}"), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+        outside = a["depth"] == 0
+        phase = F.when((a["phase"] == 0) & (t == ":") & outside, 1).when((a["phase"] == 1) & (t == ":=") & outside, 2).otherwise(a["phase"])
+        text = F.when((a["phase"] == 1) & (phase == 1), F.concat(a["text"], t)).otherwise(a["text"])
+        return F.struct(depth.alias("depth"), phase.alias("phase"), text.alias("text"))
+
+    return F.nullif(folded(F.aggregate(tokens, start, step, lambda a: a["text"])), F.lit(""))
+
+
+def is_trivial(code: Column, level: int = 1) -> Column:
+    """Does the first declaration state something empty? Level 0: never; 1: True; 2: also what ends
+    in True after an arrow or a quantifier, or follows from False; 3: also x = x."""
+    if level <= 0:
+        return F.lit(False)
+    clean = without_comments(_keep(without_markers(code), r"^\s*(?:import|open)\b"), "any")
+    at = F.regexp_instr(clean, F.lit(_GUARDED))
+    own = declaration_type(F.when(at > 0, stripped(F.substr(clean, at))))
+    found = own == "True"
+    if level >= 2:
+        found = found | own.rlike(r"(?:→|->)\s*True$") | own.rlike(r"^(?:∀|forall)\s+.*,\s*True$") | own.rlike(r"^False\s*(?:→|->)\s*")
+    if level >= 3:
+        found = found | own.rlike(r"^\(?\s*([A-Za-z_][A-Za-z0-9_']*)\s*\)?\s*=\s*\(?\s*\1\s*\)?$")
+    return F.coalesce(found, F.lit(False))
+
+
+def import_prefix(code: Column) -> Column:
+    """Reason why a file does not begin with its two required imports; empty if it does."""
+    rows = F.filter(F.transform(lines(code), stripped), lambda x: (x != "") & ~x.rlike("EVOLVE-BLOCK-(START|END)"))
+    good = (F.get(rows, F.lit(0)) == "import Mathlib") & (F.get(rows, F.lit(1)) == "import Aesop")
+    return F.when(F.coalesce(good, F.lit(False)), "").otherwise("missing_required_import_lines")
+
+
+def merged_proof(statement: Column, proof: Column) -> Column:
+    """The statement up to its ":= by" with the proof's body below, the indentation of the body's
+    first line taken from every line; empty where either part is missing."""
+    head = F.regexp_extract(statement, r"(?is)^(.*?:=\s*by\b)", 1)
+    own = stripped(proof)
+    whole = own.rlike(r"(?is):=\s*by\b")
+    body = F.when(whole, F.regexp_replace(own, r"(?is)^.*?:=\s*by\b", "")).otherwise(F.regexp_replace(own, r"^\s*by\b", ""))
+    indent = F.regexp_extract(body, r"(?s)^(?:[ \t]*\n)*([ \t]*)\S", 1)
+    rows = F.transform(lines(body), lambda x: F.when(F.startswith(x, indent), F.substr(x, F.length(indent) + 1)).otherwise(x))
+    text = F.concat(stripped(head), F.lit("\n"), F.regexp_replace(F.array_join(rows, "\n"), r"^\n+", ""))
+    usable = (head != "") & (F.coalesce(own, F.lit("")) != "")
+    return F.when(F.coalesce(usable, F.lit(False)), F.concat(stripped(text), F.lit("\n"))).otherwise("")
+
+
+def normal_code(text: Column) -> Column:
+    """Model output without its thoughts; the first fenced block if there is one."""
+    clean = stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>", ""))
+    own = F.regexp_extract(clean, r"(?s)```(?:lean4?)\s*\n(.*?)```", 1)
+    other = F.regexp_extract(clean, r"(?s)```\s*\n(.*?)```", 1)
+    return stripped(F.when(own != "", own).when(other != "", other).otherwise(clean))
+
+
+def fenced_proof(text: Column) -> Column:
+    """The last fenced block of a prover's answer; of one never closed, what follows its opening;
+    without a fence, the text from its first declaration on; else empty."""
+    blocks = F.coalesce(*[F.nullif(F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?s)```{kind}\n(.*?)```"), F.lit(1)), F.lit(-1)), F.lit("")) for kind in ("lean4", "lean")])
+    opened = F.nullif(F.regexp_extract(text, r"(?s)```lean4?\n(.*)\z", 1), F.lit(""))
+    at = F.regexp_instr(text, F.lit(r"(?m)^\s*(?:import|set_option|open|abbrev|opaque|axiom|instance|(?:noncomputable\s+)?(?:theorem|lemma|def|example))\b"))
+    return stripped(F.coalesce(blocks, opened, F.when(at > 0, F.substr(text, at)), F.lit("")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,39 @@ def bootstrap_ci(diffs: DataFrame, draws: int = 2000, seed: int = 0) -> DataFram
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Pearson r, 0 where a variance is 0 or there are no rows (corr itself fails there in ANSI mode)."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread).otherwise(0.0)
+
+
 def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r (0 where a variance is 0), and the mean of x by outcome."""
-    return rows.agg(F.coalesce(F.corr(x, y), F.lit(0.0)).alias("r"), F.avg(F.when(F.col(y) == 1, F.col(x))).alias("mean_if_1"), F.avg(F.when(F.col(y) == 0, F.col(x))).alias("mean_if_0"))
+    return rows.agg(_correlation(x, y).alias("r"), F.avg(F.when(F.col(y) == 1, F.col(x))).alias("mean_if_1"), F.avg(F.when(F.col(y) == 0, F.col(x))).alias("mean_if_0"))
+
+
+def subset_density(counts: DataFrame, subset: DataFrame, passed: str = "passes", tried: str = "attempts") -> DataFrame:
+    """Per method: problems of the subset with attempts, and the mean of passed / tried over them.
+    counts: a row for each group_id and method; subset: (group_id)."""
+    rows = counts.join(subset.select("group_id").distinct(), "group_id", "left_semi").where(F.col(tried) > 0)
+    return rows.groupBy("method").agg(F.count("*").alias("problems"), F.avg(F.col(passed) / F.col(tried)).alias("density"))
+
+
+def common_correct(counts: DataFrame, a: int, b: int, passed: str = "passes", tried: str = "attempts") -> DataFrame:
+    """One row: problems that both methods tried and solved, mean densities on them and their
+    difference; nulls where there are none."""
+    own = lambda m, n: F.max(F.when((F.col("method") == m) & (F.col(passed) > 0) & (F.col(tried) > 0), F.col(passed) / F.col(tried))).alias(n)
+    both = counts.where(F.col("method").isin(a, b)).groupBy("group_id").agg(own(a, "x"), own(b, "y")).where("x is not null and y is not null")
+    return both.agg(F.count("*").alias("problems"), F.avg("x").alias("density_a"), F.avg("y").alias("density_b"), F.avg(F.col("x") - F.col("y")).alias("difference"))
+
+
+def correlation_p(rows: DataFrame, x: str, y: str, ident: str, draws: int = 500, seed: int = 0) -> DataFrame:
+    """Randomisation p of a correlation with a 0/1 outcome: each draw gives every row an outcome by a
+    hash, 1 with the observed share. Unlike a permutation the number of ones varies by draw, but no
+    draw has to be sorted; for many rows the two agree. Add-one smoothing; one row out."""
+    usable = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(ident).alias("i"))
+    observed = usable.agg(_correlation("x", "y").alias("r"), F.avg("y").alias("share"))  # one row
+    u = (F.pmod(F.xxhash64(F.lit(seed), "i", "draw"), F.lit(2**52)) + 0.5) / float(2**52)
+    many = usable.join(F.broadcast(observed)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("z", (u < F.col("share")).cast("double"))
+    each = many.groupBy("draw").agg(_correlation("x", "z").alias("rz"), F.first("r").alias("r"))
+    return each.agg(F.first("r").alias("r"), ((F.sum((F.abs("rz") >= F.abs("r") - 1e-12).cast("long")) + 1) / (draws + 1)).alias("p_value"))

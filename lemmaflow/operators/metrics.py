@@ -138,14 +138,18 @@ def solved_rollup(hits: DataFrame) -> DataFrame:
 def failure_class(message: Column) -> Column:
     """Compile-error class by the first rule that fits."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    has = lambda *parts: F.lit(False) if not parts else _any([F.contains(low, F.lit(p)) for p in parts])
+    has = lambda *parts: _any([F.contains(low, F.lit(p)) for p in parts])
     return (
         F.when(low == "", "unknown")
         .when(has("type mismatch"), "type_mismatch")
         .when(has("unknown identifier", "unknown constant"), "unknown_identifier")
-        .when(has("failed to synthesize"), "instance")
-        .when(has("expected"), "syntax_error")
-        .when(has("timeout", "deterministic"), "timeout")
+        .when(has("unbound", "not in scope"), "unbound_variable")
+        .when(has("expected") & has("got"), "syntax_error")
+        .when(has("failed to synthesize"), "typeclass_error")
+        .when(has("ambiguous"), "ambiguous_identifier")
+        .when(has("invalid"), "invalid_syntax")
+        .when(has("timeout"), "timeout")
+        .when(has("import"), "import_error")
         .otherwise("other")
     )
 
@@ -175,3 +179,66 @@ def compress_ranges(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(index)
     marked = rows.select(*keys, index).distinct().withColumn("_island", F.col(index) - F.row_number().over(w))
     return marked.groupBy(*keys, "_island").agg(F.min(index).alias("first"), F.max(index).alias("last")).drop("_island")
+
+
+def termination_class(reason: Column) -> Column:
+    """Why a run ended, from its reason text."""
+    has = lambda part: F.contains(reason, F.lit(part))
+    return F.when(reason.isNull(), "normal_completion").when(has("max_llm_calls") | has("max_evals") | has("max_time"), "budget_exhausted").when(has("stagnation"), "exploration_stagnation").otherwise("unknown")
+
+
+def infra_retries(error: Column, count: Column, patterns: list[str]) -> Column:
+    """(retryable, retries): does the error fit a pattern, and how many retries a record has used; a
+    retryable one without a count has used one."""
+    hit = F.coalesce(_any([error.rlike(p) for p in patterns]) & (F.trim(error) != ""), F.lit(False))
+    return F.struct(hit.alias("retryable"), F.when(count > 0, count).otherwise(hit.cast("int")).cast("int").alias("retries"))
+
+
+def call_accounting(raw: Column, debited: Column, repair: Column, semantic_repair: Column) -> Column:
+    """(total, patch): budget calls are raw plus debited ones; patch calls are raw ones without repairs,
+    never below zero."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return F.struct((zero(raw) + zero(debited)).alias("total"), F.greatest(zero(raw) - zero(repair) - zero(semantic_repair), F.lit(0)).cast("long").alias("patch"))
+
+
+def strict_rows(programs: DataFrame) -> DataFrame:
+    """Per problem: best score, hits by the plain flags, best program (score, then time, then id)."""
+    best = F.min_by("id", F.when(F.col("combined_score").isNotNull(), F.struct((-F.col("combined_score")).alias("s"), "ts", "id")))
+    return programs.groupBy("problem_id").agg(F.count("*").alias("programs"), F.max("combined_score").alias("best_score"), best.alias("best_id"), F.max("compile_ok").alias("compile_hit"), F.max("semantic_ok").alias("semantic_hit"))
+
+
+def score_histogram(rows: DataFrame, score: str) -> DataFrame:
+    """How many rows have each score, cut to a whole number."""
+    return rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("long").alias("score")).agg(F.count("*").alias("n"))
+
+
+def cost_summary(programs: DataFrame, kinds: list[str], keys: list[str]) -> DataFrame:
+    """Per key: total of each cost in the metadata JSON, cost for each program, average, best and
+    median score, share of correct rows."""
+    cost = {k: F.coalesce(F.get_json_object("metadata", f"$.{k}").try_cast("double"), F.lit(0.0)) for k in kinds}
+    sums = [F.sum(c).alias(k) for k, c in cost.items()]
+    out = programs.groupBy(*keys).agg(F.count("*").alias("programs"), *sums, F.avg("combined_score").alias("mean_score"), F.max("combined_score").alias("best_score"), F.percentile("combined_score", F.lit(0.5)).alias("median_score"), F.avg(F.col("correct").cast("double")).alias("correct_share"))
+    return out.withColumn("cost_per_program", sum((F.col(k) for k in kinds), F.lit(0.0)) / F.col("programs"))
+
+
+def failure_table(failures: DataFrame) -> DataFrame:
+    """Per error type: failures, how many ended in each state, repair attempts."""
+    state = lambda s: F.sum((F.col("final_status") == s).cast("long")).alias(s)
+    return failures.groupBy("error_type").agg(F.count("*").alias("failures"), state("repair_success"), state("repair_exhausted"), state("no_repair"), F.sum("repair_attempts").alias("repair_attempts"))
+
+
+def method_means(results: DataFrame, methods: list[str], fields: list[str]) -> DataFrame:
+    """One row a method out of columns named method_field: means that skip nulls, 0 without values."""
+    rows = results.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{f}").cast("double").alias(f) for f in fields]) for m in methods])).alias("r")).select("r.*")
+    return rows.groupBy("method").agg(F.count("*").alias("problems"), *[F.coalesce(F.avg(f), F.lit(0.0)).alias(f"mean_{f}") for f in fields])
+
+
+def repeated_runs(runs: DataFrame, key: str = "program_id") -> DataFrame:
+    """Per program: valid and invalid runs, the first error, all distinct errors, mean and population
+    deviation of the time. runs: (key, run, valid boolean, error, seconds)."""
+    bad = ~F.col("valid") & (F.coalesce("error", F.lit("")) != "")
+    return runs.groupBy(key).agg(
+        F.sum(F.col("valid").cast("long")).alias("valid_runs"), F.sum((~F.col("valid")).cast("long")).alias("invalid_runs"),
+        F.min_by("error", F.when(bad, F.col("run"))).alias("first_error"), F.sort_array(F.collect_set(F.when(bad, F.col("error")))).alias("errors"),
+        F.avg("seconds").alias("mean_seconds"), F.stddev_pop("seconds").alias("deviation_seconds"),
+    )

@@ -36,3 +36,38 @@ def novelty(queries: DataFrame, rows: DataFrame, threshold: float = 0.95) -> Dat
     best = pairs.groupBy("query_id").agg(F.max(cosine(F.col("q"), F.col("embedding"))).alias("similarity"))
     out = queries.select(F.col("id").alias("query_id")).join(best, "query_id", "left")
     return out.withColumn("novel", F.coalesce(F.col("similarity") <= threshold, F.lit(True)).cast("int"))
+
+
+def similar_pairs(rows: DataFrame, threshold: float, parts: int = 16) -> DataFrame:
+    """(island_idx, a, b, similarity) of all pairs of an island, a before b, whose cosine is at least
+    the threshold. Each row's unit vector goes to one part and, as partner, to all parts; a part of
+    an island is one group, whatever the island's size, and only pairs over the threshold leave it."""
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    unit = rows.select("id", "island_idx", F.size("embedding").alias("_n"), F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm)).alias("v")).where("v is not null")
+    own = unit.select("island_idx", "_n", F.col("id").alias("a"), F.col("v").alias("va"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    other = unit.select("island_idx", "_n", F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return own.join(other, ["island_idx", "_n", "part"]).where("a < b").select("island_idx", "a", "b", dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def principal_components(rows: DataFrame, dims: int = 2) -> DataFrame:
+    """(id, pca): standardised vectors on their first principal components. The sign of a component is
+    arbitrary. Vectors that are null or hold nulls or non-finite numbers are left out."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    good = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    table = rows.where(good).select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("raw"))
+    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(table).transform(table)
+    return PCA(k=dims, inputCol="scaled", outputCol="pca").fit(scaled).transform(scaled).select("id", vector_to_array("pca").alias("pca"))
+
+
+def clusters(rows: DataFrame, k: int = 4, dims: int = 3, seed: int = 0) -> DataFrame:
+    """(id, cluster) by a Gaussian mixture over the first principal components; cluster is null where
+    there are fewer than k usable vectors."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    table = principal_components(rows, dims).select("id", array_to_vector("pca").alias("features"))
+    if table.count() < k:
+        return rows.select("id", F.lit(None).cast("int").alias("cluster"))
+    return GaussianMixture(k=k, seed=seed, predictionCol="cluster").fit(table).transform(table).select("id", "cluster")
