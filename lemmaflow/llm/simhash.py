@@ -212,12 +212,17 @@ def hamming_forest(fps: DataFrame, radius: int, words: int, least: int = 1024, p
     return tiles.groupBy("i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def classes(prints: DataFrame, radius: int, words: int) -> DataFrame:
+def rooted(prints: DataFrame, radius: int, words: int) -> DataFrame:
     """(fp, root, first_id): for each distinct fingerprint its component's smallest fingerprint and
-    the smallest doc_id in the component (null if no document there has an id)."""
+    its own smallest doc_id (null if none of its documents has an id)."""
     own = durable(prints.groupBy("fp", "pop").agg(F.min("doc_id").alias("first_id")))
     roots = components(hamming_forest(own.select("fp", "pop"), radius, words))
-    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+
+
+def classes(prints: DataFrame, radius: int, words: int) -> DataFrame:
+    """(fp, root, first_id): as rooted, but with the smallest doc_id of the whole component."""
+    named = rooted(prints, radius, words)
     least = named.groupBy("root").agg(F.min("first_id").alias("first_id"))
     return named.select("fp", "root").join(least, "root")
 
@@ -248,7 +253,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     bits estimate similarity closely enough that no pair of texts has to be read side by side.
     All wordless documents are one group. Columns and extra columns are returned as they are."""
     prints = durable(fingerprints(docs, size, words))
-    named = prints.join(classes(prints, radius_for(similarity, 64 * words), words).select("fp", "root"), "fp")
+    named = prints.join(rooted(prints, radius_for(similarity, 64 * words), words).select("fp", "root"), "fp")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "key_id", "key_text")
     keep = named.groupBy("root").agg(F.min(rank).alias("k")).select(F.col("k.key_id").alias("_key_id"), F.col("k.key_text").alias("_key_text"))
     key_id, key_text = row_key()
