@@ -159,6 +159,21 @@ def bandit_state(spark, sf):
     return _rounded(G.bandit_fold(e))
 
 
+@query(
+    """WITH RECURSIVE l AS (SELECT user_id AS bandit, event_type AS arm, least(greatest(coalesce(value - 10, 0), 0), 300) AS z, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    step AS (SELECT DISTINCT bandit, arm, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS pulls, CAST(0 AS DOUBLE) AS s FROM l
+        UNION ALL
+        SELECT bandit, arm, n, 0.95 * (pulls + hit), 0.95 * s / (1 + 0.05 * s) FROM (
+            SELECT step.bandit, step.arm, l.n, pulls, CAST(l.arm = step.arm AS INTEGER) AS hit, s + CASE WHEN l.arm = step.arm THEN exp(z) - 1 ELSE 0 END AS s
+            FROM step JOIN l ON l.bandit = step.bandit AND l.n = step.n + 1))
+    SELECT bandit, arm, round(pulls, 6) AS pulls, CASE WHEN s > 0 THEN round(ln(s), 6) END AS log_total FROM step QUALIFY n = max(n) OVER (PARTITION BY bandit)"""
+)
+def bandit_log_state(spark, sf):
+    e = views.table(spark, sf, "events").select(F.col("user_id").alias("bandit"), F.col("event_id").alias("seq"), F.col("event_type").alias("arm"), G.gain(F.col("value"), F.lit(10.0)).alias("gain"))
+    totals = G.bandit_log_totals(e)
+    return _rounded(totals.withColumn("log_total", F.when(F.col("log_total") > float("-inf"), F.col("log_total"))))
+
+
 @query(
     """WITH f AS (SELECT user_id AS run_id, props AS text, arg_min(length(props) + value, event_id) AS reward, min(event_id) AS seq FROM events GROUP BY ALL)
     SELECT run_id, text, round(reward, 6) AS reward, seq FROM f QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY reward DESC, seq) <= 5"""

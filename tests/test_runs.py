@@ -1,6 +1,7 @@
 """Candidate texts, answers, attempts, populations, readers and result streams on small fixtures."""
 
 import json
+import math
 import sqlite3
 
 import pytest
@@ -170,6 +171,29 @@ def test_bandit_stream_equals_fold(spark, tmp_path):
     assert near(out) == near(G.bandit_fold(log).collect())
 
 
+def test_bandit_log_totals(spark):
+    """Against the plain fold, over several chunks, with nulls, no gain, large gains and ties in gain."""
+    gains = [None, 0.0, 1.5, 400.0, 0.2, 900.0, 0.2]
+    log = [(k % 2, k, f"a{k % 3}", gains[k % 7] if k % 3 else 0.0) for k in range(60)]
+    df = spark.createDataFrame(log, "bandit long, seq long, arm string, gain double")
+    for f in (0.95, 1.0):
+        want = {}
+        for bandit, _, arm, g in log:
+            want.setdefault((bandit, arm), [0.0, 0.0])
+            want[bandit, arm][0] += 1
+            want[bandit, arm][1] += math.expm1(min(g or 0.0, 300.0))
+            for (b, _), s in want.items():
+                if b == bandit:
+                    s[0], s[1] = s[0] * f, f * s[1] / (1 + (1 - f) * s[1])
+        for chunk in (4, 4096):
+            got = {(r.bandit, r.arm): (r.pulls, r.log_total) for r in G.bandit_log_totals(df, f, chunk).collect()}
+            assert got.keys() == want.keys()
+            for key, (pulls, total) in want.items():
+                assert got[key][0] == pytest.approx(pulls)
+                assert got[key][1] == (pytest.approx(math.log(total), abs=1e-9) if total else -math.inf)
+    assert G.bandit_log_totals(df.limit(0)).collect() == []
+
+
 def test_text_archive_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(k % 2, k, f"t{k % 9}", float(k % 9 * 5 % 7)) for k in range(50)], "run_id long, seq long, text string, reward double")
     out = []
