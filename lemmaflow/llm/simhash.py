@@ -6,6 +6,9 @@ whose population counts come within the radius is one task, which compares all p
 exclusive-or and bit counts. A task returns a spanning forest of the links it finds, never the
 pairs themselves, so a group of k near copies costs at most k rows a task.
 
+Near copies by Jaccard similarity are proposed so, with wide fingerprints and a wide radius, and
+decided by their sets of shingles.
+
 The comparison is quadratic in the number of distinct fingerprints, which is the nature of the
 method; blocks grow with the input so that rows are sent to at most some tens of tasks.
 """
@@ -60,7 +63,10 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def simhash(text: bytes | None, size: int = 4, words: int = 1) -> bytes:
     """Fingerprint, 8 * words bytes, highest bit first. A bit is 1 if set in over half the hashes."""
-    hashes = shingle_hashes(text or b"", size)
+    return _print_of(shingle_hashes(text or b"", size), words)
+
+
+def _print_of(hashes: np.ndarray, words: int) -> bytes:
     if not len(hashes):
         return bytes(8 * words)
     out = b""
@@ -123,7 +129,9 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 25
     parent = np.arange(len(a) + (0 if b is None else len(b)))
     cut_a, low_a, high_a = boxes(pa_, rows)
     cut_b, low_b, high_b = boxes(pb, cols)
-    first = min(2, a.shape[1])
+    first = 1  # words after which chance alone hardly lets a pair pass
+    while first < min(3, a.shape[1]) and 32 * first - 15 * math.sqrt(first) < radius:
+        first += 1
     for s, lo, hi in zip(cut_a, low_a, high_a):
         gap = np.maximum(0, np.maximum(low_b - hi, lo - high_b))
         near = np.maximum(gap[:, -1], gap[:, :-1].sum(axis=1)) <= radius
@@ -240,22 +248,123 @@ def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4) -> DataF
     )
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits that 19 of 20 pairs of this Jaccard similarity stay within: two sets of equal
-    size with Jaccard j have cosine 2j / (1 + j), and each bit differs with chance angle / pi."""
+def radius_for(similarity: float, bits: int, widths: float = 5.4) -> int:
+    """Differing bits that pairs of this Jaccard similarity hardly exceed: two sets with Jaccard j have
+    cosine 2j / (1 + j) or more, each bit differs with chance angle / pi, and `widths` standard
+    deviations are added; so many because bits of sets of a few shingles differ more often."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 1.645 * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + widths * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or b"", size))
+
+
+def set_prints(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """(key_id, key_text, none: whether the id is null, set_id binary, fp binary, pop int), one row for
+    every row of docs: a name of its set of shingles, and the fingerprint of that set."""
+    from lemmaflow.llm.simhash import _print_of, shingle_set
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fps = [], []
+            for text in b.column(3).cast(pa.binary()).to_pylist():
+                own = shingle_set(text, size)
+                ids.append(xxhash.xxh3_128_digest(own.tobytes()))
+                fps.append(_print_of(own, words))
+            pops = np.bitwise_count(np.frombuffer(b"".join(fps), dtype=np.uint8)).reshape(len(fps), -1).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary()), pa.array(fps, pa.binary()), pa.array(pops)], ["key_id", "key_text", "none", "set_id", "fp", "pop"])
+
+    rows = docs.select(*row_key(), F.col("doc_id").isNull().alias("none"), "text")
+    return rows.mapInArrow(run, "key_id long, key_text long, none boolean, set_id binary, fp binary, pop int")
+
+
+def jaccard_forest(sets: list[np.ndarray], left: int | None, similarity: float) -> list[tuple[int, int]]:
+    """Edges (child, root) of a forest that has the components of all links of exact Jaccard
+    `similarity` or more between the first `left` sets and the others, or among all if left is None.
+    Sets that are connected already are not compared; empty sets have no links."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    flags = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.int32)
+    root = np.arange(n)  # each set's root itself, so that whole rows compare at once
+    for i in range(n if left is None else left):
+        a = sizes[i]
+        start = i + 1 if left is None else left
+        # no pair at the similarity has sizes further apart; one is added against rounding
+        fits = (np.minimum(sizes[start:], a) + 1 >= similarity * np.maximum(sizes[start:], a)) & (sizes[start:] > 0)
+        others = start + np.nonzero(fits & (root[start:] != root[i]))[0]
+        if not a or not len(others):
+            continue
+        flags[own[i]] = 1
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
+            some = some[root[some] != root[i]]
+            if not len(some):
+                continue
+            starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+            both = np.add.reduceat(flags[np.concatenate([own[j] for j in some])], starts)
+            for j in some[both >= similarity * (a + sizes[some] - both) - 1e-9]:
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+        flags[own[i]] = 0
+    return [(int(k), int(root[k])) for k in np.nonzero(root != np.arange(n))[0]]
+
+
+def verified_links(docs: DataFrame, members: DataFrame, size: int, similarity: float, block: int = 1000) -> DataFrame:
+    """Edges (a, b) of set_ids: a forest that has the components of all links of exact Jaccard
+    `similarity` or more between members of the same group. members: (set_id, key_id, key_text of one
+    row of docs that has the set, root: its group, n: the group's size).
+
+    Small groups share tasks; a large one is dealt into blocks, every two of which are a task.
+    """
+    from lemmaflow.llm.simhash import jaccard_forest as forest
+    from lemmaflow.llm.simhash import shingle_set as shingles
+
+    total = members.count()
+    deal = F.ceil(F.col("n") / block).cast("int")
+    named = members.withColumn("parts", deal).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    named = named.withColumn("bin", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(total // block * 4 + 16))).otherwise(F.xxhash64("root", F.lit(1)))).drop("n")
+    rows = docs.select(*row_key(), "text").join(named, ["key_id", "key_text"]).drop("key_id", "key_text").dropDuplicates(["set_id"])
+    ends = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j"))))
+    tiles = rows.withColumn("tile", F.explode(ends)).select("bin", F.col("parts") > 1, "tile.i", "tile.j", "part", "root", "set_id", "text").toDF("bin", "big", "i", "j", "part", "root", "set_id", "text")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[2].as_py(), key[3].as_py()
+        groups: dict[bytes, list[tuple]] = {}
+        for root, part, name, text in zip(*[table.column(c).to_pylist() for c in ("root", "part", "set_id")], table.column("text").cast(pa.binary()).to_pylist()):
+            groups.setdefault(root, []).append((part != i, name, shingles(text, size)))
+        a, b = [], []
+        for own in groups.values():
+            own.sort(key=lambda x: x[:2])
+            left = None if i == j else sum(not x[0] for x in own)
+            for child, root in forest([x[2] for x in own], left, similarity):
+                a.append(own[child][1])
+                b.append(own[root][1])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return tiles.groupBy("bin", "big", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """docs with one document of each group of near copies: the row with the smallest doc_id (null
-    ids last; equal ids: smallest text hash; repeated rows: one of them). Fingerprints of 64 * words
-    bits estimate similarity closely enough that no pair of texts has to be read side by side.
+    ids last; equal ids: smallest text hash; repeated rows: one of them). Two documents are linked if
+    their sets of shingles have this Jaccard similarity or more; groups are the components of links.
+
+    Fingerprints of 64 * words bits, of the sets, only propose: sets within a radius that pairs at the
+    similarity hardly exceed are grouped, and the sets of a group are compared by their shingles.
     All wordless documents are one group. Columns and extra columns are returned as they are."""
-    prints = durable(fingerprints(docs, size, words))
-    named = prints.join(rooted(prints, radius_for(similarity, 64 * words), words).select("fp", "root"), "fp")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "key_id", "key_text")
-    keep = named.groupBy("root").agg(F.min(rank).alias("k")).select(F.col("k.key_id").alias("_key_id"), F.col("k.key_text").alias("_key_text"))
+    prints = durable(set_prints(docs, size, words))
+    rank = F.struct("none", "key_id", "key_text")
+    sets = durable(prints.groupBy("set_id", "fp", "pop").agg(F.min(rank).alias("k")))
+    near = components(hamming_forest(sets.select("fp", "pop").distinct(), radius_for(similarity, 64 * words), words))
+    grouped = durable(sets.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("set_id", "k.key_id", "k.key_text", F.coalesce("root", "fp").alias("root")))
+    several = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    links = verified_links(docs, durable(grouped.join(several, "root")), size, similarity)
+    same = components(links).withColumnsRenamed({"node": "set_id", "root": "same"})
+    keep = sets.join(same, "set_id", "left").groupBy(F.coalesce("same", "set_id").alias("same")).agg(F.min("k").alias("k"))
+    keep = keep.select(F.col("k.key_id").alias("_key_id"), F.col("k.key_text").alias("_key_text"))
     key_id, key_text = row_key()
     return (
         docs.withColumns({"_key_id": key_id, "_key_text": key_text})

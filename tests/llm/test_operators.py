@@ -67,6 +67,47 @@ def test_near_copies_leave_one(docs):
     assert sum(r.text == LONG for r in rows) == 1
 
 
+def test_near_copies_have_the_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(40):
+        own = [f"v{x}" for x in rng.integers(0, 5000, 120)]
+        texts.append(" ".join(own))
+        for n in (2, 4, 7):  # substituted words, each in five shingles: similarity 0.84, 0.71, 0.54
+            other = list(own)
+            for at in np.linspace(5, 110, n).astype(int):
+                other[at] = f"n{k}x{at}"
+            texts.append(" ".join(other))
+    repeats = ["buy now " * 60 + f"offer {k} " * 40 + " ".join(f"z{k}y{x}" for x in range(30)) for k in range(6)]
+    texts += repeats + ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g x"]
+    sets = [{tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = sorted({r: min(k for k in range(len(texts)) if root[k] == r) for r in root}.values())
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table(spark, texts)).collect()) == want
+
+
+def test_jaccard_forest_in_blocks(spark):
+    rng = np.random.default_rng(13)
+    base = [f"v{x}" for x in range(200)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"n{k}" for w in base) for k in range(60)]
+    docs = table(spark, texts)
+    prints = simhash.set_prints(docs, 5, 1).selectExpr("set_id", "key_id", "key_text", "cast('g' as binary) as root", "60L as n")
+    name = {bytes(r.set_id): r.key_id for r in prints.collect()}
+
+    def groups(block):
+        root = list(range(60))
+        for r in simhash.verified_links(docs, prints, 5, 0.8, block).collect():
+            i, j = name[bytes(r.a)], name[bytes(r.b)]
+            root = [root[i] if x == root[j] else x for x in root]
+        return {frozenset(k for k in range(60) if root[k] == r) for r in root}
+
+    assert groups(1000) == groups(7) and 1 < len(groups(7)) < 60
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from lemmaflow.llm.common import components
 
