@@ -1,7 +1,7 @@
 """Licence scans by a positional rare-token index.
 
 Templates of licence notices are indexed by the words of theirs that fewest documents have. A file's
-index words are looked up, rarest first; each occurrence votes, for every template that has the
+index words are all looked up; each occurrence votes, for every template that has the
 word, for the place where the template would begin. A template is found where votes of several
 words agree on a place and its mandatory phrases stand there, too. Everything is DataFrame
 functions; the index is made from the templates alone and is of fixed size.
@@ -39,8 +39,6 @@ TEMPLATES = [
 ]
 #: Index words of a template, and how many of them have to agree on a place.
 RARE, AGREE = 4, 2
-#: Index words of a file that are looked up, rarest first.
-LOOK_UP = 12
 
 
 def _lower(text: Column) -> Column:
@@ -89,7 +87,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     idf, index = rare_words(docs)
     tokens = sorted({w for own in index for w, _ in own}, key=lambda w: (-idf[w], w))  # rarest first
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), words_of(F.col("text")).alias("words"))
-    row = row.withColumn("look", F.slice(F.array_intersect(_text_array(tokens), "words"), 1, LOOK_UP))
+    row = row.withColumn("look", F.array_intersect(_text_array(tokens), "words"))
 
     # votes: (template, place where it would begin, the word or phrase that says so)
     kind = "array<struct<t:int,at:int,w:string,p:string>>"

@@ -274,6 +274,15 @@ def test_licenses(spark):
     assert got[6].n_words == 30_000 and got[7].labels == ""
 
 
+def test_a_file_with_all_notices_has_all_labels(spark):
+    every = " and ".join(notice for _, notice, _ in licenses.TEMPLATES)
+    many = "any can code copy file into source " * 50 + every
+    common = sorted({w for _, notice, _ in licenses.TEMPLATES for w in notice.split()} - {"gnu", "general", "public", "license", "mit", "apache"})
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(table(spark, [every, many] + ["gnu general public license"] * 9 + [" ".join(common[:5])])).collect()}
+    want = {label for label, _, _ in licenses.TEMPLATES}
+    assert want <= set(got[0].split(",")) and want <= set(got[1].split(","))
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
