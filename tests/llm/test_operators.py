@@ -147,6 +147,31 @@ def test_repeated_spans_go_but_the_first(spark):
         assert b"".join(spans.sentences((text or "").encode())[0]) == (text or "").encode()
 
 
+@pytest.mark.parametrize("ends", [0, 1, 2, 3, 4])
+def test_passages_glued_at_both_ends_go(spark, ends):
+    own = [f"p{k}" for k in range(60)]
+    for k in range(ends):
+        own[(k + 1) * 60 // (ends + 1)] += "."
+    passage = " ".join(own)
+    texts = [" ".join(f"a{k}x{j}" for j in range(33 + k)) + f" {passage} " + " ".join(f"b{k}x{j}" for j in range(41)) for k in range(4)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.remove_repeated_spans(table(spark, texts)).collect()}
+    assert got[0] == (texts[0], 0)
+    for k in range(1, 4):
+        left = [w for w in words(got[k][0]) if w in own]
+        assert len(left) <= 36 and got[k][1] > 0 and all(w in words(got[k][0]) for w in words(texts[k]) if w not in own)
+        inside = [w in left for w in own]  # what is left is at the ends, each shorter than a row of windows
+        assert inside.index(False) < 27 and inside[::-1].index(False) < 27
+
+
+def test_one_or_two_whole_sentences_go(spark):
+    one = " ".join(f"o{k}" for k in range(30)) + "."
+    two = " ".join(f"t{k}" for k in range(14)) + ". " + " ".join(f"u{k}" for k in range(14)) + "."
+    texts = [f"Begin {k} here. {one} Middle {k} of it. {two} End {k}." for k in range(3)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.remove_repeated_spans(table(spark, texts)).collect()}
+    assert got[0] == (texts[0], 0)
+    assert all(got[k] == (f"Begin {k} here. Middle {k} of it. End {k}.", 3) for k in (1, 2))
+
+
 def test_packed_tokens_come_back(docs):
     packed = tokens.pack_tokens(docs, size=256).cache()
     encoder = tokens.public_encoder()
