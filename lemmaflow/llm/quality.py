@@ -21,8 +21,7 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 WINDOW = 8
 
-#: Statistic: how far beyond the quartiles, at least, its limits are.
-SLACK = {"word_length": 1.0, "symbol_share": 0.2, "dup_line_share": 0.4, "repeat_share": 0.3}
+STATISTICS = ("word_length", "symbol_share", "dup_line_share", "repeat_share")
 #: Statistics for which too small is bad, too.
 TWO_SIDED = ("word_length",)
 
@@ -88,23 +87,22 @@ def _measures() -> dict[str, Column]:
     return {"word_length": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / words, "dup_line_share": F.col("n_dup_lines") / lines, "repeat_share": F.col("n_repeat_words") / words}
 
 
-def limits(stats: DataFrame, spread: float = 3.0, accuracy: int = 1000) -> DataFrame:
+def limits(stats: DataFrame, tails: tuple[float, float] = (0.01, 0.97), accuracy: int = 1000) -> DataFrame:
     """Limits of every group: gid (0: language and source, 1: language, 3: all), lang, source, docs,
-    and for each statistic low and high: quartiles widened by `spread` times their distance, and by
-    the statistic's slack at least. Wordless documents have no part in them."""
+    and for each statistic low and high: the quantiles `tails` of the group's own sketch. Wordless
+    documents have no part in them."""
     rows = stats.where("n_words > 0").select("lang", "source", *[c.alias(n) for n, c in _measures().items()])
-    sketches = [F.percentile_approx(n, [0.25, 0.75], accuracy).alias(n) for n in SLACK]
+    sketches = [F.percentile_approx(n, list(tails), accuracy).alias(n) for n in STATISTICS]
     groups = rows.rollup("lang", "source").agg(F.grouping_id().alias("gid"), F.count("*").alias("docs"), *sketches)
     out = ["gid", "lang", "source", "docs"]
-    for n, slack in SLACK.items():
-        reach = F.greatest(spread * (F.col(n)[1] - F.col(n)[0]), F.lit(slack))
-        low = F.col(n)[0] - reach if n in TWO_SIDED else F.lit(float("-inf"))
-        groups = groups.withColumns({f"{n}_low": low, f"{n}_high": F.col(n)[1] + reach})
+    for n in STATISTICS:
+        low = F.col(n)[0] if n in TWO_SIDED else F.lit(float("-inf"))
+        groups = groups.withColumns({f"{n}_low": low, f"{n}_high": F.col(n)[1]})
         out += [f"{n}_low", f"{n}_high"]
     return groups.select(*out)
 
 
-def quality_verdicts(docs: DataFrame, spread: float = 3.0, min_docs: int = 50, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def quality_verdicts(docs: DataFrame, tails: tuple[float, float] = (0.01, 0.97), min_docs: int = 50, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """One row for every row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, limited_by (gid of the limits used; null for wordless texts).
 
@@ -113,8 +111,20 @@ def quality_verdicts(docs: DataFrame, spread: float = 3.0, min_docs: int = 50, m
     language and source, if these have min_docs documents, else of its language, else of all. Null
     languages and sources are groups like any other. Null text: no words, base_failed.
     """
+    return _verdicts(docs, tails, min_docs, min_words, max_repeat_percent).drop("lang", "source")
+
+
+def rejections(docs: DataFrame, **rules) -> DataFrame:
+    """(lang, source, limited_by, docs, base_failed, limited): of each group how many documents the
+    base rules reject, and how many more the limits do."""
+    rows = _verdicts(docs, **rules).groupBy("lang", "source", "limited_by")
+    count = lambda c: F.sum(c.cast("long"))
+    return rows.agg(F.count("*").alias("docs"), count(F.col("base_failed")).alias("base_failed"), count(~F.col("base_failed") & ~F.col("kept")).alias("limited"))
+
+
+def _verdicts(docs: DataFrame, tails: tuple[float, float] = (0.01, 0.97), min_docs: int = 50, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     stats = durable(statistics(docs))
-    every = durable(limits(stats, spread)).where((F.col("docs") >= min_docs) | (F.col("gid") == 3))
+    every = durable(limits(stats, tails)).where((F.col("docs") >= min_docs) | (F.col("gid") == 3))
     named = lambda gid: every.where(F.col("gid") == gid).drop("gid", "docs")
     bounds = [c for c in every.columns if c not in ("gid", "docs", "lang", "source")]
 
@@ -135,6 +145,6 @@ def quality_verdicts(docs: DataFrame, spread: float = 3.0, min_docs: int = 50, m
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     used = F.when(F.col("n_words") == 0, None).when(F.col("g0").isNotNull(), 0).when(F.col("g1").isNotNull(), 1).otherwise(3)
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "lang", "source", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(True))).alias("kept"), used.alias("limited_by"),
     )

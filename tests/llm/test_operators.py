@@ -273,6 +273,22 @@ def test_quality_counts(docs):
     assert quality.text_statistics(b"a #b\na #b\n\n$") == (5, 7, 3, 3, 1, 0)
 
 
+def test_quality_limits_follow_each_group(spark):
+    def text(k, repeated):  # 20 lines, `repeated` of them the same
+        return "\n".join(["menu"] * (repeated + bool(repeated)) + [f"line{k}x{j} has own{k}y{j} words" for j in range(20 - repeated)])
+
+    texts, sources = [], []
+    for k in range(200):
+        texts += [text(k, 6 if k % 50 == 0 else 0), text(k, 8)]
+        sources += ["clean", "lists"]
+    df = table(spark, texts, sources)
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(df).collect()}
+    assert not any(got[2 * k] for k in range(0, 200, 50))  # 0.29 repeated lines, where others have none
+    assert sum(not got[2 * k + 1] for k in range(200)) <= 12  # every list has 0.38
+    report = {r.source: (r.docs, r.base_failed, r.limited) for r in quality.rejections(df).collect()}
+    assert report["clean"][:2] == (200, 0) and report["clean"][2] == sum(not got[2 * k] for k in range(200))
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(9)
     plain = ["river", "stone", "cloud", "meadow", "window", "garden", "letter", "market"]
