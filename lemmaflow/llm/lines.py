@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 from lemmaflow.llm.common import durable, row_key
 
 
-def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(line))
+#: All white space that can stand around a line.
+WHITE = " \t\n\x0b\x0c\r"
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
+def normal_line(line: Column, blanks: str = " ") -> Column:
+    return F.lower(F.trim(line, F.lit(blanks)))
+
+
+def _lines(docs: DataFrame, site: str, blanks: str = " ") -> DataFrame:
     """One row for each line that is not blank: site, key_id, key_text, pos, line (text), hash."""
     every = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), *row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return every.withColumn("line", normal_line(F.col("line"))).where("line <> ''").withColumn("hash", F.xxhash64("line"))
+    return every.withColumn("line", normal_line(F.col("line"), blanks)).where("line <> ''").withColumn("hash", F.xxhash64("line"))
 
 
-def cross_site_occurrences(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 3, lg_k: int = 12) -> DataFrame:
+def cross_site_occurrences(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 3, lg_k: int = 12, blanks: str = " ") -> DataFrame:
     """(key_id, key_text, pos) of every line, but the first of its kind, that min_sites or more
     distinct sites have. First is by id, text hash and position, null ids before all."""
-    lines = _lines(docs, site)
+    lines = _lines(docs, site, blanks)
     # a line on so many sites has so many occurrences; this leaves few hashes, of whatever frequency
     often = (
         lines.groupBy("hash")
@@ -49,17 +53,17 @@ def cross_site_occurrences(docs: DataFrame, site: str = "source", min_sites: int
     return seen.join(first, "hash").where(place != F.col("first")).select("key_id", "key_text", "pos")
 
 
-def remove_cross_site_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 3, lg_k: int = 12) -> DataFrame:
+def remove_cross_site_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 3, lg_k: int = 12, blanks: str = " ") -> DataFrame:
     """docs with cross-site boilerplate taken out of the text, and two more columns: n_lines and
     n_removed (long).
 
-    Lines are the text's parts between "\\n". They are compared without spaces around them and in
-    lower case; blank lines and lines of fewer than min_words words are never removed. A null site
+    Lines are the text's parts between "\\n". They are compared without `blanks` (spaces; WHITE: all white
+    space) around them and in lower case; blank lines and lines of fewer than min_words words are never removed. A null site
     is a site of its own. Of each boilerplate line the first occurrence stays, so that nothing goes
     altogether; rows are never dropped, and a text may become empty. Null text stays null with no
     lines. Rows with the same id and text get the same treatment. Other columns stay as they are.
     """
-    gone = durable(cross_site_occurrences(docs, site, min_sites, min_words, lg_k).groupBy("key_id", "key_text").agg(F.collect_set("pos").alias("_gone")))
+    gone = durable(cross_site_occurrences(docs, site, min_sites, min_words, lg_k, blanks).groupBy("key_id", "key_text").agg(F.collect_set("pos").alias("_gone")))
     key_id, key_text = row_key()
     rows = docs.withColumns({"_key_id": key_id, "_key_text": key_text}).join(gone.withColumnsRenamed({"key_id": "_key_id", "key_text": "_key_text"}), ["_key_id", "_key_text"], "left")
     rows = rows.withColumn("_lines", F.split("text", "\n"))

@@ -136,6 +136,14 @@ def test_lines_on_many_sites(spark):
     assert all(r.n_removed == 0 for r in lines.remove_cross_site_lines(nine, min_sites=10).collect())
 
 
+def test_pipeline_takes_short_lines_of_many_sites(spark):
+    import corpus_pipeline
+
+    texts = [f"own {k} text here\nTail.{' \t\r'[k % 4:]}\n版权所有 here\nlast {k}" for k in range(12)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, table(spark, texts, [f"s{k}" for k in range(12)]), "").collect()}
+    assert got == {k: texts[k] if not k else f"own {k} text here\nlast {k}" for k in range(12)}
+
+
 def test_repeated_spans_go_but_the_first(spark):
     passage = "The first sentence has some words. The second one follows it here. And the third ends it all now."
     texts = [f"Intro number {k} is alone. {passage} Outro of {k}." for k in range(5)] + [None, "", passage, LONG]
