@@ -8,31 +8,82 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space and words, as every contract here has them.
-WORD = r"[^\x20\x09-\x0D]+"
+#: White space between words, as every contract here has it.
+BETWEEN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share. A temporary one stands in only on a local master
+    (tests), where there is one machine; a cluster has to name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lemmaflow-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
+def _files(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost
-    executor costs no more than the tasks it ran. The files go when the driver ends."""
+    executor costs no more than the tasks it ran. The files go with forget, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lemmaflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, jvm_path = _files(spark, path)
+    system.deleteOnExit(jvm_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of durable tables that nothing reads any more."""
+    for df in tables:
+        system, jvm_path = _files(df.sparkSession, df._durable_path)
+        system.delete(jvm_path, True)
+
+
+def rest_of(docs: DataFrame, *but: str) -> Column:
+    """All of docs' columns, but those named, in one struct "row", so that no name of theirs can meet
+    one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("row")
+
+
+def back(docs: DataFrame, **changed: Column) -> list[Column]:
+    """docs' columns out of "row", in their order, the changed ones as given."""
+    return [changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """name, with as many underscores behind it as it takes to be none of docs' columns."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", pieces: int = 10_000) -> DataFrame:
+    """rows joined with keyed (one row a key, n: how many of rows have it) on key; n is left out.
+
+    A key that more than 1 / pieces of the rows have is dealt to several places, its row of keyed being
+    sent to each, so that no task gets a hot key whole. At most `pieces` keys can be that frequent:
+    only their names and numbers are broadcast."""
+    per = max(1, (keyed.agg(F.sum(n)).first()[0] or 0) // pieces)
+    deals = F.ceil(F.col(n) / per).cast("int")
+    hot = keyed.where(F.col(n) > per).select(key, deals.alias("_deals"))
+    turn = F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_deals"))).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", turn).drop("_deals")
+    places = F.sequence(F.lit(0), F.when(F.col(n) > per, deals - 1).otherwise(0))
+    return dealt.join(keyed.withColumn("_deal", F.explode(places)).drop(n), [key, "_deal"]).drop("_deal")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
@@ -70,8 +121,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = tidy(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = durable(tidy(small))
+        old, e = e, durable(tidy(small))
         after = state(e)
+        forget(old)
         if after == before:
             break
         before = after

@@ -25,7 +25,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return remove_cross_site_lines(docs, site="source", min_sites=10, min_words=3).select("doc_id", "text", "n_lines", "n_removed")
+    return remove_cross_site_lines(docs, site="source", min_sites=10).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,10 @@ ORACLES: dict[str, str] = {
                    unnest(parts) AS line, unnest(range(len(parts))) AS pos
             FROM docs
         ), named AS (
-            SELECT *, lower(trim(line, ' ')) AS norm FROM lines
+            SELECT *, lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS norm FROM lines
         ), common AS (
             SELECT norm FROM named
-            WHERE norm <> '' AND len(regexp_split_to_array(norm, '[ \\t\\n\\x0B\\f\\r]+')) >= 3
+            WHERE norm <> ''
             GROUP BY norm HAVING count(DISTINCT site) >= 10
         ), ranked AS (
             SELECT r, pos, norm, rank() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, text, pos) AS k
