@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import durable, row_key
+from lemmaflow.llm.common import back, durable, free_name, join_spread, rest_of, row_key
 
 #: A sentence ends with its marks and the white space behind them, or with its line.
 _PIECE = re.compile(rb"[^.!?\n]*(?:[.!?\n]+\s*|$)")
@@ -151,12 +151,12 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int, long_words: int) -
 
     rows = docs.select(*row_key(), "text").where("text is not null")
     every = durable(rows.mapInArrow(spans, "key_id long, key_text long, start int, length int, hash long"))
-    often = durable(every.groupBy("hash").count().where("count > 1").select("hash"))
-    seen = durable(every.join(often, "hash"))
+    often = durable(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    seen = durable(join_spread(every, often, "hash"))
     place = F.struct("key_id", "key_text", "start")
-    first = durable(seen.groupBy("hash").agg(F.min(place).alias("first")))
+    first = durable(seen.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     elsewhere = (F.col("key_id") != F.col("first.key_id")) | (F.col("key_text") != F.col("first.key_text"))
-    later = seen.join(first, "hash").where((place != F.col("first")) & ((F.col("length") > 0) | elsewhere))
+    later = join_spread(seen, first, "hash").where((place != F.col("first")) & ((F.col("length") > 0) | elsewhere))
     return later.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
 
 
@@ -170,7 +170,8 @@ def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 12, lo
     WINDOW words count as repeated in another document, so a common passage of 50 words goes, but for
     less than 27 words at either end, whatever marks it has. Rows are never dropped; a text may become
     empty. Null text stays null, with no sentences. Rows with the same id and text get the same
-    treatment; other columns stay as they are.
+    treatment; other columns stay as they are, whatever their names; where docs has an n_sentences or
+    n_removed of its own, the new column has an underscore more.
     """
     from lemmaflow.llm.spans import without_spans as cut
 
@@ -180,15 +181,9 @@ def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 12, lo
             for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
                 rows.append((None, 0, 0) if text is None else cut(text, [x["start"] for x in spans or []], [x["length"] for x in spans or []]))
             texts, counts, gone = zip(*rows) if rows else ((), (), ())
-            out = {n: b.column(n) for n in b.schema.names if n != "spans"}
-            out |= {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_sentences": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_sentences", "n_removed"])
 
-    docs = docs.drop("n_sentences", "n_removed", "spans")
     spans = durable(repeated_spans(docs, run, min_words, long_words))
-    key_id, key_text = row_key()
-    spans = spans.withColumnsRenamed({"key_id": "_key_id", "key_text": "_key_text"})
-    rows = docs.withColumns({"_key_id": key_id, "_key_text": key_text}).join(spans, ["_key_id", "_key_text"], "left").drop("_key_id", "_key_text")
-    names = [*docs.columns, "n_sentences", "n_removed"]
-    schema = docs.schema.add("n_sentences", "long").add("n_removed", "long")
-    return rows.mapInArrow(apply, schema)
+    rows = docs.select(rest_of(docs, "text"), "text", *row_key()).join(spans, ["key_id", "key_text"], "left").select("row", "text", "spans")
+    done = rows.mapInArrow(apply, rows.select("row", "text").schema.add("n_sentences", "long").add("n_removed", "long"))
+    return done.select(*back(docs, text=F.col("text")), *[F.col(c).alias(free_name(c, docs)) for c in ("n_sentences", "n_removed")])
