@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import components, durable, row_key
+from lemmaflow.llm.common import back, components, durable, join_spread, rest_of, row_key
 
 #: For each byte, its eight bits in the eight byte lanes of a word, lowest bit first.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).astype(np.uint8).view("<u8").ravel()
@@ -77,18 +77,18 @@ def _print_of(hashes: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, key_id, key_text, fp binary, pop int), one row for every row of docs. Null and
-    wordless texts get fingerprint zero; other columns, whatever their names, take no part."""
+    """(doc_id, fp binary, pop int), one row for every row of docs. Null and wordless texts get
+    fingerprint zero; other columns, whatever their names, take no part."""
     from lemmaflow.llm.simhash import simhash as one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [one(t, size, words) for t in b.column(3).cast(pa.binary()).to_pylist()]
+            fps = [one(t, size, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
             pops = np.bitwise_count(np.frombuffer(b"".join(fps), dtype=np.uint8)).reshape(len(fps), -1).sum(axis=1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps, pa.binary()), pa.array(pops)], ["doc_id", "key_id", "key_text", "fp", "pop"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(pops)], ["doc_id", "fp", "pop"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text")
-    return rows.mapInArrow(run, "doc_id long, key_id long, key_text long, fp binary, pop int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, fp binary, pop int")
 
 
 def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -174,16 +174,17 @@ def _blocks(counts: dict[int, int], least: int, pieces: int, most: int) -> dict[
     return out
 
 
-def hamming_forest(fps: DataFrame, radius: int, words: int, least: int = 1024, pieces: int = 32, most: int = 4_000_000) -> DataFrame:
+def hamming_forest(nodes: DataFrame, radius: int, words: int, least: int = 1024, pieces: int = 32, most: int = 4_000_000) -> DataFrame:
     """Edges (a, b) of a forest that has the components of all links at radius or fewer differing
-    bits between distinct fingerprints. fps: (fp binary, pop int), no repeats.
+    bits between distinct fingerprints. nodes: (node binary, pop int), a node's last 8 * words bytes
+    being its fingerprint and the bytes before, as many in each, any name; no fingerprint twice.
 
     Collects one count for each population count (64 * words + 1 at most), never a fingerprint.
     """
     from lemmaflow.llm.simhash import tile_forest as forest
 
-    spark = fps.sparkSession
-    counts = {r["pop"]: r["count"] for r in fps.groupBy("pop").count().collect()}
+    spark = nodes.sparkSession
+    counts = {r["pop"]: r["count"] for r in nodes.groupBy("pop").count().collect()}
     if not counts:
         return spark.createDataFrame([], "a binary, b binary")
     blocks = _blocks(counts, least, pieces, most)
@@ -194,45 +195,42 @@ def hamming_forest(fps: DataFrame, radius: int, words: int, least: int = 1024, p
     table = F.broadcast(spark.createDataFrame(reach, "pop int, start int, n int, low int, high int"))  # a row per population count
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        data = b"".join(rows.column("fp").to_pylist())
-        return pa.table({"block": [key[0].as_py()], "low": [min(rows.column("low").to_pylist())], "high": [max(rows.column("high").to_pylist())], "fps": pa.array([data], pa.large_binary())}).cast(packed)
+        data = b"".join(rows.column("node").to_pylist())
+        return pa.table({"block": [key[0].as_py()], "low": [min(rows.column("low").to_pylist())], "high": [max(rows.column("high").to_pylist())], "n": [rows.num_rows], "nodes": pa.array([data], pa.large_binary())}).cast(packed)
 
-    packed = pa.schema([("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("fps", pa.binary())])
-    keyed = fps.join(table, "pop").select((F.col("start") + F.pmod(F.xxhash64("fp"), F.col("n"))).cast("int").alias("block"), "low", "high", "fp")
-    whole = durable(keyed.groupBy("block").applyInArrow(pack, "block int, low int, high int, fps binary"))
+    packed = pa.schema([("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32()), ("nodes", pa.binary())])
+    keyed = nodes.join(table, "pop").select((F.col("start") + F.pmod(F.xxhash64("node"), F.col("n"))).cast("int").alias("block"), "low", "high", "node")
+    whole = durable(keyed.groupBy("block").applyInArrow(pack, "block int, low int, high int, n int, nodes binary"))
     # blocks p and q meet if either reaches the other; low and high of a shared block are its widest
     ends = whole.select("block", F.explode(F.sequence("low", "high")).alias("other"))
     pairs = ends.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    tiles = sides.join(whole.select("block", "fps"), "block")
+    tiles = sides.join(whole.select("block", "n", "nodes"), "block")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        data = dict(zip(rows.column("block").to_pylist(), rows.column("fps").to_pylist()))
+        data = {k: np.frombuffer(x, dtype=np.uint8).reshape(n, -1) for k, n, x in zip(*[rows.column(c).to_pylist() for c in ("block", "n", "nodes")])}
         i, j = key[0].as_py(), key[1].as_py()
-        sides = [np.frombuffer(data[k], dtype=">u8").astype(np.uint64).reshape(-1, words) for k in ((i,) if i == j else (i, j)) if k in data]
+        sides = [data[k] for k in ((i,) if i == j else (i, j)) if k in data]
         if len(sides) < 1 + (i != j):
             return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        child, root = forest(sides[0], sides[1] if i != j else None, radius)
-        both = np.concatenate(sides).astype(">u8")
+        prints = [np.ascontiguousarray(x[:, -8 * words :]).view(">u8").astype(np.uint64) for x in sides]
+        child, root = forest(prints[0], prints[1] if i != j else None, radius)
+        both = np.concatenate(sides)
         cut = lambda rows: pa.array([both[r].tobytes() for r in rows], pa.binary())
         return pa.table({"a": cut(child), "b": cut(root)})
 
     return tiles.groupBy("i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def rooted(prints: DataFrame, radius: int, words: int) -> DataFrame:
-    """(fp, root, first_id): for each distinct fingerprint its component's smallest fingerprint and
-    its own smallest doc_id (null if none of its documents has an id)."""
-    own = durable(prints.groupBy("fp", "pop").agg(F.min("doc_id").alias("first_id")))
-    roots = components(hamming_forest(own.select("fp", "pop"), radius, words))
-    return own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+def _named(doc_id: Column, fp: Column) -> Column:
+    """A node's name: nodes are in the order of their ids, null last."""
+    own = F.to_binary(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("hex"))
+    return F.concat(F.when(doc_id.isNull(), F.lit(b"\x01" + bytes(8))).otherwise(F.concat(F.lit(b"\x00"), own)), fp)
 
 
-def classes(prints: DataFrame, radius: int, words: int) -> DataFrame:
-    """(fp, root, first_id): as rooted, but with the smallest doc_id of the whole component."""
-    named = rooted(prints, radius, words)
-    least = named.groupBy("root").agg(F.min("first_id").alias("first_id"))
-    return named.select("fp", "root").join(least, "root")
+def _id_of(node: Column) -> Column:
+    own = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", own)
 
 
 def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
@@ -242,10 +240,11 @@ def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4) -> DataF
     component_id is the smallest id that is not null. Repeated rows come back repeated.
     """
     prints = durable(fingerprints(docs, size, 1))
-    return (
-        prints.join(classes(prints, radius, 1), "fp", "left")
-        .select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("first_id").alias("component_id"))
-    )
+    own = prints.groupBy("fp", "pop").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    own = durable(own.select("fp", "pop", "n", _named(F.col("first_id"), F.col("fp")).alias("node")))
+    roots = components(hamming_forest(own.select("node", "pop"), radius, 1))  # a root has its component's smallest id
+    named = durable(own.join(roots, "node", "left").select("fp", "n", _id_of(F.coalesce("root", "node")).alias("component_id")))
+    return join_spread(prints.select("doc_id", "fp"), named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def radius_for(similarity: float, bits: int, widths: float = 5.4) -> int:
@@ -354,21 +353,17 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     Fingerprints of 64 * words bits, of the sets, only propose: sets within a radius that pairs at the
     similarity hardly exceed are grouped, and the sets of a group are compared by their shingles.
-    All wordless documents are one group. Columns and extra columns are returned as they are."""
+    All wordless documents are one group. Columns, whatever their names, are returned as they are."""
     prints = durable(set_prints(docs, size, words))
     rank = F.struct("none", "key_id", "key_text")
     sets = durable(prints.groupBy("set_id", "fp", "pop").agg(F.min(rank).alias("k")))
-    near = components(hamming_forest(sets.select("fp", "pop").distinct(), radius_for(similarity, 64 * words), words))
-    grouped = durable(sets.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("set_id", "k.key_id", "k.key_text", F.coalesce("root", "fp").alias("root")))
-    several = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    links = verified_links(docs, durable(grouped.join(several, "root")), size, similarity)
+    fps = durable(sets.groupBy("fp", "pop").agg(F.count("*").alias("n")))
+    near = components(hamming_forest(fps.select(F.col("fp").alias("node"), "pop"), radius_for(similarity, 64 * words), words))
+    near = durable(fps.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")))
+    grouped = durable(join_spread(sets, near, "fp").select("set_id", "k.key_id", "k.key_text", "root"))
+    several = durable(grouped.groupBy("root").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")))
+    links = verified_links(docs, durable(join_spread(grouped, several, "root").withColumnRenamed("size", "n")), size, similarity)
     same = components(links).withColumnsRenamed({"node": "set_id", "root": "same"})
     keep = sets.join(same, "set_id", "left").groupBy(F.coalesce("same", "set_id").alias("same")).agg(F.min("k").alias("k"))
-    keep = keep.select(F.col("k.key_id").alias("_key_id"), F.col("k.key_text").alias("_key_text"))
-    key_id, key_text = row_key()
-    return (
-        docs.withColumns({"_key_id": key_id, "_key_text": key_text})
-        .join(keep, ["_key_id", "_key_text"], "left_semi")
-        .dropDuplicates(["_key_id", "_key_text"])
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    rows = docs.select(rest_of(docs), *row_key()).dropDuplicates(["key_id", "key_text"])
+    return rows.join(keep.select("k.key_id", "k.key_text"), ["key_id", "key_text"], "left_semi").select(*back(docs))
