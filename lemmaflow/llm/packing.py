@@ -8,14 +8,12 @@ search ends as soon as the bin can be filled exactly.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lemmaflow.llm.tokens import Encoder, packed_batches, public_encoder
+from lemmaflow.llm.common import durable
+from lemmaflow.llm.tokens import Encoder, in_sequences, pieces_table, public_encoder
 
 
 def fullest(lengths: list[int], count: dict[int, int], room: int) -> list[int]:
@@ -67,24 +65,10 @@ def pack_minimum_slack(docs: DataFrame, size: int = 1024, end_id: int = 2, block
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end_id; only longer ones than size are cut, into pieces of size of
-    which the first may be shorter. Pieces of a block of at most `block` are packed together, in the
-    task that tokenizes them: nothing is shuffled, and a block's loss is its last few bins. Null text
-    counts as empty: its one piece holds end_id. Null and repeated doc_ids are kept, each row packed
-    on its own; other columns take no part; an empty table gives no row.
+    which the first may be shorter. Pieces shorter than size are dealt into groups of about `block`,
+    each packed on its own; a group's loss is its last few bins. Their ids stay where they were made:
+    only the columns above are shuffled. Null text counts as empty: its one piece holds end_id. Null
+    and repeated doc_ids are kept, each row packed on its own; other columns take no part; an empty
+    table gives no row.
     """
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-
-    def emit(bins: list[list[tuple]], number: int) -> pa.RecordBatch:
-        rows = []
-        for k, items in enumerate(bins):
-            at = 0
-            for doc, piece, start, ids in items:
-                rows.append((doc, piece, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), number + k, at))
-                at += len(ids)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return packed_batches(batches, encoder().ids, end_id, size, minimum_bin_slack, emit, block, first_short=True)
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_sequences(durable(pieces_table(docs, size, end_id, True, encoder, False)), size, minimum_bin_slack, block)

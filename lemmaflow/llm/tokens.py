@@ -5,9 +5,9 @@ sequence. `pack_tokens` packs them best-fit-decreasing, with a segment tree over
 and returns one row for each sequence: its id matrix row as little-endian unsigned 32-bit ids,
 cumulative segment lengths, and position ids that start again with every segment.
 
-Packing runs in the task that tokenizes, over blocks of pieces of bounded number, so that nothing
-is shuffled and a task's memory does not grow with its input. Only the last few bins of a block can
-stay part empty.
+Pieces are written first. Those shorter than a sequence are then dealt into groups of about equal
+number, whatever the layout of the input's files, and each group is packed in one task, whose memory
+does not grow with the input. Only the last few bins of a group can stay part empty.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import array
 import base64
 import functools
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.common import durable
+
 VOCABULARY = "byte_bpe_50k"
 _BLANK, _TWO_BLANKS = re.compile(r"\s"), re.compile(r"\s\s")
 
 
 class Encoder:
-    """Ids by the tokenizer file, special tokens' strings being ordinary text. The same vocabulary's
-    ranks, where given, compute them about five times as fast; texts on which their pattern engine
-    might be slow or fail are left to the tokenizer file itself."""
+    """Ids by the tokenizer file. The same vocabulary's ranks, where given, compute them about five
+    times as fast; texts that hold an added token's string, and those on which their pattern engine
+    might be slow or fail, are left to the tokenizer file itself."""
 
     #: A longer stretch of white space only, or without any, goes to the tokenizer file.
     LONGEST_RUN = 20_000
@@ -39,7 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(tokenizer_file)
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = self.faster = None
         if ranks_file:
             import tiktoken
@@ -51,7 +54,7 @@ class Encoder:
             self.faster = tiktoken.Encoding("plain", pat_str=pattern.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or len(text) > self.LONGEST_RUN and self._long_run(text):
+        if self.fast is None or any(x in text for x in self.added) or len(text) > self.LONGEST_RUN and self._long_run(text):
             found = self.slow.encode(text, add_special_tokens=False).ids
         else:
             found = (self.fast if _TWO_BLANKS.search(text) else self.faster).encode_ordinary(text)
@@ -137,71 +140,106 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def packed_batches(batches: Iterator[pa.RecordBatch], encode: Callable[[str], np.ndarray], end_id: int, size: int, pack: Callable, emit: Callable, block: int, first_short: bool = False) -> Iterator[pa.RecordBatch]:
-    """Tokenizes (doc_id, text) batches, packs the pieces of each block and emits its bins. Whole
-    sequences need no packing and are emitted as they come."""
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 40  # sequences are numbered within the task
-    waiting: list[tuple] = []
-
-    def flush(bins: list[list[tuple]]) -> pa.RecordBatch:
-        nonlocal number
-        out = emit(bins, number)
-        number += len(bins)
-        return out
-
-    for b in batches:
-        whole = []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids = np.append(encode(text or ""), np.uint32(end_id))
-            for piece, (start, length) in enumerate(pieces_of(ids, size, first_short)):
-                item = (doc, piece, start, ids[start : start + length])
-                if length == size:
-                    whole.append([item])
-                else:
-                    waiting.append(item)
-            if len(whole) >= 512:
-                yield flush(whole)
-                whole = []
-            while len(waiting) >= block:
-                ready, waiting = waiting[:block], waiting[block:]
-                yield flush([[ready[k] for k in x] for x in pack([len(i[3]) for i in ready], size)])
-        if whole:
-            yield flush(whole)
-    if waiting:
-        yield flush([[waiting[k] for k in x] for x in pack([len(i[3]) for i in waiting], size)])
-
-
-def pack_tokens(docs: DataFrame, size: int = 2048, end_id: int = 50256, block: int = 20_000, encoder: Callable[[], Encoder] = public_encoder) -> DataFrame:
-    """One row for each packed sequence: sequence_id, n_tokens, doc_ids and pieces (of its segments,
-    in order), ids (binary, unsigned 32-bit little-endian, n_tokens of them), cu_seqlens (0 and the
-    cumulative segment lengths), position_ids (binary, as ids: each segment counts from 0).
+def pieces_table(docs: DataFrame, size: int, end_id: int, first_short: bool, encoder: Callable[[], Encoder], keep_ids: bool) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids binary), one row for each piece
+    of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder().ids
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = []
+                for doc, text in zip(b.column(0)[at : at + 256].to_pylist(), b.column(1)[at : at + 256].to_pylist()):
+                    ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
+                    for piece, (start, length) in enumerate(pieces_of(ids, size, first_short)):
+                        data = ids[start : start + length].tobytes()
+                        rows.append((doc, piece, start, length, zlib.crc32(data), data))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def in_sequences(pieces: DataFrame, size: int, pack: Callable[[list[int], int], list[list[int]]], block: int) -> DataFrame:
+    """pieces (a durable table) with sequence_id and offset. Whole sequences need no packing; the others
+    are dealt evenly into groups of about `block`, each packed in one task."""
+    names = pieces.columns
+    short = pieces.where(F.col("length") < size)
+    groups = max(1, round(short.count() / block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, waiting = TaskContext.get().partitionId() << 33, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            table = pa.Table.from_batches(waiting)
+            lengths = table.column("length").to_pylist()
+            bins = pack(lengths, size)
+            for at in range(0, len(bins), 1000):
+                some = bins[at : at + 1000]
+                rows = [k for x in some for k in x]
+                sequence = np.repeat(2 * np.arange(number + at, number + at + len(some)), [len(x) for x in some])
+                offset = np.concatenate([np.cumsum([0, *(lengths[k] for k in x[:-1])]) for x in some])
+                yield from table.take(rows).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).to_batches()
+            number += len(bins)
+
+        for b in batches:
+            waiting.append(b)
+            if sum(x.num_rows for x in waiting) >= 2 * block:
+                yield from flush()
+                waiting = []
+        if waiting:
+            yield from flush()
+
+    whole = pieces.where(F.col("length") == size).select(*names, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = short.repartition(groups).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")  # the order a retried task finds again
+    return dealt.mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long")).unionByName(whole)
+
+
+def pack_tokens(docs: DataFrame, size: int = 2048, end_id: int = 50256, block: int = 10_000, encoder: Callable[[], Encoder] = public_encoder) -> DataFrame:
+    """One row for each packed sequence, a row of an id matrix: sequence_id, n_tokens (before padding),
+    doc_ids and pieces (of its segments, in order), ids (binary, `size` unsigned 32-bit little-endian
+    ids, end_id as padding), cu_seqlens (0 and the cumulative segment lengths), position_ids (binary, as
+    ids: each segment counts from 0; padding is 0).
 
     Every id of every document is in exactly one sequence, so documents can be put together again.
-    Null text counts as empty and still has its end id. Null and repeated doc_ids are kept. Ties go
-    by input order. Other columns take no part; an empty table gives no row.
+    Null text counts as empty and still has its end id. Null and repeated doc_ids are kept. Other
+    columns take no part; an empty table gives no row.
     """
     schema = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, ids binary, cu_seqlens array<int>, position_ids binary"
     types = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary())])
 
-    def emit(bins: list[list[tuple]], number: int) -> pa.RecordBatch:
-        rows = []
-        for k, items in enumerate(bins):
-            lengths = [len(i[3]) for i in items]
-            rows.append(
-                {
-                    "sequence_id": number + k, "n_tokens": sum(lengths), "doc_ids": [i[0] for i in items], "pieces": [i[1] for i in items],
-                    "ids": np.concatenate([i[3] for i in items]).astype("<u4").tobytes(), "cu_seqlens": [0, *np.cumsum(lengths).tolist()],
-                    "position_ids": np.concatenate([np.arange(n, dtype="<u4") for n in lengths]).tobytes(),
-                }
-            )
-        return pa.RecordBatch.from_pylist(rows, types)
+    def row_of(items: list[dict]) -> dict:
+        lengths = [i["length"] for i in items]
+        n = sum(lengths)
+        ids, places = np.full(size, end_id, "<u4"), np.zeros(size, "<u4")
+        ids[:n] = np.frombuffer(b"".join(i["ids"] for i in items), "<u4")
+        places[:n] = np.concatenate([np.arange(x) for x in lengths])
+        return {
+            "sequence_id": items[0]["sequence_id"], "n_tokens": n, "doc_ids": [i["doc_id"] for i in items], "pieces": [i["piece"] for i in items],
+            "ids": ids.tobytes(), "cu_seqlens": [0, *np.cumsum(lengths).tolist()], "position_ids": places.tobytes(),
+        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return packed_batches(batches, encoder().ids, end_id, size, best_fit_decreasing, emit, block)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+        items, rows = [], []
+        for b in batches:  # a sequence's pieces come one after the other
+            for item in b.to_pylist():
+                if items and items[0]["sequence_id"] != item["sequence_id"]:
+                    rows.append(row_of(items))
+                    items = []
+                items.append(item)
+                if len(rows) >= 500:
+                    yield pa.RecordBatch.from_pylist(rows, types)
+                    rows = []
+        rows += [row_of(items)] if items else []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, types)
+
+    pieces = durable(pieces_table(docs, size, end_id, False, encoder, True))
+    return in_sequences(pieces, size, best_fit_decreasing, block).drop("start", "ids_crc32").mapInArrow(run, schema)
 
 
 def unpack_tokens(packed: DataFrame) -> DataFrame:
@@ -212,5 +250,6 @@ def unpack_tokens(packed: DataFrame) -> DataFrame:
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Packed sequences as Parquet files, the form trainers read; written anew each time."""
+    """Packed sequences as Parquet files, the form trainers read; written anew each time. The ids of a
+    file's rows, put together, are its id matrix."""
     packed.write.mode("overwrite").parquet(path)
