@@ -6,26 +6,32 @@ skipped with all shorter ones; a low threshold scans the bucket's vectors that a
 (length pruning); a high one keeps those whose value on the query's largest coordinates lies in the
 range that the threshold allows (coordinate pruning). What is left is verified by exact products.
 
-Spark deals candidates into stripes and queries into blocks; a task has one stripe and one block,
-and returns k rows a query, which are merged by score and id.
+The whole table is dealt into stripes by length, longest first. Every query meets the first stripe;
+its k-th best score there says how many further stripes can hold a better one, and only these it is
+sent to. Queries that need about as many stripes share a block, and a stripe goes only to blocks
+that need it. A task has one stripe and one block, searches the stripe's own buckets as above, and
+returns k rows a query, which are merged by score and id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.common import durable
+
 #: Above this local cosine threshold, coordinate pruning is tried.
 COORDINATE_FROM = 0.75
 BUCKET = 1024
 _NONE = -(2**62)  # below every score
 
 
-def bucket_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k greatest scores, ties to the smaller id, an id never
-    answering itself. All int64; the scores are exact."""
+def bucket_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of each query's k greatest scores, ties to the smaller id. A candidate
+    with the query's id and vector is the query itself and no answer. least: for each query a score
+    under which nothing is wanted. All int64; the scores are exact."""
     lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
     order = np.lexsort((ids, -lengths))
     vectors, ids, lengths = vectors[order], ids[order], lengths[order]
@@ -43,7 +49,9 @@ def bucket_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
     def merge(rows: np.ndarray, scores: np.ndarray, at: np.ndarray) -> None:
         """Takes scores (rows x candidates) of the candidates at `at` into the best k."""
         found = np.broadcast_to(ids[at], scores.shape)
-        scores = np.where(found == query_ids[rows, None], _NONE, scores)
+        for i, j in zip(*np.nonzero(found == query_ids[rows, None])):
+            if np.array_equal(queries[rows[i]], vectors[at[j]]):
+                scores[i, j] = _NONE
         all_scores, all_ids = np.hstack((best_score[rows], scores)), np.hstack((best_id[rows], found))
         if all_scores.shape[1] > 4 * k:  # all that may be among the k: at least the k-th score
             kth = -np.partition(-all_scores, k - 1, axis=1)[:, k - 1]
@@ -57,18 +65,18 @@ def bucket_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
     for start in range(0, len(vectors), bucket):
         stop = min(start + bucket, len(vectors))
         longest = lengths[start]
-        kth = best_score[live, k - 1].astype(np.float64)
+        kth = np.maximum(best_score[live, k - 1], least[live]).astype(np.float64)
         # a candidate needs length * own length >= score; a little slack for rounding
         reach = own[live] * longest * (1 + 1e-9) + 1e-6
         live = live[reach >= kth]
         if not len(live):
             break
-        kth = best_score[live, k - 1].astype(np.float64)
+        kth = np.maximum(best_score[live, k - 1], least[live]).astype(np.float64)
         local = np.where(kth > 0, kth / np.maximum(own[live] * longest, 1e-12), 0)
         sharp = (local >= COORDINATE_FROM) & (own[live] > 0)
         for rows in np.array_split(live[~sharp], max(1, np.count_nonzero(~sharp) // 256)):
             if len(rows):
-                need = best_score[rows, k - 1].min() / max(own[rows].max(), 1e-12) * (1 - 1e-9) - 1e-6
+                need = np.maximum(best_score[rows, k - 1], least[rows]).min() / max(own[rows].max(), 1e-12) * (1 - 1e-9) - 1e-6
                 end = start + int(np.searchsorted(-lengths[start:stop], -need, side="right")) if need > 0 else stop
                 if end > start:
                     merge(rows, products(rows, start, end), np.arange(start, end))
@@ -90,7 +98,7 @@ def bucket_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
                     scores = vectors[at] @ queries[row]
                     merge(np.array([row]), scores[None, :], at)
     rows, ranks = np.nonzero(best_id != np.iinfo(np.int64).max)
-    real = best_score[rows, ranks] != _NONE
+    real = (best_score[rows, ranks] != _NONE) & (best_score[rows, ranks] >= least[rows])
     rows, ranks = rows[real], ranks[real]
     return rows, best_id[rows, ranks], best_score[rows, ranks]
 
@@ -103,24 +111,48 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return rows.where(~F.coalesce(bad, F.lit(False))).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"), F.size("v").alias("dim"))
 
 
-def top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", stripe: int = 16384, block: int = 4096) -> DataFrame:
+def _edges(rows: DataFrame, value: str, parts: int) -> DataFrame:
+    """(dim, edges): for each dimension the values, falling, that cut its rows into equal parts."""
+    cuts = [1 - i / parts for i in range(1, parts)]
+    edges = F.percentile_approx(value, cuts, max(10_000, 20 * parts)) if cuts else F.collect_list(F.lit(None).cast("double"))
+    return F.broadcast(rows.groupBy("dim").agg(edges.alias("edges")))  # one row a dimension
+
+
+def _dealt(value: str) -> Column:
+    """The part that value falls into; rows on an edge are spread over the parts that meet there."""
+    low = F.size(F.filter("edges", lambda e: e > F.col(value)))
+    high = F.size(F.filter("edges", lambda e: e >= F.col(value)))
+    return (low + F.pmod(F.monotonically_increasing_id(), high - low + 1)).cast("int")
+
+
+def _largest(rows: DataFrame, part: str, value: str, parts: int) -> DataFrame:
+    """(dim, tops): for each dimension an array of the parts' largest values, -1 where a part is empty."""
+    own = rows.groupBy("dim", part).agg(F.max(value).cast("double").alias("top")).groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct(part, "top"))).alias("m"))
+    tops = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(-1.0)))
+    return F.broadcast(own.select("dim", tops.alias("tops")))  # one row a dimension
+
+
+def top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", stripe: int = 16384, block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k greatest
     integer inner products with all other rows, fewer if there are fewer rows; ties to smaller ids.
 
-    Vectors of different dimensions are never compared. Rows with the query's own id never answer
-    it; of other rows with the same id each counts. A repeated query row has its answer once.
-    Scores must fit 64 bits. Rows that whole_vectors leaves out take no part.
+    Vectors of different dimensions are never compared. A row is known by its id and its vector: of
+    rows that share an id each is a query, with its own k answers, and each may answer the others;
+    rows equal in both are one query, which none of them answers. Scores must fit 64 bits. Rows that
+    whole_vectors leaves out take no part.
     """
     from lemmaflow.llm.topk import bucket_search as search
 
-    rows = whole_vectors(table, id_col, vector_col)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    rows = whole_vectors(table, id_col, vector_col).select("dim", "id", "v", F.xxhash64("v").alias("h"))
     counts = rows.groupBy("dim").count().collect()  # a row for each dimension that occurs
     most = max((r["count"] for r in counts), default=0)
     stripes, blocks = max(1, -(-most // stripe)), max(1, -(-most // every // block))
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
-    number = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-    q = queries.select("dim", number(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("s"), "id", "v")
-    c = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), number(stripes).alias("s"), "id", "v")
+    striped = rows.withColumns({"norm": F.lit(0.0), "s": F.lit(0)})
+    if stripes > 1:
+        longs = durable(rows.withColumn("norm", length))
+        striped = durable(longs.join(_edges(longs, "norm", stripes), "dim").withColumn("s", _dealt("norm")).drop("edges"))
+    queries = striped.where(F.col("id") % every == 0).drop("s").dropDuplicates(["id", "h", "v"])
 
     def matrix(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
         values = t.column("v").combine_chunks()
@@ -128,14 +160,34 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
         return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(t.num_rows, dim), t.column("id").to_numpy().astype(np.int64)
 
     def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        none = pa.table({"query_id": pa.array([], pa.int64()), "h": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return none
         dim = key[0].as_py()
         (qs, q_ids), (vs, v_ids) = matrix(left, dim), matrix(right, dim)
-        at, found, scores = search(qs, q_ids, vs, v_ids, k)
-        return pa.table({"query_id": pa.array(q_ids[at]), "vec_id": pa.array(found), "score": pa.array(scores)})
-
-    near = q.groupBy("dim", "b", "s").cogroup(c.groupBy("dim", "b", "s")).applyInArrow(answer, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        at, found, scores = search(qs, q_ids, vs, v_ids, k, left.column("least").to_numpy().astype(np.int64))
+        return pa.table({"query_id": pa.array(q_ids[at]), "h": pa.array(left.column("h").to_numpy()[at]), "vec_id": pa.array(found), "score": pa.array(scores)})
+
+    def meet(q: DataFrame, c: DataFrame) -> DataFrame:
+        keys = ["dim", "b", "s"]
+        q, c = q.select(*keys, "id", "h", "v", "least"), c.select(*keys, "id", "v")
+        return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(answer, "query_id long, h long, vec_id long, score long")
+
+    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
+    near = meet(
+        queries.withColumns({"b": F.pmod("h", F.lit(blocks)).cast("int"), "s": F.lit(0), "least": F.lit(_NONE)}),
+        striped.where("s = 0").withColumn("b", F.explode(all_blocks)),
+    )
+    if stripes > 1:
+        near = durable(near)
+        kth = near.groupBy("query_id", "h").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        reach = lambda t: t * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.coalesce("kth", F.lit(_NONE))
+        depth = F.coalesce(F.array_max(F.transform("tops", lambda t, i: F.when((i > 0) & reach(t), i))), F.lit(0))  # the last stripe that may help
+        far = queries.withColumnRenamed("id", "query_id").join(kth, ["query_id", "h"], "left").join(_largest(striped, "s", "norm", stripes), "dim")
+        far = durable(far.select("dim", F.col("query_id").alias("id"), "h", "v", F.coalesce("kth", F.lit(_NONE)).alias("least"), depth.alias("depth")).where("depth > 0"))
+        far = durable(far.join(_edges(far, "depth", blocks), "dim").withColumn("b", _dealt("depth")).drop("edges"))
+        needs = F.filter(all_blocks, lambda b: F.get("tops", b) >= F.col("s"))
+        more = meet(far.withColumn("s", F.explode(F.sequence(F.lit(1), F.col("depth")))), striped.where("s > 0").join(_largest(far, "b", "depth", blocks), "dim").withColumn("b", F.explode(needs)))
+        near = near.union(more)
+    rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
