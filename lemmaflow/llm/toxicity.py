@@ -15,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import durable
+from lemmaflow.llm.common import back, durable, rest_of
 
 #: Labelled texts that training uses at most.
 SAMPLE = 12_000
 #: Hash buckets of n-grams, and how many of them, at most, the model keeps.
 BUCKETS = 1 << 20
-FEATURES = 5_000
+FEATURES = 10_000
 SIZES = (3, 4, 5)
 _SLICE = 1 << 20
 
@@ -64,20 +65,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 10.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse 0/1 rows (column numbers), columns scaled by `scale`; returns
-    the weights of the unscaled columns and the intercept. Adam on the whole sample. Both classes
-    weigh the same in all, so that rare toxic texts are not simply outvoted; a score of 0.5 is
-    where a text is as likely to come from either class."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    columns = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+def fit(columns: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float = 10.0, steps: int = 300, rate: float = 0.1, part: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse 0/1 rows, columns scaled by `scale`; returns the weights of the
+    unscaled columns and the intercept. columns: the rows' column numbers, one row after the other;
+    lengths: how many each row has. Adam on the whole sample, gone through in parts of about `part`
+    numbers, so that little more than the sample itself is held. Both classes weigh the same in all,
+    so that rare toxic texts are not simply outvoted; a score of 0.5 is where a text is as likely to
+    come from either class."""
     share = np.where(y > 0, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max(len(y) - y.sum(), 1)))
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(columns) + part, part)))
+    cuts = np.unique([0, *cuts, len(y)])
     w, b = np.zeros(len(scale)), 0.0
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(at, (w * scale)[columns], len(rows)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
-        g = np.append((np.bincount(columns, error[at], len(scale)) * scale + l2 * w) / len(y), error.mean())
+        ws, total, slope = w * scale, 0.0, np.zeros(len(scale))
+        for low, high in zip(cuts, cuts[1:]):
+            own = columns[ends[low] - lengths[low] : ends[high - 1]]
+            at = np.repeat(np.arange(high - low), lengths[low:high])
+            z = np.bincount(at, ws[own], high - low) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[low:high]) * share[low:high]
+            slope += np.bincount(own, error[at], len(scale))
+            total += error.sum()
+        g = np.append((slope * scale + l2 * w) / len(y), total / len(y))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (1 - t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -125,8 +135,10 @@ class ToxicityModel:
                 found = [np.searchsorted(own, of(t, keep)).astype(np.int32) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "columns"])
 
-        table = rows.mapInArrow(encode, "toxic int, columns array<int>").toPandas()  # `sample` rows at most
-        weights, intercept = fit([np.asarray(c, dtype=np.int64) for c in table["columns"]], (table["toxic"].to_numpy() > 0).astype(float), ratios)
+        table = rows.mapInArrow(encode, "toxic int, columns array<int>").toArrow()  # `sample` rows at most
+        found = table.column("columns").combine_chunks()
+        lengths = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        weights, intercept = fit(found.flatten().to_numpy(), lengths, (table.column("toxic").to_numpy() > 0).astype(float), ratios)
         return cls(own, weights, intercept)
 
     def score(self, docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -158,8 +170,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that score threshold or more; columns stay as they are."""
+    """docs without the rows that score threshold or more; columns, whatever their names, stay as
+    they are. Null and empty texts get the score of a text without features."""
     model = ToxicityModel.train(docs, labels, sample)
-    safe = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    rows = model.score(safe, safe.columns).where(F.col("score") < threshold).drop("score")
-    return rows.withColumnRenamed("_score", "score") if "score" in docs.columns else rows
+    rows = model.score(docs.select(rest_of(docs, "text"), "text"), ["row", "text"])
+    return rows.where(F.col("score") < threshold).select(*back(docs, text=F.col("text")))
