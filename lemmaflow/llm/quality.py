@@ -1,9 +1,10 @@
 """Quality rules with thresholds that follow the data.
 
 Each language and source has its own limits, from quantile sketches of its documents' statistics.
-The sketches merge by aggregation, so a group of any size is summed up before it is shuffled; the
-limits are joined back and decide. Groups too small for a sketch use their language's limits, and
-small languages those of all documents.
+The sketches merge by aggregation, so a group of any size is summed up before it is shuffled. A
+group's own sketch is merged with its language's and that of all documents, whose weight falls as the
+group grows: so groups of every size are treated alike, small ones leaning on their parents. The
+limits are joined back and decide.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import durable
+from lemmaflow.llm.common import durable, join_spread
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -87,64 +88,81 @@ def _measures() -> dict[str, Column]:
     return {"word_length": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / words, "dup_line_share": F.col("n_dup_lines") / lines, "repeat_share": F.col("n_repeat_words") / words}
 
 
-def limits(stats: DataFrame, tails: tuple[float, float] = (0.01, 0.97), accuracy: int = 1000) -> DataFrame:
-    """Limits of every group: gid (0: language and source, 1: language, 3: all), lang, source, docs,
-    and for each statistic low and high: the quantiles `tails` of the group's own sketch. Wordless
-    documents have no part in them."""
-    rows = stats.where("n_words > 0").select("lang", "source", *[c.alias(n) for n, c in _measures().items()])
-    sketches = [F.percentile_approx(n, list(tails), accuracy).alias(n) for n in STATISTICS]
-    groups = rows.rollup("lang", "source").agg(F.grouping_id().alias("gid"), F.count("*").alias("docs"), *sketches)
-    out = ["gid", "lang", "source", "docs"]
+#: Points at which a sketch is read when it is merged with its parents' sketches.
+GRID = 200
+
+
+def _merged(parts: list[tuple[Column, Column]], at: float) -> Column:
+    """The quantile `at` of several sketches (values at GRID points, ascending; weight) put together:
+    the smallest value up to which that share of the weight lies."""
+    def weighed(values: Column, weight: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<double>")), lambda x: F.struct(x.alias("x"), weight.cast("double").alias("w")))
+
+    points = F.concat(*[weighed(*part) for part in parts])
+    total = sum((F.coalesce(F.array_size(values), F.lit(0)) * weight for values, weight in parts), F.lit(0.0))
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("x"))
+    step = lambda a, p: F.struct((a["w"] + p["w"]).alias("w"), F.when(a["x"].isNull() & (a["w"] + p["w"] >= at * total - 1e-9), p["x"]).otherwise(a["x"]).alias("x"))
+    return F.aggregate(F.array_sort(points), start, step, lambda a: a["x"])
+
+
+def _group(*names: str) -> Column:
+    """One text for the values of some columns, null being a value like any other."""
+    return F.concat(*[F.coalesce(F.concat(F.length(n).cast("string"), F.lit(":"), n), F.lit("-")) for n in names])
+
+
+def limits(stats: DataFrame, tails: tuple[float, float] = (0.01, 0.97), parent_docs: int = 20, accuracy: int = 1000) -> DataFrame:
+    """Limits of every language and source: lang, source, docs (with words), n (all), and for each
+    statistic low and high: the quantiles `tails` of the group's own sketch merged with its parents',
+    which weigh as m * m / (docs + m) documents, m being parent_docs. That weight is the language's and
+    all documents', the latter's share being m / (the language's docs + m). Wordless documents count in
+    n only."""
+    wordy = F.col("n_words") > 0
+    rows = stats.select("lang", "source", *[F.when(wordy, c).alias(n) for n, c in _measures().items()])
+    grid = [(i + 0.5) / GRID for i in range(GRID)]
+    sketches = [F.percentile_approx(n, grid, accuracy).alias(n) for n in STATISTICS]
+    groups = durable(rows.rollup("lang", "source").agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), F.count(STATISTICS[0]).alias("docs"), *sketches))
+    parent = lambda gid: groups.where(F.col("gid") == gid).select(_group("lang").alias(f"g{gid}"), F.struct("docs", *STATISTICS).alias(f"p{gid}"))
+    every = F.broadcast(parent(3).select("p3"))  # one row
+    own = groups.where("gid = 0").withColumn("g1", _group("lang")).join(parent(1), "g1").crossJoin(every)
+    far = parent_docs / (F.col("p1.docs") + parent_docs)
+    lean = parent_docs * parent_docs / (F.col("docs") + parent_docs) / GRID
+    out = ["lang", "source", "docs", "n"]
     for n in STATISTICS:
-        low = F.col(n)[0] if n in TWO_SIDED else F.lit(float("-inf"))
-        groups = groups.withColumns({f"{n}_low": low, f"{n}_high": F.col(n)[1]})
-        out += [f"{n}_low", f"{n}_high"]
-    return groups.select(*out)
+        parts = [(F.col(n), F.col("docs") / GRID), (F.col(f"p1.{n}"), lean * (1 - far)), (F.col(f"p3.{n}"), lean * far)]
+        low = _merged(parts, tails[0]) if n in TWO_SIDED else F.lit(float("-inf"))
+        out += [low.alias(f"{n}_low"), _merged(parts, tails[1]).alias(f"{n}_high")]
+    return own.select(*out)
 
 
-def quality_verdicts(docs: DataFrame, tails: tuple[float, float] = (0.01, 0.97), min_docs: int = 50, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def quality_verdicts(docs: DataFrame, tails: tuple[float, float] = (0.01, 0.97), parent_docs: int = 20, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """One row for every row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, limited_by (gid of the limits used; null for wordless texts).
+    n_repeat_words, base_failed, kept, group_docs (documents with words in its language and source).
 
     base_failed: fewer than min_words words, or over max_repeat_percent of the words in repeated
     8-word windows. kept: not base_failed, and all statistics within the limits of the document's
-    language and source, if these have min_docs documents, else of its language, else of all. Null
-    languages and sources are groups like any other. Null text: no words, base_failed.
+    language and source. Null languages and sources are groups like any other. Null text: no words,
+    base_failed.
     """
-    return _verdicts(docs, tails, min_docs, min_words, max_repeat_percent).drop("lang", "source")
+    return _verdicts(docs, tails, parent_docs, min_words, max_repeat_percent).drop("lang", "source")
 
 
 def rejections(docs: DataFrame, **rules) -> DataFrame:
-    """(lang, source, limited_by, docs, base_failed, limited): of each group how many documents the
-    base rules reject, and how many more the limits do."""
-    rows = _verdicts(docs, **rules).groupBy("lang", "source", "limited_by")
+    """(lang, source, docs, base_failed, limited): of each group how many documents the base rules
+    reject, and how many more the limits do."""
     count = lambda c: F.sum(c.cast("long"))
+    rows = _verdicts(docs, **rules).groupBy("lang", "source")
     return rows.agg(F.count("*").alias("docs"), count(F.col("base_failed")).alias("base_failed"), count(~F.col("base_failed") & ~F.col("kept")).alias("limited"))
 
 
-def _verdicts(docs: DataFrame, tails: tuple[float, float] = (0.01, 0.97), min_docs: int = 50, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def _verdicts(docs: DataFrame, tails: tuple[float, float] = (0.01, 0.97), parent_docs: int = 20, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     stats = durable(statistics(docs))
-    every = durable(limits(stats, tails)).where((F.col("docs") >= min_docs) | (F.col("gid") == 3))
-    named = lambda gid: every.where(F.col("gid") == gid).drop("gid", "docs")
-    bounds = [c for c in every.columns if c not in ("gid", "docs", "lang", "source")]
-
-    def joined(rows: DataFrame, gid: int, keys: list[str]) -> DataFrame:
-        other = named(gid).select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*bounds).alias(f"g{gid}"))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        return rows.join(other, same, "left").drop(*[f"_{k}" for k in keys])
-
-    rows = joined(joined(stats, 0, ["lang", "source"]), 1, ["lang"])
-    overall = named(3).select(F.struct(*bounds).alias("g3")).first()  # the one row of all documents
-    fallback = F.struct(*[F.lit(float(overall[0][b]) if overall else None).cast("double").alias(b) for b in bounds])
-    rows = rows.withColumn("g", F.coalesce("g0", "g1", fallback))
+    bounds = durable(limits(stats, tails, parent_docs).withColumn("group", _group("lang", "source")).drop("lang", "source"))
+    rows = join_spread(stats.withColumn("group", _group("lang", "source")), bounds, "group")
     within = F.lit(True)
     for n, c in _measures().items():
-        within = within & c.between(F.col(f"g.{n}_low"), F.col(f"g.{n}_high"))
+        within = within & F.coalesce(c.between(F.col(f"{n}_low"), F.col(f"{n}_high")), F.lit(True))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    used = F.when(F.col("n_words") == 0, None).when(F.col("g0").isNotNull(), 0).when(F.col("g1").isNotNull(), 1).otherwise(3)
     return rows.select(
         "lang", "source", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(True))).alias("kept"), used.alias("limited_by"),
+        failed.alias("base_failed"), (~failed & within).alias("kept"), F.col("docs").alias("group_docs"),
     )
