@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import WORD, durable
+from lemmaflow.llm.common import BETWEEN, back, durable, rest_of
 
 SEED = 20
 #: Documents that a block has at most, about.
@@ -110,7 +110,7 @@ def split_quotas(root: DataFrame, levels: int) -> DataFrame:
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, u, size): u is a hash of id, source and text; rows with the same three are
     taken or left together."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(F.size(F.array_remove(F.split("text", BETWEEN), "")), F.lit(0)).cast("long")  # several times as fast as counting matches
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _unit(), size.alias("size"))
 
 
@@ -218,8 +218,7 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     """The mix itself: docs' rows, each as often as the mix takes it, in shard order and, within a
     shard, in hashed order. Columns stay as they are."""
     own = Mix(docs, cap)
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*kept).alias("_row"), F.col("source").cast("string").alias("source"), _unit())
-    rows = own.placed(rows).select("_row", "u", F.explode("placements").alias("p"))
-    rows = rows.select("_row", F.col("p.shard").alias("_shard"), F.xxhash64(F.lit(SEED + 3), "u", "p.pass").alias("_order"))
-    return rows.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    rows = docs.select(rest_of(docs), F.col("source").cast("string").alias("source"), _unit())
+    rows = own.placed(rows).select("row", "u", F.explode("placements").alias("p"))
+    rows = rows.select("row", F.col("p.shard").alias("shard"), F.xxhash64(F.lit(SEED + 3), "u", "p.pass").alias("order"))
+    return rows.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select(*back(docs))
