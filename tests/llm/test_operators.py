@@ -128,10 +128,12 @@ def test_tile_forest_has_all_links(words_):
 def test_lines_on_many_sites(spark):
     texts = [f"own {k} text here\n Common  footer line here \nTail." for k in range(12)] + [None, "", "a\n\nb"]
     df = table(spark, texts, [f"s{k}" for k in range(12)])
-    got = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_cross_site_lines(df, min_sites=10).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_cross_site_lines(df, min_sites=10, min_words=3).collect()}
     assert got[0] == (texts[0], 0)
     assert all(got[k] == (f"own {k} text here\nTail.", 1) for k in range(1, 12))
     assert got[12] == (None, 0) and got[13] == ("", 0) and got[14] == ("a\n\nb", 0)
+    short = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_cross_site_lines(df, min_sites=10).collect()}
+    assert short[0] == (texts[0], 0) and all(short[k] == (f"own {k} text here", 2) for k in range(1, 12))
     nine = table(spark, texts[:9], [f"s{k}" for k in range(12)])
     assert all(r.n_removed == 0 for r in lines.remove_cross_site_lines(nine, min_sites=10).collect())
 
@@ -186,14 +188,43 @@ def test_packed_tokens_come_back(docs):
     want = Counter((r.doc_id, np.append(encoder.slow.encode(r.text or "", add_special_tokens=False).ids, 50256).astype("<u4").tobytes()) for r in docs.select("doc_id", "text").collect())
     pieces = defaultdict(list)
     for r in packed.collect():
-        assert r.cu_seqlens[-1] == r.n_tokens <= 256 and len(r.ids) == 4 * r.n_tokens == len(r.position_ids)
-        assert np.array_equal(np.frombuffer(r.position_ids, "<u4"), np.concatenate([np.arange(b - a) for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:])]))
+        assert r.cu_seqlens[-1] == r.n_tokens <= 256 and len(r.ids) == 4 * 256 == len(r.position_ids)
+        assert set(r.ids[4 * r.n_tokens :]) <= set(np.uint32(50256).tobytes()) and not any(r.position_ids[4 * r.n_tokens :])
+        assert np.array_equal(np.frombuffer(r.position_ids, "<u4")[: r.n_tokens], np.concatenate([np.arange(b - a) for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:])]))
     for r in tokens.unpack_tokens(packed).collect():
         pieces[r.doc_id].append((r.piece, r.ids))
     for doc, text in ((d, t) for d, t in want if d is not None and d != 3):
         assert b"".join(x for _, x in sorted(pieces[doc])) == text
 
 
+def test_ids_are_the_tokenizers_and_packed_files_come_back(spark, tmp_path):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x" * 50, "  two  blanks\n\n", "plain words", ""]
+    encode = tokens.public_encoder().ids
+    assert [encode(t).tolist() for t in texts] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    tokens.write_packed(tokens.pack_tokens(table(spark, texts), size=16, end_id=50256), str(tmp_path / "packed"))
+    files = spark.read.parquet(str(tmp_path / "packed"))
+    matrix = np.frombuffer(b"".join(bytes(r.ids) for r in files.collect()), "<u4").reshape(-1, 16)
+    assert len(matrix) == files.count()
+    back = defaultdict(list)
+    for r in tokens.unpack_tokens(files).collect():
+        back[r.doc_id].append((r.piece, np.frombuffer(r.ids, "<u4").tolist()))
+    for k, t in enumerate(texts):
+        assert sum((x for _, x in sorted(back[k])), []) == own.encode(t, add_special_tokens=False).ids + [50256]
+
+
+def test_sequences_do_not_follow_the_file_layout(spark):
+    rng = np.random.default_rng(15)
+    texts = [" ".join(rng.choice(["red", "green", "blue"], rng.integers(1, 60))) for _ in range(400)]
+    df = table(spark, texts)
+    count = lambda rows: packing.pack_minimum_slack(rows, size=64).select("sequence_id").distinct().count()
+    total = packing.pack_minimum_slack(df, size=64).agg({"length": "sum"}).first()[0]
+    assert count(df.repartition(40)) <= -(-total // 64) * 1.02 + 2 and abs(count(df.repartition(40)) - count(df.coalesce(1))) <= 2
+
+
 def test_minimum_slack_fills_and_keeps_all(docs):
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 1024, 3000).tolist()
@@ -270,6 +301,62 @@ def test_top_k_is_exact(spark):
     assert {r.query_id for r in got} == {k for k in v if k % 20 == 0}
 
 
+def test_top_k_of_rows_that_share_an_id_or_a_vector(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 5.0]), (20, [0.0, 5.0]), (1, [2.0, 0.0]), (2, [0.0, 2.0]), (40, [1.0, 0.0]), (3, [7.0]), (60, [1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    answers = sorted((r.query_id, r["rank"], r.vec_id, r.score // 4096) for r in got)
+    assert answers == sorted([(20, 1, 1, 2), (20, 2, 40, 1), (20, 1, 2, 10), (20, 2, 1, 0), (40, 1, 1, 2), (40, 2, 20, 1), (60, 1, 3, 7)])
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_top_k_over_many_stripes(spark, same):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(700, 6)) * (1 if same else rng.lognormal(0, 1.5, (700, 1)))
+    v[100:350] = v[7] if same else v[100:350]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=5, stripe=50, block=20).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    whole = np.floor(v * 64).astype(int)
+    for q in range(0, 700, 5):
+        scores = whole @ whole[q]
+        want = sorted((-int(s), k) for k, s in enumerate(scores) if k != q)[:4]
+        assert sorted(got.pop(q)) == [(i + 1, k, -s) for i, (s, k) in enumerate(want)]
+    assert not got
+
+
+def test_hot_keys_are_dealt(spark):
+    from lemmaflow.llm.common import join_spread
+
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'hot' else cast(id % 97 as string) end as key")
+    keyed = rows.groupBy("key").count().selectExpr("key", "count as n", "upper(key) as name")
+    out = join_spread(rows, keyed, "key", pieces=50)
+    assert out.columns == ["key", "id", "name"]
+    assert sorted((r.id, r.key, r.name) for r in out.collect()) == sorted((r.id, r.key, r.key.upper()) for r in rows.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_deal" in plan
+
+
+#: Every name that an operator uses inside, as a column of the user's.
+CLASHES = ["row", "key_id", "key_text", "gone", "lines", "left", "n_lines", "n_removed", "n_sentences", "spans", "start", "score", "_score", "_key_id", "fp", "node", "root", "set_id", "u", "sid", "order", "shard", "placements", "_deal", "hash", "pop", "n", "site", "none"]
+
+
+@pytest.mark.parametrize("name", ["lines", "spans", "near", "toxic", "mix"])
+def test_columns_of_any_name_come_back(spark, docs, name):
+    import pyspark.sql.functions as F
+
+    few = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    out = {
+        "lines": lambda: lines.remove_cross_site_lines(few, min_sites=2), "spans": lambda: spans.remove_repeated_spans(few), "near": lambda: simhash.drop_near_duplicates(few),
+        "toxic": lambda: toxicity.drop_toxic(few, labels), "mix": lambda: mixing.mix(few),
+    }[name]()
+    more = {"lines": ["n_lines_", "n_removed_"], "spans": ["n_sentences_", "n_removed_"]}.get(name, [])
+    assert out.columns == few.columns + more
+    rows = out.collect()
+    assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in CLASHES)
+
+
 def test_quality_counts(docs):
     for r in quality.statistics(docs.where("doc_id is not null")).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
         w = words(r.text)
