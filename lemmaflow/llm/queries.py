@@ -30,7 +30,7 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return remove_repeated_spans(docs, run=3, min_words=12).select("doc_id", "text", "n_sentences", "n_removed")
+    return remove_repeated_spans(docs, min_words=36).select("doc_id", "text", "n_sentences", "n_removed")
 
 
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

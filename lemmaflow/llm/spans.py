@@ -1,11 +1,11 @@
 """Substring de-duplication by sliding sentence spans.
 
-Runs of consecutive sentences are hashed: of a fixed number, and from every sentence the shortest of
-a number of words. So that passages whose ends are glued to other text, or that have few sentence
-ends, are found as well, windows of words are hashed, too, of which winnowing keeps the smallest hash
-in any row of REACH windows: a common passage of WINDOW + REACH - 1 words has a window kept on both
-sides. Hashes are joined over all documents, and what a repeated run or window covers is removed, but
-for its first occurrence. Sentences are cut and hashed in Arrow batches, counted and joined by Spark.
+From every sentence on the shortest run of consecutive sentences that has a number of words is hashed.
+So that passages whose ends are glued to other text, or that have few sentence ends, are found as
+well, windows of words are hashed, too, of which winnowing keeps the smallest hash in any row of REACH
+windows: a common passage of WINDOW + REACH - 1 words has a window kept on both sides. Hashes are joined
+over all documents, and what a repeated run or window covers is removed, but for its first occurrence.
+Sentences are cut and hashed in Arrow batches, counted and joined by Spark.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from lemmaflow.llm.common import back, durable, free_name, join_spread, rest_of,
 #: A sentence ends with its marks and the white space behind them, or with its line.
 _PIECE = re.compile(rb"[^.!?\n]*(?:[.!?\n]+\s*|$)")
 #: Words of a window, and of a row of windows one is kept: passages of 50 words are always found.
-WINDOW, REACH = 24, 27
+WINDOW, REACH = 36, 15
 
 
 def sentences(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -41,31 +41,15 @@ def sentences(text: bytes) -> tuple[list[bytes], list[bytes]]:
     return parts, words
 
 
-def span_hashes(words: list[bytes], run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every run of `run` consecutive sentences with at least min_words words. A
-    text of fewer sentences is one run."""
-    if not any(words):
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    n = max(1, len(words) - run + 1)
-    sizes = np.concatenate(([0], np.cumsum([w.count(b" ") + 1 for w in words])))
-    starts = np.arange(n)
-    starts = starts[sizes[np.minimum(starts + run, len(words))] - sizes[starts] >= min_words]
-    digests = [xxhash.xxh64_intdigest(b"\n".join(words[s : s + run])) for s in starts.tolist()]
-    return starts.astype(np.int32), np.array(digests, dtype=np.uint64).view(np.int64)
-
-
-def short_runs(words: list[bytes], run: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, hash) of the shortest run of consecutive sentences with at least long_words
-    words from each sentence on, where span_hashes has no run that is as short."""
-    n = len(words)
+def run_hashes(words: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, hash) of the shortest run of consecutive sentences with at least min_words words
+    from each sentence on, where there is one."""
     sizes = np.concatenate(([0], np.cumsum([w.count(b" ") + 1 if w else 0 for w in words]))).astype(np.int64)
-    starts = np.arange(n)
-    lengths = np.searchsorted(sizes, sizes[:-1] + long_words) - starts
-    thin = sizes[np.minimum(starts + run, n)] - sizes[starts] < min_words
-    use = (starts + lengths <= n) & ((lengths < run) | (thin & (lengths > run))) & (lengths < n)
-    starts, lengths = starts[use], lengths[use]
-    digests = [xxhash.xxh64_intdigest(b"\n".join(words[s : s + k])) for s, k in zip(starts.tolist(), lengths.tolist())]
-    return starts.astype(np.int32), lengths.astype(np.int32), np.array(digests, dtype=np.uint64).view(np.int64)
+    ends = np.searchsorted(sizes, sizes[:-1] + min_words)
+    starts = np.nonzero(ends <= len(words))[0]
+    ends = ends[starts]
+    digests = [xxhash.xxh64_intdigest(b"\n".join(words[s:e])) for s, e in zip(starts.tolist(), ends.tolist())]
+    return starts.astype(np.int32), (ends - starts).astype(np.int32), np.array(digests, dtype=np.uint64).view(np.int64)
 
 
 class _WordHashes(dict):
@@ -93,7 +77,7 @@ def window_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(words) < WINDOW:
         return np.empty(0, np.int32), np.empty(0, np.int64)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    for step in (1, 2, 4, 8, 8):  # windows of 2, 4, 8, 16 and 24 words
+    for step in (1, 2, 4, 8, 16, 4):  # windows of 2, 4, 8, 16, 32 and 36 words
         h = (h[:-step] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[step:] >> np.uint64(29)) ^ (h[step:] * np.uint64(0xD1342543DE82EF95))
     h ^= h >> np.uint64(32)
     low = _sliding(h, min(REACH, len(h)), np.minimum)
@@ -102,15 +86,12 @@ def window_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return kept.astype(np.int32), h[kept].view(np.int64)
 
 
-def all_spans(text: bytes, run: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_spans(text: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, hash) of a text's runs of sentences and, with length 0 and the first word's
     number as start, of its windows of words."""
-    words = sentences(text)[1]
-    a, b = span_hashes(words, run, min_words)
-    c, lengths, d = short_runs(words, run, min_words, long_words)
-    e, f = window_hashes(text)
-    sizes = [np.full(len(a), run, np.int32), lengths, np.zeros(len(e), np.int32)]
-    return np.concatenate((a, c, e)), np.concatenate(sizes), np.concatenate((b, d, f))
+    starts, lengths, hashes = run_hashes(sentences(text)[1], min_words)
+    first, own = window_hashes(text)
+    return np.concatenate((starts, first)), np.concatenate((lengths, np.zeros(len(first), np.int32))), np.concatenate((hashes, own))
 
 
 def without_spans(text: bytes, starts: list[int], lengths: list[int]) -> tuple[bytes, int, int]:
@@ -134,7 +115,7 @@ def without_spans(text: bytes, starts: list[int], lengths: list[int]) -> tuple[b
     return np.frombuffer(text, dtype=np.uint8)[keep].tobytes(), len(parts), lost
 
 
-def repeated_spans(docs: DataFrame, run: int, min_words: int, long_words: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
     """(key_id, key_text, spans: start and length): the repeated runs and windows that are not the
     first of their kind; first is by id, text hash and place, null ids before all. Windows that only
     their own document repeats are not among them."""
@@ -144,7 +125,7 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int, long_words: int) -
         for b in batches:
             ids, keys, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary()).to_pylist()
             for at in range(0, len(texts), 500):
-                found = [hashes(t or b"", run, min_words, long_words) for t in texts[at : at + 500]]
+                found = [hashes(t or b"", min_words) for t in texts[at : at + 500]]
                 times = [len(s) for s, _, _ in found]
                 columns = [np.repeat(ids[at : at + 500], times), np.repeat(keys[at : at + 500], times), *[np.concatenate([f[k] for f in found]) for k in range(3)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key_id", "key_text", "start", "length", "hash"])
@@ -160,15 +141,14 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int, long_words: int) -
     return later.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
 
 
-def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 12, long_words: int = 24) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, min_words: int = 36) -> DataFrame:
     """docs with repeated passages taken out of the text, and n_sentences and n_removed (long): the
     text's sentences, and how many of them went, in whole or in part.
 
     A run of sentences counts as repeated wherever it comes again, in another document or in the same
-    one, with the same words in the same order; case of A-Z and white space do not matter. Runs are of
-    `run` sentences and min_words words or more, or the shortest of long_words words. Windows of
-    WINDOW words count as repeated in another document, so a common passage of 50 words goes, but for
-    less than 27 words at either end, whatever marks it has. Rows are never dropped; a text may become
+    one, with the same words in the same order; case of A-Z and white space do not matter. Runs are the
+    shortest of min_words words. Windows of WINDOW words count as repeated in another document, so a
+    common passage of 50 words goes, but for less than REACH words at either end, whatever marks it has. Rows are never dropped; a text may become
     empty. Null text stays null, with no sentences. Rows with the same id and text get the same
     treatment; other columns stay as they are, whatever their names; where docs has an n_sentences or
     n_removed of its own, the new column has an underscore more.
@@ -183,7 +163,7 @@ def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 12, lo
             texts, counts, gone = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_sentences", "n_removed"])
 
-    spans = durable(repeated_spans(docs, run, min_words, long_words))
+    spans = durable(repeated_spans(docs, min_words))
     rows = docs.select(rest_of(docs, "text"), "text", *row_key()).join(spans, ["key_id", "key_text"], "left").select("row", "text", "spans")
     done = rows.mapInArrow(apply, rows.select("row", "text").schema.add("n_sentences", "long").add("n_removed", "long"))
     return done.select(*back(docs, text=F.col("text")), *[F.col(c).alias(free_name(c, docs)) for c in ("n_sentences", "n_removed")])

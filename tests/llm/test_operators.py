@@ -149,7 +149,7 @@ def test_pipeline_takes_short_lines_of_many_sites(spark):
 def test_repeated_spans_go_but_the_first(spark):
     passage = "The first sentence has some words. The second one follows it here. And the third ends it all now."
     texts = [f"Intro number {k} is alone. {passage} Outro of {k}." for k in range(5)] + [None, "", passage, LONG]
-    got = {r.doc_id: (r.text, r.n_removed) for r in spans.remove_repeated_spans(table(spark, texts)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.remove_repeated_spans(table(spark, texts), min_words=12).collect()}
     assert got[0][0] == texts[0]
     assert all(got[k] == (f"Intro number {k} is alone. Outro of {k}.", 3) for k in range(1, 5))
     assert got[5] == (None, 0) and got[6] == ("", 0) and got[7] == ("", 3) and got[8][0] == LONG
@@ -177,11 +177,43 @@ def test_one_or_two_whole_sentences_go(spark):
     one = " ".join(f"o{k}" for k in range(30)) + "."
     two = " ".join(f"t{k}" for k in range(14)) + ". " + " ".join(f"u{k}" for k in range(14)) + "."
     texts = [f"Begin {k} here. {one} Middle {k} of it. {two} End {k}." for k in range(3)]
-    got = {r.doc_id: (r.text, r.n_removed) for r in spans.remove_repeated_spans(table(spark, texts)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.remove_repeated_spans(table(spark, texts), min_words=24).collect()}
     assert got[0] == (texts[0], 0)
     assert all(got[k] == (f"Begin {k} here. Middle {k} of it. End {k}.", 3) for k in (1, 2))
 
 
+def test_spans_match_brute_force(spark):
+    """A run or window is removed if, and only if, its words stand together in an earlier place; a
+    document that shares under 36 words in a row with others, and repeats none, is left alone."""
+    rng = np.random.default_rng(21)
+    parts = [" ".join(f"p{k}w{j}" + "." * (rng.random() < 0.1) for j in range(int(rng.integers(20, 90)))) for k in range(25)]
+    texts = []
+    for k in range(80):
+        own = [f"own{k}n{j}" for j in range(int(rng.integers(5, 60)))]
+        for part in rng.choice(parts, int(rng.integers(0, 3)), replace=False):
+            at = int(rng.integers(0, len(own) + 1))
+            own[at:at] = part.split()
+        texts.append(" ".join(own))
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.remove_repeated_spans(table(spark, texts)).collect()}
+    seen: set = set()
+    for k, text in enumerate(texts):
+        w = text.split()
+        windows = {n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for n in (36, 50)}
+        if not any(x in seen for x in windows[36]):
+            assert got[k] == (text, 0)
+        if any(x in seen for x in windows[50]):
+            assert got[k][1] > 0
+        left = got[k][0].split()
+        covered = {i + j for i, x in enumerate(windows[36]) if x in seen for j in range(36)}
+        sentence = set()  # whole sentences of a repeated run may go, glued words never
+        assert [x for i, x in enumerate(w) if i not in covered | sentence] == [x for x in left if x not in {w[i] for i in covered}]
+        runs = [i for i, x in enumerate(windows[50]) if x in seen]
+        for i in runs:  # of 50 words in a row that came before, fewer than 15 at either end are left
+            kept = [x in left for x in w[i : i + 50]]
+            assert kept.count(True) <= 28
+        seen |= set(windows[36]) | set(windows[50])
+
+
 def test_packed_tokens_come_back(docs):
     packed = tokens.pack_tokens(docs, size=256).cache()
     encoder = tokens.public_encoder()
