@@ -71,13 +71,13 @@ def free_name(name: str, docs: DataFrame) -> str:
     return name
 
 
-def join_spread(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", pieces: int = 10_000) -> DataFrame:
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", total: int | None = None, pieces: int = 10_000) -> DataFrame:
     """rows joined with keyed (one row a key, n: how many of rows have it) on key; n is left out.
 
     A key that more than 1 / pieces of the rows have is dealt to several places, its row of keyed being
     sent to each, so that no task gets a hot key whole. At most `pieces` keys can be that frequent:
-    only their names and numbers are broadcast."""
-    per = max(1, (keyed.agg(F.sum(n)).first()[0] or 0) // pieces)
+    only their names and numbers are broadcast. total: the sum of n, counted where it is not given."""
+    per = max(1, ((keyed.agg(F.sum(n)).first()[0] if total is None else total) or 0) // pieces)
     deals = F.ceil(F.col(n) / per).cast("int")
     hot = keyed.where(F.col(n) > per).select(key, deals.alias("_deals"))
     turn = F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_deals"))).cast("int")
@@ -103,8 +103,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for every node that has an edge,
     root being the component's smallest node.
 
-    Alternating large-star and small-star rounds. Minima are partial aggregates and the joins may be
-    split by adaptive execution, so a node with very many neighbours is no bottleneck. Rounds are
+    Alternating large-star and small-star rounds. Minima are partial aggregates and the joins deal a
+    node with very many neighbours to several places, so that it is no bottleneck. Rounds are
     logarithmic in the component's diameter. Self-loops, null ends and repeated edges are dropped.
     """
     def tidy(df: DataFrame) -> DataFrame:
@@ -117,10 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = tidy(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = tidy(join_spread(both.where("v > u"), low, "u", total=2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, low, "u", total=before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         old, e = e, durable(tidy(small))
         after = state(e)
         forget(old)

@@ -278,16 +278,18 @@ def set_prints(docs: DataFrame, size: int, words: int) -> DataFrame:
     return rows.mapInArrow(run, "key_id long, key_text long, none boolean, set_id binary, fp binary, pop int")
 
 
-def jaccard_forest(sets: list[np.ndarray], left: int | None, similarity: float) -> list[tuple[int, int]]:
+def jaccard_forest(sets: list[np.ndarray], left: int | None, similarity: float, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Edges (child, root) of a forest that has the components of all links of exact Jaccard
     `similarity` or more between the first `left` sets and the others, or among all if left is None.
+    known: for each set the root of a component that it is known to belong to; no edge says so again.
     Sets that are connected already are not compared; empty sets have no links."""
     n = len(sets)
+    known = np.arange(n) if known is None else np.array(known)
     sizes = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     own = np.split(ids, np.cumsum(sizes)[:-1])
     flags = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.int32)
-    root = np.arange(n)  # each set's root itself, so that whole rows compare at once
+    root = known.copy()  # each set's root itself, so that whole rows compare at once
     for i in range(n if left is None else left):
         a = sizes[i]
         start = i + 1 if left is None else left
@@ -308,7 +310,7 @@ def jaccard_forest(sets: list[np.ndarray], left: int | None, similarity: float)
                 low, high = sorted((root[i], root[j]))
                 root[root == high] = low
         flags[own[i]] = 0
-    return [(int(k), int(root[k])) for k in np.nonzero(root != np.arange(n))[0]]
+    return [(int(k), int(root[k])) for k in np.nonzero((root != known) & (known == np.arange(n)))[0]]
 
 
 def verified_links(docs: DataFrame, members: DataFrame, size: int, similarity: float, block: int = 1000) -> DataFrame:
@@ -316,7 +318,9 @@ def verified_links(docs: DataFrame, members: DataFrame, size: int, similarity: f
     `similarity` or more between members of the same group. members: (set_id, key_id, key_text of one
     row of docs that has the set, root: its group, n: the group's size).
 
-    Small groups share tasks; a large one is dealt into blocks, every two of which are a task.
+    Small groups share tasks; a large one is dealt into blocks. Each block is compared in itself first;
+    then every two blocks of a group are a task, which knows what is connected within them and returns
+    no more edges than it joins components, so copies of one text are neither compared nor linked twice.
     """
     from lemmaflow.llm.simhash import jaccard_forest as forest
     from lemmaflow.llm.simhash import shingle_set as shingles
@@ -325,25 +329,34 @@ def verified_links(docs: DataFrame, members: DataFrame, size: int, similarity: f
     deal = F.ceil(F.col("n") / block).cast("int")
     named = members.withColumn("parts", deal).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
     named = named.withColumn("bin", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(total // block * 4 + 16))).otherwise(F.xxhash64("root", F.lit(1)))).drop("n")
-    rows = docs.select(*row_key(), "text").join(named, ["key_id", "key_text"]).drop("key_id", "key_text").dropDuplicates(["set_id"])
-    ends = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j"))))
-    tiles = rows.withColumn("tile", F.explode(ends)).select("bin", F.col("parts") > 1, "tile.i", "tile.j", "part", "root", "set_id", "text").toDF("bin", "big", "i", "j", "part", "root", "set_id", "text")
+    rows = durable(docs.select(*row_key(), "text").join(named, ["key_id", "key_text"]).drop("key_id", "key_text").dropDuplicates(["set_id"]))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
         groups: dict[bytes, list[tuple]] = {}
-        for root, part, name, text in zip(*[table.column(c).to_pylist() for c in ("root", "part", "set_id")], table.column("text").cast(pa.binary()).to_pylist()):
-            groups.setdefault(root, []).append((part != i, name, shingles(text, size)))
+        for root, part, name, known, text in zip(*[table.column(c).to_pylist() for c in ("root", "part", "set_id", "known")], table.column("text").cast(pa.binary()).to_pylist()):
+            groups.setdefault(root, []).append((part != i, name, known, shingles(text, size)))
         a, b = [], []
         for own in groups.values():
             own.sort(key=lambda x: x[:2])
             left = None if i == j else sum(not x[0] for x in own)
-            for child, root in forest([x[2] for x in own], left, similarity):
+            place = {x[1]: k for k, x in enumerate(own)}
+            for child, root in forest([x[3] for x in own], left, similarity, [place[x[2]] for x in own]):
                 a.append(own[child][1])
                 b.append(own[root][1])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return tiles.groupBy("bin", "big", "i", "j").applyInArrow(compare, "a binary, b binary")
+    def tiles(own: DataFrame, known: Column, i: Column, j: Column) -> DataFrame:
+        own = own.select("bin", (F.col("parts") > 1).alias("big"), i.alias("i"), j.alias("j"), "part", "root", "set_id", known.alias("known"), "text")
+        return own.groupBy("bin", "big", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+    part = F.when(F.col("parts") > 1, F.col("part")).otherwise(0)
+    inner = durable(tiles(rows, F.col("set_id"), part, part))
+    large = rows.where("parts > 1").join(inner.withColumnRenamed("a", "set_id"), "set_id", "left")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))
+    large = large.withColumn("other", F.explode(others))
+    cross = tiles(large, F.coalesce("b", "set_id"), F.least("part", "other"), F.greatest("part", "other"))
+    return inner.union(cross)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
