@@ -1,104 +1,80 @@
-"""Functions over model answers and pairs of texts that need a scan: Arrow batches, one pass a row.
-
-Each is a Column function; pairs are compared only where a join has brought them together.
-"""
+"""Functions over model answers and pairs of texts, in built-in expressions but for the matching share
+of two texts, which needs a scan: an Arrow batch at a time, for joined pairs only."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import DoubleType
 
 from lemmaflow.functions import text as T
 
-_WORD = re.compile(r"\b(correct|incorrect)\b", re.I)
-_TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_']*|[0-9]+|\S")
-_NAME = re.compile(r"\b(theorem|lemma|def|example|abbrev|opaque|axiom|instance)\s+[A-Za-z0-9_']+")
-
-
-def _named(word: str) -> str:
-    return word.capitalize()
-
-
-def _objects(text: str) -> list[str]:
-    """Outermost {...} parts, braces inside strings not counting."""
-    out, depth, start = [], 0, 0
-    for m in re.finditer(r'"(?:\\.|[^"\\])*(?:"|$)|[{}]', text, re.S):
-        if m[0] == "{":
-            start = m.start() if depth == 0 else start
-            depth += 1
-        elif m[0] == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append(text[start : m.end()])
-    return out
-
-
-def judge_verdict(output: str | None, key: str = "is_assistant_correct") -> tuple[str | None, str, str]:
-    """(verdict, reasons, method) of a judge's output: JSON as a whole, JSON within, the word behind
-    the key, a word that stands alone at the end; the last one found wins."""
-    clean = (output or "").strip()
-    if "```" in clean:
-        clean = re.sub(r"^```[\w-]*\s*", "", clean).replace("```", "")
-    clean = re.sub(r"^\s*json\s*", "", clean, flags=re.I).strip()
-    if not clean:
-        return None, "", "failed"
-    best = None
-    for part in [clean, *_objects(clean)]:
-        try:
-            found = json.loads(part)
-        except ValueError:
-            continue
-        words = _WORD.findall(str(found.get(key) or "")) if isinstance(found, dict) else []
-        if words:
-            best = _named(words[-1]), str(found.get("reasons") or "").strip() or clean, "json" if part == clean else "extracted_json"
-    if best:
-        return best
-    behind = None
-    for m in re.finditer(rf"\b{key}\b", clean, re.I):
-        words = _WORD.findall(clean[m.end() : m.end() + 256].partition(":")[2][:128])
-        behind = words[-1] if words else behind
-    if behind:
-        return _named(behind), clean, "salvaged_key"
-    alone = [r"(?im)^\s*(correct|incorrect)\s*$", r"""(?i)["']\s*(correct|incorrect)\s*["']""", r"(?is)(?:^|[:\n])\s*(correct|incorrect)\b[}\]\s]*\Z"]
-    for pattern in ([_WORD.pattern] if len(clean) <= 512 else []) + alone:
-        words = re.findall(pattern, clean, re.I)
-        if words:
-            return _named(words[-1]), clean, "salvaged_word"
-    return None, clean, "failed"
-
-
-_VERDICT = StructType()
-for _n in ("verdict", "reasons", "method"):
-    _VERDICT = _VERDICT.add(_n, StringType())
-_CHANGE = StructType()
-for _n in ("parent_tokens", "child_tokens", "token_jaccard", "added", "removed", "length_ratio", "sequence_ratio"):
-    _CHANGE = _CHANGE.add(_n, LongType() if _n.endswith(("tokens", "ed")) else DoubleType())
-
-
-@F.pandas_udf(_VERDICT)
-def verdict(output: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([judge_verdict(x) for x in output], columns=_VERDICT.names)
-
-
-def change(parent: str | None, child: str | None) -> tuple:
-    """(parent_tokens, child_tokens, token_jaccard, added, removed, length_ratio, sequence_ratio) of
-    two texts, names of declarations not counting."""
-    a, b = (" ".join(_NAME.sub(r"\1 _NAME_", x or "").split()) for x in (parent, child))
-    ta, tb = Counter(_TOKEN.findall(a)), Counter(_TOKEN.findall(b))
-    na, nb, union = ta.total(), tb.total(), (ta | tb).total()
-    return na, nb, (ta & tb).total() / union if union else 1.0, (tb - ta).total(), (ta - tb).total(), nb / max(na, 1), SequenceMatcher(None, a, b).ratio()
-
-
-@F.pandas_udf(_CHANGE)
-def change_stats(parent: pd.Series, child: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([change(a, b) for a, b in zip(parent, child)], columns=_CHANGE.names)
+#: What counts as one token of code, and what as a declaration's name.
+TOKEN = r"[A-Za-z_][A-Za-z0-9_']*|[0-9]+|\S"
+NAMED = r"\b(theorem|lemma|def|example|abbrev|opaque|axiom|instance)\s+[A-Za-z0-9_']+"
+#: The longest answer in which any verdict word counts; how far behind its key one may stand.
+SHORT, REACH = 512, 128
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: An object in braces, with objects inside it one level deep; braces inside strings do not count.
+_OBJECT = rf'(?s)\{{(?:[^{{}}"]++|{_STRING}|\{{(?:[^{{}}"]++|{_STRING})*+\}})*+\}}'
+
+
+def _last(words: Column) -> Column:
+    return F.initcap(F.get(F.reverse(words), F.lit(0)))
+
+
+def verdict(output: Column, key: str = "is_assistant_correct") -> Column:
+    """(verdict, reasons, method) of a judge's output, by the first way that finds one: the whole is
+    JSON, the last JSON object in it that has the key, the last word behind the key, or a verdict word
+    that stands alone (anywhere in a short output). No verdict: null, the output, "failed"."""
+    word = r"(?i)\b(correct|incorrect)\b"
+    words = lambda c: F.regexp_extract_all(c, F.lit(word), F.lit(1))
+    fenced = F.regexp_replace(F.regexp_replace(T.stripped(F.coalesce(output, F.lit(""))), r"^```[\w-]*\s*", ""), "```", "")
+    clean = T.stripped(F.regexp_replace(fenced, r"^\s*(?i:json)\s*", ""))
+    of = lambda c: F.struct(_last(words(F.get_json_object(c, f"$.{key}"))).alias("verdict"), T.stripped(F.get_json_object(c, "$.reasons")).alias("reasons"))
+    whole = F.when(clean.rlike(rf"\A(?:{_OBJECT})\z"), of(clean))
+    inside = F.get(F.reverse(F.filter(F.transform(F.regexp_extract_all(clean, F.lit(_OBJECT), F.lit(0)), of), lambda x: x["verdict"].isNotNull())), F.lit(0))
+    behind = F.flatten(F.transform(F.regexp_extract_all(clean, F.lit(rf"(?is)\b{key}\b[^:]{{0,{REACH}}}:(.{{0,{REACH}}})"), F.lit(1)), words))
+    alone = F.regexp_extract_all(clean, F.lit(r"(?im)(?:^|[\"':])\s*(correct|incorrect)\s*[\"'}\]]*\s*$"), F.lit(1))
+    free = F.when(F.length(clean) <= SHORT, words(clean)).otherwise(alone)
+    say = lambda v, reasons, method: F.struct(v.alias("verdict"), reasons.alias("reasons"), F.lit(method).alias("method"))
+    why = lambda r: F.coalesce(F.nullif(r, F.lit("")), clean)
+    return (
+        F.when(whole["verdict"].isNotNull(), say(whole["verdict"], why(whole["reasons"]), "json"))
+        .when(inside["verdict"].isNotNull(), say(inside["verdict"], why(inside["reasons"]), "extracted_json"))
+        .when(F.size(behind) > 0, say(_last(behind), clean, "salvaged_key"))
+        .when(F.size(free) > 0, say(_last(free), clean, "salvaged_word"))
+        .otherwise(say(F.lit(None).cast("string"), clean, "failed"))
+    )
+
+
+def _bare(code: Column) -> Column:
+    return T.folded(F.regexp_replace(F.coalesce(code, F.lit("")), NAMED, "$1 _NAME_"))
+
+
+def change_stats(pairs: DataFrame, keys: list[str], parent: str, child: str) -> DataFrame:
+    """keys and, of each pair of texts, parent_tokens, child_tokens, token_jaccard (of the multisets; 1
+    without tokens), added, removed, length_ratio (of tokens) and sequence_ratio; names of declarations
+    do not count. Tokens are counted by Spark, a pair's tokens being partial aggregates."""
+    bare = pairs.select(*keys, _bare(F.col(parent)).alias("_a"), _bare(F.col(child)).alias("_b"))
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    sides = F.concat(*[_sided(tokens(c), k) for c, k in (("_a", 0), ("_b", 1))])
+    each = bare.select(*keys, F.explode(sides).alias("x")).groupBy(*keys, "x.t").agg(F.sum(1 - F.col("x.k")).alias("a"), F.sum("x.k").alias("b"))
+    total = lambda c: F.sum(c).cast("long")
+    counts = each.groupBy(*keys).agg(total(F.col("a")).alias("parent_tokens"), total(F.col("b")).alias("child_tokens"), total(F.least("a", "b")).alias("_both"))
+    rows = bare.select(*keys, _ratio(F.col("_a"), F.col("_b")).alias("sequence_ratio")).join(counts, keys, "left").fillna(0, ["parent_tokens", "child_tokens", "_both"])
+    either = F.col("parent_tokens") + F.col("child_tokens") - F.col("_both")
+    return rows.select(
+        *keys, "parent_tokens", "child_tokens", F.when(either > 0, F.col("_both") / either).otherwise(1.0).alias("token_jaccard"), (F.col("child_tokens") - F.col("_both")).alias("added"),
+        (F.col("parent_tokens") - F.col("_both")).alias("removed"), (F.col("child_tokens") / F.greatest("parent_tokens", F.lit(1))).alias("length_ratio"), "sequence_ratio",
+    )
+
+
+def _sided(tokens: Column, side: int) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(side).alias("k")))
 
 
 def canonical(code: Column) -> Column:
@@ -142,7 +118,5 @@ def best_block(answer: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """The scanning functions for SQL users."""
-    spark.udf.register("judge_verdict", verdict)
-    spark.udf.register("change_stats", change_stats)
+    """The scanning function for SQL users."""
     spark.udf.register("match_ratio", _ratio)

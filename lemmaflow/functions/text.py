@@ -282,3 +282,49 @@ def fenced_proof(text: Column) -> Column:
     opened = F.nullif(F.regexp_extract(text, r"(?s)```lean4?\n(.*)\z", 1), F.lit(""))
     at = F.regexp_instr(text, F.lit(r"(?m)^\s*(?:import|set_option|open|abbrev|opaque|axiom|instance|(?:noncomputable\s+)?(?:theorem|lemma|def|example))\b"))
     return stripped(F.coalesce(blocks, opened, F.when(at > 0, F.substr(text, at)), F.lit("")))
+
+
+#: Answers that stand for no result.
+NO_RESULT = ("none", "null", "nil", "n/a", "na", "")
+
+
+def statement_of(text: Column) -> Column:
+    """The first declaration of a text without comments, header and marker lines; a theorem or lemma
+    comes before other declarations. Empty where the text, or what is left, stands for no result."""
+    clean = without_markers(without_header(without_comments(F.coalesce(text, F.lit("")))))
+    at = F.regexp_instr(clean, F.lit(r"(?m)^\s*(?:@\[[^\]]*\]\s*)?(?:noncomputable\s+|private\s+|protected\s+)*(?:theorem|lemma)\b"))
+    own = first_declaration(F.when(at > 0, F.substr(clean, at)).otherwise(clean))
+    blank = lambda c: F.lower(stripped(c)).isin(*NO_RESULT)
+    return F.when(blank(F.coalesce(text, F.lit(""))) | blank(own), F.lit("")).otherwise(own)
+
+
+def renamed(statement: Column, name: str) -> Column:
+    """(statement, name): the statement with its declaration's name replaced, and the name it had."""
+    had = F.nullif(F.regexp_extract(statement, _NAMED, 2), F.lit(""))
+    return F.struct(F.regexp_replace(statement, _NAMED, f"$1{name}").alias("statement"), had.alias("name"))
+
+
+def unnamed(statement: Column) -> Column:
+    """The statement without its keyword and name, as a prompt shows it."""
+    return stripped(F.regexp_replace(statement, rf"^\s*(?:@\[[^\]]*\]\s*)?(?:noncomputable\s+|private\s+|protected\s+)*(?:{DECLARATIONS})\s+[^\s:({{\[]+", ""))
+
+
+def canonical_statement(code: Column, name: str = "X") -> Column:
+    """The statement under a fixed name, without white space at the ends of its lines: the key by which
+    statements are counted once."""
+    own = renamed(statement_of(code), name)["statement"]
+    return stripped(F.array_join(F.transform(lines(own), lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"))
+
+
+def precheck(code: Column, statement: Column, forbidden: list[str]) -> Column:
+    """(ok, reason) of a proof before it is compiled: not empty without comments, none of the forbidden
+    words, and every chunk of the statement still there (sorry not counting; headers left out)."""
+    out = stripped(without_comments(F.coalesce(code, F.lit("")), "line_start"))
+    wanted = stripped(without_comments(F.coalesce(statement, F.lit("")), "line_start"))
+    split = F.split(F.regexp_replace(wanted, r"\n(?=(?:noncomputable )?theorem)", "\n\n"), r"\n\n")
+    chunks = F.filter(F.transform(F.filter(F.transform(split, stripped), lambda x: ~x.rlike("^(import|set_option|open)")), lambda x: stripped(F.regexp_replace(x, r"\bsorry\b", ""))), lambda x: x != "")
+    missing = F.size(F.filter(chunks, lambda x: ~F.contains(out, x)))
+    words = F.array(*[F.lit(w) for w in forbidden if w]) if any(forbidden) else F.array().cast("array<string>")
+    found = F.get(F.filter(words, lambda w: F.contains(out, w)), F.lit(0))
+    reason = F.when(out == "", "empty").when(found.isNotNull(), F.concat(F.lit("forbidden: "), found)).when(missing > 0, F.concat(F.lit("missing chunks: "), missing.cast("string"))).otherwise("")
+    return F.struct((reason == "").alias("ok"), reason.alias("reason"))

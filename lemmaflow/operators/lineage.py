@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.operators.rounds import written
+
 
 def edges(programs: DataFrame) -> DataFrame:
     """(child, parent), without self-loops and parents that are not there."""
@@ -12,35 +16,48 @@ def edges(programs: DataFrame) -> DataFrame:
     return own.join(programs.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent")
 
 
-def depths(programs: DataFrame, most: int = 64) -> DataFrame:
-    """(id, root, depth) by pointer doubling: each round joins every pointer with its target's, so a
-    chain of length n takes log2(n) rounds. Cycles, which no root reaches, are left out."""
-    e = edges(programs)
-    up = programs.select("id").join(e.withColumnRenamed("child", "id"), "id", "left").select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth"))
-    hops = 1
-    while hops < most:
+def _rounds(n: int) -> int:
+    """Doubling rounds after which every chain of n rows has come to its end; what still moves is a cycle."""
+    return math.ceil(math.log2(max(n, 2))) + 1
+
+
+def depths(programs: DataFrame) -> DataFrame:
+    """(id, root, depth) by pointer doubling: each round a row that has not reached a root takes over
+    its target's pointer, so a chain of any length n takes log2(n) rounds; each round is written out.
+    Cycles, which no root reaches, are left out."""
+    e = edges(programs).withColumnRenamed("child", "id")
+    start = programs.select("id").join(e, "id", "left").select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNotNull().cast("long").alias("depth"))
+    up = written(start.withColumn("done", F.col("depth") == 0))
+    for _ in range(_rounds(up.count())):
+        if up.where("not done").isEmpty():
+            break
         far = up.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        up = up.join(far, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
-        hops *= 2
-    roots = programs.select("id").join(e.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("root"))
-    return up.join(roots, "root", "left_semi").select("id", "root", "depth")
-
-
-def path_to_best(programs: DataFrame, best: DataFrame, most: int = 64) -> DataFrame:
-    """(problem_id, id, steps_back): the best candidate of each problem and its ancestors, one join a
-    generation, for all problems at once; ends when no ancestor is left."""
-    e = edges(programs).withColumnsRenamed({"child": "id"})
-    now = best.select("problem_id", "id", F.lit(0).alias("steps_back"))
-    out, steps = now, 0
-    while steps < most:
-        steps += 1
-        now = now.join(e, "id").select("problem_id", F.col("parent").alias("id"), F.lit(steps).alias("steps_back"))
-        if now.isEmpty():
+        moved = up.where("not done").join(far, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") == 0).alias("done"))
+        up = written(up.where("done").unionByName(moved))
+    return up.where("done").select("id", "root", F.col("depth").cast("int").alias("depth"))
+
+
+def path_to_best(programs: DataFrame, best: DataFrame) -> DataFrame:
+    """(problem_id, id, steps_back): the best candidate of each problem and all its ancestors. Round k
+    adds, for every row found so far, its ancestor 2 ** k steps further back, so a path of any length n
+    takes log2(n) rounds, for all problems at once. A path that runs into a cycle has each row once."""
+    up = written(edges(programs).select(F.col("child").alias("id"), F.col("parent").alias("to")))
+    out, hops = written(best.select("problem_id", "id", F.lit(0).alias("steps_back"))), 1
+    for _ in range(_rounds(up.count())):
+        more = out.join(up, "id").select("problem_id", F.col("to").alias("id"), (F.col("steps_back") + hops).alias("steps_back"))
+        if more.isEmpty():
             break
-        out = out.unionByName(now)
-    return out
+        out = written(out.unionByName(more))
+        hops *= 2
+        up = written(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+    return out.groupBy("problem_id", "id").agg(F.min("steps_back").alias("steps_back"))
 
 
 def children_count(programs: DataFrame) -> DataFrame:
     counts = edges(programs).groupBy("parent").agg(F.count("*").alias("children"))
     return programs.join(counts.withColumnRenamed("parent", "id"), "id", "left").fillna(0, ["children"])
+
+
+def depth_counts(programs: DataFrame) -> DataFrame:
+    """(depth, rows): how many candidates stand at each depth below a root."""
+    return depths(programs).groupBy("depth").agg(F.count("*").alias("rows"))

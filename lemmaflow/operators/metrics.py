@@ -83,27 +83,38 @@ def run_totals(problems: DataFrame) -> DataFrame:
 
 
 def signature_diversity(rows: DataFrame, keys: list[str], signature: str = "signature", order: str = "id") -> DataFrame:
-    """Per key: signatures that are not empty, distinct ones, the most frequent one (first seen wins
-    ties) and its count. Two-phase: no group is collected."""
-    counts = rows.where(F.col(signature) != "").groupBy(*keys, signature).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
-    top = F.max_by(signature, F.struct(F.col("n"), -F.col("seen")))
-    return counts.groupBy(*keys).agg(F.sum("n").alias("signatures"), F.count("*").alias("distinct_signatures"), F.max("n").alias("top_count"), top.alias("top_signature"))
+    """Per key: signatures that are not empty, distinct ones, the most frequent one's count and its first
+    row (first seen wins ties). Texts are hashed (128 bits) where they are read, so none is shuffled."""
+    text = F.col(signature)
+    hashed = rows.where(text != "").select(*keys, order, F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g"))
+    counts = hashed.groupBy(*keys, "_h", "_g").agg(F.count("*").alias("n"), F.min(order).alias("seen"))
+    top = F.max_by("seen", F.struct(F.col("n"), -F.col("seen")))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("signatures"), F.count("*").alias("distinct_signatures"), F.max("n").alias("top_count"), top.alias("top_first"))
+
+
+def _by_value(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, _c: how often each value occurs; then only distinct values meet in a window."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
 
 
 def gini(rows: DataFrame, keys: list[str], value: str, eps: float = 1e-12) -> DataFrame:
-    """Gini coefficient of value within keys: sum((2i - n - 1) v) / (n sum v), values ascending."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.withColumn("_i", F.row_number().over(w))
-    agg = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.col(value).cast("double")).alias("_s"), F.sum(F.col("_i") * F.col(value).cast("double")).alias("_is"))
+    """Gini coefficient of value within keys: sum((2i - n - 1) v) / (n sum v), values ascending. Equal
+    values are counted first; those with ranks a + 1 .. a + c have the rank sum c a + c (c + 1) / 2."""
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    v, c = F.col(value).cast("double"), F.col("_c")
+    agg = _by_value(rows, keys, value).withColumn("_a", before).groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(c * v).alias("_s"), F.sum((c * F.col("_a") + c * (c + 1) / 2) * v).alias("_is"))
     return agg.select(*keys, ((2 * F.col("_is") - (F.col("_n") + 1) * F.col("_s")) / (F.col("_n") * F.col("_s") + eps)).alias("gini"))
 
 
 def top_share(rows: DataFrame, keys: list[str], value: str, fraction: float = 0.1) -> DataFrame:
-    """Share of the total that the largest ceil(fraction * n) values have, at least one value."""
+    """Share of the total that the largest ceil(fraction * n) values have, at least one value. Equal
+    values are counted first."""
+    counted = _by_value(rows, keys, value)
     w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(F.desc(value)))).withColumn("_n", F.count("*").over(w))
-    top = F.col("_k") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction))
-    return ranked.groupBy(*keys).agg(ratio(F.sum(F.when(top, F.col(value))), F.sum(value)).alias("top_share"))
+    before = F.coalesce(F.sum("_c").over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    k = F.greatest(F.lit(1), F.ceil(F.sum("_c").over(w) * fraction))
+    took = F.greatest(F.lit(0), F.least(F.col("_c"), k - before))
+    return counted.withColumn("_t", took).groupBy(*keys).agg(ratio(F.sum(F.col("_t") * F.col(value)), F.sum(F.col("_c") * F.col(value))).alias("top_share"))
 
 
 def numeric_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,11 +124,12 @@ def numeric_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles: the value at round-half-even(p * (n - 1)), from 0."""
+    """Nearest-rank quantiles: the value at round-half-even(p * (n - 1)), from 0. Equal values are
+    counted first."""
     w = Window.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_i") == F.bround(p * (F.col("_n") - 1)), F.col(value)))
-    return ranked.groupBy(*keys).agg(*[at(p).alias(name) for name, p in points.items()])
+    ranked = _by_value(rows, keys, value).withColumn("_z", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda p: F.bround(p * (F.col("_n") - 1))
+    return ranked.groupBy(*keys).agg(*[F.max(F.when((at(p) < F.col("_z")) & (at(p) >= F.col("_z") - F.col("_c")), F.col(value))).alias(name) for name, p in points.items()])
 
 
 def proof_hits(attempts: DataFrame, expected: DataFrame, methods: list[int]) -> DataFrame:
@@ -161,9 +173,10 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def missing_ranges(present: DataFrame, keys: list[str], index: str, until: str) -> DataFrame:
+def missing_ranges(present: DataFrame, keys: list[str], index: str, until: str, expected: DataFrame | None = None) -> DataFrame:
     """Ranges (first, last) of whole numbers 0 .. until - 1 that are missing, for each key: gaps
-    between neighbours, found without listing the numbers."""
+    between neighbours, found without listing the numbers. expected (keys, until) names the keys of
+    which no number may be present, too: then all are missing."""
     w = Window.partitionBy(*keys).orderBy(index)
     rows = present.select(*keys, index, until).distinct()
     before = F.coalesce(F.lag(index).over(w), F.lit(-1))
@@ -171,7 +184,11 @@ def missing_ranges(present: DataFrame, keys: list[str], index: str, until: str)
     gaps = rows.withColumn("_a", before).withColumn("_z", after).withColumn("_first", F.lag(index).over(w).isNull())
     head = gaps.where(F.col("_first") & (F.col(index) > 0)).select(*keys, F.lit(0).alias("first"), (F.col(index) - 1).alias("last"))
     rest = gaps.where(F.col("_z") > F.col(index) + 1).select(*keys, (F.col(index) + 1).alias("first"), (F.col("_z") - 1).alias("last"))
-    return head.unionByName(rest)
+    found = head.unionByName(rest)
+    if expected is None:
+        return found
+    absent = expected.where(F.col(until) > 0).join(present.select(*keys), keys, "left_anti")
+    return found.unionByName(absent.select(*keys, F.lit(0).alias("first"), (F.col(until) - 1).alias("last")))
 
 
 def compress_ranges(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
@@ -242,3 +259,33 @@ def repeated_runs(runs: DataFrame, key: str = "program_id") -> DataFrame:
         F.min_by("error", F.when(bad, F.col("run"))).alias("first_error"), F.sort_array(F.collect_set(F.when(bad, F.col("error")))).alias("errors"),
         F.avg("seconds").alias("mean_seconds"), F.stddev_pop("seconds").alias("deviation_seconds"),
     )
+
+
+def method_summary(problems: DataFrame, diversity: DataFrame, n: int) -> DataFrame:
+    """Per method over a declared number of problems n: hits, hit rate, successes, calls, density over
+    all calls, mean of the problems' densities, distinct signatures in all and for each call, and the
+    most copies of one signature; once for compiling and once for semantic candidates (kind).
+    problems: problem_metrics; diversity: (method, problem_id, kind, distinct_signatures, top_count)."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_count").alias("ok"), F.col(f"{k}_hit").alias("hit"), F.col(f"{k}_density").alias("density")) for k in ("compile", "semantic")]))
+    rows = problems.select("method", "problem_id", "calls", kinds.alias("k")).select("method", "problem_id", "calls", "k.*")
+    rows = rows.join(diversity, ["method", "problem_id", "kind"], "left").fillna(0, ["distinct_signatures", "top_count"])
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    out = rows.groupBy("method", "kind").agg(total("hit"), total("ok"), total("calls"), F.sum("density").alias("_d"), F.sum("distinct_signatures").cast("long").alias("signatures"), F.max("top_count").alias("most_copies"))
+    every = F.lit(n)
+    return out.withColumns(
+        {"hit_rate": ratio(F.col("hit"), every), "density": ratio(F.col("ok"), F.col("calls")), "density_mean": ratio(F.col("_d"), every), "signature_density": ratio(F.col("signatures"), F.col("calls"))}
+    ).drop("_d")
+
+
+def statement_metrics(programs: DataFrame, statement: Column) -> DataFrame:
+    """Per method: problems, share of them with a compiling candidate and with a semantic statement, and
+    how many distinct statements (hashed, 128 bits) are both, in all, at least and at most in a problem.
+    programs: (method, problem_id, compile_ok, semantic_ok); an empty statement counts for nothing."""
+    good = (F.col("compile_ok") == 1) & (F.col("semantic_ok") == 1) & (statement != "")
+    named = programs.select("method", "problem_id", "compile_ok", F.when(good, F.struct(F.xxhash64(statement), F.xxhash64(F.lit(1), statement))).alias("_key"))
+    each = named.groupBy("method", "problem_id", "_key").agg(F.max("compile_ok").alias("_ok"))  # one row a statement
+    own = each.groupBy("method", "problem_id").agg(F.max("_ok").alias("_hit"), F.count("_key").alias("_n"))
+    return own.groupBy("method").agg(
+        F.count("*").alias("problems"), F.avg((F.col("_hit") == 1).cast("double")).alias("compile_hit_rate"), F.avg((F.col("_n") > 0).cast("double")).alias("semantic_hit_rate"),
+        F.sum("_n").alias("semantic_statements"), F.min("_n").alias("least"), F.max("_n").alias("most"),
+    )

@@ -161,9 +161,39 @@ def pareto_front(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def migration_plan(programs: DataFrame, rate: float = 0.1) -> DataFrame:
     """Movers of each island: max(1, size * rate) of its correct rows past the start, the best one
-    kept, in hashed order; each goes to the next island."""
+    kept, in hashed order; each goes to one of the other islands, chosen by a hash. None where there is
+    no other island."""
+    islands = F.broadcast(programs.where("island_idx is not null").agg(F.array_sort(F.collect_set("island_idx")).alias("_all")))  # one row: the islands' numbers
     w = Window.partitionBy("problem_id", "island_idx")
     rows = programs.withColumn("_size", F.count("*").over(w)).where("compile_ok = 1 and parent_id is not null")
     rows = rows.withColumn("_elite", F.row_number().over(w.orderBy(F.desc_nulls_last("combined_score"), "id"))).where("_elite > 1")
     turn = F.row_number().over(w.orderBy(F.md5(F.col("id").cast("string")), "id"))
-    return rows.withColumn("_turn", turn).where(F.col("_turn") <= F.greatest(F.lit(1), F.floor(F.col("_size") * rate))).select("id", "problem_id", "island_idx", ((F.col("island_idx") + 1) % 4).alias("to_island"))
+    movers = rows.withColumn("_turn", turn).where(F.col("_turn") <= F.greatest(F.lit(1), F.floor(F.col("_size") * rate))).crossJoin(islands)
+    others = F.array_remove("_all", F.col("island_idx"))
+    to = F.get(others, F.pmod(F.xxhash64("id", F.lit(7)), F.size(others)).cast("int"))
+    return movers.where(F.size(others) > 0).select("id", "problem_id", "island_idx", to.alias("to_island"))
+
+
+def best_case(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's best case: score, then semantic, then compiling, then the shorter signature, then the
+    shorter code, then the first id; missing scores come last."""
+    order = [F.desc_nulls_last("combined_score"), F.desc("semantic_ok"), F.desc("compile_ok"), F.length("signature"), F.length("code"), F.col("id")]
+    return best_per(rows, keys, order)
+
+
+def top_programs(rows: DataFrame, n: int, by: str = "combined_score", correct_only: bool = False) -> DataFrame:
+    """The n rows with the greatest value of `by`, ties to the smaller id; each task keeps n rows."""
+    pool = rows.where("compile_ok = 1") if correct_only else rows
+    return pool.where(F.col(by).isNotNull()).orderBy(F.desc(by), "id").limit(n)
+
+
+def with_archive_flag(programs: DataFrame, archive: DataFrame) -> DataFrame:
+    """programs with in_archive: is its id in the archive (id, repeats allowed)?"""
+    kept = archive.select("id").distinct().withColumn("in_archive", F.lit(1))
+    return programs.join(kept, "id", "left").fillna(0, ["in_archive"])
+
+
+def with_answers(rows: DataFrame, answers: DataFrame, name: Column) -> DataFrame:
+    """rows with the ground-truth answers of the theorem that `name` derives, null where there are none.
+    answers: (theorem, answers), one row a theorem."""
+    return rows.withColumn("theorem", name).join(answers, "theorem", "left")

@@ -29,12 +29,17 @@ def most_similar(queries: DataFrame, rows: DataFrame, k: int = 1, parts: int = 1
     return near.withColumn("rank", rank()).where(F.col("rank") <= k)
 
 
-def novelty(queries: DataFrame, rows: DataFrame, threshold: float = 0.95) -> DataFrame:
+def novelty(queries: DataFrame, rows: DataFrame, threshold: float = 0.95, parts: int = 16) -> DataFrame:
     """Each query's greatest similarity with an earlier row of its island, and whether it is novel:
-    at most the threshold, or nothing to compare."""
-    pairs = queries.select(F.col("id").alias("query_id"), "island_idx", F.col("embedding").alias("q")).join(rows.select("id", "island_idx", "embedding"), "island_idx").where("id < query_id")
-    best = pairs.groupBy("query_id").agg(F.max(cosine(F.col("q"), F.col("embedding"))).alias("similarity"))
-    out = queries.select(F.col("id").alias("query_id")).join(best, "query_id", "left")
+    at most the threshold, or nothing to compare. Islands are dealt into parts, each of which keeps one
+    maximum a query; norms are taken once a row."""
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    unit = lambda df: df.select("id", "island_idx", F.size("embedding").alias("_n"), F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm)).alias("v"))
+    q = unit(queries).select(F.col("id").alias("query_id"), "island_idx", F.col("_n").alias("_m"), F.col("v").alias("q")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = unit(rows).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    usable = (F.col("_m") == F.col("_n")) & F.col("q").isNotNull() & F.col("v").isNotNull()
+    near = q.join(r, ["island_idx", "part"]).where("id < query_id").groupBy("query_id").agg(F.max(F.when(usable, dot(F.col("q"), F.col("v"))).otherwise(0.0)).alias("similarity"))
+    out = queries.select(F.col("id").alias("query_id")).join(near, "query_id", "left")
     return out.withColumn("novel", F.coalesce(F.col("similarity") <= threshold, F.lit(True)).cast("int"))
 
 

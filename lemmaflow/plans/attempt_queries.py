@@ -213,11 +213,27 @@ def judge_verdicts(spark, sf):
     return c.withColumn("v", A.verdict(output)).select("conv_id", "turn", "v.verdict", "v.method")
 
 
-@query(None)
-def change_stats(spark, sf):
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = views.table(spark, sf, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("child"))
-    return c.join(nxt, ["conv_id", "turn"]).withColumn("s", A.change_stats("text", "child")).select("conv_id", "turn", "s.*")
+    return c.join(nxt, ["conv_id", "turn"])
+
+
+@query(
+    """WITH p AS (SELECT a.conv_id, a.turn, coalesce(a.text, '') AS x, coalesce(b.text, '') AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+    bare AS (SELECT conv_id, turn, regexp_replace(x, '\\b(theorem|lemma|def|example|abbrev|opaque|axiom|instance)[ \\t\\n\\x0B\\f\\r]+[A-Za-z0-9_'']+', '\\1 _NAME_', 'g') AS x, regexp_replace(y, '\\b(theorem|lemma|def|example|abbrev|opaque|axiom|instance)[ \\t\\n\\x0B\\f\\r]+[A-Za-z0-9_'']+', '\\1 _NAME_', 'g') AS y FROM p),
+    t AS (SELECT conv_id, turn, unnest(regexp_extract_all(x, '[A-Za-z_][A-Za-z0-9_'']*|[0-9]+|[^ \\t\\n\\x0B\\f\\r]')) AS t, 1 AS a, 0 AS b FROM bare UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(y, '[A-Za-z_][A-Za-z0-9_'']*|[0-9]+|[^ \\t\\n\\x0B\\f\\r]')), 0, 1 FROM bare),
+    n AS (SELECT conv_id, turn, t, sum(a) AS a, sum(b) AS b FROM t GROUP BY ALL), s AS (SELECT conv_id, turn, sum(a) AS a, sum(b) AS b, sum(least(a, b)) AS common FROM n GROUP BY ALL),
+    w AS (SELECT p.conv_id, p.turn, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(common, 0) AS common FROM p LEFT JOIN s ON s.conv_id = p.conv_id AND s.turn = p.turn)
+    SELECT conv_id, turn, CAST(a AS BIGINT) AS parent_tokens, CAST(b AS BIGINT) AS child_tokens, round(coalesce(common / nullif(a + b - common, 0), 1), 6) AS token_jaccard, CAST(b - common AS BIGINT) AS added, CAST(a - common AS BIGINT) AS removed, round(b / greatest(a, 1), 6) AS length_ratio FROM w"""
+)
+def token_changes(spark, sf):
+    return _rounded(A.change_stats(_pairs(spark, sf), ["conv_id", "turn"], "text", "child").drop("sequence_ratio"))
+
+
+@query(None)
+def change_stats(spark, sf):
+    return A.change_stats(_pairs(spark, sf), ["conv_id", "turn"], "text", "child")
 
 
 @query(

@@ -99,9 +99,7 @@ _SIGNED = r"""signed AS (SELECT *, 'theorem _' || rtrim(split_part(' : ' || spli
 def signature_diversity(spark, sf):
     c = views.candidates(spark, sf)
     rows = c.select("id", "problem_id", T.signature(F.col("code")).alias("signature"))
-    out = metrics.signature_diversity(rows, ["problem_id"])
-    first = rows.groupBy("problem_id", "signature").agg(F.min("id").alias("top_first"))
-    return out.join(first, (out.top_signature == first.signature) & (out.problem_id == first.problem_id)).select(out.problem_id, "signatures", "distinct_signatures", "top_count", "top_first")
+    return metrics.signature_diversity(rows, ["problem_id"])
 
 
 @query(
@@ -314,7 +312,7 @@ def pareto_front(spark, sf):
     "programs",
 )
 def lineage_depths(spark, sf):
-    return lineage.depths(views.programs(spark, sf), 32)
+    return lineage.depths(views.programs(spark, sf))
 
 
 @query("WITH e AS (SELECT parent_id, count(*) AS n FROM programs WHERE parent_id <> id GROUP BY parent_id) SELECT id, coalesce(n, 0) AS children FROM programs LEFT JOIN e ON e.parent_id = id", "programs")
@@ -322,28 +320,34 @@ def children_count(spark, sf):
     return lineage.children_count(views.programs(spark, sf)).select("id", "children")
 
 
-@query(None)
+@query(
+    """WITH best AS (SELECT problem_id, id FROM programs WHERE combined_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY combined_score DESC, ts, id) = 1),
+    r AS (SELECT problem_id, id, 0 AS steps_back FROM best UNION ALL
+        SELECT r.problem_id, p.parent_id, steps_back + 1 FROM r JOIN programs p ON p.id = r.id WHERE p.parent_id IS NOT NULL AND p.parent_id <> p.id AND p.parent_id IN (SELECT id FROM programs))
+    SELECT * FROM r""",
+    "programs",
+)
 def path_to_best(spark, sf):
     p = views.programs(spark, sf)
     return lineage.path_to_best(p, select.best_program(p))
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 10 = 0)
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
     SELECT query_id, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS "rank" FROM s QUALIFY "rank" <= 5"""
 )
 def most_similar(spark, sf):
     e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("island_idx"), "embedding")
-    return _rounded(vectors.most_similar(e.where("id % 10 = 0"), e, 5))
+    return _rounded(vectors.most_similar(e.where("id % 20 = 0"), e, 5))
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id < q.vec_id WHERE q.vec_id % 10 = 0 GROUP BY 1)
-    SELECT vec_id AS query_id, round(similarity, 6) AS similarity, CAST(coalesce(similarity <= 0.5, true) AS INTEGER) AS novel FROM embeddings LEFT JOIN s ON query_id = vec_id WHERE vec_id % 10 = 0"""
+    """WITH s AS (SELECT q.vec_id AS query_id, max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id < q.vec_id GROUP BY 1)
+    SELECT vec_id AS query_id, round(similarity, 6) AS similarity, CAST(coalesce(similarity <= 0.5, true) AS INTEGER) AS novel FROM embeddings LEFT JOIN s ON query_id = vec_id"""
 )
 def novelty(spark, sf):
     e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("island_idx"), "embedding")
-    return _rounded(vectors.novelty(e.where("id % 10 = 0"), e, 0.5))
+    return _rounded(vectors.novelty(e, e, 0.5))
 
 
 @query("SELECT round(coalesce(corr(n_chars, quality), 0), 6) AS r, round(avg(n_chars) FILTER (quality = 1), 6) AS mean_if_1, round(avg(n_chars) FILTER (quality = 0), 6) AS mean_if_0 FROM labels JOIN documents USING (doc_id)")
@@ -424,3 +428,79 @@ def attempt_ids(spark, sf):
 def bounded_archive(spark, sf):
     p = views.programs(spark, sf)
     return archive.batch_archive(p.select(F.col("problem_id").alias("run_id"), "id", F.col("id").alias("seq"), F.col("public_metrics").alias("key"), F.coalesce("combined_score", F.lit(0.0)).alias("score"), F.col("compile_ok").alias("correct")), 10)
+
+
+_KEYED = """keyed AS (SELECT method, problem_id, CAST(id % 7 <> 0 AS INTEGER) AS compile_ok, CAST(id % 3 = 0 AS INTEGER) AS semantic_ok, split_part(code, 'theorem t' || id || ' : ', 2) AS statement FROM candidates)"""
+
+
+@query(
+    f"""WITH {_KEYED}, own AS (SELECT method, problem_id, max(compile_ok) AS hit, count(DISTINCT statement) FILTER (compile_ok = 1 AND semantic_ok = 1) AS n FROM keyed GROUP BY ALL)
+    SELECT method, count(*) AS problems, round(avg(hit), 6) AS compile_hit_rate, round(avg(CAST(n > 0 AS DOUBLE)), 6) AS semantic_hit_rate, CAST(sum(n) AS BIGINT) AS semantic_statements, min(n) AS least, max(n) AS most FROM own GROUP BY method""",
+    "candidates",
+)
+def statement_metrics(spark, sf):
+    c = views.candidates(spark, sf).withColumns({"compile_ok": (F.col("id") % 7 != 0).cast("int"), "semantic_ok": (F.col("id") % 3 == 0).cast("int")})
+    return _rounded(metrics.statement_metrics(c, T.canonical_statement(F.col("code"))))
+
+
+@query(
+    f"""WITH {_PROBLEMS}, sig AS (SELECT method, problem_id, kind, event_type, count(*) AS c FROM (SELECT *, 'compile' AS kind FROM programs WHERE compile_ok = 1 UNION ALL SELECT *, 'semantic' FROM programs WHERE semantic_ok = 1) GROUP BY ALL),
+    own AS (SELECT method, problem_id, kind, count(*) AS n, max(c) AS most FROM sig GROUP BY ALL),
+    long AS (SELECT method, problem_id, calls, 'compile' AS kind, compile_count AS ok, compile_hit AS hit, compile_density AS density FROM problems UNION ALL SELECT method, problem_id, calls, 'semantic', semantic_count, semantic_hit, semantic_density FROM problems),
+    t AS (SELECT l.method, l.kind, CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(ok) AS BIGINT) AS ok, CAST(sum(calls) AS BIGINT) AS calls, sum(density) AS d, CAST(sum(coalesce(n, 0)) AS BIGINT) AS signatures, max(coalesce(most, 0)) AS most_copies
+        FROM long l LEFT JOIN own o ON o.method = l.method AND o.problem_id = l.problem_id AND o.kind = l.kind GROUP BY ALL), declared AS (SELECT count(*) AS n FROM terminations)
+    SELECT method, kind, hit, ok, calls, signatures, most_copies, round(hit / n, 6) AS hit_rate, round(coalesce(ok / nullif(calls, 0), 0), 6) AS density, round(d / n, 6) AS density_mean, round(coalesce(signatures / nullif(calls, 0), 0), 6) AS signature_density FROM t CROSS JOIN declared""",
+    "programs", "terminations",
+)
+def method_summary(spark, sf):
+    pool = _pool(spark, sf)
+    own = [metrics.signature_diversity(pool.where(f"{k}_ok = 1"), ["method", "problem_id"]).withColumn("kind", F.lit(k)) for k in ("compile", "semantic")]
+    diversity = own[0].union(own[1]).select("method", "problem_id", "kind", "distinct_signatures", "top_count")
+    return _rounded(metrics.method_summary(_problems(spark, sf), diversity, views.terminations(spark, sf).count()))
+
+
+@query(
+    "SELECT problem_id, method, id FROM programs QUALIFY row_number() OVER (PARTITION BY problem_id, method ORDER BY combined_score DESC NULLS LAST, semantic_ok DESC, compile_ok DESC, length(event_type) NULLS FIRST, length(public_metrics) NULLS FIRST, id) = 1",
+    "programs",
+)
+def best_case(spark, sf):
+    return select.best_case(_pool(spark, sf), ["problem_id", "method"]).select("problem_id", "method", "id")
+
+
+@query("SELECT id, combined_score FROM programs WHERE compile_ok = 1 AND combined_score IS NOT NULL ORDER BY combined_score DESC, id LIMIT 25", "programs")
+def top_programs(spark, sf):
+    return select.top_programs(views.programs(spark, sf), 25, correct_only=True).select("id", "combined_score")
+
+
+@query(
+    "WITH a AS (SELECT id AS kept FROM programs WHERE combined_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY combined_score DESC, ts, id) = 1) SELECT id, problem_id, CAST(kept IS NOT NULL AS INTEGER) AS in_archive FROM programs LEFT JOIN a ON kept = id",
+    "programs",
+)
+def archive_flags(spark, sf):
+    p = views.programs(spark, sf)
+    return select.with_archive_flag(p, select.best_program(p)).select("id", "problem_id", "in_archive")
+
+
+@query(
+    "WITH a AS (SELECT c_mktsegment AS theorem, count(*) AS answers FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) SELECT c_custkey AS run, c_mktsegment AS theorem, answers FROM customer LEFT JOIN a ON theorem = c_mktsegment"
+)
+def known_answers(spark, sf):
+    c = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("run"), "c_mktsegment")
+    answers = c.where("c_mktsegment <> 'BUILDING'").groupBy(F.col("c_mktsegment").alias("theorem")).agg(F.count("*").alias("answers"))
+    name = T.theorem_key(F.concat(F.lpad(F.col("run").cast("string"), 6, "0"), F.lit("_"), "c_mktsegment"))
+    return select.with_answers(c, answers, name).select("run", "theorem", "answers")
+
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, trim(list_aggregate(list_filter(string_split(regexp_replace(coalesce(text, ''), '(?s)/-.*?-/', '', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t\\x0B\\f\\r]*--')), 'string_agg', chr(10)), {_WHITE}) AS code FROM documents),
+    s AS (SELECT item_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '\\bsorry\\b', '', 'g'), {_WHITE})), lambda x: x <> '' AND NOT regexp_matches(x, '^(import|set_option|open)')) AS chunks FROM benchmark),
+    j AS (SELECT doc_id, coalesce(code, '') AS code, len(list_filter(coalesce(chunks, []), lambda c: NOT contains(coalesce(d.code, ''), c))) AS missing FROM d LEFT JOIN s ON item_id = doc_id % 40)
+    SELECT doc_id, CASE WHEN code = '' THEN 'empty' WHEN contains(code, 'license') THEN 'forbidden: license' WHEN contains(code, 'axiom') THEN 'forbidden: axiom' WHEN missing > 0 THEN 'missing chunks: ' || missing ELSE '' END AS reason FROM j"""
+)
+def precheck(spark, sf):
+    d = views.table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    s = views.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("statement"))
+    return d.join(s, "item_id", "left").select("doc_id", T.precheck(F.col("text"), F.col("statement"), ["license", "axiom"])["reason"].alias("reason"))

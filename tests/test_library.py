@@ -85,10 +85,45 @@ def test_stagnation_and_pareto(spark):
 
 def test_lineage(spark):
     rows = spark.createDataFrame([(k, k - 1 if k else None) for k in range(20)] + [(50, 50), (51, 99)], "id int, parent_id int")
-    got = {r.id: (r.root, r.depth) for r in lineage.depths(rows, 32).collect()}
+    got = {r.id: (r.root, r.depth) for r in lineage.depths(rows).collect()}
     assert got == {k: (0, k) for k in range(20)} | {50: (50, 0), 51: (51, 0)}
 
 
+def test_long_chains_and_cycles(spark):
+    edges = [(k, k - 1 if k else None) for k in range(1000)] + [(2000, 2002), (2001, 2000), (2002, 2001), (2003, 2000), (3000, 0), (3001, 3000)]
+    rows = spark.createDataFrame(edges, "id int, parent_id int")
+    got = {r.id: (r.root, r.depth) for r in lineage.depths(rows).collect()}
+    assert got == {k: (0, k) for k in range(1000)} | {3000: (0, 1), 3001: (0, 2)}
+    assert {r.depth: r.rows for r in lineage.depth_counts(rows).collect()} == {k: 1 + (k in (1, 2)) for k in range(1000)}
+    best = spark.createDataFrame([(1, 999), (2, 3001), (3, 2003), (4, 777777)], "problem_id int, id int")
+    path = {}
+    for r in lineage.path_to_best(rows, best).collect():
+        path.setdefault(r.problem_id, {})[r.steps_back] = r.id
+    assert path == {1: {k: 999 - k for k in range(1000)}, 2: {0: 3001, 1: 3000, 2: 0}, 3: {0: 2003, 1: 2000, 2: 2002, 3: 2001}, 4: {0: 777777}}
+
+
+def test_statements(spark):
+    code = "-- note\nimport Mathlib\ndef helper := 1\n\n/- x -/ lemma  my_lemma (n : Nat) : True  := by\n  sorry -- y\n"
+    assert one(spark, code, T.canonical_statement) == "lemma  X (n : Nat) : True  := by\n  sorry"
+    assert [one(spark, x, T.statement_of) for x in ("None", " n/a ", "", None, "def a := 1")] == ["", "", "", "", "def a := 1"]
+    assert tuple(one(spark, "theorem t1 : p", lambda c: T.renamed(c, "X"))) == ("theorem X : p", "t1")
+    assert one(spark, "theorem t1 (a : p) : q", T.unnamed) == "(a : p) : q"
+    check = lambda x: tuple(one(spark, x, lambda c: T.precheck(c, F.lit("import M\n\ntheorem a : p := by sorry"), ["axiom"])))
+    assert check("-- only") == (False, "empty") and check("axiom b") == (False, "forbidden: axiom")
+    assert check("theorem a : q := by simp") == (False, "missing chunks: 1") and check("x\ntheorem a : p := by simp") == (True, "")
+
+
+def test_plans_for_what_is_missing(spark):
+    present = spark.createDataFrame([(1, 0, 4), (1, 2, 4)], "k int, i int, until int")
+    expected = spark.createDataFrame([(1, 4), (2, 3), (3, 0)], "k int, until int")
+    assert sorted(map(tuple, metrics.missing_ranges(present, ["k"], "i", "until", expected).collect())) == [(1, 1, 1), (1, 3, 3), (2, 0, 2)]
+    movers = spark.createDataFrame([(k, 1, k % 3, 1, 1.0 * k, 0) for k in range(90)], "id int, problem_id int, island_idx int, compile_ok int, combined_score double, parent_id int")
+    plan = select.migration_plan(movers).collect()
+    assert len(plan) == 9 and all(r.to_island in {0, 1, 2} - {r.island_idx} for r in plan)
+    assert len({(r.island_idx, r.to_island) for r in plan}) > 3
+    assert select.migration_plan(movers.where("island_idx = 0")).collect() == []
+
+
 def test_cosine(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([], []), ([0.0], [1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0]

@@ -92,19 +92,23 @@ def test_proofs_and_fences(spark):
     assert tuple(one(spark, "nothing", A.best_block)) == (None, "")
 
 
-def test_verdicts():
+def test_verdicts(spark):
     plain = '{"reasons": "r {", "is_assistant_correct": "Correct"}'
-    assert A.judge_verdict(plain) == ("Correct", "r {", "json")
-    assert A.judge_verdict(f"so {plain} ok")[::2] == ("Correct", "extracted_json")
-    assert A.judge_verdict('{"is_assistant_correct": "Incor')[0] is None
-    assert A.judge_verdict('"is_assistant_correct": "Incorrect')[::2] == ("Incorrect", "salvaged_key")
-    assert A.judge_verdict("It is not correct.\nIncorrect")[::2] == ("Incorrect", "salvaged_word")
-    assert A.judge_verdict(None) == (None, "", "failed") and A.judge_verdict("maybe")[2] == "failed"
+    nested = '{"a": {"b": 1}, "is_assistant_correct": "Incorrect"}'
+    outputs = [plain, f"so {plain} ok", '{"is_assistant_correct": "Incor', '"is_assistant_correct": "Incorrect', "It is not correct.\nIncorrect", None, "maybe", f"```json\n{plain}\n```", f"{plain} then {nested}", "correct " * 100 + "\nincorrect\n"]
+    rows = spark.createDataFrame(list(enumerate(outputs)), "k int, x string").select("k", A.verdict(F.col("x")).alias("v"))
+    got = [tuple(r.v) for r in sorted(rows.collect())]
+    assert got[0] == ("Correct", "r {", "json") and got[1] == ("Correct", "r {", "extracted_json")
+    assert got[2][0] is None and got[3][::2] == ("Incorrect", "salvaged_key") and got[4][::2] == ("Incorrect", "salvaged_word")
+    assert got[5] == (None, "", "failed") and got[6] == (None, "maybe", "failed")
+    assert got[7] == ("Correct", "r {", "json") and got[8][::2] == ("Incorrect", "extracted_json") and got[9][::2] == ("Incorrect", "salvaged_word")
 
 
 def test_text_pairs(spark):
-    assert A.change("theorem a : x y", "theorem b : x z z")[:5] == (5, 6, 4 / 7, 2, 1)
-    assert A.change(None, None)[2] == 1.0
+    pairs = spark.createDataFrame([(1, "theorem a : x y", "theorem b : x z z"), (2, None, None), (3, "", "w")], "k int, a string, b string")
+    got = {r.k: tuple(r)[1:] for r in A.change_stats(pairs, ["k"], "a", "b").collect()}
+    assert got[1][:5] == (5, 6, pytest.approx(4 / 7), 2, 1) and got[1][5] == 1.2
+    assert got[2] == (0, 0, 1.0, 0, 0, 0.0, 1.0) and got[3] == (0, 1, 0.0, 1, 0, 1.0, 0.0)
     rows = [("theorem a : p", "theorem  b :\n p"), ("", ""), ("x", None)]
     assert [r[0] for r in many(spark, rows, "a string, b string", A.similarity_ratio(F.col("a"), F.col("b")))] == [1.0, 1.0, 0.0]
 
