@@ -3,9 +3,11 @@ aggregates over a stream of results."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,34 +28,49 @@ def archive_fold(kept: list[tuple], row: tuple, size: int) -> list[tuple]:
 
 
 def batch_archive(rows: DataFrame, size: int) -> DataFrame:
-    """Replays rows (run_id, id, seq, key, score, correct) in seq order and returns each run's
-    archive. Only the columns that the fold needs are shuffled."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            kept = archive_fold(kept, (r.score, r.seq, r.key, r.id), size)
-        run = pdf["run_id"].iloc[0] if len(pdf) else None
-        return pd.DataFrame([(run, k[3], k[0], k[1]) for k in kept], columns=["run_id", "id", "score", "seq"])
-
-    need = rows.where("correct = 1").select("run_id", "id", "seq", "key", "score")
-    return need.groupBy("run_id").applyInPandas(fold, RESULT)
+    """Replays rows (run_id, id, seq, key, score, correct) in the order of seq and id, and returns each
+    run's archive. Rows without a seq come last; those without a score are left out. Spark sorts, with
+    spill, only the columns that the fold needs; a task holds a batch of rows and at most `size` members,
+    however long a run is. A run's replay is sequential by nature: its rows go through one task."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, kept, begun = None, [], False
+
+        def members() -> pa.RecordBatch:
+            found = [(run, k[3], k[0], None if k[1] == math.inf else k[1]) for k in kept]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["run_id", "id", "score", "seq"])
+
+        for b in batches:
+            for r in zip(*[b.column(c).to_pylist() for c in ("run_id", "id", "seq", "key", "score")]):
+                if begun and r[0] != run:
+                    yield members()
+                    kept = []
+                run, begun = r[0], True
+                kept = archive_fold(kept, (r[4], math.inf if r[2] is None else r[2], r[3], r[1]), size)
+        if begun:
+            yield members()
+
+    types = {"run_id": "long", "id": "long", "seq": "long", "key": "string", "score": "double"}
+    need = rows.where("correct = 1 and score is not null").select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+    in_order = need.repartition("run_id").sortWithinPartitions("run_id", F.col("seq").asc_nulls_last(), "id")
+    return in_order.mapInArrow(fold, RESULT)
 
 
 def stream_archive(stream: DataFrame, size: int) -> DataFrame:
     """The same over a stream: one state for each run of at most `size` members; each batch emits
-    the archive of the runs it touched. Rows of a batch are folded in seq order."""
+    the archive of the runs it touched. Rows of a batch are folded in the order of seq and id; those
+    without a score are left out."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("seq")
+        rows = pd.concat(list(batches)).sort_values(["seq", "id"])
         for r in rows.itertuples(index=False):
             kept = archive_fold(kept, (r.score, r.seq, r.key, r.id), size)
         state.update(tuple(list(x) for x in zip(*kept)))
         yield pd.DataFrame([(key[0], k[3], k[0], k[1]) for k in kept], columns=["run_id", "id", "score", "seq"])
 
     state = "scores array<double>, seqs array<long>, keys array<string>, ids array<long>"
-    need = stream.where("correct = 1").select("run_id", "id", "seq", "key", "score")
+    need = stream.where("correct = 1 and score is not null").select("run_id", "id", "seq", "key", "score")
     return need.groupBy("run_id").applyInPandasWithState(fold, RESULT, state, "update", "NoTimeout")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -145,6 +146,34 @@ def test_archive_replay_equals_stream(spark, tmp_path):
     assert {tuple(r) for r in out} == want
 
 
+def test_archive_of_long_and_unnamed_runs(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice([1, 1, 1, 2, None]), k, draw.choice([None, *[draw.randrange(500)] * 9]), f"key{draw.randrange(60)}", draw.choice([None, *[draw.randrange(9) / 2] * 9]), draw.randrange(4) > 0) for k in range(3000)]
+    df = spark.createDataFrame(rows, "run_id long, id long, seq long, key string, score double, correct boolean").withColumn("correct", F.col("correct").cast("int"))
+    kept: dict = {}
+    for run, ident, seq, key, score, ok in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+        if not ok or score is None:
+            continue
+        own = kept.setdefault(run, [])
+        if key in [k[3] for k in own]:
+            continue
+        if len(own) == 5:
+            worst = min(own, key=lambda k: (k[0], k[1] is None, k[1] or 0))
+            if score < worst[0]:
+                continue
+            own.remove(worst)
+        own.append((score, seq, ident, key))
+    want = {(run, k[2], k[0], k[1]) for run, own in kept.items() for k in own}
+    assert {tuple(r) for r in archive.batch_archive(df.repartition(5), 5).collect()} == want and len(want) == 15
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:  # runs go on over many batches
+        assert {tuple(r) for r in archive.batch_archive(df, 5).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert archive.batch_archive(df.where("false"), 5).collect() == []
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_against_sql(spark, name):
