@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space and words, as every contract here has them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,16 +72,30 @@ def free_name(name: str, docs: DataFrame) -> str:
     return name
 
 
+def _has_map(kind: T.DataType) -> bool:
+    """Whether a type is or holds a map, which Spark does not hash."""
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return _has_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_turn(rows: DataFrame, places: Column) -> Column:
+    """One of `places` numbers from 0, by a hash of the whole row: a task that runs again, over rows in
+    any order, deals each row as before."""
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if not _has_map(f.dataType)]
+    return F.pmod(F.xxhash64(F.lit(7), *hashed), places)
+
+
 def join_spread(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", total: int | None = None, pieces: int = 10_000) -> DataFrame:
     """rows joined with keyed (one row a key, n: how many of rows have it) on key; n is left out.
 
     A key that more than 1 / pieces of the rows have is dealt to several places, its row of keyed being
-    sent to each, so that no task gets a hot key whole. At most `pieces` keys can be that frequent:
+    sent to each, so that no task gets a hot key whole. A hash of the row says which place. At most `pieces` keys can be that frequent:
     only their names and numbers are broadcast. total: the sum of n, counted where it is not given."""
     per = max(1, ((keyed.agg(F.sum(n)).first()[0] if total is None else total) or 0) // pieces)
     deals = F.ceil(F.col(n) / per).cast("int")
     hot = keyed.where(F.col(n) > per).select(key, deals.alias("_deals"))
-    turn = F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_deals"))).cast("int")
+    turn = F.when(F.col("_deals").isNull(), 0).otherwise(row_turn(rows, F.col("_deals"))).cast("int")
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", turn).drop("_deals")
     places = F.sequence(F.lit(0), F.when(F.col(n) > per, deals - 1).otherwise(0))
     return dealt.join(keyed.withColumn("_deal", F.explode(places)).drop(n), [key, "_deal"]).drop("_deal")

@@ -45,7 +45,7 @@ def cross_site_occurrences(docs: DataFrame, site: str = "source", min_sites: int
     spread = durable(seen.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.count("*").alias("n"), F.min(place).alias("first")))
     band = 4 * 1.04 / 2 ** (lg_k / 2)  # four standard errors of the sketch
     near = spread.where(F.col("sites").between(min_sites * (1 - band) - 1, min_sites * (1 + band) + 1)).select("hash", "n")
-    exact = join_spread(seen.select("hash", "site"), near, "hash").distinct().groupBy("hash").count().where(F.col("count") >= min_sites).select("hash")
+    exact = join_spread(seen.select("hash", "site", "key_id", "key_text", "pos"), near, "hash").select("hash", "site").distinct().groupBy("hash").count().where(F.col("count") >= min_sites).select("hash")
     sure = spread.where(F.col("sites") > min_sites * (1 + band) + 1)
     common = durable(sure.select("hash", "n", "first").union(spread.join(exact, "hash").select("hash", "n", "first")))
     return join_spread(seen, common, "hash").where(place != F.col("first")).select("key_id", "key_text", "pos")

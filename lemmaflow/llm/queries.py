@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaflow.llm.common import read
+from lemmaflow.llm.divergence import source_divergence
 from lemmaflow.llm.licenses import scan_licenses
 from lemmaflow.llm.lines import remove_cross_site_lines
 from lemmaflow.llm.mixing import mix_report
@@ -61,6 +62,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents")).drop("notices")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"), min_docs=30, most_terms=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_spread": op2_line_spread,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,4 +121,42 @@ ORACLES: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE "rank" <= 20
     """,
+    "op13_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), words AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+        ), kept AS (
+            SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+        ), langs AS (
+            SELECT d.lang, (SELECT coalesce(sum(n), 0) FROM kept k WHERE k.lang = d.lang) AS total, (SELECT count(*) FROM kept k WHERE k.lang = d.lang) AS v
+            FROM (SELECT DISTINCT lang FROM docs) d
+        ), counts AS (
+            SELECT w.lang, w.source, w.term, count(*) AS n FROM words w SEMI JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL
+        ), groups AS (
+            SELECT DISTINCT lang, source FROM docs
+        ), shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + (1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT)) // CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) + 5 * l.v AS HUGEINT) AS p,
+                   1 + (1000000000 * CAST(k.n + 5 AS HUGEINT)) // CAST(l.total + 5 * l.v AS HUGEINT) AS q
+            FROM groups g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang
+            LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), rows AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS "rank"
+            FROM rows
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR "rank" <= 50
+    """,
 }
