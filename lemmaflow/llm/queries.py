@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lemmaflow.llm.common import read
 from lemmaflow.llm.divergence import source_divergence
 from lemmaflow.llm.licenses import scan_licenses
 from lemmaflow.llm.lines import remove_cross_site_lines
 from lemmaflow.llm.mixing import mix_report
+from lemmaflow.llm.negatives import hard_negatives
 from lemmaflow.llm.packing import pack_minimum_slack
+from lemmaflow.llm.privacy import privacy_report
 from lemmaflow.llm.quality import quality_verdicts
 from lemmaflow.llm.simhash import simhash_components
 from lemmaflow.llm.spans import remove_repeated_spans
@@ -62,6 +65,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents")).drop("notices")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy_report(read(spark, sf_dir, "documents"), window=8, share=0.8, contexts=3, bits=20.0, letters=3)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), anchors=F.col("id") % 100 == 0, label=shifted, positives=5, k=5, low=80, high=100, scale=256)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read(spark, sf_dir, "documents"), min_docs=30, most_terms=50)
 
@@ -77,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op11_pii": op11_pii,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -121,6 +135,22 @@ ORACLES: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE "rank" <= 20
     """,
+    "op12_hard_negatives": """
+        WITH whole AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.id AS anchor_id, c.id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+            FROM whole a JOIN whole c ON a.id <> c.id AND len(a.v) = len(c.v) WHERE a.id % 100 = 0
+        ), positive AS (
+            SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS "rank", n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+        QUALIFY "rank" <= 5
+    """,
     "op13_source_divergence": r"""
         WITH docs AS (
             SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

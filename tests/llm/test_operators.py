@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lemmaflow.llm import licenses, lines, mixing, packing, quality, simhash, spans, tokens, topk, toxicity
+from lemmaflow.llm import divergence, licenses, lines, mixing, negatives, packing, quality, simhash, spans, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key_id string, score double, pop int"
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
@@ -460,3 +460,97 @@ def test_empty_tables(spark, docs):
         toxicity.toxicity_scores(none, labels), licenses.scan_licenses(none), topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ):
         assert out.collect() == []
+
+
+def _hard_negatives(rows, positives=5, k=5):
+    """Brute force over (id, label, vector) rows of whole numbers."""
+    out = []
+    for a in {(i, l, v) for i, l, v in rows if i % 100 == 0}:
+        score = lambda r: sum(x * y for x, y in zip(a[2], r[2]))
+        others = sorted({(-score(r), r[0], r) for r in set(rows) if r != a and len(r[2]) == len(a[2])})
+        for low, i, r in [o for o in others if o[2][1] == a[1]][:positives]:
+            fit = [o for o in others if o[2][1] != a[1] and 80 * -low <= 100 * -o[0] <= 100 * -low][:k]
+            out += [(a[0], i, n + 1, o[1], -low, -o[0]) for n, o in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block,group", [(4096, 4096), (50, 2)])
+def test_hard_negatives_match_brute_force(spark, block, group):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(21)
+    rows = [(k, int(rng.integers(0, 3)), [float(x) for x in rng.normal(size=3)]) for k in range(400)]
+    rows += [(k, 1, [0.5, 0.25, 0.125]) for k in range(400, 440)]  # ties
+    rows += [(100, 1, [0.0, 1.0, 0.0]), (100, 1, [0.0, 1.0, 0.0]), (-200, 2, [1.0, 1.0, 1.0]), (500, 1, [2.0, 1.0]), (501, 1, [1.0, 1.0]), (502, 0, [1.0, 1.5]), (600, 1, []), (601, 1, [])]
+    rows += [(1000, 0, [0.0, 0.0, 0.0])]
+    out = [(None, 1, [1.0, 1.0, 1.0]), (700, None, [9.0, 9.0, 9.0]), (800, 1, None), (801, 1, [9.0, None, 9.0]), (802, 1, [float("nan"), 9.0, 9.0]), (803, 1, [float("inf"), 9.0, 9.0])]
+    table_ = spark.createDataFrame([(*r, "x", 1) for r in rows + out], "vec_id long, label int, embedding array<double>, h string, score int")
+    got = negatives.hard_negatives(table_, anchors=F.col("id") % 100 == 0, label=F.when(F.col("id") % 7 == 0, F.col("label") + 1).otherwise(F.col("label")), block=block, anchor_block=group)
+    whole = [(i, l + (i % 7 == 0), tuple(int(np.floor(256 * x)) for x in v)) for i, l, v in rows]
+    assert sorted(map(tuple, got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())) == _hard_negatives(whole)
+
+
+def test_hard_negatives_of_great_numbers(spark):
+    from pyspark.sql import functions as F
+
+    great = [(0, 0, [2.0**20 + 1]), (1, 0, [2.0**21 + 1]), (2, 1, [2.0**21 - 1]), (3, 1, [2.0**21])]
+    table_ = spark.createDataFrame(great, "vec_id long, label int, embedding array<double>")
+    whole = [(i, l, tuple(int(256 * x) for x in v)) for i, l, v in great]
+    assert sorted(map(tuple, negatives.hard_negatives(table_, anchors=F.col("id") == 0).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())) == _hard_negatives(whole)
+    beyond = spark.createDataFrame([(0, 0, [1e300]), (1, 0, [1e300]), (2, 1, [1e300])], "vec_id long, label int, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits"):
+        negatives.hard_negatives(beyond, anchors=F.col("id") == 0).collect()
+
+
+@pytest.mark.parametrize("n,dim,same", [(1500, 8, False), (1500, 3, True), (40, 2, False), (1, 2, False)])
+def test_cover_tree_covers(n, dim, same):
+    rng = np.random.default_rng(5)
+    rows = np.floor(256 * (np.repeat(rng.normal(size=(n // 50 + 1, dim)), 50, axis=0)[:n] + (0 if same else 0.1) * rng.normal(size=(n, dim))))
+    tree = negatives.cover_tree(rows)
+    points = negatives.lifted(rows)[tree["order"]]
+    assert sorted(tree["order"].tolist()) == list(range(n)) and (tree["start"][0], tree["stop"][0]) == (0, n)
+    for k in range(len(tree["start"])):
+        own = points[tree["start"][k] : tree["stop"][k]]
+        assert tree["start"][k] <= tree["centre"][k] < tree["stop"][k]
+        assert np.isclose(np.sqrt(((own - points[tree["centre"][k]]) ** 2).sum(axis=1)).max(), tree["radius"][k])
+        low, high = tree["child"][k]
+        if low < high:  # a node's children share out its rows
+            assert (tree["start"][low], tree["stop"][high - 1]) == (tree["start"][k], tree["stop"][k])
+            assert (tree["start"][low + 1 : high] == tree["stop"][low : high - 1]).all()
+    one = np.array([2**62])
+    best, seen = negatives.descend(tree, rows[tree["order"]], np.arange(n), np.ones(n, bool), rows[tree["order"]][0], -one, one, 1)
+    assert best[0][0][0] == (rows @ rows[tree["order"]][0]).max()
+    assert n < 1000 or seen < n / 2  # bounds skip most of clustered rows
+
+
+def test_divergence_of_small_tables(spark):
+    rows = [(None, "a\nb b", None, None), (1, "a A b", "en", "x"), (2, "a A b", "en", "x"), (3, "a c", "en", "y"), (4, None, "en", "z"), (5, "éé É 1", "fr", None), (6, "", "fr", "q")]
+    df = spark.createDataFrame([(i, t, l, s, "k") for i, t, l, s in rows], "doc_id long, text string, lang string, source string, key string")
+    got = {tuple(r) for r in divergence.source_divergence(df, min_docs=2, most_terms=1).collect()}
+    # en keeps a (5 times) and b (2): x has 4 and 2, y has 1 and 0, z none
+    share = lambda n, total: 1 + 10**9 * (n + 5) // (total + 10)
+    p = {"x": (share(4, 6), share(2, 6)), "y": (share(1, 1), share(0, 1)), "z": (share(0, 0), share(0, 0)), "": (share(5, 7), share(2, 7))}
+    want = set()
+    for a in "xyz":
+        values = sorted((-sum(abs(u - w) for u, w in zip(p[a], p[b])), b) for b in "xyz" if b != a)
+        want |= {("en", a, "pair", b, -v, k + 1) for k, (v, b) in enumerate(values)}
+        above = sorted((-(u - w), t) for u, w, t, n in zip(p[a], p[""], "ab", {"x": (4, 2), "y": (1, 0), "z": (0, 0)}[a]) if n and u > w)
+        want |= {("en", a, "term", t, -v, k + 1) for k, (v, t) in enumerate(above[:1])}
+    want |= {("fr", "", "pair", "q", 0, 1), ("fr", "q", "pair", "", 0, 1)}
+    assert got == want
+    assert divergence.source_divergence(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_line_spread", "op7_topk", "op12_hard_negatives", "op13_source_divergence"])
+def test_query_against_its_sql(spark, name):
+    import duckdb
+
+    from lemmaflow.llm import queries
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, folder)
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    want = con.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall()
+    assert want and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
