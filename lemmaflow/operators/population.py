@@ -173,47 +173,6 @@ def bandit_fold(log: DataFrame, decay: float = 0.95) -> DataFrame:
     return rows.groupBy("bandit", "arm").agg(F.sum("_w").alias("pulls"), F.sum(F.col("_w") * F.col("gain")).alias("total"))
 
 
-def bandit_log_totals(log: DataFrame, decay: float = 0.95, chunk: int = 4096) -> DataFrame:
-    """(bandit, arm, pulls, log_total) after a whole log (bandit, seq, arm, gain), totals being kept
-    in log space: a gain z adds exp(z) - 1 to an arm's total S, and every reward of the bandit then
-    shrinks all arms' totals to f * S / (1 + (1 - f) * S). log_total is log S, -inf if S is 0; gains
-    that are null count as 0, those over 300 as 300, so that no total overflows.
-
-    Adding and shrinking are fractions of linear terms, so a run of them is a 2 x 2 matrix, and k
-    shrinks are one shrink by f^k. An arm's pulls are folded to a matrix in chunks of at most `chunk`
-    sequence places, and then the chunks' matrices, a row each, are multiplied.
-    """
-    f = F.lit(float(decay))
-    place = Window.partitionBy("bandit").orderBy("seq")
-    rows = log.withColumns({"_n": F.row_number().over(place), "_last": F.count("*").over(Window.partitionBy("bandit"))})
-    arm = Window.partitionBy("bandit", "arm").orderBy("_n")
-    gap = (F.coalesce(F.lead("_n").over(arm), F.col("_last") + 1) - F.col("_n")).cast("double")  # shrinks until the arm's next pull
-    rows = rows.select(
-        "bandit", "arm", F.floor(F.col("_n") / chunk).alias("_c"), "_n",
-        F.expm1(F.least(F.coalesce("gain", F.lit(0.0)), F.lit(300.0))).alias("g"), F.pow(f, gap).alias("p"), F.pow(f, (F.col("_last") - F.col("_n") + 1).cast("double")).alias("w"),
-    )
-    unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d"))
-
-    def scaled(a: Column, b: Column, c: Column, d: Column) -> Column:
-        top = F.greatest(F.abs(a), F.abs(b), F.abs(c), F.abs(d))  # a common factor does not matter
-        return F.struct((a / top).alias("a"), (b / top).alias("b"), (c / top).alias("c"), (d / top).alias("d"))
-
-    def pull(m: Column, x: Column) -> Column:
-        a, b, q = m["a"] + x["g"] * m["c"], m["b"] + x["g"] * m["d"], 1 - x["p"]
-        return scaled(x["p"] * a, x["p"] * b, q * a + m["c"], q * b + m["d"])
-
-    def then(m: Column, x: Column) -> Column:
-        y = x["m"]
-        return scaled(y["a"] * m["a"] + y["b"] * m["c"], y["a"] * m["b"] + y["b"] * m["d"], y["c"] * m["a"] + y["d"] * m["c"], y["c"] * m["b"] + y["d"] * m["d"])
-
-    parts = rows.groupBy("bandit", "arm", "_c").agg(F.sum("w").alias("w"), F.array_sort(F.collect_list(F.struct("_n", "g", "p"))).alias("x"))
-    parts = parts.select("bandit", "arm", "w", "_c", F.aggregate("x", unit, pull).alias("m"))
-    whole = parts.groupBy("bandit", "arm").agg(F.sum("w").alias("pulls"), F.array_sort(F.collect_list(F.struct("_c", "m"))).alias("x"))
-    m = F.aggregate("x", unit, then)
-    total = whole.select("bandit", "arm", "pulls", m.alias("m"))
-    return total.select("bandit", "arm", "pulls", F.when(F.col("m.b") > 0, F.log("m.b") - F.log("m.d")).otherwise(F.lit(float("-inf"))).alias("log_total"))
-
-
 def bandit_stream(log: DataFrame, decay: float = 0.95) -> DataFrame:
     """The same over a stream, one small state (arms) for each bandit; a batch's rows in seq order."""
 

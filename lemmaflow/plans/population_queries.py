@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaflow.operators import lineage, metrics, select, vectors
+from lemmaflow.operators import bandits, lineage, metrics, select, vectors
 from lemmaflow.operators import population as G
 from lemmaflow.plans import views
 from lemmaflow.plans.queries import _rounded, query
@@ -160,18 +160,21 @@ def bandit_state(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE l AS (SELECT user_id AS bandit, event_type AS arm, least(greatest(coalesce(value - 10, 0), 0), 300) AS z, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-    step AS (SELECT DISTINCT bandit, arm, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS pulls, CAST(0 AS DOUBLE) AS s FROM l
+    """WITH RECURSIVE l AS (SELECT user_id AS bandit, event_type AS arm, CASE WHEN value > 10 THEN (value - 10) * 3 + ln(1 - exp((10 - value) * 3)) END AS g, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    step AS (SELECT DISTINCT bandit, arm, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS pulls, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS DOUBLE) AS top FROM l
         UNION ALL
-        SELECT bandit, arm, n, 0.95 * (pulls + hit), 0.95 * s / (1 + 0.05 * s) FROM (
-            SELECT step.bandit, step.arm, l.n, pulls, CAST(l.arm = step.arm AS INTEGER) AS hit, s + CASE WHEN l.arm = step.arm THEN exp(z) - 1 ELSE 0 END AS s
-            FROM step JOIN l ON l.bandit = step.bandit AND l.n = step.n + 1))
-    SELECT bandit, arm, round(pulls, 6) AS pulls, CASE WHEN s > 0 THEN round(ln(s), 6) END AS log_total FROM step QUALIFY n = max(n) OVER (PARTITION BY bandit)"""
+        SELECT bandit, arm, n, pulls, s, CASE WHEN top IS NOT NULL THEN greatest(ln(0.95) - CASE WHEN top > 0 THEN ln(0.05 + exp(-top)) ELSE ln(1 + 0.05 * exp(top)) - top END, max(s - ln(greatest(pulls, 1e-7))) OVER (PARTITION BY bandit)) END FROM (
+            SELECT bandit, arm, n, pulls, ln(0.95) - CASE WHEN s > 0 THEN ln(0.05 + exp(-s)) ELSE ln(1 + 0.05 * exp(s)) - s END AS s, top FROM (
+                SELECT step.bandit, step.arm, l.n, 0.95 * (pulls + CAST(l.arm = step.arm AS INTEGER)) AS pulls, greatest(top, l.g) AS top,
+                       CASE WHEN l.arm = step.arm AND g IS NOT NULL THEN coalesce(greatest(s, g) + ln(1 + exp(-abs(s - g))), g) ELSE s END AS s
+                FROM step JOIN l ON l.bandit = step.bandit AND l.n = step.n + 1)))
+    SELECT bandit, arm, round(pulls, 6) AS pulls, round(s, 6) AS log_total, round(top, 6) AS log_range FROM step QUALIFY n = max(n) OVER (PARTITION BY bandit)"""
 )
 def bandit_log_state(spark, sf):
-    e = views.table(spark, sf, "events").select(F.col("user_id").alias("bandit"), F.col("event_id").alias("seq"), F.col("event_type").alias("arm"), G.gain(F.col("value"), F.lit(10.0)).alias("gain"))
-    totals = G.bandit_log_totals(e)
-    return _rounded(totals.withColumn("log_total", F.when(F.col("log_total") > float("-inf"), F.col("log_total"))))
+    e = views.table(spark, sf, "events").select(F.col("user_id").alias("bandit"), F.col("event_id").alias("seq"), F.col("event_type").alias("arm"), (G.gain(F.col("value"), F.lit(10.0)) * 3).alias("gain"))
+    totals = bandits.bandit_log_totals(e)
+    some = lambda c: F.when(F.col(c) > bandits.NONE, F.col(c))
+    return _rounded(totals.withColumns({c: some(c) for c in ("log_total", "log_range")}))
 
 
 @query(

@@ -4,12 +4,14 @@ import json
 import math
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import answers as A
 from lemmaflow.functions import text as T
 from lemmaflow.operators import attempts as P
+from lemmaflow.operators import bandits as B
 from lemmaflow.operators import compare, metrics, vectors
 from lemmaflow.operators import population as G
 from lemmaflow.sources import readers as R
@@ -175,27 +177,70 @@ def test_bandit_stream_equals_fold(spark, tmp_path):
     assert near(out) == near(G.bandit_fold(log).collect())
 
 
-def test_bandit_log_totals(spark):
-    """Against the plain fold, over several chunks, with nulls, no gain, large gains and ties in gain."""
-    gains = [None, 0.0, 1.5, 400.0, 0.2, 900.0, 0.2]
-    log = [(k % 2, k, f"a{k % 3}", gains[k % 7] if k % 3 else 0.0) for k in range(60)]
+def _bandit_log(n=60):
+    gains = [None, 0.0, 1.5, 400.0, 0.2, 900.0, 0.2, -3.0]
+    return [(k % 2, k, f"a{k % 3}", gains[k % 8] if k % 3 and k < 50 else 0.0) for k in range(n)] + [(7, 0, "x", None), (7, 1, "x", 0.0), (8, 0, "x", 1000.0), (9, 0, "x", 400.0)] + [(10, k, "y" if k else "x", 0.01) for k in range(400)]
+
+
+def _plain_states(log, decay):
+    """One bandit's log step by step: pulls and log total of each arm, and the range."""
+    arms, top = {}, B.NONE
+    for arm, z in log:
+        own = arms.setdefault(arm, [0.0, B.NONE])
+        g = math.log(math.expm1(z)) if z and 0 < z < 50 else z if z and z > 0 else B.NONE
+        own[0], own[1], top = own[0] + 1.0, float(np.logaddexp(own[1], g)), max(top, g)
+        fewer = lambda x: x + math.log(decay) - float(np.logaddexp(0.0, x + math.log(1 - decay))) if decay < 1 else x
+        for x in arms.values():
+            x[0], x[1] = x[0] * decay, fewer(x[1])
+        if top > B.NONE:
+            top = max(fewer(top), *(x[1] - math.log(max(x[0], 1e-7)) for x in arms.values()))
+    return {a: (p, t) for a, (p, t) in arms.items()}, top
+
+
+def _plain_bandits(log, decay):
+    out = {}
+    for bandit in {r[0] for r in log}:
+        arms, top = _plain_states([(arm, z) for b, _, arm, z in log if b == bandit], decay)
+        out |= {(bandit, a): (pytest.approx(p), pytest.approx(t, abs=1e-9), pytest.approx(top, abs=1e-9)) for a, (p, t) in arms.items()}
+    return out
+
+
+@pytest.mark.parametrize("decay,chunk", [(0.95, 4), (0.95, 65536), (1.0, 7)])
+def test_bandit_log_totals(spark, decay, chunk):
+    """Against the step by step fold, over several chunks, with nulls, no gain, gains beyond the range of exp and a long idle arm."""
+    df = spark.createDataFrame(_bandit_log(), "bandit long, seq long, arm string, gain double")
+    got = {(r.bandit, r.arm): (r.pulls, r.log_total, r.log_range) for r in B.bandit_log_totals(df, decay, chunk).collect()}
+    assert got == _plain_bandits(_bandit_log(), decay)
+    assert B.bandit_log_totals(df.limit(0)).collect() == []
+    if decay == 1.0:  # nothing shrinks: totals are the gains
+        assert (got[8, "x"][1], got[9, "x"][1]) == (1000.0, 400.0)
+
+
+def test_gains_of_any_size_differ_at_once():
+    f = 0.95  # a total shrinks to about f / (1 - f) whatever the gain, but not before the reward is over
+    assert B.log_add(B.NONE, B.log_gain(400.0)) == 400.0 and B.log_add(B.NONE, B.log_gain(1000.0)) == 1000.0
+    for z in (400.0, 1000.0):
+        assert _plain_states([("x", z)], f)[0]["x"][1] == pytest.approx(math.log(f / (1 - f)))
+    assert _plain_states([("x", 1.0)], f)[0]["x"][1] == pytest.approx(math.log(f * math.expm1(1) / (1 + (1 - f) * math.expm1(1))))
+
+
+def test_bandit_log_stream_equals_batch(spark, tmp_path):
+    log = [r for r in _bandit_log() if r[0] < 10]
     df = spark.createDataFrame(log, "bandit long, seq long, arm string, gain double")
-    for f in (0.95, 1.0):
-        want = {}
-        for bandit, _, arm, g in log:
-            want.setdefault((bandit, arm), [0.0, 0.0])
-            want[bandit, arm][0] += 1
-            want[bandit, arm][1] += math.expm1(min(g or 0.0, 300.0))
-            for (b, _), s in want.items():
-                if b == bandit:
-                    s[0], s[1] = s[0] * f, f * s[1] / (1 + (1 - f) * s[1])
-        for chunk in (4, 4096):
-            got = {(r.bandit, r.arm): (r.pulls, r.log_total) for r in G.bandit_log_totals(df, f, chunk).collect()}
-            assert got.keys() == want.keys()
-            for key, (pulls, total) in want.items():
-                assert got[key][0] == pytest.approx(pulls)
-                assert got[key][1] == (pytest.approx(math.log(total), abs=1e-9) if total else -math.inf)
-    assert G.bandit_log_totals(df.limit(0)).collect() == []
+    for k, part in enumerate((df.where("seq < 20"), df.where("seq >= 20"))):  # one file a batch
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = {}
+    q = B.bandit_log_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, _: out.update({(r.bandit, r.arm): (r.pulls, r.log_total, r.log_range) for r in b.collect()})).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert out == _plain_bandits(log, 0.95)
+
+
+def test_arm_scores(spark):
+    state = spark.createDataFrame([(1, "a", 2.0, 3.0, 4.0, 3), (1, "b", 1.0, -math.inf, 4.0, 1), (2, "a", 1.0, -math.inf, -math.inf, 1)], "bandit long, arm string, pulls double, log_total double, log_range double, n long")
+    got = {(r.bandit, r.arm): (r.mean, r.score) for r in B.arm_scores(state).collect()}
+    assert got[1, "a"] == (pytest.approx(math.exp(-1) / 2), pytest.approx(math.exp(-1) / 2 + math.sqrt(2 * math.log(4) / 3)))
+    assert got[1, "b"] == (0.0, pytest.approx(math.sqrt(2 * math.log(4)))) and got[2, "a"][0] == 0.0
 
 
 def test_text_archive_stream_equals_batch(spark, tmp_path):
