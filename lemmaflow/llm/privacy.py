@@ -121,7 +121,7 @@ def in_bitmap(word: Column, held: list[int]) -> Column:
     return F.getbit(F.get(numbers, F.shiftright(h, 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
 
 
-def revealing_words(docs: DataFrame, found: DataFrame, share: float = 0.8, contexts: int = 3, bits: float = 20.0, letters: int = 3, text_col: str = "text") -> DataFrame:
+def revealing_words(docs: DataFrame, found: DataFrame, share: float = 0.95, contexts: int = 3, bits: float = 20.0, letters: int = 3, text_col: str = "text") -> DataFrame:
     """(word, removed, share): the words that reveal an entity, whether they are to be removed or generalised to their
     first `letters` characters, and the greatest share of an entity's information that they reveal.
 
@@ -157,7 +157,7 @@ def revealing_words(docs: DataFrame, found: DataFrame, share: float = 0.8, conte
     return durable(judged.groupBy("word").agg(F.max(removed).alias("removed"), F.max("revealed").alias("share")))
 
 
-def private_spans(docs: DataFrame, window: int = 8, share: float = 0.8, contexts: int = 3, bits: float = 20.0, letters: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def private_spans(docs: DataFrame, window: int = 8, share: float = 0.95, contexts: int = 3, bits: float = 20.0, letters: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key_id, key_text, email, ip, card, phone, generalised, removed), one row for every row of docs: arrays of
     (kind, start, end, value) by start, places in code points, end exclusive.
 

@@ -66,7 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy_report(read(spark, sf_dir, "documents"), window=8, share=0.8, contexts=3, bits=20.0, letters=3)
+    return privacy_report(read(spark, sf_dir, "documents"), window=8, share=0.95, contexts=3, bits=20.0, letters=3)
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def around(text, kind, start, end, window=8):
     return masked[0][-window:] + masked[1][:window]
 
 
-def revealing(texts, share=0.8, contexts=3, bits=20.0, letters=3):
+def revealing(texts, share=0.95, contexts=3, bits=20.0, letters=3):
     every = Counter(w for t in texts for w in re.findall(WORD, lower(t)))
     prefixes, total = Counter(), sum(every.values())
     for w, n in every.items():
