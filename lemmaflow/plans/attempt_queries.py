@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import answers as A
+from lemmaflow.functions import sql
 from lemmaflow.functions import text as T
 from lemmaflow.operators import attempts as P
 from lemmaflow.operators import compare, metrics
@@ -202,15 +203,84 @@ def trivial_statements(spark, sf):
     return d.select("doc_id", *[T.is_trivial(code, k).alias(f"level{k}") for k in (1, 2, 3)])
 
 
+#: What a judge might have said about a turn: raw text, or a text around JSON of the turn's own words, broken off or whole.
+_SAID = """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, CAST(conv_id * 7 + turn AS BIGINT) % 6 AS how, CASE WHEN length(coalesce(text, '')) % 3 = 0 THEN 'incorrect' ELSE 'Correct' END AS word FROM conversations), o AS (
+    SELECT conv_id, turn, how, CASE how
+        WHEN 0 THEN text
+        WHEN 1 THEN '{"a": {"b": {"c": [1, {"d": "}"}]}}, "reasons": ' || to_json(text) || ', "is_assistant_correct": "' || word || '"}'
+        WHEN 2 THEN replace(text, '"', ' ') || chr(10) || 'is it {this}? {"a": {"b": {"c": {}}}, "is_assistant_correct": ["correct", "' || word || '"]} so'
+        WHEN 3 THEN replace(replace(text, '"', ' '), '{', ' ') || chr(10) || '{"reasons": "cut", "is_assistant_correct": "' || word
+        WHEN 4 THEN replace(text, '"', ' ') || chr(10) || 'the verdict "' || word || '" is final, ' || left(text, 40)
+        ELSE text || chr(10) || '  ' || word || '  ' END AS said FROM c)"""
+
+
 @query(
-    """SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'Incorrect' ELSE 'Correct' END AS verdict, CASE turn % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'extracted_json' WHEN 2 THEN 'salvaged_key' ELSE 'extracted_json' END AS method FROM conversations"""
+    _SAID
+    + """, v AS (SELECT *, trim(said, ' ' || chr(9) || chr(10) || chr(13)) AS clean FROM o), j AS (
+        SELECT *, json_valid(clean) AND clean LIKE '{%' AS whole, regexp_extract(clean, '(?s)[{]"a".*[}]') AS part, regexp_extract_all(clean, '(?i)\\b(correct|incorrect)\\b') AS words FROM v)
+    SELECT conv_id, turn, CASE WHEN len(words) > 0 THEN upper(left(words[-1], 1)) || lower(substring(words[-1], 2)) END AS verdict,
+        CASE WHEN whole AND json_extract(clean, '$.is_assistant_correct') IS NOT NULL THEN 'json' WHEN json_valid(part) AND json_extract(part, '$.is_assistant_correct') IS NOT NULL THEN 'extracted_json'
+             WHEN regexp_matches(clean, 'is_assistant_correct') THEN 'salvaged_key' WHEN len(words) > 0 THEN 'salvaged_word' ELSE 'failed' END AS method,
+        CASE WHEN whole THEN coalesce(nullif(trim(json_extract_string(clean, '$.reasons'), ' ' || chr(9) || chr(10) || chr(13)), ''), clean) WHEN len(words) > 0 THEN clean WHEN clean = '' THEN '[ParseError] Empty model output' ELSE '[ParseError] Could not extract verdict' || chr(10) || clean END AS reasons
+    FROM j"""
 )
 def judge_verdicts(spark, sf):
-    c = views.table(spark, sf, "conversations")
-    own = F.to_json(F.struct(F.col("text").alias("reasons"), F.lit("Correct").alias("is_assistant_correct")))
-    words = F.regexp_replace(F.coalesce("text", F.lit("")), r'[{}"\\]|(?i)correct', "")
-    output = F.when(F.col("turn") % 4 == 0, own).when(F.col("turn") % 4 == 1, F.concat(F.lit("my answer\n"), own, F.lit("\nis this"))).when(F.col("turn") % 4 == 2, F.concat(words, F.lit("\nis_assistant_correct: Correct"))).otherwise(F.concat(F.lit("```json\n"), own, F.lit("\n"), F.regexp_replace(own, '"Correct"', '"Incorrect"'), F.lit("\n```")))
-    return c.withColumn("v", A.verdict(output)).select("conv_id", "turn", "v.verdict", "v.method")
+    c = views.table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    c = c.withColumns({"how": (F.col("conv_id") * 7 + F.col("turn")) % 6, "word": F.when(F.length("text") % 3 == 0, "incorrect").otherwise("Correct")})
+    quoted = F.expr("substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)")
+    bare = F.replace(F.col("text"), F.lit('"'), F.lit(" "))
+    parts = {
+        1: (F.lit('{"a": {"b": {"c": [1, {"d": "}"}]}}, "reasons": '), quoted, F.lit(', "is_assistant_correct": "'), F.col("word"), F.lit('"}')),
+        2: (bare, F.lit('\nis it {this}? {"a": {"b": {"c": {}}}, "is_assistant_correct": ["correct", "'), F.col("word"), F.lit('"]} so')),
+        3: (F.replace(bare, F.lit("{"), F.lit(" ")), F.lit('\n{"reasons": "cut", "is_assistant_correct": "'), F.col("word")),
+        4: (bare, F.lit('\nthe verdict "'), F.col("word"), F.lit('" is final, '), F.left("text", F.lit(40))),
+        5: (F.col("text"), F.lit("\n  "), F.col("word"), F.lit("  ")),
+    }
+    said = F.col("text")
+    for how, pieces in parts.items():
+        said = F.when(F.col("how") == how, F.concat(*pieces)).otherwise(said)
+    return c.withColumn("v", A.verdict(said)).select("conv_id", "turn", "v.verdict", "v.method", "v.reasons")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS w FROM conversations), g AS (SELECT conv_id, turn, count(*) AS n FROM t GROUP BY ALL)
+    SELECT c.conv_id, c.turn, CAST(s.g AS INTEGER) AS g, length(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS folded_chars
+    FROM conversations c LEFT JOIN g USING (conv_id, turn), LATERAL (SELECT unnest(range(coalesce(n, 0) // 50)) AS g) s"""
+)
+def sql_attempt_slots(spark, sf):
+    """Table and scalar functions called in SQL: a slot for every 50 words of a turn."""
+    sql.register(spark)
+    views.table(spark, sf, "conversations").createOrReplaceTempView("_turns")
+    return spark.sql(
+        """SELECT conv_id, turn, g, length(folded_text(text)) AS folded_chars
+        FROM (SELECT *, CAST(size(filter(split(folded_text(text), ' '), w -> w <> '')) div 50 AS INT) AS n FROM _turns), LATERAL attempt_slots(n)"""
+    )
+
+
+@query(
+    """WITH p AS (SELECT a.conv_id, a.turn, coalesce(a.text, '') AS x, coalesce(b.text, '') AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+    t AS (SELECT conv_id, turn, unnest(regexp_extract_all(x, '[A-Za-z_][A-Za-z0-9_'']*|[0-9]+|[^ \\t\\n\\x0B\\f\\r]')) AS token, 1 AS a, 0 AS b FROM p UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(y, '[A-Za-z_][A-Za-z0-9_'']*|[0-9]+|[^ \\t\\n\\x0B\\f\\r]')), 0, 1 FROM p)
+    SELECT conv_id, turn, token, CAST(sum(a) AS BIGINT) AS parent_n, CAST(sum(b) AS BIGINT) AS child_n FROM t GROUP BY conv_id, turn, token HAVING sum(a) <> sum(b)"""
+)
+def sql_token_changes(spark, sf):
+    """A table function of two texts, called in SQL for every turn and the next."""
+    sql.register(spark)
+    _pairs(spark, sf).createOrReplaceTempView("_turn_pairs")
+    return spark.sql("SELECT conv_id, turn, token, parent_n, child_n FROM _turn_pairs, LATERAL token_changes(text, child)")
+
+
+@query(
+    """WITH b AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN coalesce(text, '') END AS x, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') END AS y FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[\\x0B\\f\\r\\x1C-\\x1E]')),
+    n AS (SELECT *, x IS NOT NULL AND y IS NOT NULL AS ok, length(trim(regexp_replace(x, '[ \\t\\n]+', ' ', 'g'))) AS chars, len(regexp_extract_all(x, '[A-Za-z_][A-Za-z0-9_'']*|[0-9]+|[^ \\t\\n]')) AS tokens FROM b)
+    SELECT conv_id, turn, ok, CASE WHEN NOT ok THEN 'missing_evolve_block' END AS reason, x IS NOT NULL AS parent_has_block, y IS NOT NULL AS child_has_block, CASE WHEN ok THEN chars END AS parent_chars, CASE WHEN ok THEN chars + CASE WHEN chars = 0 THEN 5 ELSE 6 END END AS child_chars,
+        CASE WHEN ok THEN tokens END AS parent_tokens, CASE WHEN ok THEN tokens + 1 END AS child_tokens, CASE WHEN ok THEN CAST(1 AS BIGINT) END AS added, CASE WHEN ok THEN CAST(0 AS BIGINT) END AS removed FROM n"""
+)
+def marked_changes(spark, sf):
+    """Marked blocks of a text and of the text with a word more; every third and every second turn has one."""
+    c = views.table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.col("text").rlike(r"[\x0B\f\r\x1C-\x1E]"))
+    marked = lambda k, more: F.concat(F.lit("head\n"), F.when(F.col("turn") % k == 0, "-- EVOLVE-BLOCK-START\n").otherwise(""), "text", F.lit(f"\n{more}\n  EVOLVE-BLOCK-END\nbye"))
+    pairs = c.select("conv_id", "turn", marked(3, "").alias("a"), marked(2, "added").alias("b"))
+    return A.change_stats(pairs, ["conv_id", "turn"], "a", "b", marked=True).drop("token_jaccard", "length_ratio", "sequence_ratio")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +298,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     SELECT conv_id, turn, CAST(a AS BIGINT) AS parent_tokens, CAST(b AS BIGINT) AS child_tokens, round(coalesce(common / nullif(a + b - common, 0), 1), 6) AS token_jaccard, CAST(b - common AS BIGINT) AS added, CAST(a - common AS BIGINT) AS removed, round(b / greatest(a, 1), 6) AS length_ratio FROM w"""
 )
 def token_changes(spark, sf):
-    return _rounded(A.change_stats(_pairs(spark, sf), ["conv_id", "turn"], "text", "child").drop("sequence_ratio"))
+    return _rounded(A.change_stats(_pairs(spark, sf), ["conv_id", "turn"], "text", "child").select("conv_id", "turn", "parent_tokens", "child_tokens", "token_jaccard", "added", "removed", "length_ratio"))
 
 
 @query(None)

@@ -97,18 +97,81 @@ def test_proofs_and_fences(spark):
 def test_verdicts(spark):
     plain = '{"reasons": "r {", "is_assistant_correct": "Correct"}'
     nested = '{"a": {"b": 1}, "is_assistant_correct": "Incorrect"}'
-    outputs = [plain, f"so {plain} ok", '{"is_assistant_correct": "Incor', '"is_assistant_correct": "Incorrect', "It is not correct.\nIncorrect", None, "maybe", f"```json\n{plain}\n```", f"{plain} then {nested}", "correct " * 100 + "\nincorrect\n"]
-    rows = spark.createDataFrame(list(enumerate(outputs)), "k int, x string").select("k", A.verdict(F.col("x")).alias("v"))
-    got = [tuple(r.v) for r in sorted(rows.collect())]
-    assert got[0] == ("Correct", "r {", "json") and got[1] == ("Correct", "r {", "extracted_json")
-    assert got[2][0] is None and got[3][::2] == ("Incorrect", "salvaged_key") and got[4][::2] == ("Incorrect", "salvaged_word")
-    assert got[5] == (None, "", "failed") and got[6] == (None, "maybe", "failed")
-    assert got[7] == ("Correct", "r {", "json") and got[8][::2] == ("Incorrect", "extracted_json") and got[9][::2] == ("Incorrect", "salvaged_word")
+    deep = '{"a": {"b": {"c": [{"d": "}"}]}}, "is_assistant_correct": "Incorrect"}'
+    long = "word " * 150
+    cases = [
+        (plain, ("Correct", "r {", "json")),
+        (f"so {plain} ok", ("Correct", "r {", "extracted_json")),
+        ('{"is_assistant_correct": "Incor', (None, '[ParseError] Could not extract verdict\n{"is_assistant_correct": "Incor', "failed")),
+        ('"is_assistant_correct": "Incorrect', ("Incorrect", '"is_assistant_correct": "Incorrect', "salvaged_key")),
+        ("It is not correct.\nIncorrect", ("Incorrect", "It is not correct.\nIncorrect", "salvaged_word")),
+        (None, (None, "[ParseError] Empty model output", "failed")),
+        ("maybe", (None, "[ParseError] Could not extract verdict\nmaybe", "failed")),
+        (f"```json\n{plain}\n```", ("Correct", "r {", "json")),
+        (f"{plain} then {nested}", ("Incorrect", f"{plain} then {nested}", "extracted_json")),
+        (f"{nested} {plain} {nested}", ("Incorrect", f"{nested} {plain} {nested}", "extracted_json")),
+        ("correct " * 100 + "\nincorrect\n", ("Incorrect", ("correct " * 100 + "\nincorrect").strip(), "salvaged_word")),
+        (deep, ("Incorrect", deep, "json")),
+        (f"I say {deep}.", ("Incorrect", f"I say {deep}.", "extracted_json")),
+        (f'{long} the "Incorrect" one, {long}', ("Incorrect", f'{long} the "Incorrect" one, {long}'.strip(), "salvaged_word")),
+        (f"{long} is correct, {long}", (None, "[ParseError] Could not extract verdict\n" + f"{long} is correct, {long}".strip(), "failed")),
+        ('{"is_assistant_correct": "Correct", }', ("Correct", '{"is_assistant_correct": "Correct", }', "salvaged_key")),  # no JSON
+        ("is_assistant_correct" + " " * 200 + ": incorrect" + " x" * 300, ("Incorrect", "is_assistant_correct" + " " * 200 + ": incorrect" + " x" * 300, "salvaged_key")),
+        ("is_assistant_correct" + " " * 256 + ": incorrect" + " x" * 300, (None, "[ParseError] Could not extract verdict\nis_assistant_correct" + " " * 256 + ": incorrect" + " x" * 300, "failed")),
+        ('[{"is_assistant_correct": "correct or incorrect"}]', ("Incorrect", '[{"is_assistant_correct": "correct or incorrect"}]', "extracted_json")),
+        ('} { "open', (None, '[ParseError] Could not extract verdict\n} { "open', "failed")),
+        ("{" * 5000, (None, "[ParseError] Could not extract verdict\n" + "{" * 5000, "failed")),
+        ('{"a":' * 3000 + "1" + "}" * 3000, (None, "[ParseError] Could not extract verdict\n" + '{"a":' * 3000 + "1" + "}" * 3000, "failed")),
+    ]
+    rows = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "k int, x string")
+    got = {r.k: tuple(r.v) for r in rows.select("k", A.verdict(F.col("x")).alias("v")).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[k] == want, k
+    stopped = rows.where("k = 6").select(A.verdict(F.col("x"), finish=F.lit("length")).alias("v")).first().v
+    assert stopped.reasons == "[ParseError] Could not extract verdict (finish_reason=length)\nmaybe"
+
+
+def test_functions_in_sql(spark):
+    from lemmaflow.functions import sql
+
+    sql.register(spark)
+    said = spark.sql("""SELECT judge_verdict('{"is_assistant_correct": "Correct"}', null) AS v, match_ratio('a b', 'a b') AS r, folded_text(' a\n b ') AS f, code_tokens('theorem x : 1') AS t""").first()
+    assert (said.v.verdict, said.v.method, said.r, said.f, said.t) == ("Correct", "json", 1.0, "a b", ["theorem", "_NAME_", ":", "1"])
+    assert [r.g for r in spark.sql("SELECT * FROM attempt_slots(3)").collect()] == [0, 1, 2]
+    assert spark.sql("SELECT n, g FROM VALUES (0), (2), (NULL), (-1) AS t(n), LATERAL attempt_slots(n)").count() == 2
+    answer = "x\n```lean4\na\nb\n```\n```\nc```"
+    blocks = spark.createDataFrame([(answer,), (None,)], "a string")
+    blocks.createOrReplaceTempView("_answers")
+    assert [tuple(r) for r in spark.sql("SELECT b.* FROM _answers, LATERAL fenced_blocks(a) b ORDER BY number").collect()] == [(0, "lean4", "a\nb\n"), (1, "", "c")]
+    assert sorted(map(tuple, spark.sql("SELECT * FROM token_changes('theorem a : p p', 'lemma b : p q')").collect())) == [("lemma", 0, 1), ("p", 2, 1), ("q", 0, 1), ("theorem", 1, 0)]
+    code = lambda body: f"h\n# EVOLVE-BLOCK-START\n{body}\n# EVOLVE-BLOCK-END"
+    pairs = spark.createDataFrame([(1, code("theorem a : x y"), code("theorem b : x z z")), (2, "x", code("y")), (3, None, None), (4, code(""), code(""))], "k int, a string, b string")
+    pairs.createOrReplaceTempView("_code_pairs")
+    got = {r.k: tuple(r.c) for r in spark.sql("SELECT k, marked_change(a, b) AS c FROM _code_pairs").collect()}
+    assert got == {1: (True, 5, 6, 2, 1, pytest.approx(4 / 7)), 2: (False, *[None] * 5), 3: (False, *[None] * 5), 4: (True, 0, 0, 0, 0, 1.0)}
+    whole = {r.k: r for r in A.change_stats(pairs, ["k"], "a", "b", marked=True).collect()}
+    assert tuple(whole[1])[1:9] == (True, None, True, True, 20, 22, 5, 6) and tuple(whole[1])[10:12] == (2, 1)
+    assert tuple(whole[2])[1:6] == (False, "missing_evolve_block", False, True, None) and whole[4].ok and whole[4].token_jaccard == 1.0
+
+
+def test_marked_blocks(spark):
+    mark = "EVOLVE-BLOCK"
+    cases = {
+        f"a\n{mark}-START\n b \n{mark}-END\nc": "b",
+        f"// {mark}-START\nb\n{mark}-START x\nc": "b\nc",
+        f"{mark}-END\n{mark}-START\nb": None,
+        f"{mark}-START": "",
+        f"x {mark}-START\nb": None,
+        f"--{mark}-START now\nb\n-- {mark}-END\nc\n{mark}-END": "b",
+        "": None,
+    }
+    assert [r[0] for r in many(spark, [(c,) for c in cases], "s string", A.marked_block(F.col("s")))] == list(cases.values())
 
 
 def test_text_pairs(spark):
     pairs = spark.createDataFrame([(1, "theorem a : x y", "theorem b : x z z"), (2, None, None), (3, "", "w")], "k int, a string, b string")
-    got = {r.k: tuple(r)[1:] for r in A.change_stats(pairs, ["k"], "a", "b").collect()}
+    stats = A.change_stats(pairs, ["k"], "a", "b").select("k", "parent_tokens", "child_tokens", "token_jaccard", "added", "removed", "length_ratio", "sequence_ratio")
+    got = {r.k: tuple(r)[1:] for r in stats.collect()}
     assert got[1][:5] == (5, 6, pytest.approx(4 / 7), 2, 1) and got[1][5] == 1.2
     assert got[2] == (0, 0, 1.0, 0, 0, 0.0, 1.0) and got[3] == (0, 1, 0.0, 1, 0, 1.0, 0.0)
     rows = [("theorem a : p", "theorem  b :\n p"), ("", ""), ("x", None)]
