@@ -19,19 +19,25 @@ def head_to_head(hits: DataFrame, ours: int, base: int, hit: str = "complete_hit
     return out.withColumn("win_rate", F.when(decided > 0, F.col("wins") / decided))
 
 
-def mcnemar_p(n10: int, n01: int) -> float:
-    """Two-sided exact McNemar test; sums in log space, so any count will do."""
-    n, k = n10 + n01, min(n10, n01)
-    if not n:
-        return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-    return min(1.0, 2 * math.fsum(map(math.exp, log)))
+def mcnemar_p(n10: Column, n01: Column) -> Column:
+    """Two-sided exact McNemar test of the discordant counts: twice the lower binomial tail, 1 at most. The tail's
+    largest term is taken out, as a logarithm, so any counts will do; terms fall from there."""
+    n, k = n10 + n01, F.least(n10, n01)
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    log_choose = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log((n - i + 1) / i))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def lower(s: Column, j: Column) -> Column:
+        term = s["term"] * (k - j + 1) / (n - k + j)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    tail = F.aggregate(steps, start, lower, lambda s: s["total"])
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail * F.exp(log_choose - n * math.log(2)))).otherwise(1.0)
 
 
 def mcnemar(table: DataFrame) -> DataFrame:
     """head_to_head rows with p_value; wins and losses are the discordant counts."""
-    p = F.udf(lambda a, b: mcnemar_p(a, b), "double")  # a row for each comparison
-    return table.withColumn("p_value", p("wins", "losses"))
+    return table.withColumn("p_value", mcnemar_p(F.col("wins"), F.col("losses")))
 
 
 def paired_density(problems: DataFrame, a: int, b: int, density: str = "semantic_density") -> DataFrame:
@@ -42,29 +48,6 @@ def paired_density(problems: DataFrame, a: int, b: int, density: str = "semantic
     return d.agg(F.count("*").alias("problems"), sign(F.col("d") > 0).alias("wins"), sign(F.col("d") < 0).alias("losses"), sign(F.col("d") == 0).alias("ties"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.avg("d").alias("mean_difference"))
 
 
-def sign_flip_p(diffs: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Permutation p of the mean difference: each draw flips signs by a hash of row and draw, so
-    reruns agree; add-one smoothing. One aggregate for each draw, summed map-side."""
-    rows = diffs.select("problem_id", "d")
-    observed = rows.agg(F.avg("d").alias("observed"))
-    sign = F.when(F.xxhash64(F.lit(seed), "problem_id", "draw") % 2 == 0, 1).otherwise(-1)
-    means = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy("draw").agg(F.avg(sign * F.col("d")).alias("m"))
-    rank = means.join(F.broadcast(observed))  # one row
-    return rank.agg(F.first("observed").alias("observed"), ((F.sum((F.abs("m") >= F.abs("observed") - 1e-12).cast("long")) + 1) / (draws + 1)).alias("p_value"))
-
-
-def bootstrap_ci(diffs: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % percentile interval of the mean difference by Poisson weights, hashed."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "problem_id", "draw"), F.lit(2**52)) + 0.5) / float(2**52)
-    levels, total, p = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += p / math.factorial(k)
-        levels.append(total)
-    weight = sum((u > level).cast("int") for level in levels[1:]) + (u > levels[0]).cast("int")
-    means = diffs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-
-
 def _correlation(x: str, y: str) -> Column:
     """Pearson r, 0 where a variance is 0 or there are no rows (corr itself fails there in ANSI mode)."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)
@@ -89,15 +72,3 @@ def common_correct(counts: DataFrame, a: int, b: int, passed: str = "passes", tr
     own = lambda m, n: F.max(F.when((F.col("method") == m) & (F.col(passed) > 0) & (F.col(tried) > 0), F.col(passed) / F.col(tried))).alias(n)
     both = counts.where(F.col("method").isin(a, b)).groupBy("group_id").agg(own(a, "x"), own(b, "y")).where("x is not null and y is not null")
     return both.agg(F.count("*").alias("problems"), F.avg("x").alias("density_a"), F.avg("y").alias("density_b"), F.avg(F.col("x") - F.col("y")).alias("difference"))
-
-
-def correlation_p(rows: DataFrame, x: str, y: str, ident: str, draws: int = 500, seed: int = 0) -> DataFrame:
-    """Randomisation p of a correlation with a 0/1 outcome: each draw gives every row an outcome by a
-    hash, 1 with the observed share. Unlike a permutation the number of ones varies by draw, but no
-    draw has to be sorted; for many rows the two agree. Add-one smoothing; one row out."""
-    usable = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(ident).alias("i"))
-    observed = usable.agg(_correlation("x", "y").alias("r"), F.avg("y").alias("share"))  # one row
-    u = (F.pmod(F.xxhash64(F.lit(seed), "i", "draw"), F.lit(2**52)) + 0.5) / float(2**52)
-    many = usable.join(F.broadcast(observed)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("z", (u < F.col("share")).cast("double"))
-    each = many.groupBy("draw").agg(_correlation("x", "z").alias("rz"), F.first("r").alias("r"))
-    return each.agg(F.first("r").alias("r"), ((F.sum((F.abs("rz") >= F.abs("r") - 1e-12).cast("long")) + 1) / (draws + 1)).alias("p_value"))

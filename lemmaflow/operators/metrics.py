@@ -86,8 +86,9 @@ def signature_diversity(rows: DataFrame, keys: list[str], signature: str = "sign
     """Per key: signatures that are not empty, distinct ones, the most frequent one's count and its first
     row (first seen wins ties). Texts are hashed (128 bits) where they are read, so none is shuffled."""
     text = F.col(signature)
-    hashed = rows.where(text != "").select(*keys, order, F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g"))
-    counts = hashed.groupBy(*keys, "_h", "_g").agg(F.count("*").alias("n"), F.min(order).alias("seen"))
+    hashed = rows.select(*keys, order, F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g"), (F.length(text) > 0).alias("_some"))
+    # _some is no filter: it would have the signature computed a second time, below the hashes
+    counts = hashed.groupBy(*keys, "_h", "_g").agg(F.count("*").alias("n"), F.min(order).alias("seen"), F.max("_some").alias("_some")).where("_some")
     top = F.max_by("seen", F.struct(F.col("n"), -F.col("seen")))
     return counts.groupBy(*keys).agg(F.sum("n").alias("signatures"), F.count("*").alias("distinct_signatures"), F.max("n").alias("top_count"), top.alias("top_first"))
 

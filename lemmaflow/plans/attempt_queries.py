@@ -9,7 +9,7 @@ from lemmaflow.functions import answers as A
 from lemmaflow.functions import sql
 from lemmaflow.functions import text as T
 from lemmaflow.operators import attempts as P
-from lemmaflow.operators import compare, metrics
+from lemmaflow.operators import compare, metrics, resampling
 from lemmaflow.plans import views
 from lemmaflow.plans.queries import _HITS, _hits, _rounded, query
 
@@ -357,7 +357,7 @@ def repeated_runs(spark, sf):
 @query(None)
 def correlation_p(spark, sf):
     rows = views.table(spark, sf, "labels").join(views.table(spark, sf, "documents"), "doc_id")
-    return compare.correlation_p(rows, "n_chars", "quality", "doc_id", 200)
+    return resampling.correlation_p(rows, "n_chars", "quality")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import text as T
-from lemmaflow.operators import compare, lineage, metrics, select, vectors
+from lemmaflow.operators import compare, lineage, metrics, resampling, select, vectors
 from lemmaflow.plans import views
 from lemmaflow.plans.views import with_views
 from lemmaflow.streaming import archive
@@ -160,19 +160,22 @@ def solved_rollup(spark, sf):
     return _rounded(metrics.solved_rollup(_hits(spark, sf)))
 
 
-@query(
-    f"""WITH {_HITS}, p AS (SELECT group_id, max(complete_hit) FILTER (method = 0) AS a, max(complete_hit) FILTER (method = 1) AS b FROM hits GROUP BY group_id), t AS (
-    SELECT count(*) AS problems, CAST(sum(CAST(a > b AS INTEGER)) AS BIGINT) AS wins, CAST(sum(CAST(a < b AS INTEGER)) AS BIGINT) AS losses, CAST(sum(CAST(a = 1 AND b = 1 AS INTEGER)) AS BIGINT) AS "both", CAST(sum(CAST(a = 0 AND b = 0 AS INTEGER)) AS BIGINT) AS neither FROM p)
-    SELECT *, round(wins / nullif(wins + losses, 0), 6) AS win_rate FROM t""",
-    "attempts", "expected",
-)
+_HEADS = f"""{_HITS}, p AS (SELECT group_id, max(complete_hit) FILTER (method = 0) AS a, max(complete_hit) FILTER (method = 1) AS b FROM hits GROUP BY group_id), heads AS (
+    SELECT count(*) AS problems, CAST(sum(CAST(a > b AS INTEGER)) AS BIGINT) AS wins, CAST(sum(CAST(a < b AS INTEGER)) AS BIGINT) AS losses, CAST(sum(CAST(a = 1 AND b = 1 AS INTEGER)) AS BIGINT) AS "both", CAST(sum(CAST(a = 0 AND b = 0 AS INTEGER)) AS BIGINT) AS neither FROM p)"""
+
+
+@query(f"WITH {_HEADS} SELECT *, round(wins / nullif(wins + losses, 0), 6) AS win_rate FROM heads", "attempts", "expected")
 def head_to_head(spark, sf):
     return _rounded(compare.head_to_head(_hits(spark, sf), 0, 1))
 
 
-@query(None)
+@query(
+    f"""WITH {_HEADS} SELECT *, round(wins / nullif(wins + losses, 0), 6) AS win_rate,
+    round(least(1, 2 * list_sum([exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2)) FOR i IN range(0, least(wins, losses) + 1)])), 6) AS p_value FROM heads""",
+    "attempts", "expected",
+)
 def mcnemar(spark, sf):
-    return compare.mcnemar(compare.head_to_head(_hits(spark, sf), 0, 1))
+    return _rounded(compare.mcnemar(compare.head_to_head(_hits(spark, sf), 0, 1)))
 
 
 _POOL = "pool AS (SELECT *, event_type AS signature, public_metrics AS code FROM programs WHERE compile_ok = 1)"
@@ -372,12 +375,12 @@ def _differences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def sign_flip_test(spark, sf):
-    return compare.sign_flip_p(_differences(spark, sf), 500)
+    return resampling.sign_flip_p(_differences(spark, sf))
 
 
 @query(None)
 def bootstrap_interval(spark, sf):
-    return compare.bootstrap_ci(_differences(spark, sf), 500)
+    return resampling.bootstrap_ci(_differences(spark, sf))
 
 
 @query(

@@ -44,8 +44,13 @@ def test_comments_and_complexity(spark):
 
 
 def test_mcnemar_and_scores(spark):
-    assert compare.mcnemar_p(5, 1) == pytest.approx(0.21875)
-    assert compare.mcnemar_p(0, 0) == 1 and 0 <= compare.mcnemar_p(9000, 9100) <= 1
+    counts = [(5, 1), (0, 0), (3, 3), (1, 0), (0, 40), (9000, 9100), (40000, 41000)]
+    rows = compare.mcnemar(spark.createDataFrame(counts, "wins long, losses long")).collect()
+    for r in rows:
+        n, k = r.wins + r.losses, min(r.wins, r.losses)
+        tail = sum(math.comb(n, i) for i in range(k + 1)) if n < 100 else None
+        want = min(1.0, 2 * tail / 2**n) if n < 100 else math.erfc((abs(r.wins - r.losses) - 1) / math.sqrt(2 * n))
+        assert r.p_value == pytest.approx(want, rel=1e-9 if n < 100 else 1e-3)
     rows = spark.createDataFrame([(0, 1.0, 1, 1), (1, 1.0, 0, 0), (1, 0.0, 1, 0), (1, 1.0, 1, 0), (1, 0.0, 0, 1), (1, 1.0, 1, 1)], "c int, y double, s int, b int")
     got = [r[0] for r in rows.select(metrics.gated_score(F.col("c"), F.col("y"), F.col("s"), F.col("b"))).collect()]
     assert got == [0, 150, 200, 250, 300, 450]

@@ -378,10 +378,3 @@ def test_vectors(spark):
     assert pairs == {(a, b) for a in data for b in data if a < b and cos(data[a], data[b]) >= 0.9}
     assert all(len(r.pca) == 2 for r in vectors.principal_components(rows, 2).collect())
     assert {r.cluster for r in vectors.clusters(rows.limit(2), 4).collect()} == {None}
-
-
-def test_correlation_p(spark):
-    rows = spark.createDataFrame([(k, float(k), int(k >= 20)) for k in range(40)], "id int, x double, y int")
-    assert compare.correlation_p(rows, "x", "y", "id", 99).first().p_value == pytest.approx(0.01)
-    flat = compare.correlation_p(rows.withColumn("x", F.lit(1.0)), "x", "y", "id", 20).first()
-    assert flat.r == 0.0 and flat.p_value == 1.0
