@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import WORD, back, durable, rest_of
+from lemmaflow.llm.common import WORD, back, durable, join_spread, rest_of
 
 SEED = 20
 #: Documents that a block has at most, about.
@@ -118,10 +118,10 @@ def _unit() -> Column:
     return F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text", "source").alias("u")
 
 
-def _named(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """rows with their source's columns; sources is one row a source, sent to all tasks while small."""
-    own = sources.withColumnRenamed("source", "_source")
-    return rows.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def _named(rows: DataFrame, sources: DataFrame, total: int) -> DataFrame:
+    """rows with their source's columns; the rows of a hot source (docs: how many it has) are dealt to several places."""
+    own = sources.select(F.struct("source").alias("_key"), F.col("docs").alias("_n"), *[c for c in sources.columns if c not in ("source", "docs")])
+    return join_spread(rows.withColumn("_key", F.struct("source")), own, "_key", "_n", total).drop("_key")
 
 
 def _turn(which: Column) -> Column:
@@ -145,7 +145,8 @@ class Mix:
         bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / block_docs))).cast("int")
         sources = sources.withColumn("passes", passes).withColumn("bits", bits).withColumn("blocks", F.expr("shiftleft(1L, bits)"))
         sources = durable(sources.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
-        facts = sources.agg(F.max("bits"), F.sum("source_size")).first()  # two numbers
+        facts = sources.agg(F.max("bits"), F.sum("source_size"), F.sum("docs")).first()  # three numbers
+        self.total = facts[2] or 0
         self._find_ends(sources, facts[0] or 0)
         words = facts[1] or 0
         self._deal(min(10, max(4, math.ceil(math.log2(max(1, words / shard_words))))))
@@ -154,9 +155,9 @@ class Mix:
         """Where each source's last, partial pass ends: the block (end) and, of that block, the
         documents that still fit (self.last). Level by level, a group of at most 256 is summed and
         searched in each source, so no source's blocks ever meet in one task."""
-        at = sources.select("source", "sid", "passes", "blocks", F.lit(0).cast("long").alias("end"), F.col("bits").alias("width"), F.col("rest").alias("need"))
+        at = sources.select("source", "docs", "sid", "passes", "blocks", F.lit(0).cast("long").alias("end"), F.col("bits").alias("width"), F.col("rest").alias("need"))
         for _ in range(max(1, math.ceil(bits / LEVEL))):
-            rows = _named(self.sized, at).withColumn("o", _turn(F.col("passes")))
+            rows = _named(self.sized, at, self.total).withColumn("o", _turn(F.col("passes")))
             step = F.greatest(F.col("width") - LEVEL, F.lit(0))
             rows = rows.where(F.expr("shiftright(o, width) = shiftright(end, width)")).withColumn("step", step).withColumn("g", F.expr("shiftright(o, step)"))
             sums = rows.groupBy("sid", "step", "g").agg(F.sum("size").alias("words"))
@@ -166,12 +167,12 @@ class Mix:
             some = F.col("f").isNotNull()
             at = durable(
                 at.select(
-                    "source", "sid", "passes", "blocks",
+                    "source", "docs", "sid", "passes", "blocks",
                     F.when(some, F.expr("shiftleft(f.g, f.step)")).otherwise(F.col("blocks")).alias("end"),
                     F.when(some, F.col("f.step")).otherwise(0).alias("width"), F.when(some, F.col("f.left")).otherwise(0.0).alias("need"),
                 )
             )
-        rows = _named(self.sized, at).where(_turn(F.col("passes")) == F.col("end"))
+        rows = _named(self.sized, at, self.total).where(_turn(F.col("passes")) == F.col("end"))
         units = rows.groupBy("sid", "u", "need").agg(F.sum("size").alias("words"))
         lists = units.groupBy("sid", "need").agg(F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("less"), "u", "words"))).alias("units"))  # one block: some dozen units, largest first
         begin = F.struct(F.col("need").alias("left"), F.array().cast("array<long>").alias("took"))
@@ -182,27 +183,30 @@ class Mix:
 
     def _deal(self, levels: int) -> None:
         """Splits the sources' slots among 2 ** levels shards; sources get starts, an array with the
-        first slot of each shard."""
+        first slot of each shard, and drawn, how many slots the shards draw in all."""
         slots = F.col("passes") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.col("end") + 1, F.col("blocks"))).otherwise(0)
         root = self.sources.agg(F.array_sort(F.collect_list(F.struct("sid", slots.cast("long").alias("q")))).alias("quotas"))
         leaves = split_quotas(root, levels).select("shard", F.explode("quotas").alias("x")).select("shard", "x.sid", "x.q")
         before = F.coalesce(F.sum("q").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = leaves.withColumn("first", before.cast("long")).groupBy("sid").agg(F.array_sort(F.collect_list("first")).alias("starts"))
+        starts = leaves.withColumn("first", before.cast("long")).groupBy("sid").agg(F.array_sort(F.collect_list("first")).alias("starts"), F.sum("q").alias("drawn"))
         self.sources = durable(self.sources.join(starts, "sid"))
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows (source, u and any others) with their source's columns and placements: an array of
-        (pass, shard), empty for rows that the mix leaves out."""
-        rows = _named(rows, self.sources).join(self.last, ["sid", "u"], "left")
-        in_last = (F.col("rest") > 0) & ((_turn(F.col("passes")) < F.col("end")) | F.col("fits").isNotNull())
-        count = F.col("passes") + F.when(in_last, 1).otherwise(0)
-        passes = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0))), lambda p: p < count)
-        shard = lambda p: F.size(F.filter("starts", lambda s: s <= p * F.col("blocks") + _turn(p))) - 1
+        (pass, shard), empty for rows that the mix leaves out. A pass takes a row where some shard of the tree draws
+        its block's slot; of the last slot's block only what fits is taken."""
+        rows = _named(rows, self.sources, self.total).join(self.last, ["sid", "u"], "left")
+        slot = lambda p: p * F.col("blocks") + _turn(p)
+        cut = F.when(F.col("rest") > 0, F.col("passes") * F.col("blocks") + F.col("end"))
+        taken = lambda p: (slot(p) < F.col("drawn")) & (F.coalesce(slot(p) != cut, F.lit(True)) | F.col("fits").isNotNull())
+        passes = F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), taken)
+        shard = lambda p: F.size(F.filter("starts", lambda s: s <= slot(p))) - 1
         return rows.withColumn("placements", F.transform(passes, lambda p: F.struct(p.cast("int").alias("pass"), shard(p).alias("shard"))))
 
 
 def mix_report(docs: DataFrame, cap: int = 3) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, shards), one row for every row of docs.
+    """(doc_id, source, size, source_size, target, taken, passes, shards), one row for every row of docs: passes are the
+    numbers of the source's passes that take the document, and shards what shard of the tree draws it in each.
 
     Null text has size 0; a null source is a source, the last one. taken is the words the mix takes,
     at most cap times size; each source's sum is within its smallest fitting document of its target.
@@ -210,7 +214,7 @@ def mix_report(docs: DataFrame, cap: int = 3) -> DataFrame:
     """
     mix = Mix(docs, cap)
     return mix.placed(mix.sized).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"), F.col("placements.shard").alias("shards")
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"), F.col("placements.pass").alias("passes"), F.col("placements.shard").alias("shards"),
     )
 
 

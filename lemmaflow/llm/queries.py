@@ -42,7 +42,7 @@ def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(read(spark, sf_dir, "documents"), cap=3).drop("source", "shards")
+    return mix_report(read(spark, sf_dir, "documents"), cap=3).drop("source")
 
 
 def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

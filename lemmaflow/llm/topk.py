@@ -36,6 +36,8 @@ def bucket_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
     order = np.lexsort((ids, -lengths))
     vectors, ids, lengths = vectors[order], ids[order], lengths[order]
     exact = len(vectors) == 0 or float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] < 2**52
+    if len(vectors) and len(queries) and float(np.abs(queries.astype(np.float64)).max()) * float(np.abs(vectors.astype(np.float64)).max()) * vectors.shape[1] >= 2**62:
+        raise OverflowError("scores must fit 62 bits")
     as_float = vectors.astype(np.float64)
     own = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     best_score = np.full((len(queries), k), _NONE)
@@ -108,7 +110,8 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     vector or a component that is null, infinite or not a number are left out."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.where(~F.coalesce(bad, F.lit(False))).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"), F.size("v").alias("dim"))
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("scores must fit 62 bits")).cast("long"))
+    return rows.where(~F.coalesce(bad, F.lit(False))).select("id", F.transform("v", whole).alias("v"), F.size("v").alias("dim"))
 
 
 def _edges(rows: DataFrame, value: str, parts: int) -> DataFrame:
@@ -138,7 +141,8 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
 
     Vectors of different dimensions are never compared. A row is known by its id and its vector: of
     rows that share an id each is a query, with its own k answers, and each may answer the others;
-    rows equal in both are one query, which none of them answers. Scores must fit 64 bits. Rows that
+    rows equal in both are one query, which none of them answers. The largest components' product times the dimension
+    must stay below 2 ** 62, or the job fails: scores never wrap. Rows that
     whole_vectors leaves out take no part.
     """
     from lemmaflow.llm.topk import bucket_search as search

@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows, extra columns
 of clashing names and no rows at all, against brute force."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -302,6 +303,54 @@ def test_mix_meets_targets_and_reruns_agree(spark, docs):
     assert all(abs(sums[s] - whole * w / 6) <= 7 for s, w in (("a", 1), ("b", 2), ("c", 3)))
 
 
+def test_hypergeometric_draws(spark):
+    """Against numpy's distribution, by a chi-square over all outcomes of several urns."""
+    from pyspark.sql import functions as F
+
+    for total, marked, drawn in ((50, 20, 25), (9, 3, 4), (1000, 5, 500), (12, 12, 6), (7, 0, 3)):
+        u = F.pmod(F.xxhash64("id"), F.lit(2**53)) / F.lit(float(2**53))
+        args = [F.lit(x).cast("long") for x in (total, marked, drawn)]
+        got = Counter(r[0] for r in spark.range(8000).select(mixing.hypergeometric(*args, u)).collect())
+        low, high = max(0, drawn + marked - total), min(drawn, marked)
+        chance = {k: math.comb(marked, k) * math.comb(total - marked, drawn - k) / math.comb(total, drawn) for k in range(low, high + 1)}
+        assert set(got) <= set(chance)
+        often = {k: p for k, p in chance.items() if 8000 * p >= 5}
+        assert sum((got[k] - 8000 * p) ** 2 / (8000 * p) for k, p in often.items()) < len(often) + 6 * math.sqrt(2 * len(often)) + 6
+
+
+def test_tree_keeps_quotas(spark):
+    quotas = [(1, 700), (2, 40), (3, 0), (4, 1301)]
+    root = spark.createDataFrame([(quotas,)], "quotas array<struct<sid:int,q:long>>")
+    leaves = mixing.split_quotas(root, 4).collect()
+    assert sorted(r.shard for r in leaves) == list(range(16))
+    for k, (sid, q) in enumerate(quotas):
+        assert sum(r.quotas[k].q for r in leaves) == q and all(r.quotas[k].sid == sid and r.quotas[k].q >= 0 for r in leaves)
+    sizes = [sum(x.q for x in r.quotas) for r in leaves]
+    assert max(sizes) - min(sizes) <= 4  # each node halves its slots
+
+
+def test_mix_comes_through_the_tree(spark, monkeypatch):
+    """Shards draw disjoint slots and together just what is taken; without the tree's quotas nothing is taken."""
+    from pyspark.sql import functions as F
+
+    df = table(spark, [f"{'x ' * (k % 7 + 1)}{k}" for k in range(2000)], ["a", "b", "c", None])
+    mix = mixing.Mix(df, 3, block_docs=4)
+    own = {r.source: r for r in mix.sources.collect()}
+    slots = defaultdict(set)
+    for r in mix.placed(mix.sized).select("source", "u", "placements").collect():
+        for p in r.placements:
+            starts = own[r.source].starts
+            slots[r.source, p.shard].add(p["pass"])
+            assert 0 <= p.shard < len(starts) == 16
+    assert len(slots) > 3 * 16
+    taken = mixing.mix_report(df).agg(F.sum("taken")).first()[0]
+    assert taken > 0
+    whole = mixing.split_quotas
+    nothing = F.transform("quotas", lambda x: F.struct(x["sid"].alias("sid"), F.lit(0).cast("long").alias("q")))
+    monkeypatch.setattr(mixing, "split_quotas", lambda root, levels: whole(root, levels).withColumn("quotas", nothing))
+    assert mixing.mix_report(df).agg(F.sum("taken")).first()[0] == 0
+
+
 def test_targets_are_water_filled(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 0, None: 300}
     rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -554,3 +603,72 @@ def test_query_against_its_sql(spark, name):
     columns = ", ".join(f'"{c}"' for c in got.columns)
     want = con.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall()
     assert want and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_top_k_never_wraps(spark):
+    great = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    large = spark.createDataFrame([(0, [2.0**30, 0.0]), (1, [2.0**30, 1.0])], "vec_id long, embedding array<double>")
+    for df in (great, large):
+        with pytest.raises(Exception, match="62 bits"):
+            topk.top_k(df).collect()
+
+
+def test_rows_are_dealt_alike_in_any_order(spark):
+    from pyspark.sql import functions as F
+
+    from lemmaflow.llm.common import row_turn
+
+    rows = spark.createDataFrame([(k, k % 3, {"m": k}) for k in range(300)], "u long, v long, m map<string,long>")
+    deal = lambda df: {(r.u, r.v): r.t for r in df.withColumn("t", row_turn(df, F.lit(7))).collect()}
+    assert deal(rows) == deal(rows.orderBy(F.desc("u")).repartition(5)) and len(set(deal(rows).values())) == 7
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
+    """All five stages over a small folder: what goes, what stays, and that packed pieces are whole documents."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, 60)) + ("\nall sites have this line" if k < 30 else "") for k in range(240)]
+    texts[100] = texts[7].replace("all sites", "all  sites")  # copies
+    texts[101] = texts[8] + " more"
+    toxic = {k for k in range(0, 200, 9)}
+    for k in toxic:
+        texts[k] = " ".join(rng.choice([*words[:40], "idiot", "scum", "pathetic"], 60))
+    texts[230:234] = [None, "", "one", " ".join(words * 8)]
+    docs = table(spark, texts, [f"s{k}" for k in range(12)]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen, stage = {}, docs
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        stage = function(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns
+        seen[name] = stage = stage.cache()
+    kept = {r.doc_id for r in seen["toxicity"].collect()}
+    assert len(kept & toxic) <= 2 and len(set(range(240)) - toxic - kept) <= 6
+    lined = {r.doc_id: r.text or "" for r in seen["line_dedup"].collect()}
+    assert lined.keys() == kept and sum("all sites have this line" in t.split("\n") for t in lined.values()) == 1
+    near = {r.doc_id for r in seen["simhash_near_dedup"].collect()}
+    assert near <= kept and len(near & {8, 101}) == len({8, 101} & kept) - ({8, 101} <= kept)
+    mixed = Counter(r.doc_id for r in seen["mixing"].collect())
+    assert mixed.keys() <= near and max(mixed.values()) <= 3
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({(r.doc_id, r.piece, r["copy"]) for r in rows}) == len(rows)
+    whole = Counter(r.doc_id for r in rows if r.piece == 0)
+    assert whole == mixed
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    lengths = defaultdict(int)
+    for r in rows:
+        if r["copy"] == 0:
+            assert r.start == lengths[r.doc_id] or r.piece > 0
+            lengths[r.doc_id] += r.length
