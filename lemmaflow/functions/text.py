@@ -15,19 +15,26 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _keep(text: Column, pattern: str) -> Column:
-    """The lines that the pattern does not fit."""
-    return F.array_join(F.filter(lines(text), lambda x: ~x.rlike(pattern)), "\n")
+#: White space within a line.
+_SPACE = r"[^\S\n]"
+#: How a line begins that begins a declaration.
+_STARTING = rf"{_SPACE}*(?:@\[[^\]\n]*\]{_SPACE}*)?(?:(?:noncomputable|private|protected){_SPACE}+)*(?:{DECLARATIONS})\b"
+
+
+def _without_lines(text: Column, line: str) -> Column:
+    """Without the lines that the pattern, which stays in one line, fits whole. The text is named once, so
+    that functions of functions do not multiply it in a plan."""
+    return F.substring(F.regexp_replace(F.concat(F.lit("\n"), text), rf"\n{line}(?=\n|\z)", ""), 2, 2**31 - 1)
 
 
 def without_markers(text: Column) -> Column:
     """Without the lines that mark what may be edited."""
-    return _keep(text, r"EVOLVE-BLOCK-(START|END)")
+    return _without_lines(text, r"[^\n]*EVOLVE-BLOCK-(?:START|END)[^\n]*")
 
 
 def without_header(text: Column) -> Column:
     """Without import and open lines."""
-    return _keep(text, r"^\s*(import|open|set_option|universe)\b")
+    return _without_lines(text, rf"{_SPACE}*(?:import|open|set_option|universe)\b[^\n]*")
 
 
 def without_comments(text: Column, mode: str = "inline") -> Column:
@@ -35,20 +42,17 @@ def without_comments(text: Column, mode: str = "inline") -> Column:
     drops lines that begin with it; any removes it to the line's end wherever it stands."""
     text = F.regexp_replace(text, r"(?s)/-.*?-/", "")
     if mode == "line_start":
-        return _keep(text, r"^\s*--")
+        return _without_lines(text, rf"{_SPACE}*--[^\n]*")
     if mode == "any":
         return F.regexp_replace(text, r"(?m)--.*$", "")
-    return F.array_join(F.transform(lines(text), lambda x: F.substring_index(x, "--", 1)), "\n")
+    return F.regexp_replace(text, r"--[^\n]*", "")
 
 
 def first_declaration(text: Column) -> Column:
     """From the first line that begins a declaration to the line before the next one; empty if none,
     null for a null text."""
-    rows = lines(text)
-    marks = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(_START), i)), lambda i: i.isNotNull())
-    first = F.get(marks, F.lit(0))
-    second = F.coalesce(F.get(marks, F.lit(1)), F.size(rows))
-    return F.when(text.isNull(), None).when(first.isNull(), F.lit("")).otherwise(F.trim(F.array_join(F.slice(rows, first + 1, second - first), "\n")))
+    whole = rf"(?s)\n({_STARTING}.*?)(?=\n{_STARTING}|\z)"
+    return F.trim(F.regexp_extract(F.concat(F.lit("\n"), text), whole, 1))
 
 
 def folded(text: Column) -> Column:
@@ -235,7 +239,7 @@ def is_trivial(code: Column, level: int = 1) -> Column:
     in True after an arrow or a quantifier, or follows from False; 3: also x = x."""
     if level <= 0:
         return F.lit(False)
-    clean = without_comments(_keep(without_markers(code), r"^\s*(?:import|open)\b"), "any")
+    clean = without_comments(_without_lines(without_markers(code), rf"{_SPACE}*(?:import|open)\b[^\n]*"), "any")
     at = F.regexp_instr(clean, F.lit(_GUARDED))
     own = declaration_type(F.when(at > 0, stripped(F.substr(clean, at))))
     found = own == "True"
