@@ -9,9 +9,10 @@ from lemmaflow.functions import answers as A
 from lemmaflow.functions import sql
 from lemmaflow.functions import text as T
 from lemmaflow.operators import attempts as P
-from lemmaflow.operators import compare, metrics, resampling
+from lemmaflow.operators import compare, metrics, resampling, rounds
 from lemmaflow.plans import views
 from lemmaflow.plans.queries import _HITS, _hits, _rounded, query
+from lemmaflow.sources import databases, readers
 
 _FLAGGED = "flagged AS (SELECT *, CAST(price > 20000 AS INTEGER) AS stmt_ok FROM attempts)"
 _GROUPS = f"{_FLAGGED}, groups AS (SELECT group_id, method, count(*) AS attempts, max(pass_ok) AS pass, max(complete_ok) AS complete, max(complete_ok * stmt_ok) AS aligned FROM flagged GROUP BY ALL)"
@@ -367,3 +368,33 @@ def allowed_candidates(spark, sf):
     d = views.table(spark, sf, "documents")
     listed = d.groupBy("source").count().where("count >= 5").select("source")
     return d.where(~F.contains("text", F.lit("sorry"))).join(listed, "source", "left_semi").select(F.col("doc_id").alias("id"))
+
+
+@query(
+    "SELECT 'r' || (problem_id % 8) AS run_id, id AS seq, CAST(id AS VARCHAR) AS id, CAST(id % 50 AS INTEGER) AS generation, combined_score, CAST(compile_ok = 1 AS BOOLEAN) AS correct FROM programs WHERE public_metrics IS NOT NULL AND id % 50 >= 10 AND compile_ok = 1",
+    "programs",
+)
+def stored_programs(spark, sf):
+    """Programs written to a database for each run and read back from there, with conditions that go to the databases."""
+    p = views.programs(spark, sf)
+    rows = p.select(
+        F.concat(F.lit("r"), (F.col("problem_id") % 8).cast("string")).alias("run_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("id"), (F.col("id") % 50).cast("int").alias("generation"),
+        "combined_score", "public_metrics", (F.col("compile_ok") == 1).alias("correct"),
+    )
+    place = rounds.folder(spark)
+    databases.write_databases(rows, place)
+    return databases.run_databases(spark, place, rows=500).where("generation >= 10 and correct").select("run_id", "seq", "id", "generation", "combined_score", "correct")
+
+
+@query(
+    """SELECT 'c' || conv_id || '_t' || turn AS name, CAST(turn % 2 = 0 AS INTEGER) AS pass_ok, CAST(turn % 4 = 0 AS INTEGER) AS complete_ok, coalesce(text, '') AS info, CAST(turn % 3 AS INTEGER) AS sorries FROM conversations"""
+)
+def compile_arrays(spark, sf):
+    """Compile results in pretty-printed JSON arrays, one for each conversation, read by pieces."""
+    c = views.table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    sorry = F.struct(F.lit("error }").alias("severity"), F.lit("{ a ]").alias("data"))
+    result = F.struct((F.col("turn") % 2 == 0).alias("pass"), (F.col("turn") % 4 == 0).alias("complete"), F.array(F.struct(F.col("text").alias("data"))).alias("infos"), F.array_repeat(sorry, (F.col("turn") % 3).cast("int")).alias("sorries"))
+    entry = F.struct(F.format_string("c%d_t%d", "conv_id", "turn").alias("name"), F.col("text").alias("code"), result.alias("compilation_result"))
+    place = rounds.folder(spark)
+    c.groupBy("conv_id").agg(F.to_json(F.collect_list(entry), {"pretty": "true"}).alias("value")).select("value").write.text(place)  # a conversation's turns
+    return readers.compile_results(spark, place).select("name", "pass_ok", "complete_ok", F.get("infos", F.lit(0))["data"].alias("info"), F.size("sorries").alias("sorries"))

@@ -1,16 +1,13 @@
-"""Readers and writers of run files: JSON lines, manifests, run databases, result tables."""
+"""Readers and writers of run files: JSON lines, manifests, compile results, logs, result tables."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PROGRAM = "run_id string, seq long, id string, code string, parent_id string, generation int, timestamp double, combined_score double, public_metrics string, private_metrics string, metadata string, correct boolean, island_idx int, embedding string"
+from lemmaflow.sources import arrays
+
 PROBLEM = T.StructType([T.StructField(n, T.StringType()) for n in ("problem_name", "full_name", "informal_stmt", "header", "formal_stmt")])
 
 
@@ -26,9 +23,14 @@ def tolerant_json_lines(spark: SparkSession, path: str, schema: T.StructType, ke
     return rows.select(*[F.col(f"r.{f.name}") for f in schema.fields])
 
 
-def problems(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark problems with defaults for missing fields, and their number in the file."""
-    rows = spark.read.schema(PROBLEM).json(path).withColumn("index", F.monotonically_increasing_id())
+def problems(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """Benchmark problems of JSON lines, with defaults for missing fields, and their number (index) over all files by name. first:
+    only so many lines are read, blank ones included. A broken line fails the job."""
+    rows = arrays.pieces(spark, path)
+    if first is not None:
+        rows = arrays.numbered(rows, F.lit(True), False).where(F.col("number") < first).drop("number")
+    rows = arrays.numbered(rows, F.trim(F.regexp_replace("value", r"\s", "")) != "", False).where(F.regexp_replace("value", r"\s", "") != "")
+    rows = rows.select(F.from_json("value", PROBLEM, {"mode": "FAILFAST"}).alias("r"), F.col("number").cast("long").alias("index")).select("r.*", "index")
     or_else = lambda c, value: F.coalesce(F.nullif(F.trim(c), F.lit("")), value)
     rows = rows.withColumn("problem_name", or_else("problem_name", F.format_string("problem_%04d", F.col("index"))))
     return rows.withColumns({"full_name": or_else("full_name", F.col("problem_name")), "informal_stmt": F.coalesce("informal_stmt", F.lit("")), "header": or_else("header", F.lit("import Mathlib"))})
@@ -41,34 +43,6 @@ def manifest_runs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("problems").alias("p")).select("p.problem_id", F.explode("p.runs").alias("method", "run_dir"))
 
 
-def run_databases(spark: SparkSession, files: DataFrame, partitions: int = 64) -> DataFrame:
-    """Programs out of many run databases. files: (run_id, content binary), as binaryFile reads them,
-    so any store that Spark reads will do. Rows whose metrics are null or broken are left out."""
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sqlite3
-
-        names = [f.split()[0] for f in PROGRAM.split(", ")]
-        for pdf in batches:
-            for run_id, content in zip(pdf["run_id"], pdf["content"]):
-                db = sqlite3.connect(":memory:")
-                db.deserialize(bytes(content))
-                have = {r[1] for r in db.execute("pragma table_info(programs)")}
-                own = [n if n in have else f"null as {n}" for n in names[2:]]
-                rows = db.execute(f"select rowid, {', '.join(own)} from programs order by rowid").fetchall()
-                db.close()
-                yield pd.DataFrame([(run_id, *r) for r in rows if _is_object(r[names.index("public_metrics") - 1])], columns=names).astype({"correct": "boolean"})
-
-    return files.select("run_id", "content").repartition(partitions).mapInPandas(load, PROGRAM)
-
-
-def _is_object(text: str | None) -> bool:
-    try:
-        return isinstance(json.loads(text), dict)
-    except (TypeError, ValueError):
-        return False
-
-
 def typed_programs(programs: DataFrame) -> DataFrame:
     """Programs with the usual metrics as columns and the time as a timestamp."""
     m = F.from_json("public_metrics", "compile_ok double, semantic_ok double, beq_ok double, cycle_score double")
@@ -87,13 +61,14 @@ TERMINATION = "total_budget_calls int, raw_llm_api_calls int, total_llm_calls in
 
 
 def compile_results(spark: SparkSession, path: str) -> DataFrame:
-    """Compile results out of JSON arrays, pretty-printed or not, flags flat. A file is one task: write
-    the rows as Parquet once and read these afterwards. Rows without a name are left out."""
-    rows = spark.read.schema(COMPILED).option("multiLine", True).json(path)
+    """Compile results out of JSON arrays, pretty-printed or not, flags flat; a large file is read by many tasks. Rows without a
+    name are left out."""
+    rows = arrays.json_array_elements(spark, path).select(F.from_json("text", COMPILED).alias("r")).select("r.*")
     r = F.col("compilation_result")
     flag = lambda n: F.coalesce(r[n], F.lit(False)).cast("int").alias(f"{n}_ok")
     name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("problem_id"), F.lit("")))
-    return rows.select(name.alias("name"), "code", flag("pass"), flag("complete"), r["system_errors"].alias("system_error"), r["errors"].alias("errors"), r["warnings"].alias("warnings")).where("name is not null")
+    messages = [r[n].alias(n) for n in ("errors", "warnings", "infos", "sorries")]
+    return rows.select(name.alias("name"), "code", flag("pass"), flag("complete"), r["system_errors"].alias("system_error"), *messages).where("name is not null")
 
 
 def _problem_of(path: F.Column) -> F.Column:

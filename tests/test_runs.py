@@ -14,6 +14,8 @@ from lemmaflow.operators import attempts as P
 from lemmaflow.operators import bandits as B
 from lemmaflow.operators import compare, metrics, vectors
 from lemmaflow.operators import population as G
+from lemmaflow.sources import arrays
+from lemmaflow.sources import databases as D
 from lemmaflow.sources import readers as R
 from lemmaflow.streaming import results
 
@@ -358,18 +360,76 @@ def test_readers(spark, tmp_path):
 
 
 def test_run_databases_and_selection(spark, tmp_path):
-    db = sqlite3.connect(tmp_path / "p.sqlite")
+    (tmp_path / "runs" / "r").mkdir(parents=True)
+    db = sqlite3.connect(tmp_path / "runs" / "r" / D.FILE)
     db.execute("create table programs (id text, code text, generation int, combined_score real, public_metrics text, correct int)")
-    db.executemany("insert into programs values (?, 'c', 0, 1.5, ?, 1)", [("a", '{"compile_ok": 1}'), ("b", "broken"), ("c", None)])
+    db.executemany("insert into programs values (?, 'c', ?, 1.5, ?, 1)", [("a", 0, '{"compile_ok": 1}'), ("b", 1, "broken"), ("c", 2, None), ("d", "x", "{}"), ("e", 4, "[]"), ("f", 5, '{"compile_ok": 0}')])
     db.commit()
     db.close()
-    files = spark.read.format("binaryFile").load(str(tmp_path / "p.sqlite")).select(F.lit("r").alias("run_id"), "content")
-    got = R.typed_programs(R.run_databases(spark, files, 2)).collect()
-    assert [(r.id, r.seq, r.correct, r.metric_compile_ok) for r in got] == [("a", 1, True, 1.0)]
+    for name, body in (("broken", b"no database"), ("none", b"")):
+        (tmp_path / "runs" / name).mkdir()
+        (tmp_path / "runs" / name / D.FILE).write_bytes(body)
+    every = D.run_databases(spark, str(tmp_path / "runs"), rows=2)
+    assert every.rdd.getNumPartitions() == 3  # ranges of two row ids
+    got = sorted((r.run_id, r.seq, r.id, r.generation, r.correct, r.metric_compile_ok, r.parent_id) for r in R.typed_programs(every).collect())
+    assert got == [("r", 1, "a", 0, True, 1.0, None), ("r", 4, "d", None, True, None, None), ("r", 6, "f", 5, True, 0.0, None)]
+    assert [r.id for r in every.where("generation > 0 and id in ('a', 'f')").select("id").collect()] == ["f"]
+    assert D.run_databases(spark, str(tmp_path / "nothing")).count() == 0
+    rows = spark.createDataFrame([(f"run {k % 3}", k + 1, str(k), None if k % 5 == 0 else k, k / 2, "{}") for k in range(40)], "run_id string, seq long, id string, generation int, combined_score double, public_metrics string")
+    D.write_databases(rows, str(tmp_path / "made"))
+    D.write_databases(rows, f"file://{tmp_path}/made")  # a task that runs twice
+    back = D.run_databases(spark, f"file:{tmp_path}/made", rows=7).select(*rows.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    with pytest.raises(ValueError):
+        D.local_path("hdfs://x/y")
     R.write_selection(spark.createDataFrame([(1, 1, "s"), (1, 2, "t")], "problem_id int, rank int, signature string"), str(tmp_path / "out"))
     assert [r.rank for r in spark.read.json(str(tmp_path / "out" / "index")).first().selected] == [1, 2]
 
 
+def _small_blocks(spark, path, size=400):
+    """Reads with blocks of so few bytes."""
+    for key, value in (("maxPartitionBytes", size), ("openCostInBytes", 0)):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+
+
+@pytest.mark.parametrize("indent,size", [(None, 300), (2, 300), (2, 128 << 20), (None, 60)])
+def test_json_arrays_by_many_tasks(spark, tmp_path, indent, size):
+    odd = ["}", "{", '"', "\\", '\\"}', "a\nb", "[{]", "é}😀", "", "\\\\"]
+    rows = [{"name": f"p{k}", "code": odd[k % len(odd)] * (k % 4 + 1), "compilation_result": {"pass": k % 2 == 0, "infos": [{"data": odd[(k + 3) % len(odd)], "pos": {"line": k, "column": 1}}], "sorries": [{}] * (k % 3)}} for k in range(120)]
+    files = {"a.json": rows, "b.json": [], "c.json": [1, "x{", rows[0], [rows[1]], None, rows[2]], "d.json": rows[5], "e.json": rows[:3]}
+    (tmp_path / "in").mkdir()
+    for name, body in files.items():
+        text = json.dumps(body, indent=indent, ensure_ascii=False)
+        (tmp_path / "in" / name).write_text(text[: text.rindex("}") - 3] if name == "e.json" else text)
+    try:
+        _small_blocks(spark, tmp_path, size)
+        if size < 1000:
+            assert arrays.pieces(spark, str(tmp_path / "in" / "a.json"), "}").rdd.getNumPartitions() > 10
+        got = {}
+        for r in arrays.json_array_elements(spark, str(tmp_path / "in")).collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], {})[r.element] = json.loads(r.text)
+        results = {r.name: r for r in R.compile_results(spark, str(tmp_path / "in" / "a.json")).collect()}
+    finally:
+        _small_blocks(spark, tmp_path, 128 << 20)
+    assert [got["a.json"][k] for k in range(120)] == rows and len(got["a.json"]) == 120
+    assert "b.json" not in got and list(got["c.json"].values()).count(rows[0]) == 1 and got["d.json"] == {0: rows[5]} and got["e.json"] == {0: rows[0], 1: rows[1]}
+    assert len(results) == 120 and results["p7"].infos[0].data == odd[0] and len(results["p8"].sorries) == 2 and (results["p8"].pass_ok, results["p8"].complete_ok) == (1, 0)
+
+
+def test_problems_are_numbered_over_files(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.jsonl").write_text('{"formal_stmt": "x"}\n\n{"problem_name": " "}\n{"problem_name": "own", "header": ""}\n')
+    (tmp_path / "p" / "b.jsonl").write_text("\n".join(json.dumps({"informal_stmt": f"i{k}"}) for k in range(3)))
+    try:
+        _small_blocks(spark, tmp_path, 20)
+        got = [(r["index"], r.problem_name, r.full_name, r.header) for r in R.problems(spark, str(tmp_path / "p")).orderBy("index").collect()]
+        few = [r["index"] for r in R.problems(spark, str(tmp_path / "p"), first=3).collect()]
+    finally:
+        _small_blocks(spark, tmp_path, 128 << 20)
+    names = ["problem_0000", "problem_0001", "own", "problem_0003", "problem_0004", "problem_0005"]
+    assert got == [(k, n, n, "import Mathlib") for k, n in enumerate(names)] and sorted(few) == [0, 1]
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(k, 0, [float(k % 3), 1.0, float(k)]) for k in range(12)] + [(99, 0, [0.0, 0.0, 0.0])], "id long, island_idx int, embedding array<double>")
     pairs = {(r.a, r.b) for r in vectors.similar_pairs(rows, 0.9, 3).collect()}
