@@ -1,7 +1,12 @@
-"""Similarity and novelty of embedded candidates within their island."""
+"""Similarity and novelty of embedded candidates, within their island or among all."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,41 +22,204 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot(a, b) / norm).otherwise(0.0)
 
 
-def most_similar(queries: DataFrame, rows: DataFrame, k: int = 1, parts: int = 16) -> DataFrame:
-    """The k rows of its island that are most like each query, itself left out; ties to the smaller
-    id. Islands are dealt into parts, so a large one is many tasks; each part keeps its k best
-    before they meet."""
-    q = queries.select(F.col("id").alias("query_id"), "island_idx", F.col("embedding").alias("q")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = rows.select("id", "island_idx", "embedding").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    pairs = q.join(r, ["island_idx", "part"]).where("id <> query_id").select("query_id", "id", "part", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
-    rank = lambda *keys: F.row_number().over(Window.partitionBy("query_id", *keys).orderBy(F.desc("similarity"), "id"))
-    near = pairs.withColumn("_k", rank("part")).where(F.col("_k") <= k).drop("_k", "part")
-    return near.withColumn("rank", rank()).where(F.col("rank") <= k)
-
-
-def novelty(queries: DataFrame, rows: DataFrame, threshold: float = 0.95, parts: int = 16) -> DataFrame:
-    """Each query's greatest similarity with an earlier row of its island, and whether it is novel:
-    at most the threshold, or nothing to compare. Islands are dealt into parts, each of which keeps one
-    maximum a query; norms are taken once a row."""
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = lambda df: df.select("id", "island_idx", F.size("embedding").alias("_n"), F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm)).alias("v"))
-    q = unit(queries).select(F.col("id").alias("query_id"), "island_idx", F.col("_n").alias("_m"), F.col("v").alias("q")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = unit(rows).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    usable = (F.col("_m") == F.col("_n")) & F.col("q").isNotNull() & F.col("v").isNotNull()
-    near = q.join(r, ["island_idx", "part"]).where("id < query_id").groupBy("query_id").agg(F.max(F.when(usable, dot(F.col("q"), F.col("v"))).otherwise(0.0)).alias("similarity"))
-    out = queries.select(F.col("id").alias("query_id")).join(near, "query_id", "left")
+#: Rows of a block, about.
+BLOCK = 4096
+#: Similarities are rounded to so many digits, so that equal vectors tie wherever they are compared.
+DIGITS = 12
+
+
+class Cells:
+    """Unit vectors around pivots. A cell's greatest angle to its pivot bounds what any of its rows can
+    have in common with a query, by the triangle inequality of angles."""
+
+    def __init__(self, units: np.ndarray) -> None:
+        self.units = units
+        pivots = np.arange(0, len(units), max(1, int(len(units) ** 0.5)))
+        closeness = units @ units[pivots].T
+        own = closeness.argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(len(pivots) + 1))
+        self.cells = [order[low:high] for low, high in zip(cuts, cuts[1:])]
+        angle = np.arccos(np.clip(closeness[np.arange(len(units)), own], -1, 1))
+        self.radius = np.array([angle[c].max() if len(c) else 0.0 for c in self.cells])
+        self.pivots = units[pivots]
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and cell, what no row of the cell exceeds."""
+        apart = np.arccos(np.clip(queries @ self.pivots.T, -1, 1)) - self.radius
+        return np.cos(np.clip(apart, 0, np.pi)) + 1e-7  # arccos is coarse near 1
+
+    def products(self, queries: np.ndarray, cell: int, which: np.ndarray) -> np.ndarray:
+        return np.round(queries[which] @ self.units[self.cells[cell]].T, DIGITS)
+
+
+def _matrices(t: pa.Table) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """ids, and by dimension the row numbers and unit vectors of the usable rows: not empty, of finite numbers, not all 0."""
+    ids, by = t.column("id").to_numpy(), {}
+    lengths = pc.fill_null(pc.list_value_length(t.column("v")), 0).to_numpy()
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        at = np.nonzero(lengths == dim)[0]
+        flat = pc.list_flatten(t.column("v").take(pa.array(at))).combine_chunks()
+        values = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).reshape(len(at), dim).astype(np.float64)
+        norm = np.sqrt((values**2).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        if good.any():
+            by[dim] = at[good], values[good] / norm[good, None]
+    return ids, by
+
+
+def _meeting(queries: DataFrame, rows: DataFrame, group: str | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into blocks, each block of the one to meet each of the other of its group: (g, qb, rb, id, v). What is held
+    for a group is its numbers of blocks."""
+    key = F.col(group) if group else F.lit(0)
+    q, r = (df.select(key.alias("g"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")) for df in (queries, rows))
+    blocks = lambda df, n: df.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    sizes = blocks(q, "nq").join(blocks(r, "nr"), "g")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(sizes, "g").withColumn("qb", own("nq")).withColumn("rb", all_of("nr"))
+    r = r.join(sizes, "g").withColumn("rb", own("nr")).withColumn("qb", all_of("nq"))
+    return tuple(df.select("g", "qb", "rb", "id", "v") for df in (q, r))
+
+
+def _compared(queries: DataFrame, rows: DataFrame, group: str | None, block: int, answer: Callable, schema: str) -> DataFrame:
+    q, r = _meeting(queries, rows, group, block)
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    types = [kinds[part.split()[1]] for part in schema.split(", ")]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = answer(left, right) if left.num_rows and right.num_rows else [[] for _ in names]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    keys = ["g", "qb", "rb"]
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def most_similar(queries: DataFrame, rows: DataFrame, k: int = 1, group: str | None = "island_idx", block: int = BLOCK) -> DataFrame:
+    """(query_id, id, similarity, rank): the k rows of its group that are most like each query, a row of its id left
+    out; ties to the smaller id. group None: of all rows. Vectors that are null, empty, of another
+    length, all 0 or not finite have similarity 0, as in cosine(). ids are whole numbers.
+
+    Blocks of queries and rows meet as matrices; within a block, cells of rows whose bound is below a query's k-th best are
+    skipped. Where a group's vectors lie equally far from each other nothing is skipped: queries times rows."""
+
+    def answer(left: pa.Table, right: pa.Table) -> list:
+        (q_ids, q_by), (r_ids, r_by) = _matrices(left), _matrices(right)
+        score, found = np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64)
+
+        def take(which: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+            ids = np.broadcast_to(ids, scores.shape)
+            scores = np.where(ids == q_ids[which, None], -np.inf, scores)
+            scores, ids = np.hstack((score[which], scores)), np.hstack((found[which], ids))
+            best = np.lexsort((ids, -scores), axis=1)[:, :k]
+            score[which], found[which] = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
+
+        usable = np.zeros(len(r_ids), bool)
+        for dim, (at, units) in r_by.items():
+            usable[at] = True
+            if dim not in q_by:
+                continue
+            which, own = q_by[dim]
+            cells = Cells(units)
+            bounds = cells.bounds(own)
+            nearest = bounds.argmax(axis=1)
+            for first in (True, False):  # the most promising cell of each query, then those that may still help
+                for c in range(len(cells.cells)):
+                    some = np.nonzero((nearest == c) if first else (nearest != c) & (bounds[:, c] >= score[which, k - 1]))[0]
+                    if len(some) and len(cells.cells[c]):
+                        take(which[some], cells.products(own, c, some), r_ids[at[cells.cells[c]]])
+        # what cannot be compared has similarity 0; of these only the smallest ids can count
+        fit = {int(w): dim for dim, (which, _) in q_by.items() for w in which}
+        for dim in {*fit.values(), None}:
+            which = np.array([w for w in range(len(q_ids)) if fit.get(w) == dim])
+            alike = np.zeros(len(r_ids), bool)
+            if dim in r_by:
+                alike[r_by[dim][0]] = True
+            others = np.sort(r_ids[~alike])[: k + 1]
+            if len(which) and len(others):
+                take(which, np.zeros((len(which), len(others))), others)
+        rows_, ranks = np.nonzero(score > -np.inf)
+        return [q_ids[rows_], found[rows_, ranks], score[rows_, ranks]]
+
+    met = _compared(queries, rows, group, block, answer, "query_id long, id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def similarities(queries: DataFrame, rows: DataFrame, group: str | None = "island_idx", block: int = BLOCK) -> DataFrame:
+    """(query_id, id, similarity) of each query with every row of its group, its own id too: the whole list. Made for a stated set of
+    queries; a row for each pair is the result."""
+
+    def answer(left: pa.Table, right: pa.Table) -> list:
+        (q_ids, q_by), (r_ids, r_by) = _matrices(left), _matrices(right)
+        out = np.zeros((len(q_ids), len(r_ids)))
+        for dim in q_by.keys() & r_by.keys():
+            out[np.ix_(q_by[dim][0], r_by[dim][0])] = np.round(q_by[dim][1] @ r_by[dim][1].T, DIGITS)
+        return [np.repeat(q_ids, len(r_ids)), np.tile(r_ids, len(q_ids)), out.ravel()]
+
+    return _compared(queries, rows, group, block, answer, "query_id long, id long, similarity double")
+
+
+def novelty(queries: DataFrame, rows: DataFrame, threshold: float = 0.95, generation: str | None = None, group: str | None = "island_idx", block: int = BLOCK) -> DataFrame:
+    """(query_id, similarity, novel): each query's greatest similarity with an earlier row of its group, and whether it is novel:
+    at most the threshold, nothing to compare, or of generation 0 (a column of queries, if named), which is not
+    compared. Blocks meet as matrices and keep one maximum a query."""
+    tested = queries.where(F.coalesce(F.col(generation) != 0, F.lit(True))) if generation else queries
+
+    def answer(left: pa.Table, right: pa.Table) -> list:
+        (q_ids, q_by), (r_ids, r_by) = _matrices(left), _matrices(right)
+        best = np.where(r_ids.min() < q_ids, -2.0, -np.inf)
+        for dim in q_by.keys() & r_by.keys():
+            (which, own), (at, units) = q_by[dim], r_by[dim]
+            cells = Cells(units)
+            bounds = cells.bounds(own)
+            for c in np.argsort(-bounds.max(axis=0)):
+                some = np.nonzero(bounds[:, c] > best[which])[0]
+                some = some[r_ids[at[cells.cells[c]]].min() < q_ids[which[some]]] if len(some) and len(cells.cells[c]) else some[:0]
+                if len(some):
+                    earlier = r_ids[at[cells.cells[c]]] < q_ids[which[some], None]
+                    best[which[some]] = np.maximum(best[which[some]], np.where(earlier, cells.products(own, c, some), -2.0).max(axis=1))
+        # an earlier row that cannot be compared counts with 0
+        fit = {int(w): dim for dim, (which, _) in q_by.items() for w in which}
+        first = {None: r_ids.min()}
+        for dim in q_by:
+            apart = np.delete(r_ids, r_by[dim][0]) if dim in r_by else r_ids
+            first[dim] = apart.min() if len(apart) else np.iinfo(np.int64).max
+        for w in np.nonzero((best > -np.inf) & (best < 0))[0].tolist():
+            if first[fit.get(w)] < q_ids[w]:
+                best[w] = 0.0
+        some = best > -2.0
+        return [q_ids[some], best[some]]
+
+    met = _compared(tested, rows, group, block, answer, "query_id long, similarity double").groupBy("query_id").agg(F.max("similarity").alias("similarity"))
+    out = queries.select(F.col("id").alias("query_id")).join(met, "query_id", "left")
     return out.withColumn("novel", F.coalesce(F.col("similarity") <= threshold, F.lit(True)).cast("int"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, parts: int = 16) -> DataFrame:
-    """(island_idx, a, b, similarity) of all pairs of an island, a before b, whose cosine is at least
-    the threshold. Each row's unit vector goes to one part and, as partner, to all parts; a part of
-    an island is one group, whatever the island's size, and only pairs over the threshold leave it."""
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = rows.select("id", "island_idx", F.size("embedding").alias("_n"), F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm)).alias("v")).where("v is not null")
-    own = unit.select("island_idx", "_n", F.col("id").alias("a"), F.col("v").alias("va"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    other = unit.select("island_idx", "_n", F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    return own.join(other, ["island_idx", "_n", "part"]).where("a < b").select("island_idx", "a", "b", dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
+def similar_pairs(rows: DataFrame, threshold: float, group: str = "island_idx", block: int = BLOCK) -> DataFrame:
+    """(island_idx, a, b, similarity) of all pairs of a group, a before b, whose cosine is at least the threshold;
+    vectors that cannot be compared have no pairs. Blocks meet as matrices, cells whose bound is below the
+    threshold are skipped, and only pairs over the threshold leave a task."""
+
+    def answer(left: pa.Table, right: pa.Table) -> list:
+        (a_ids, a_by), (b_ids, b_by) = _matrices(left), _matrices(right)
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for dim in a_by.keys() & b_by.keys():
+            (which, own), (at, units) = a_by[dim], b_by[dim]
+            cells = Cells(units)
+            bounds = cells.bounds(own)
+            for c, members in enumerate(cells.cells):
+                some = np.nonzero(bounds[:, c] >= threshold)[0]
+                if len(some) and len(members):
+                    scores, ids = cells.products(own, c, some), b_ids[at[members]]
+                    i, j = np.nonzero((scores >= threshold) & (a_ids[which[some], None] < ids))
+                    for column, values in zip(out, (a_ids[which[some[i]]], ids[j], scores[i, j])):
+                        column.append(values)
+        return [np.concatenate(c) for c in out]
+
+    pairs = _compared(rows, rows, group, block, answer, "a long, b long, similarity double")
+    return pairs.join(rows.select(F.col("id").alias("a"), group), "a").select(F.col(group).alias("island_idx"), "a", "b", "similarity")
 
 
 def principal_components(rows: DataFrame, dims: int = 2) -> DataFrame:

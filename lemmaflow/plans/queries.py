@@ -336,21 +336,39 @@ def path_to_best(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id)
     SELECT query_id, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS "rank" FROM s QUALIFY "rank" <= 5"""
 )
 def most_similar(spark, sf):
     e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("island_idx"), "embedding")
-    return _rounded(vectors.most_similar(e.where("id % 20 = 0"), e, 5))
+    return _rounded(vectors.most_similar(e, e, 5))
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id)
+    SELECT query_id, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS "rank" FROM s QUALIFY "rank" <= 3"""
+)
+def nearest_neighbours(spark, sf):
+    e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return _rounded(vectors.most_similar(e, e, 3, group=None))
+
+
+@query(
+    """SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id % 20 = 0"""
+)
+def island_similarities(spark, sf):
+    """Every 20th row against its whole island."""
+    e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("island_idx"), "embedding")
+    return _rounded(vectors.similarities(e.where("id % 20 = 0"), e))
 
 
 @query(
     """WITH s AS (SELECT q.vec_id AS query_id, max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id < q.vec_id GROUP BY 1)
-    SELECT vec_id AS query_id, round(similarity, 6) AS similarity, CAST(coalesce(similarity <= 0.5, true) AS INTEGER) AS novel FROM embeddings LEFT JOIN s ON query_id = vec_id"""
+    SELECT vec_id AS query_id, round(similarity, 6) AS similarity, CAST(coalesce(similarity <= 0.5, true) AS INTEGER) AS novel FROM embeddings LEFT JOIN s ON query_id = vec_id AND vec_id % 3 <> 0"""
 )
 def novelty(spark, sf):
     e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("island_idx"), "embedding")
-    return _rounded(vectors.novelty(e, e, 0.5))
+    return _rounded(vectors.novelty(e.withColumn("generation", F.col("id") % 3), e, 0.5, "generation"))
 
 
 @query("SELECT round(coalesce(corr(n_chars, quality), 0), 6) AS r, round(avg(n_chars) FILTER (quality = 1), 6) AS mean_if_1, round(avg(n_chars) FILTER (quality = 0), 6) AS mean_if_0 FROM labels JOIN documents USING (doc_id)")

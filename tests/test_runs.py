@@ -432,9 +432,41 @@ def test_problems_are_numbered_over_files(spark, tmp_path):
 
 def test_vectors(spark):
     rows = spark.createDataFrame([(k, 0, [float(k % 3), 1.0, float(k)]) for k in range(12)] + [(99, 0, [0.0, 0.0, 0.0])], "id long, island_idx int, embedding array<double>")
-    pairs = {(r.a, r.b) for r in vectors.similar_pairs(rows, 0.9, 3).collect()}
+    pairs = {(r.a, r.b) for r in vectors.similar_pairs(rows, 0.9, block=3).collect()}
     data = {r.id: r.embedding for r in rows.collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 or 1)
     assert pairs == {(a, b) for a in data for b in data if a < b and cos(data[a], data[b]) >= 0.9}
     assert all(len(r.pca) == 2 for r in vectors.principal_components(rows, 2).collect())
     assert {r.cluster for r in vectors.clusters(rows.limit(2), 4).collect()} == {None}
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_blocks_of_vectors_against_brute_force(spark, block):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(6, 5))
+    data = [(k, k % 3, (middles[k % 6] + 0.1 * rng.normal(size=5)).tolist()) for k in range(90)]
+    data += [(100 + k, 0, [1.0, 2.0, 3.0, 4.0, 5.0]) for k in range(4)]  # ties
+    data += [(110, 0, None), (111, 0, []), (112, 1, [0.0] * 5), (113, 1, [1.0, None, 2.0, 3.0, 4.0]), (114, 2, [1.0, 2.0]), (115, 2, [2.0, 1.0]), (116, 0, [float("nan")] * 5), (-1, 1, [0.0] * 5), (117, None, [1.0] * 5)]
+    rows = spark.createDataFrame(data, "id long, island_idx int, embedding array<double>")
+
+    def cosine(a, b):
+        usable = a and b and len(a) == len(b) and None not in a + b and all(map(math.isfinite, a + b)) and any(a) and any(b)
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9) if usable else 0.0
+
+    own = lambda i, j: i is not None and i == j
+    for group, together in (("island_idx", own), (None, lambda i, j: True)):
+        want = set()
+        for i, g, v in data:
+            best = sorted((-cosine(v, w), j) for j, h, w in data if j != i and together(g, h))[:3]
+            want |= {(i, j, -s, k + 1) for k, (s, j) in enumerate(best)}
+        got = {(r.query_id, r.id, round(r.similarity, 9) + 0.0, r["rank"]) for r in vectors.most_similar(rows, rows, 3, group, block).collect()}
+        assert got == {(i, j, s + 0.0, k) for i, j, s, k in want}
+        some = rows.where("id % 10 = 0")
+        every = {(r.query_id, r.id): round(r.similarity, 9) for r in vectors.similarities(some, rows, group, block).collect()}
+        assert every == {(i, j): cosine(v, w) for i, g, v in data for j, h, w in data if i % 10 == 0 and together(g, h)}
+    new = {r.query_id: (None if r.similarity is None else round(r.similarity, 9), r.novel) for r in vectors.novelty(rows.withColumn("generation", F.col("id") % 4), rows, 0.95, "generation", block=block).collect()}
+    for i, g, v in data:
+        seen = [cosine(v, w) for j, h, w in data if j < i and own(g, h)] if i % 4 else []
+        assert new[i] == ((max(seen), int(max(seen) <= 0.95)) if seen else (None, 1))
+    pairs = {(r.island_idx, r.a, r.b) for r in vectors.similar_pairs(rows, 0.97, block=block).collect()}
+    assert pairs == {(g, i, j) for i, g, v in data for j, h, w in data if i < j and own(g, h) and cosine(v, w) >= 0.97}
