@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.operators.quantiles import exact_quantiles
+
 
 def ok_flag(metrics: Column, key: str) -> Column:
     """Is the metric 1? Numbers are cut to whole ones, true counts as 1, anything else as no. Null or
@@ -121,7 +123,8 @@ def top_share(rows: DataFrame, keys: list[str], value: str, fraction: float = 0.
 def numeric_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: count, min, max, mean and exact median, nulls skipped."""
     long = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "field", "x")
-    return long.groupBy("field").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"))
+    out = long.groupBy("field").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"))
+    return out.join(exact_quantiles(long, ["field"], "x", {"median": 0.5}), "field", "left")
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -235,7 +238,8 @@ def cost_summary(programs: DataFrame, kinds: list[str], keys: list[str]) -> Data
     median score, share of correct rows."""
     cost = {k: F.coalesce(F.get_json_object("metadata", f"$.{k}").try_cast("double"), F.lit(0.0)) for k in kinds}
     sums = [F.sum(c).alias(k) for k, c in cost.items()]
-    out = programs.groupBy(*keys).agg(F.count("*").alias("programs"), *sums, F.avg("combined_score").alias("mean_score"), F.max("combined_score").alias("best_score"), F.percentile("combined_score", F.lit(0.5)).alias("median_score"), F.avg(F.col("correct").cast("double")).alias("correct_share"))
+    out = programs.groupBy(*keys).agg(F.count("*").alias("programs"), *sums, F.avg("combined_score").alias("mean_score"), F.max("combined_score").alias("best_score"), F.avg(F.col("correct").cast("double")).alias("correct_share"))
+    out = out.join(exact_quantiles(programs, keys, "combined_score", {"median_score": 0.5}), keys, "left")
     return out.withColumn("cost_per_program", sum((F.col(k) for k in kinds), F.lit(0.0)) / F.col("programs"))
 
 
