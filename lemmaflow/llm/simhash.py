@@ -110,10 +110,11 @@ def _join(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
 
 
-def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 256, cols: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 256, cols: int = 1024, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (child, root row numbers) of all links at radius or fewer differing bits
     between the rows of a and b, or within a if b is None; rows are (n, words) uint64. Tiles whose
-    population counts, in all or summed over single words, differ beyond the radius are skipped."""
+    population counts, in all or summed over single words, differ beyond the radius are skipped.
+    known: for each row the root of a component that it is known to belong to; no edge says so again."""
     def ordered(x):
         pops = np.bitwise_count(x).astype(np.int16)
         order = np.lexsort((*pops.T[1:], pops[:, 0], pops.sum(axis=1)))
@@ -126,7 +127,8 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 25
     xa, pa_, oa = ordered(a)
     xb, pb, ob = (xa, pa_, oa) if b is None else ordered(b)
     shift = 0 if b is None else len(a)
-    parent = np.arange(len(a) + (0 if b is None else len(b)))
+    known = np.arange(len(a) + (0 if b is None else len(b))) if known is None else known
+    parent = known.copy()
     cut_a, low_a, high_a = boxes(pa_, rows)
     cut_b, low_b, high_b = boxes(pb, cols)
     first = 1  # words after which chance alone hardly lets a pair pass
@@ -153,7 +155,7 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 25
             if len(i):
                 _join(parent, i, j)
     root = _roots(parent, np.arange(len(parent)))
-    child = np.nonzero(root != np.arange(len(root)))[0]
+    child = np.nonzero((root != known) & (known == np.arange(len(root))))[0]
     return child, root[child]
 
 
@@ -175,8 +177,9 @@ def _blocks(counts: dict[int, int], least: int, pieces: int, most: int) -> dict[
 
 
 def hamming_forest(nodes: DataFrame, radius: int, words: int, least: int = 1024, pieces: int = 32, most: int = 4_000_000) -> DataFrame:
-    """Edges (a, b) of a forest that has the components of all links at radius or fewer differing
-    bits between distinct fingerprints. nodes: (node binary, pop int), a node's last 8 * words bytes
+    """Edges (a, b) of a graph that has the components of all links at radius or fewer differing
+    bits between distinct fingerprints: a forest of each block, and for every two blocks no more edges than join
+    components within them. nodes: (node binary, pop int), a node's last 8 * words bytes
     being its fingerprint and the bytes before, as many in each, any name; no fingerprint twice.
 
     Collects one count for each population count (64 * words + 1 at most), never a fingerprint.
@@ -194,32 +197,50 @@ def hamming_forest(nodes: DataFrame, radius: int, words: int, least: int = 1024,
         reach.append((p, start, n, min(s for s, _ in near), max(s + m - 1 for s, m in near)))
     table = F.broadcast(spark.createDataFrame(reach, "pop int, start int, n int, low int, high int"))  # a row per population count
 
-    def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        data = b"".join(rows.column("node").to_pylist())
-        return pa.table({"block": [key[0].as_py()], "low": [min(rows.column("low").to_pylist())], "high": [max(rows.column("high").to_pylist())], "n": [rows.num_rows], "nodes": pa.array([data], pa.large_binary())}).cast(packed)
+    def prints_of(nodes: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(nodes[:, -8 * words :]).view(">u8").astype(np.uint64)
 
-    packed = pa.schema([("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32()), ("nodes", pa.binary())])
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        """A block as one row, compared in itself: roots are its nodes' roots among them."""
+        data, n = b"".join(rows.column("node").to_pylist()), rows.num_rows
+        roots = np.arange(n)
+        child, root = forest(prints_of(np.frombuffer(data, dtype=np.uint8).reshape(n, -1)), None, radius)
+        roots[child] = root
+        own = {"block": [key[0].as_py()], "low": [min(rows.column("low").to_pylist())], "high": [max(rows.column("high").to_pylist())], "n": [n], "nodes": pa.array([data], pa.large_binary()), "roots": pa.array([roots.astype(np.int32).tobytes()], pa.large_binary())}
+        return pa.table(own).cast(packed)
+
+    packed = pa.schema([("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32()), ("nodes", pa.binary()), ("roots", pa.binary())])
     keyed = nodes.join(table, "pop").select((F.col("start") + F.pmod(F.xxhash64("node"), F.col("n"))).cast("int").alias("block"), "low", "high", "node")
-    whole = durable(keyed.groupBy("block").applyInArrow(pack, "block int, low int, high int, n int, nodes binary"))
+    whole = durable(keyed.groupBy("block").applyInArrow(pack, "block int, low int, high int, n int, nodes binary, roots binary"))
     # blocks p and q meet if either reaches the other; low and high of a shared block are its widest
-    ends = whole.select("block", F.explode(F.sequence("low", "high")).alias("other"))
+    ends = whole.select("block", F.explode(F.sequence("low", "high")).alias("other")).where("block <> other")
     pairs = ends.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
-    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    tiles = sides.join(whole.select("block", "n", "nodes"), "block")
+    sides = pairs.select("i", "j", F.explode(F.array("i", "j")).alias("block"))
+    tiles = sides.join(whole.select("block", "n", "nodes", "roots"), "block")
+
+    def edges(nodes: np.ndarray, child: np.ndarray, root: np.ndarray) -> dict:
+        cut = lambda rows: pa.array([nodes[r].tobytes() for r in rows], pa.binary())
+        return {"a": cut(child), "b": cut(root)}
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, x, r in zip(*[b.column(c).to_pylist() for c in range(3)]):
+                roots = np.frombuffer(r, dtype=np.int32)
+                child = np.nonzero(roots != np.arange(n))[0]
+                yield pa.RecordBatch.from_pydict(edges(np.frombuffer(x, dtype=np.uint8).reshape(n, -1), child, roots[child]))
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        data = {k: np.frombuffer(x, dtype=np.uint8).reshape(n, -1) for k, n, x in zip(*[rows.column(c).to_pylist() for c in ("block", "n", "nodes")])}
+        """Two blocks: they return no more edges than join components of theirs."""
+        data = {k: (np.frombuffer(x, dtype=np.uint8).reshape(n, -1), np.frombuffer(r, dtype=np.int32).astype(np.int64)) for k, n, x, r in zip(*[rows.column(c).to_pylist() for c in ("block", "n", "nodes", "roots")])}
         i, j = key[0].as_py(), key[1].as_py()
-        sides = [data[k] for k in ((i,) if i == j else (i, j)) if k in data]
-        if len(sides) < 1 + (i != j):
+        if i not in data or j not in data:
             return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        prints = [np.ascontiguousarray(x[:, -8 * words :]).view(">u8").astype(np.uint64) for x in sides]
-        child, root = forest(prints[0], prints[1] if i != j else None, radius)
-        both = np.concatenate(sides)
-        cut = lambda rows: pa.array([both[r].tobytes() for r in rows], pa.binary())
-        return pa.table({"a": cut(child), "b": cut(root)})
+        (left, known), (right, more) = data[i], data[j]
+        child, root = forest(prints_of(left), prints_of(right), radius, known=np.concatenate((known, more + len(left))))
+        return pa.table(edges(np.concatenate((left, right)), child, root))
 
-    return tiles.groupBy("i", "j").applyInArrow(compare, "a binary, b binary")
+    own = whole.select("n", "nodes", "roots").mapInArrow(inner, "a binary, b binary")
+    return own.union(tiles.groupBy("i", "j").applyInArrow(compare, "a binary, b binary"))
 
 
 def _named(doc_id: Column, fp: Column) -> Column:

@@ -672,3 +672,31 @@ def test_pipeline_as_a_whole(spark, tmp_path):
         if r["copy"] == 0:
             assert r.start == lengths[r.doc_id] or r.piece > 0
             lengths[r.doc_id] += r.length
+
+
+@pytest.mark.parametrize("words_", [1, 2])
+def test_hamming_forest_in_many_blocks(spark, words_):
+    """One large component over many blocks, and many small ones: the components of all pairs, with few edges between blocks."""
+    from lemmaflow.llm.common import components
+
+    rng = np.random.default_rng(17)
+    middle = rng.integers(0, 2**63, words_, dtype=np.uint64)
+    near = [middle ^ np.array([np.uint64(1) << np.uint64(b) for b in rng.integers(0, 64, words_)]) for _ in range(150)]
+    some = rng.integers(0, 2**63, (120, words_), dtype=np.uint64)
+    all_ = {x.astype(">u8").tobytes() for x in [middle, *near, *some, *(some[:40] ^ np.uint64(5))]}
+    prints = sorted(all_)
+    nodes = spark.createDataFrame([(bytearray(x), sum(b.bit_count() for b in x)) for x in prints], "node binary, pop int")
+    radius = 3 * words_
+    edges = simhash.hamming_forest(nodes, radius, words_, least=8, pieces=40)
+    value = [int.from_bytes(x) for x in prints]
+    root = list(range(len(value)))
+    for i in range(len(value)):
+        for j in range(i):
+            if (value[i] ^ value[j]).bit_count() <= radius:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {frozenset(prints[k] for k in range(len(root)) if root[k] == r) for r in set(root)}
+    got = defaultdict(set)
+    for r in components(edges).collect():
+        got[bytes(r.root)].add(bytes(r.node))
+    assert {frozenset(g) for g in got.values()} == {g for g in want if len(g) > 1}
+    assert edges.count() < 4 * len(prints)
