@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lemmaflow.operators.rounds import written
 
@@ -53,6 +56,35 @@ def path_to_best(programs: DataFrame, best: DataFrame) -> DataFrame:
     return out.groupBy("problem_id", "id").agg(F.min("steps_back").alias("steps_back"))
 
 
+_CHANGE = StructType([StructField("patch", StringType()), StructField("added", LongType()), StructField("removed", LongType())])
+
+
+def line_change(before: str | None, after: str | None) -> tuple[str | None, int | None, int | None]:
+    """The unified diff of two texts' lines and how many lines it adds and removes; nothing without a text before."""
+    if before is None or after is None:
+        return None, None, None
+    rows = list(difflib.unified_diff(before.splitlines(), after.splitlines(), "before", "after", lineterm=""))
+    body = rows[2:]
+    return "\n".join(rows), sum(r.startswith("+") for r in body), sum(r.startswith("-") for r in body)
+
+
+def path_steps(programs: DataFrame, best: DataFrame, code: str = "code") -> DataFrame:
+    """(problem_id, step, id, code, patch, added, removed): the path to each problem's best candidate in the order of time, from its
+    oldest ancestor (step 0) on, with what each step changed in the lines of its parent's code; a first step changed nothing. A path
+    that ran into a cycle begins with the row that closes it."""
+    path = written(path_to_best(programs, best))
+    first = path.groupBy("problem_id").agg(F.max("steps_back").alias("_n"))
+    own = path.join(first, "problem_id").select("problem_id", "id", (F.col("_n") - F.col("steps_back")).alias("step"))
+    own = written(own.join(programs.select("id", F.col(code).alias("code")), "id"))
+    before = own.select("problem_id", (F.col("step") + 1).alias("step"), F.col("code").alias("_before"))
+
+    def changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([line_change(x, y) for x, y in zip(a, b)], columns=_CHANGE.names).astype({"added": "Int64", "removed": "Int64"})
+
+    change = F.pandas_udf(changes, _CHANGE)
+    return own.join(before, ["problem_id", "step"], "left").withColumn("_c", change("_before", "code")).select("problem_id", "step", "id", "code", "_c.patch", "_c.added", "_c.removed")
+
+
 def children_count(programs: DataFrame) -> DataFrame:
     counts = edges(programs).groupBy("parent").agg(F.count("*").alias("children"))
     return programs.join(counts.withColumnRenamed("parent", "id"), "id", "left").fillna(0, ["children"])

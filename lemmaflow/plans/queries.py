@@ -335,6 +335,21 @@ def path_to_best(spark, sf):
     return lineage.path_to_best(p, select.best_program(p))
 
 
+@query(
+    """WITH best AS (SELECT problem_id, id FROM programs WHERE combined_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY combined_score DESC, ts, id) = 1),
+    r AS (SELECT problem_id, id, 0 AS back FROM best UNION ALL
+        SELECT r.problem_id, p.parent_id, back + 1 FROM r JOIN programs p ON p.id = r.id WHERE p.parent_id IS NOT NULL AND p.parent_id <> p.id AND p.parent_id IN (SELECT id FROM programs)),
+    s AS (SELECT r.problem_id, CAST(max(back) OVER (PARTITION BY r.problem_id) - back AS INTEGER) AS step, r.id, p.event_type AS a, coalesce(p.public_metrics, '') AS b FROM r JOIN programs p ON p.id = r.id),
+    c AS (SELECT s.*, CAST(s.a <> q.a AS BIGINT) + CAST(s.b <> q.b AS BIGINT) AS n FROM s LEFT JOIN s q ON q.problem_id = s.problem_id AND q.step = s.step - 1)
+    SELECT problem_id, step, id, 'theorem' || chr(10) || a || chr(10) || b || chr(10) || 'end' AS code, n AS added, n AS removed FROM c""",
+    "programs",
+)
+def path_steps(spark, sf):
+    p = views.programs(spark, sf)
+    code = F.concat_ws("\n", F.lit("theorem"), "event_type", F.coalesce("public_metrics", F.lit("")), F.lit("end"))
+    return lineage.path_steps(p.withColumn("code", code), select.best_program(p)).drop("patch")
+
+
 @query(
     """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id)
     SELECT query_id, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS "rank" FROM s QUALIFY "rank" <= 5"""

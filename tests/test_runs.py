@@ -470,3 +470,17 @@ def test_blocks_of_vectors_against_brute_force(spark, block):
         assert new[i] == ((max(seen), int(max(seen) <= 0.95)) if seen else (None, 1))
     pairs = {(r.island_idx, r.a, r.b) for r in vectors.similar_pairs(rows, 0.97, block=block).collect()}
     assert pairs == {(g, i, j) for i, g, v in data for j, h, w in data if i < j and own(g, h) and cosine(v, w) >= 0.97}
+
+
+def test_path_steps(spark):
+    from lemmaflow.operators import lineage
+
+    codes = {1: "a\nb\nc", 2: "a\nx\nb\nc", 3: "a\nx\nb", 4: None, 5: "-- b\n++ c", 6: "-- b"}
+    parents = {1: None, 2: 1, 3: 2, 4: 2, 5: 99, 6: 5}
+    programs = spark.createDataFrame([(k, parents[k], codes[k]) for k in codes], "id long, parent_id long, code string")
+    best = spark.createDataFrame([("p", 3), ("q", 6), ("r", 4)], "problem_id string, id long")
+    got = {(r.problem_id, r.step): (r.id, r.code, r.patch, r.added, r.removed) for r in lineage.path_steps(programs, best).collect()}
+    assert got["p", 0] == (1, codes[1], None, None, None)
+    assert got["p", 1] == (2, codes[2], "--- before\n+++ after\n@@ -1,3 +1,4 @@\n a\n+x\n b\n c", 1, 0)
+    assert got["p", 2][3:] == (0, 1) and got["q", 1][3:] == (0, 1) and got["q", 0][0] == 5
+    assert got["r", 2] == (4, None, None, None, None) and len(got) == 8
