@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions import text as T
 from lemmaflow.operators.metrics import infra_retries, ratio
+from lemmaflow.operators.rounds import written
 
 
 def in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,11 +27,26 @@ def aligned(attempts: DataFrame, statements: DataFrame) -> DataFrame:
 
 
 def aligned_with_any(attempts: DataFrame, statements: DataFrame) -> DataFrame:
-    """(attempt_id, stmt_ok): does an attempt keep any of its problem's statements? Joined by problem;
-    each attempt's code is cleaned once, before the join."""
-    clean = attempts.select("attempt_id", "group_id", T.without_comments(F.col("code"), "line_start").alias("_clean"))
-    chunks = statements.select("group_id", T.skeleton(F.col("statement")).alias("_chunks")).where(F.size("_chunks") > 0)
-    hit = clean.join(chunks, "group_id").where(T.keeps_skeleton(F.col("_clean"), F.col("_chunks"))).select("attempt_id").distinct()
+    """(attempt_id, stmt_ok): does an attempt keep any of its problem's statements? A statement's chunks, in an attempt that
+    keeps them, stand there with all words within them, so the rarest such word of a statement, counted over its problem's
+    attempts, proposes attempts, and what is proposed is verified. A problem with very many attempts
+    and statements is joined by its words, not as a whole; only statements of chunks of one or two words, which have no
+    word within, meet all attempts of their problem. Each attempt's code is cleaned once."""
+    clean = written(attempts.select("attempt_id", "group_id", T.without_comments(F.col("code"), "line_start").alias("_clean")))
+    chunks = statements.select("group_id", T.skeleton(F.col("statement")).alias("_chunks")).where(F.size("_chunks") > 0).distinct()
+    words = lambda text: F.split(text, r"\s+")
+    within = F.array_distinct(F.flatten(F.transform("_chunks", lambda c: F.slice(words(c), 2, F.greatest(F.size(words(c)) - 2, F.lit(0))))))
+    chunks = written(chunks.withColumns({"_s": F.xxhash64("group_id", "_chunks"), "_words": within}))
+
+    sought = chunks.select("group_id", "_s", F.explode("_words").alias("w"))
+    own = clean.select("attempt_id", "group_id", F.explode(F.array_distinct(words(F.col("_clean")))).alias("w"))
+    places = written(own.join(sought.select("group_id", "w").distinct(), ["group_id", "w"]))
+    often = places.groupBy("group_id", "w").agg(F.count("*").alias("n"))
+    rarest = sought.join(often, ["group_id", "w"], "left").groupBy("group_id", "_s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("r")).where("r.n > 0")
+    proposed = rarest.select("group_id", "_s", F.col("r.w").alias("w")).join(places, ["group_id", "w"]).select("attempt_id", "group_id", "_s")
+    short = chunks.where(F.size("_words") == 0).select("group_id", "_s").join(clean.select("attempt_id", "group_id"), "group_id").select("attempt_id", "group_id", "_s")
+    pairs = proposed.union(short).join(chunks.select("group_id", "_s", "_chunks"), ["group_id", "_s"]).join(clean, ["attempt_id", "group_id"])
+    hit = pairs.where(T.keeps_skeleton(F.col("_clean"), F.col("_chunks"))).select("attempt_id").distinct()
     return attempts.select("attempt_id").join(hit.withColumn("stmt_ok", F.lit(1)), "attempt_id", "left").fillna(0, ["stmt_ok"])
 
 

@@ -484,3 +484,19 @@ def test_path_steps(spark):
     assert got["p", 1] == (2, codes[2], "--- before\n+++ after\n@@ -1,3 +1,4 @@\n a\n+x\n b\n c", 1, 0)
     assert got["p", 2][3:] == (0, 1) and got["q", 1][3:] == (0, 1) and got["q", 0][0] == 5
     assert got["r", 2] == (4, None, None, None, None) and len(got) == 8
+
+
+def test_any_statement_of_a_hot_problem(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(60)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    statements = [(int(g), f"theorem {say(rng.integers(1, 5))}\n\nhave {say(2)}" if k % 3 else say(rng.integers(1, 3))) for k, g in enumerate(rng.choice([0, 0, 0, 1, 2], 80))] + [(0, ""), (0, None), (1, "x := by sorry"), (None, "w1 w2 w3")]
+    code = lambda g, t: f"-- {say(3)}\n{say(5)}\n{(t or '').replace(chr(10), chr(10) + say(1) + chr(10))}z {say(4)}"
+    own = [statements[int(k)] for k in rng.integers(0, len(statements), 150)]
+    attempts = [(k, g, code(g, t) if k % 2 else say(30)) for k, (g, t) in enumerate(own)] + [(500, 0, None), (501, 0, ""), (502, 9, say(9))]
+    s = spark.createDataFrame(statements, "group_id int, statement string")
+    a = spark.createDataFrame(attempts, "attempt_id int, group_id int, code string")
+    kept = s.select("group_id", T.skeleton(F.col("statement")).alias("c")).collect()
+    clean = {r.attempt_id: (r.group_id, r.c) for r in a.select("attempt_id", "group_id", T.without_comments(F.col("code"), "line_start").alias("c")).collect()}
+    want = {i: int(any(r.group_id == g and g is not None and r.c and c is not None and all(x in c for x in r.c) for r in kept)) for i, (g, c) in clean.items()}
+    assert {r.attempt_id: r.stmt_ok for r in P.aligned_with_any(a, s).collect()} == want and 20 < sum(want.values()) < 150
