@@ -66,11 +66,36 @@ def signature(code: Column) -> Column:
     return folded(F.substring_index(blank, ":=", 1))
 
 
+#: Keywords at which the key of exact duplicates sees a declaration, and those whose name it blanks.
+_KEYED = "theorem|lemma|example|def|definition|abbrev|opaque|axiom|instance|structure|class|inductive"
+_KEYED_NAMES = "theorem|def|definition|example|axiom|abbrev|instance"
+
+
+def exact_text(code: Column) -> Column:
+    """What exact duplicates share: the lines before the first declaration, trimmed and without empty ones, and the declaration with a
+    fixed name, lemmas as theorems, without attribute lines, white space folded. Thoughts, fences and markers go first. Empty without
+    a declaration, and for a null text."""
+    starts = rf"{_SPACE}*(?:noncomputable{_SPACE}+)?(?:{_KEYED})\b"
+    raw = stripped(F.regexp_replace(F.coalesce(code, F.lit("")), r"(?s)<think>.*?</think>", ""))
+
+    def unfenced(x: Column) -> Column:
+        inside = lambda fence: F.nullif(F.regexp_extract(x, rf"(?s)```{fence}\s*\n(.*?)```", 1), F.lit(""))
+        return F.coalesce(inside("(?:lean4?)"), inside(""), x)
+
+    def keyed(x: Column) -> Column:
+        parts = F.regexp_extract_all(x, F.lit(rf"(?s)\A((?:(?!{starts})[^\n]*\n)*+)({starts}.*?)(?=\n{starts}|\z)"), F.lit(1)), F.regexp_extract(x, rf"(?s)\A((?:(?!{starts})[^\n]*\n)*+)({starts}.*?)(?=\n{starts}|\z)", 2)
+        before = stripped(F.regexp_replace(F.regexp_replace(F.coalesce(F.get(parts[0], F.lit(0)), F.lit("")), rf"(?m)^{_SPACE}+|{_SPACE}+$", ""), r"\n+", "\n"))
+        own = folded(F.regexp_replace(parts[1], r"(?m)^\s*@\[.*\]\s*\n?", ""))
+        own = F.regexp_replace(F.regexp_replace(own, r"^(noncomputable )?lemma\b", "$1theorem"), rf"^(noncomputable )?({_KEYED_NAMES}) [^\s:(]+", "$1$2 __NAME__")
+        return F.when(own == "", "").when(before == "", own).otherwise(F.concat(before, F.lit("\n"), own))
+
+    clean = F.transform(F.transform(F.array(raw), unfenced), lambda x: stripped(without_markers(x)))
+    return F.get(F.transform(clean, keyed), F.lit(0))
+
+
 def exact_key(code: Column) -> Column:
-    """Key for exact duplicates: the declaration with a fixed name, lemmas as theorems, folded."""
-    own = first_declaration(without_markers(without_comments(code)))
-    named = F.regexp_replace(F.regexp_replace(own, _NAMED, "$1__NAME__"), r"^(\s*)lemma\b", "$1theorem")
-    return F.sha2(folded(named), 256)
+    """Key for exact duplicates: a hash of exact_text."""
+    return F.sha2(exact_text(code), 256)
 
 
 def force_by_sorry(text: Column) -> Column:

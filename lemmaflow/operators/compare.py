@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.operators.metrics import nearest_rank
+
 
 def head_to_head(hits: DataFrame, ours: int, base: int, hit: str = "complete_hit") -> DataFrame:
     """Wins, losses, both, neither and win rate (null without a decided problem) of two methods over
@@ -48,6 +50,27 @@ def paired_density(problems: DataFrame, a: int, b: int, density: str = "semantic
     return d.agg(F.count("*").alias("problems"), sign(F.col("d") > 0).alias("wins"), sign(F.col("d") < 0).alias("losses"), sign(F.col("d") == 0).alias("ties"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.avg("d").alias("mean_difference"))
 
 
+def paired_report(problems: DataFrame, a: int, b: int, density: str = "semantic_density") -> DataFrame:
+    """Three rows, of side a, b and difference, over the problems both methods have: n, mean, nearest-rank quantiles p25, p50, p75, p90 and, for
+    the difference, wins, losses and ties; its p50 is the upper middle value. No rows without shared problems."""
+    own = lambda m, n: problems.where(F.col("method") == m).select("problem_id", F.col(density).cast("double").alias(n))
+    pairs = own(a, "a").join(own(b, "b"), "problem_id").where("a is not null and b is not null").withColumn("difference", F.col("a") - F.col("b"))
+    long = pairs.unpivot(["problem_id"], ["a", "b", "difference"], "side", "x")
+    points = nearest_rank(long, ["side"], "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
+    signs = [F.sum(F.when(F.col("side") == "difference", c.cast("long"))).alias(n) for n, c in (("wins", F.col("x") > 0), ("losses", F.col("x") < 0), ("ties", F.col("x") == 0))]
+    ordered = _upper_middle(long.where("side = 'difference'"), "x")
+    out = long.groupBy("side").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), *signs).join(points, "side").join(ordered, "side", "left")
+    return out.withColumn("p50", F.coalesce("_middle", "p50")).drop("_middle")
+
+
+def _upper_middle(rows: DataFrame, value: str) -> DataFrame:
+    """(side, _middle): the value at place n div 2, from 0; equal values are counted first."""
+    counts = rows.groupBy("side", value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("side")
+    ranked = counts.withColumns({"_z": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+    return ranked.where((F.floor(F.col("_n") / 2) < F.col("_z")) & (F.floor(F.col("_n") / 2) >= F.col("_z") - F.col("_c"))).select("side", F.col(value).alias("_middle"))
+
+
 def _correlation(x: str, y: str) -> Column:
     """Pearson r, 0 where a variance is 0 or there are no rows (corr itself fails there in ANSI mode)."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)

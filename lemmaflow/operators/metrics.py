@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.text import exact_text
 from lemmaflow.operators.quantiles import exact_quantiles
 
 
@@ -36,6 +37,24 @@ def reward(compile_ok: Column, semantic: Column, beq: Column, lam: float = 0.5)
     return F.when(compile_ok == 1, semantic + lam * beq).otherwise(0.0)
 
 
+def soft_success(compile_ok: Column, semantic: Column) -> Column:
+    """Compiles and means the same; unknown counts as no."""
+    return F.coalesce((compile_ok == 1) & (semantic == 1), F.lit(False))
+
+
+def strict_success(compile_ok: Column, beq: Column) -> Column:
+    """Compiles and is provably equivalent; unknown counts as no."""
+    return F.coalesce((compile_ok == 1) & (beq == 1), F.lit(False))
+
+
+def exact_duplicates(programs: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
+    """(keys, id, copies): for every text that candidates of the same keys share, by exact_key, its first candidate's id and how many
+    have it. Candidates without a declaration are no copies of each other and are left out."""
+    own = exact_text(F.col(code))
+    rows = programs.select(*keys, "id", F.sha2(own, 256).alias("_h"))  # the empty text's hash marks those without a declaration
+    return rows.groupBy(*keys, "_h").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where(F.col("_h") != F.sha2(F.lit(""), 256)).drop("_h")
+
+
 def cycle_score(log_prob: Column, tokens: Column, temperature: float = 3.5, fallback: float = -100.0) -> Column:
     """exp of the log-probability per token over the temperature; no tokens or no number: fallback."""
     per = F.when(tokens > 0, log_prob / tokens)

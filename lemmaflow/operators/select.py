@@ -150,22 +150,27 @@ def bandit(rows: DataFrame, arm: str, reward: str, exploration: float = 1.0, eps
     return totals.withColumn("probability", (1 - epsilon) * F.col("_win") / F.sum("_win").over(every) + epsilon / F.count("*").over(every)).drop("_win")
 
 
-def pareto_front(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rows that no other row of their key beats in x and y (both greater is better); equal rows all
-    stay. One sorted pass: a row is beaten if a greater x has at least its y, or an equal x more."""
-    ahead = F.max("_top").over(Window.partitionBy(*keys).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    tops = rows.groupBy(*keys, x).agg(F.max(y).alias("_top")).withColumn("_ahead", ahead)
-    front = tops.where(F.col("_ahead").isNull() | (F.col("_top") > F.col("_ahead")))
-    return rows.join(front.select(*keys, x, F.col("_top").alias(y)), [*keys, x, y], "left_semi")
-
-
-def migration_plan(programs: DataFrame, rate: float = 0.1) -> DataFrame:
-    """Movers of each island: max(1, size * rate) of its correct rows past the start, the best one
-    kept, in hashed order; each goes to one of the other islands, chosen by a hash. None where there is
+def pareto_front(rows: DataFrame, keys: list[str], x: str, y: str, more_x: bool = True, more_y: bool = True) -> DataFrame:
+    """Rows that no other row of their key beats in x and y (more_x, more_y: greater is better); equal rows all
+    stay, rows with a null or not-a-number in x or y are left out. One sorted pass: a row is beaten if a better x has at
+    least as good a y, or an equal x a better one."""
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    best = F.max if more_y else F.min
+    usable = rows.where(number(x) & number(y))
+    order = Window.partitionBy(*keys).orderBy(F.desc(x) if more_x else F.asc(x)).rowsBetween(Window.unboundedPreceding, -1)
+    tops = usable.groupBy(*keys, x).agg(best(y).alias("_top")).withColumn("_ahead", best("_top").over(order))
+    better = F.col("_top") > F.col("_ahead") if more_y else F.col("_top") < F.col("_ahead")
+    front = tops.where(F.col("_ahead").isNull() | better)
+    return usable.join(front.select(*keys, x, F.col("_top").alias(y)), [*keys, x, y], "left_semi")
+
+
+def migration_plan(programs: DataFrame, rate: float = 0.1, generation: str | None = None) -> DataFrame:
+    """Movers of each island: max(1, size * rate) of its correct rows past the start (of a generation after 0, if its column is
+    named, else with a parent), the best one kept, in hashed order; each goes to one of the other islands, chosen by a hash. None where there is
     no other island."""
     islands = F.broadcast(programs.where("island_idx is not null").agg(F.array_sort(F.collect_set("island_idx")).alias("_all")))  # one row: the islands' numbers
     w = Window.partitionBy("problem_id", "island_idx")
-    rows = programs.withColumn("_size", F.count("*").over(w)).where("compile_ok = 1 and parent_id is not null")
+    rows = programs.withColumn("_size", F.count("*").over(w)).where(F.col("compile_ok") == 1).where(F.col(generation) > 0 if generation else F.col("parent_id").isNotNull())
     rows = rows.withColumn("_elite", F.row_number().over(w.orderBy(F.desc_nulls_last("combined_score"), "id"))).where("_elite > 1")
     turn = F.row_number().over(w.orderBy(F.md5(F.col("id").cast("string")), "id"))
     movers = rows.withColumn("_turn", turn).where(F.col("_turn") <= F.greatest(F.lit(1), F.floor(F.col("_size") * rate))).crossJoin(islands)

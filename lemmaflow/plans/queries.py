@@ -400,6 +400,46 @@ def paired_density(spark, sf):
     return _rounded(compare.paired_density(_problems(spark, sf), 0, 1))
 
 
+@query(
+    f"""WITH {_PROBLEMS}, d AS (SELECT a.semantic_density AS a, b.semantic_density AS b FROM problems a JOIN problems b ON a.problem_id = b.problem_id WHERE a.method = 0 AND b.method = 1),
+    long AS (SELECT 'a' AS side, a AS x FROM d UNION ALL SELECT 'b', b FROM d UNION ALL SELECT 'difference', a - b FROM d),
+    r AS (SELECT side, x, row_number() OVER (PARTITION BY side ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM long)
+    SELECT side, count(*) AS n, round(avg(x), 6) AS mean, CASE side WHEN 'difference' THEN CAST(sum(CAST(x > 0 AS INTEGER)) AS BIGINT) END AS wins, CASE side WHEN 'difference' THEN CAST(sum(CAST(x < 0 AS INTEGER)) AS BIGINT) END AS losses, CASE side WHEN 'difference' THEN CAST(sum(CAST(x = 0 AS INTEGER)) AS BIGINT) END AS ties,
+    round(max(x) FILTER (i = round_even(0.25 * (n - 1), 0)), 6) AS p25, round(max(x) FILTER (i = CASE side WHEN 'difference' THEN n // 2 ELSE round_even(0.5 * (n - 1), 0) END), 6) AS p50, round(max(x) FILTER (i = round_even(0.75 * (n - 1), 0)), 6) AS p75, round(max(x) FILTER (i = round_even(0.9 * (n - 1), 0)), 6) AS p90
+    FROM r GROUP BY side""",
+    "programs", "terminations",
+)
+def paired_report(spark, sf):
+    return _rounded(compare.paired_report(_problems(spark, sf), 0, 1))
+
+
+@query(
+    """SELECT problem_id, id FROM programs a WHERE compile_ok = 1 AND combined_score IS NOT NULL AND NOT EXISTS (
+        SELECT 1 FROM programs b WHERE b.problem_id = a.problem_id AND b.compile_ok = 1 AND b.combined_score >= a.combined_score AND length(b.public_metrics) <= length(a.public_metrics)
+        AND (b.combined_score > a.combined_score OR length(b.public_metrics) < length(a.public_metrics)))""",
+    "programs",
+)
+def short_and_good(spark, sf):
+    """The front of greater scores and shorter texts."""
+    p = views.programs(spark, sf).where("compile_ok = 1 and combined_score is not null").withColumn("size", F.length("public_metrics"))
+    return select.pareto_front(p, ["problem_id"], "combined_score", "size", more_y=False).select("problem_id", "id")
+
+
+@query(
+    """SELECT problem_id, min(id) AS id, count(*) AS copies FROM (SELECT problem_id, id, trim(regexp_replace(split_part(code, 'theorem t' || id || ' ', 2), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS own FROM candidates) GROUP BY problem_id, own""",
+    "candidates",
+)
+def duplicate_candidates(spark, sf):
+    """Candidates of a problem that differ in the name alone."""
+    return metrics.exact_duplicates(views.candidates(spark, sf), ["problem_id"])
+
+
+@query("SELECT id, compile_ok = 1 AND semantic_ok = 1 AS soft, compile_ok = 1 AND island_idx = 1 AS strict FROM programs", "programs")
+def successes(spark, sf):
+    p = views.programs(spark, sf)
+    return p.select("id", metrics.soft_success(F.col("compile_ok"), F.col("semantic_ok")).alias("soft"), metrics.strict_success(F.col("compile_ok"), F.col("island_idx")).alias("strict"))
+
+
 def _differences(spark: SparkSession, sf: str) -> DataFrame:
     p = _problems(spark, sf)
     own = lambda m, n: p.where(F.col("method") == m).select("problem_id", F.col("semantic_density").alias(n))

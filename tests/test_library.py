@@ -26,7 +26,11 @@ def test_signatures_and_keys(spark):
     code = "-- note\nimport Mathlib\nimport Aesop\n\ntheorem my_theorem : True := by sorry\n"
     assert one(spark, code, T.signature) == "theorem _ : True"
     assert one(spark, "theorem f2 (n : Nat) : n + 0 = n := by sorry", T.signature) == "theorem _ (n : Nat) : n + 0 = n"
-    assert one(spark, code, T.exact_key) == one(spark, "lemma  other :\n True := by sorry", T.exact_key)
+    assert one(spark, "theorem a : True := by sorry", T.exact_key) == one(spark, "lemma  other :\n True := by sorry", T.exact_key)
+    assert one(spark, code, T.exact_key) != one(spark, "theorem a : True := by sorry", T.exact_key)  # another preamble
+    said = "<think>hm</think>\n```lean4\n import Mathlib \n\n-- EVOLVE-BLOCK-START\n@[simp]\nnoncomputable lemma f(x) :\n  x\ntheorem g : y\n```"
+    assert one(spark, said, T.exact_text) == "import Mathlib\n@[simp]\nnoncomputable theorem __NAME__(x) : x"
+    assert [one(spark, t, T.exact_text) for t in (None, "", "no declaration", "```\ndef x := 1\n```")] == ["", "", "", "def __NAME__ := 1"]
     assert one(spark, "theorem a : p := by simp", T.force_by_sorry) == "theorem a : p := by sorry"
     assert one(spark, None, T.signature) is None
 
@@ -87,6 +91,9 @@ def test_stagnation_and_pareto(spark):
     points = [(1, 1, 3), (2, 2, 2), (3, 3, 1), (4, 1, 1), (5, 2, 2)]
     front = select.pareto_front(spark.createDataFrame([(0, *p) for p in points], "k int, id int, x int, y int"), ["k"], "x", "y")
     assert sorted(r.id for r in front.collect()) == [1, 2, 3, 5]
+    for more_x, more_y, want in ((False, True, [1]), (True, False, [3]), (False, False, [4])):
+        front = select.pareto_front(spark.createDataFrame([(0, *p) for p in [*points, (9, None, 9)]], "k int, id int, x int, y int"), ["k"], "x", "y", more_x, more_y)
+        assert sorted(r.id for r in front.collect()) == want
 
 
 def test_lineage(spark):
