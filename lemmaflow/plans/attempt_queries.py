@@ -398,3 +398,45 @@ def compile_arrays(spark, sf):
     place = rounds.folder(spark)
     c.groupBy("conv_id").agg(F.to_json(F.collect_list(entry), {"pretty": "true"}).alias("value")).select("value").write.text(place)  # a conversation's turns
     return readers.compile_results(spark, place).select("name", "pass_ok", "complete_ok", F.get("infos", F.lit(0))["data"].alias("info"), F.size("sorries").alias("sorries"))
+
+
+@query(
+    """WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'at /home/u' || conv_id || '/run.py: ' || coalesce(text, '') || ' or /Users/me' AS message, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || chr(10) || '5. Accuracy  confirmation: ' || coalesce(text, '') ELSE coalesce(text, '') END AS reasons FROM conversations)
+    SELECT conv_id, turn, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '... [truncated]' END AS short, regexp_replace(message, '/(?:home|Users)/[^\\\\s:''"`]+', '[REDACTED_PATH]', 'g') AS redacted,
+    CASE WHEN turn % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE '' END AS accuracy FROM m"""
+)
+def judge_texts(spark, sf):
+    """Messages cut and without home paths, and what a judge says under its fifth heading."""
+    c = views.table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    message = F.concat(F.lit("at /home/u"), F.col("conv_id").cast("string"), F.lit("/run.py: "), "text", F.lit(" or /Users/me"))
+    reasons = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("\n5. Accuracy  confirmation: "), "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", T.truncated(F.col("text"), 200).alias("short"), T.redacted(message).alias("redacted"), T.accuracy_section(reasons).alias("accuracy"))
+
+
+@query(
+    """SELECT id, 'import Mathlib' || chr(10) || chr(10) || '-- ' || problem_id AS preamble, rtrim(split_part(code, chr(10), 4)) AS theorem, 't' || id AS name, CAST(0 AS INTEGER) AS closed, 1 AS blocks, CAST(id % 2 AS INTEGER) AS other_is_open,
+    CASE WHEN id % 3 = 0 THEN '' ELSE 'missing_required_import_lines' END AS imports FROM candidates""",
+    "candidates",
+)
+def candidate_files(spark, sf):
+    """Candidates' files taken apart: preamble, header and theorem, blocks; is the theorem of another name open?"""
+    c = views.candidates(spark, sf)
+    name = F.concat(F.lit("t"), F.col("id").cast("string"))
+    more = F.when(F.col("id") % 2 == 0, F.concat(F.lit("theorem other : 1 = 1 := rfl"))).otherwise("")
+    whole = F.concat(F.when(F.col("id") % 3 == 0, "import Mathlib\n -- EVOLVE-BLOCK-START\nimport Aesop\n").otherwise("import Aesop\n"), "code")
+    parts = T.header_and_theorem(F.col("code"))
+    return c.select(
+        "id", parts["header"].alias("preamble"), parts["theorem"].alias("theorem"), T.theorem_name(F.col("code")).alias("name"), T.has_closed_block(F.col("code")).cast("int").alias("closed"),
+        F.when(T.preamble(F.col("code")) == parts["header"], F.size(T.theorem_blocks(F.col("code")))).alias("blocks"), T.target_is_open(F.concat("code", more), F.lit("other")).cast("int").alias("other_is_open"), T.import_prefix(whole).alias("imports"),
+    ).where(F.col("name") == name)
+
+
+@query(
+    """SELECT id, round(exp(coalesce(-combined_score / nullif(length(public_metrics), 0), -100) / 3.5), 8) AS cycle, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN NULL ELSE combined_score END AS usable FROM programs""",
+    "programs",
+)
+def cycle_scores(spark, sf):
+    """Scores of log-probabilities per token, and numbers without those that are none."""
+    p = views.programs(spark, sf)
+    odd = F.when(F.col("id") % 5 == 0, float("inf")).when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("combined_score"))
+    return p.select("id", F.round(metrics.cycle_score(-F.col("combined_score"), F.length("public_metrics")), 8).alias("cycle"), metrics.finite(odd).alias("usable"))
