@@ -9,7 +9,7 @@ from lemmaflow.functions import answers as A
 from lemmaflow.functions import sql
 from lemmaflow.functions import text as T
 from lemmaflow.operators import attempts as P
-from lemmaflow.operators import compare, metrics, resampling, rounds
+from lemmaflow.operators import compare, metrics, resampling, rounds, select
 from lemmaflow.plans import views
 from lemmaflow.plans.queries import _HITS, _hits, _rounded, query
 from lemmaflow.sources import databases, readers
@@ -440,3 +440,43 @@ def cycle_scores(spark, sf):
     p = views.programs(spark, sf)
     odd = F.when(F.col("id") % 5 == 0, float("inf")).when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("combined_score"))
     return p.select("id", F.round(metrics.cycle_score(-F.col("combined_score"), F.length("public_metrics")), 8).alias("cycle"), metrics.finite(odd).alias("usable"))
+
+
+@query(
+    """WITH m AS (SELECT conv_id, (turn + conv_id) % 3 AS kind, contains(coalesce(text, ''), 'declaration uses ''sorry''') OR turn % 4 = 1 AS sorry FROM conversations),
+    c AS (SELECT conv_id, count(*) FILTER (kind = 0) AS errors, count(*) FILTER (kind = 1) AS warnings, count(*) FILTER (kind = 2) AS infos, count(*) FILTER (kind = 1 AND sorry) AS sorries FROM m GROUP BY conv_id)
+    SELECT conv_id, errors = 0 AS passed, errors = 0 AND sorries = 0 AS complete, CAST(errors AS INTEGER) AS errors, CAST(warnings AS INTEGER) AS warnings, CAST(infos AS INTEGER) AS infos FROM c"""
+)
+def compiler_verdicts(spark, sf):
+    """Verdicts of compiler messages, a conversation's turns being one compilation's messages."""
+    c = views.table(spark, sf, "conversations")
+    kind = (F.col("turn") + F.col("conv_id")) % 3
+    severity = F.when(kind == 0, "Error").when(kind == 1, "warning").otherwise("info")
+    data = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 4 == 1, " declaration uses 'sorry'").otherwise(""))
+    own = c.groupBy("conv_id").agg(F.collect_list(F.struct(severity.alias("severity"), data.alias("data"))).alias("m"))  # a conversation's turns
+    return own.select("conv_id", metrics.verdict(F.col("m")).alias("v")).select("conv_id", "v.*")
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS code FROM documents), l AS (SELECT id, list_filter(string_split(code, chr(10)), lambda x: trim(x, ' ') <> '') AS rows, code FROM d)
+    SELECT id, CAST(len(rows) AS INTEGER) AS loc, CAST(len(list_filter(rows, lambda x: regexp_matches(x, '^[ \t\x0B\f\r]*--'))) AS INTEGER) AS comments, CAST(len(regexp_extract_all(code, '\b(if|match|cases|induction|for|while)\b')) AS INTEGER) AS decisions FROM l"""
+)
+def text_complexity(spark, sf):
+    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("code"))
+    return d.select("id", T.complexity(F.col("code")).alias("c")).select("id", "c.loc", "c.comments", "c.decisions")
+
+
+@query("SELECT problem_id, min(id) AS id FROM candidates GROUP BY problem_id", "candidates")
+def first_candidates(spark, sf):
+    return select.first_occurrence(views.candidates(spark, sf), ["problem_id"], "id").select("problem_id", "id")
+
+
+@query(
+    """SELECT doc_id AS id, CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) = 0 THEN ''
+        ELSE 'theorem t : p := by' || chr(10) || trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || chr(10) || '  done' || chr(10) END AS merged FROM documents"""
+)
+def merged_proofs(spark, sf):
+    """A statement and the body of a proof of it, whose lines are indented by two."""
+    d = views.table(spark, sf, "documents").withColumn("own", T.folded(F.coalesce("text", F.lit(""))))
+    proof = F.when(F.col("own") != "", F.concat(F.lit("theorem t : p := by\n  "), "own", F.lit("\n    done"))).otherwise("")
+    return d.select(F.col("doc_id").alias("id"), T.merged_proof(F.lit("theorem t : p := by sorry"), proof).alias("merged"))
