@@ -313,3 +313,10 @@ def statement_metrics(programs: DataFrame, statement: Column) -> DataFrame:
         F.count("*").alias("problems"), F.avg((F.col("_hit") == 1).cast("double")).alias("compile_hit_rate"), F.avg((F.col("_n") > 0).cast("double")).alias("semantic_hit_rate"),
         F.sum("_n").alias("semantic_statements"), F.min("_n").alias("least"), F.max("_n").alias("most"),
     )
+
+
+def query_costs(log: DataFrame, prices: DataFrame, keys: list[str], model: str, units: str, price: str = "price") -> DataFrame:
+    """keys, queries, cost (units times their model's price, 0 for a model without one) and unknown_models, how many queries had none.
+    prices: one row a model."""
+    rows = log.join(prices.select(model, F.col(price).alias("_price")), model, "left")
+    return rows.groupBy(*keys).agg(F.count("*").alias("queries"), F.sum(F.coalesce("_price", F.lit(0.0)) * F.col(units)).alias("cost"), F.sum(F.col("_price").isNull().cast("long")).alias("unknown_models"))

@@ -112,6 +112,35 @@ def softmax(rows: DataFrame, keys: list[str], score: str, temperature: float = 3
     return rows.withColumn("probability", F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
+def likelihood_ranks(rows: DataFrame, keys: list[str], log_prob: str, tokens: str | None = None, temperature: float = 3.5, tie: str = "id") -> DataFrame:
+    """rows with score (the log-probability, a token if tokens are named), rank (greater scores first, missing ones and minus
+    infinity last, ties by tie) and probability, the softmax within keys, where those are clamped."""
+    each = F.when(F.col(tokens) > 0, F.col(log_prob) / F.col(tokens)) if tokens else F.col(log_prob)
+    scored = rows.withColumn("score", each)
+    usable = F.when(~F.isnan("score") & (F.col("score") > float("-inf")), F.col("score"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(usable), tie))
+    return softmax(scored.withColumn("rank", place), keys, "score", temperature)
+
+
+def admitted(rows: DataFrame, problems: DataFrame | None = None, first: int | None = None, header: str | None = None, forbidden: str = "sorry", key: str = "problem_id", index: str = "index") -> DataFrame:
+    """rows with skipped, the reason for which a row is left out, null for those that stay: "not_listed" if problems (key) are given and
+    its problem is none of them, "beyond_first" if its index is first or more, "header" if the named header column holds
+    the forbidden word; the first reason that holds."""
+    listed = problems.select(key).distinct().withColumn("_listed", F.lit(True)) if problems is not None else None
+    out = rows.join(listed, key, "left") if problems is not None else rows.withColumn("_listed", F.lit(True))
+    reason = F.when(F.col("_listed").isNull(), "not_listed")
+    if first is not None:
+        reason = reason.when(F.coalesce(F.col(index) >= first, F.lit(True)), "beyond_first")
+    if header:
+        reason = reason.when(F.contains(F.coalesce(header, F.lit("")), F.lit(forbidden)), "header")
+    return out.withColumn("skipped", reason).drop("_listed")
+
+
+def skipped_counts(rows: DataFrame) -> DataFrame:
+    """(reason, rows) of admitted rows, "kept" for those that stay."""
+    return rows.groupBy(F.coalesce("skipped", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
 def first_occurrence(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best_per(rows, keys, [F.col(order)])
 

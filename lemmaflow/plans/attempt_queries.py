@@ -367,7 +367,30 @@ def correlation_p(spark, sf):
 def allowed_candidates(spark, sf):
     d = views.table(spark, sf, "documents")
     listed = d.groupBy("source").count().where("count >= 5").select("source")
-    return d.where(~F.contains("text", F.lit("sorry"))).join(listed, "source", "left_semi").select(F.col("doc_id").alias("id"))
+    rows = select.admitted(d.where("text is not null"), listed, header="text", key="source")
+    return rows.where("skipped is null").select(F.col("doc_id").alias("id"))
+
+
+@query(
+    """SELECT CASE WHEN lang = 'fr' THEN 'not_listed' WHEN doc_id >= 700 THEN 'beyond_first' WHEN contains(coalesce(text, ''), 'License') THEN 'header' ELSE 'kept' END AS reason, count(*) AS "rows" FROM documents GROUP BY 1"""
+)
+def skipped_candidates(spark, sf):
+    """Why candidates are left out: problem not listed, beyond the first 700, a forbidden word."""
+    d = views.table(spark, sf, "documents")
+    return select.skipped_counts(select.admitted(d, d.where("lang <> 'fr'"), 700, "text", "License", key="lang", index="doc_id"))
+
+
+@query(
+    """WITH p AS (SELECT problem_id, id, CASE WHEN id % 11 = 0 THEN CAST('-inf' AS DOUBLE) ELSE -combined_score END AS lp, length(public_metrics) AS n FROM programs),
+    s AS (SELECT problem_id, id, lp / nullif(n, 0) AS score FROM p), u AS (SELECT *, CASE WHEN score > CAST('-inf' AS DOUBLE) THEN score END AS usable FROM s),
+    e AS (SELECT problem_id, id, row_number() OVER (PARTITION BY problem_id ORDER BY usable DESC NULLS LAST, id) AS "rank", exp((greatest(coalesce(usable, -1e9), -1e9) - max(greatest(coalesce(usable, -1e9), -1e9)) OVER (PARTITION BY problem_id)) / 3.5) AS e FROM u)
+    SELECT problem_id, id, CAST("rank" AS INTEGER) AS "rank", round(e / sum(e) OVER (PARTITION BY problem_id), 6) AS probability FROM e""",
+    "programs",
+)
+def likelihood_ranks(spark, sf):
+    p = views.programs(spark, sf)
+    p = p.withColumns({"lp": F.when(F.col("id") % 11 == 0, float("-inf")).otherwise(-F.col("combined_score")), "n": F.length("public_metrics")})
+    return _rounded(select.likelihood_ranks(p, ["problem_id"], "lp", "n").select("problem_id", "id", "rank", "probability"))
 
 
 @query(

@@ -478,8 +478,8 @@ def missing_ranges(spark, sf):
 )
 def query_costs(spark, sf):
     prices = views.table(spark, sf, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("price"))
-    rows = views.table(spark, sf, "lineitem").join(prices, "l_partkey", "left")
-    return rows.groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("queries"), _r(F.sum(F.coalesce("price", F.lit(0.0)) * F.col("l_quantity")), 2).alias("cost"), F.sum(F.col("price").isNull().cast("long")).alias("unknown_models"))
+    log = views.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "kind")
+    return metrics.query_costs(log, prices, ["kind"], "l_partkey", "l_quantity").withColumn("cost", _r(F.col("cost"), 2))
 
 
 @query(
