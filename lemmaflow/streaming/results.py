@@ -71,6 +71,25 @@ def latest(spark, path: str, schema, before: int | None = None) -> DataFrame:
     return rows.join(newest, ["bucket", "version"], "left_semi").select(*names, "bucket")
 
 
+def drop_superseded(spark, path: str, before: int) -> int:
+    """Removes the bucket folders of versions under `before` that a newer version, itself under `before`, has replaced, and returns
+    how many. Batches from `before` on may still run again, so what they read stays. latest() gives the same rows as before it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return 0
+    number = lambda name: int(name.rpartition("=")[2])
+    folders = [(number(v.getPath().getName()), b.getPath()) for v in system.listStatus(root) if v.getPath().getName().startswith("version=") for b in system.listStatus(v.getPath()) if b.getPath().getName().startswith("bucket=")]
+    newest: dict[int, int] = {}
+    for version, folder in folders:
+        if version < before:
+            newest[number(folder.getName())] = max(version, newest.get(number(folder.getName()), -1))
+    old = [folder for version, folder in folders if version < newest.get(number(folder.getName()), -1)]
+    for folder in old:
+        system.delete(folder, True)
+    return len(old)
+
+
 def watch_missing(tasks: DataFrame, emit: Callable[[DataFrame], None], present: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over newly finished tasks (task) that hands their missing samples to
     emit. present() reads which samples there are at that time."""

@@ -8,7 +8,7 @@ import pytest
 
 from lemmaflow.operators import metrics, select
 from lemmaflow.sources import readers
-from lemmaflow.streaming import archive
+from lemmaflow.streaming import archive, results
 
 
 def _streamed(spark, df, path, query, cut):
@@ -81,3 +81,22 @@ def test_costs_of_unknown_models(spark):
     log = spark.createDataFrame([("a", "m", 2.0), ("a", "n", 3.0), ("b", None, 1.0)], "kind string, model string, units double")
     prices = spark.createDataFrame([("m", 1.5)], "model string, price double")
     assert sorted(map(tuple, metrics.query_costs(log, prices, ["kind"], "model", "units").collect())) == [("a", 2, 3.0, 1), ("b", 1, 0.0, 1)]
+
+
+def test_superseded_versions_go(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    merge, place = results.upsert_newest(str(tmp_path / "out"), "name", "at", 4), str(tmp_path / "out")
+    assert results.drop_superseded(spark, place, 9) == 0
+    for batch in range(4):
+        rows = spark.createDataFrame([(f"n{k}", batch, k) for k in range(batch, 12, 2)], "name string, at int, ok int")
+        merge(rows, batch)
+    schema = rows.withColumn("bucket", F.lit(0)).schema
+    whole = sorted(map(tuple, results.latest(spark, place, schema).select("name", "at", "ok").collect()))
+    earlier = sorted(map(tuple, results.latest(spark, place, schema, before=3).select("name", "at", "ok").collect()))
+    gone = results.drop_superseded(spark, place, 3)
+    assert gone > 0 and results.drop_superseded(spark, place, 3) == 0
+    assert sorted(map(tuple, results.latest(spark, place, schema).select("name", "at", "ok").collect())) == whole
+    assert sorted(map(tuple, results.latest(spark, place, schema, before=3).select("name", "at", "ok").collect())) == earlier
+    merge(rows, 3)  # the last batch runs again
+    assert sorted(map(tuple, results.latest(spark, place, schema).select("name", "at", "ok").collect())) == whole
