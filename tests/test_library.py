@@ -187,6 +187,14 @@ def test_archive_of_long_and_unnamed_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_novelty_compares_every_row(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label").collect()
+    first = {g: min(r.vec_id for r in e if r.label == g) for g in {r.label for r in e} - {None}}
+    got = {r.query_id: r.similarity for r in catalog.QUERIES["novelty"](spark, SF).collect()}
+    assert got.keys() == {r.vec_id for r in e}
+    assert {k for k, s in got.items() if s is None} == {r.vec_id for r in e if r.label is None or r.vec_id == first[r.label]}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_against_sql(spark, name):
     db = duckdb.connect()
