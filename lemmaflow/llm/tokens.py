@@ -5,9 +5,9 @@ sequence. `pack_tokens` packs them best-fit-decreasing, with a segment tree over
 and returns one row for each sequence: its id matrix row as little-endian unsigned 32-bit ids,
 cumulative segment lengths, and position ids that start again with every segment.
 
-Pieces are written first. Those shorter than a sequence are then dealt into groups of about equal
-number, whatever the layout of the input's files, and each group is packed in one task, whose memory
-does not grow with the input. Only the last few bins of a group can stay part empty.
+Pieces are dealt into groups of about equal number, whatever the layout of the input's files, and each
+group is packed in one task, whose memory does not grow with the input. Only the last few bins of a
+group can stay part empty.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import durable
 
 VOCABULARY = "byte_bpe_50k"
 _BLANK, _TWO_BLANKS = re.compile(r"\s"), re.compile(r"\s\s")
@@ -161,12 +160,11 @@ def pieces_table(docs: DataFrame, size: int, end_id: int, first_short: bool, enc
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def in_sequences(pieces: DataFrame, size: int, pack: Callable[[list[int], int], list[list[int]]], block: int) -> DataFrame:
-    """pieces (a durable table) with sequence_id and offset. Whole sequences need no packing; the others
-    are dealt evenly into groups of about `block`, each packed in one task."""
-    names = pieces.columns
-    short = pieces.where(F.col("length") < size)
-    groups = max(1, round(short.count() / block))
+def packing(size: int, pack: Callable[[list[int], int], list[list[int]]], block: int, finish: Callable[[pa.Table], pa.Table] | None = None) -> Callable:
+    """The function, for mapInArrow, that packs a task's pieces and gives them sequence_id and offset; about `block` pieces are
+    meant to come. finish, if given, makes rows from the pieces of some whole sequences, in order: where they were packed, so that no
+    second Python worker of the task gets them."""
+    step = 250 if finish else 1000  # finished rows are as long as a sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -178,12 +176,13 @@ def in_sequences(pieces: DataFrame, size: int, pack: Callable[[list[int], int],
             table = pa.Table.from_batches(waiting)
             lengths = table.column("length").to_pylist()
             bins = pack(lengths, size)
-            for at in range(0, len(bins), 1000):
-                some = bins[at : at + 1000]
+            for at in range(0, len(bins), step):
+                some = bins[at : at + step]
                 rows = [k for x in some for k in x]
                 sequence = np.repeat(2 * np.arange(number + at, number + at + len(some)), [len(x) for x in some])
                 offset = np.concatenate([np.cumsum([0, *(lengths[k] for k in x[:-1])]) for x in some])
-                yield from table.take(rows).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).to_batches()
+                placed = table.take(rows).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+                yield from (finish(placed) if finish else placed).to_batches()
             number += len(bins)
 
         for b in batches:
@@ -194,9 +193,21 @@ def in_sequences(pieces: DataFrame, size: int, pack: Callable[[list[int], int],
         if waiting:
             yield from flush()
 
-    whole = pieces.where(F.col("length") == size).select(*names, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    dealt = short.repartition(groups).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")  # the order a retried task finds again
-    return dealt.mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long")).unionByName(whole)
+    return run
+
+
+def dealt(pieces: DataFrame, groups: int) -> DataFrame:
+    """pieces dealt evenly to groups, in the order that a retried task finds again."""
+    return pieces.repartition(groups).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+
+
+def in_sequences(pieces: DataFrame, size: int, pack: Callable[[list[int], int], list[list[int]]], block: int) -> DataFrame:
+    """pieces (a durable table) with sequence_id and offset. Whole sequences need no packing; the others
+    are dealt evenly into groups of about `block`, each packed in one task."""
+    short = pieces.where(F.col("length") < size)
+    groups = max(1, round(short.count() / block))
+    whole = pieces.where(F.col("length") == size).select("*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return dealt(short, groups).mapInArrow(packing(size, pack, block), pieces.schema.add("sequence_id", "long").add("offset", "long")).unionByName(whole)
 
 
 def pack_tokens(docs: DataFrame, size: int = 2048, end_id: int = 50256, block: int = 10_000, encoder: Callable[[], Encoder] = public_encoder) -> DataFrame:
@@ -208,38 +219,36 @@ def pack_tokens(docs: DataFrame, size: int = 2048, end_id: int = 50256, block: i
     Every id of every document is in exactly one sequence, so documents can be put together again.
     Null text counts as empty and still has its end id. Null and repeated doc_ids are kept. Other
     columns take no part; an empty table gives no row.
+
+    Nothing is written between the two steps: ids go from the tokenizer through one shuffle to the task that packs them. The
+    number of groups comes from the texts' bytes, so a group holds about `block` pieces, at most twice as many at a time.
     """
     schema = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, ids binary, cu_seqlens array<int>, position_ids binary"
-    types = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary())])
-
-    def row_of(items: list[dict]) -> dict:
-        lengths = [i["length"] for i in items]
-        n = sum(lengths)
-        ids, places = np.full(size, end_id, "<u4"), np.zeros(size, "<u4")
-        ids[:n] = np.frombuffer(b"".join(i["ids"] for i in items), "<u4")
-        places[:n] = np.concatenate([np.arange(x) for x in lengths])
-        return {
-            "sequence_id": items[0]["sequence_id"], "n_tokens": n, "doc_ids": [i["doc_id"] for i in items], "pieces": [i["piece"] for i in items],
-            "ids": ids.tobytes(), "cu_seqlens": [0, *np.cumsum(lengths).tolist()], "position_ids": places.tobytes(),
-        }
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, rows = [], []
-        for b in batches:  # a sequence's pieces come one after the other
-            for item in b.to_pylist():
-                if items and items[0]["sequence_id"] != item["sequence_id"]:
-                    rows.append(row_of(items))
-                    items = []
-                items.append(item)
-                if len(rows) >= 500:
-                    yield pa.RecordBatch.from_pylist(rows, types)
-                    rows = []
-        rows += [row_of(items)] if items else []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, types)
-
-    pieces = durable(pieces_table(docs, size, end_id, False, encoder, True))
-    return in_sequences(pieces, size, best_fit_decreasing, block).drop("start", "ids_crc32").mapInArrow(run, schema)
+    def finish(t: pa.Table) -> pa.Table:
+        """One row for each sequence of t, whose pieces come one after the other."""
+        sequence, length, offset = (t.column(c).to_numpy() for c in ("sequence_id", "length", "offset"))
+        first = np.flatnonzero(np.diff(sequence, prepend=-1))
+        cuts, n = np.append(first, len(sequence)), len(first)
+        row = np.repeat(np.arange(n), np.diff(cuts))
+        within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)  # each id's place in its piece
+        place = np.repeat(row * size + offset, length) + within
+        ids, places = np.full(n * size, end_id, "<u4"), np.zeros(n * size, "<u4")
+        ids[place] = np.frombuffer(b"".join(t.column("ids").to_pylist()), "<u4")
+        places[place] = within
+        lists = lambda c, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), t.column(c).combine_chunks().cast(kind))
+        ends = pa.array(np.insert(offset + length, first, 0), pa.int32())
+        rows = lambda m: pa.array([x.tobytes() for x in m.reshape(n, size)], pa.binary())
+        return pa.table({
+            "sequence_id": sequence[first], "n_tokens": pa.array(np.add.reduceat(length, first), pa.int32()), "doc_ids": lists("doc_id", pa.int64()), "pieces": lists("piece", pa.int32()),
+            "ids": rows(ids), "cu_seqlens": pa.ListArray.from_arrays(pa.array(cuts + np.arange(n + 1), pa.int32()), ends), "position_ids": rows(places),
+        })
+
+        # ids are about as long as their text; a piece of a text is `size` ids of four bytes
+    text_bytes = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    expected = docs.agg(F.sum(1 + F.floor(text_bytes / (4 * size)))).first()[0] or 0
+    pieces = pieces_table(docs, size, end_id, False, encoder, True)
+    return dealt(pieces, max(1, round(expected / block))).mapInArrow(packing(size, best_fit_decreasing, block, finish), schema)
 
 
 def unpack_tokens(packed: DataFrame) -> DataFrame:

@@ -249,6 +249,18 @@ def test_ids_are_the_tokenizers_and_packed_files_come_back(spark, tmp_path):
         assert sum((x for _, x in sorted(back[k])), []) == own.encode(t, add_special_tokens=False).ids + [50256]
 
 
+def test_pieces_reach_one_python_worker_of_a_task(spark):
+    texts = ["a b c"] * 50 + ["word " * 100, None]
+    packed = tokens.pack_tokens(table(spark, texts), size=16, block=20)
+    above, below = packed._jdf.queryExecution().optimizedPlan().toString().split("Repartition", 1)
+    assert above.count("MapInArrow") == 1 == below.count("MapInArrow")
+    lengths = [len(tokens.public_encoder().ids(t or "")) + 1 for t in texts]
+    rows = packed.collect()
+    assert sum(r.n_tokens for r in rows) == sum(lengths) and len({r.sequence_id for r in rows}) == len(rows)
+    assert sum(r.n_tokens == 16 for r in rows) >= lengths[50] // 16  # pieces as long as a sequence are alone in it
+    assert tokens.pack_tokens(table(spark, texts).limit(0)).count() == 0
+
+
 def test_sequences_do_not_follow_the_file_layout(spark):
     rng = np.random.default_rng(15)
     texts = [" ".join(rng.choice(["red", "green", "blue"], rng.integers(1, 60))) for _ in range(400)]
