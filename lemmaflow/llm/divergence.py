@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import durable, join_spread
+from lemmaflow.llm.common import durable, forget, join_spread
 
 #: What stands between terms, which are runs of letters A to Z and of all characters beyond ASCII.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -69,6 +69,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, most_terms: int = 50,
     langs = durable(kept.groupBy("lang").agg(F.sum("all_n").alias("total"), F.count("*").alias("v")))
     typical = join_spread(kept, langs.withColumn("n", F.col("v")), "lang").select("lang", "term", share(F.col("all_n"), F.col("total"), F.col("v")).alias("q"))
     own = durable(counts.join(typical, ["lang", "term"]).select("lang", "source", "term", "n", "q"))
+    forget(counts, kept)
 
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
     zero = F.lit(0).cast("long")
@@ -79,6 +80,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, most_terms: int = 50,
         join_spread(own.select(F.struct("lang", "source").alias("group"), "term", "q", F.col("n").alias("had")), by_group, "group")
         .select("group.lang", "group.source", "term", "q", share(F.col("had"), F.col("total"), F.col("v")).alias("p"), "none")
     )
+    forget(own)
 
     above = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lemmaflow.llm import divergence, licenses, lines, mixing, negatives, packing, quality, simhash, spans, tokens, topk, toxicity
+from lemmaflow.llm import common, divergence, licenses, lines, mixing, negatives, packing, quality, simhash, spans, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key_id string, score double, pop int"
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
@@ -602,6 +602,21 @@ def test_divergence_of_small_tables(spark):
     assert divergence.source_divergence(df.limit(0)).count() == 0
 
 
+def test_divergence_deletes_its_counts(spark):
+    from pathlib import Path
+
+    texts = ["a b", "A\u212a \u0130z AB", "x" * 3, "\u00c9A \u00e9a", None]
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    df = spark.createDataFrame([(t, "en", f"s{k % 3}") for k, t in enumerate(texts * 8)], "text string, lang string, source string")
+    rows = divergence.source_divergence(df, min_docs=2, most_terms=5)
+    assert len({p for p in set(folder.iterdir()) - before if p.name.startswith("lemmaflow-")}) == 3  # languages, groups, shares
+    assert rows.where("part = 'pair'").count() == 6
+    counts = {(r.term, r.source): (r.n, r.docs) for r in divergence.term_counts(df).collect()}
+    want = Counter((w, f"s{k % 3}") for k, t in enumerate(texts * 8) for w in ["".join(c.lower() if c < "\x80" else c for c in x) for x in (t or "").split()])
+    assert {k: n for k, (n, _) in counts.items()} == want
+
+
 @pytest.mark.parametrize("name", ["op2_line_spread", "op7_topk", "op12_hard_negatives", "op13_source_divergence"])
 def test_query_against_its_sql(spark, name):
     import duckdb
