@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: White space and words, as every contract here has them.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether Spark deletes a query's shuffles at its end; else they stay until the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +37,16 @@ def _files(spark: SparkSession, path: str):
 
 def durable(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost
-    executor costs no more than the tasks it ran. The files go with forget, or when the driver ends."""
+    executor costs no more than the tasks it ran. The files go with forget, or when the driver ends.
+    The shuffles that df took go as soon as it is written: only its files are read from then on."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lemmaflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     system, jvm_path = _files(spark, path)
     system.deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)

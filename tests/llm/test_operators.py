@@ -3,6 +3,7 @@ of clashing names and no rows at all, against brute force."""
 
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -617,6 +618,27 @@ def test_divergence_deletes_its_counts(spark):
     assert {k: n for k, (n, _) in counts.items()} == want
 
 
+def test_shuffles_go_when_a_table_is_written(spark):
+    """The counts' shuffles are gone while the later steps of op13 run, and the session's settings are as before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        blocks = disk.getAllBlocks()
+        return {name for k in range(blocks.size()) if (name := blocks.apply(k).name()).startswith("shuffle_")}
+
+    df = spark.createDataFrame([(k, f"w{k % 7} w{k % 3} x", "en", f"s{k % 4}") for k in range(200)], "doc_id long, text string, lang string, source string")
+    setting, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None), shuffles()
+    table = common.durable(divergence.term_counts(df))
+    for _ in range(40):
+        if not shuffles() - before:
+            break
+        time.sleep(0.5)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert table.where("term = 'x'").agg({"n": "sum"}).first()[0] == 200
+    common.forget(table)
+
+
 @pytest.mark.parametrize("name", ["op2_line_spread", "op7_topk", "op12_hard_negatives", "op13_source_divergence"])
 def test_query_against_its_sql(spark, name):
     import duckdb
