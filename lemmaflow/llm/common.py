@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Whether Spark deletes a query's shuffles at its end; else they stay until the driver happens to collect its garbage.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes after which a batch of rows goes to Python; JVM and Python both hold a batch, for each task.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,15 +42,19 @@ def _files(spark: SparkSession, path: str):
 def durable(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost
     executor costs no more than the tasks it ran. The files go with forget, or when the driver ends.
-    The shuffles that df took go as soon as it is written: only its files are read from then on."""
+    The shuffles that df took go as soon as it is written: only its files are read from then on.
+    While it is written, rows go to Python in small batches."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lemmaflow-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    own = {_CLEAN: "true", _BATCH: str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     system, jvm_path = _files(spark, path)
     system.deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,6 +62,13 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, so that a task makes Python objects of few texts at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes the files of durable tables that nothing reads any more."""
     for df in tables:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import back, components, durable, join_spread, rest_of, row_key
+from lemmaflow.llm.common import back, components, durable, join_spread, rest_of, row_key, slices
 
 #: For each byte, its eight bits in the eight byte lanes of a word, lowest bit first.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).astype(np.uint8).view("<u8").ravel()
@@ -286,7 +286,7 @@ def set_prints(docs: DataFrame, size: int, words: int) -> DataFrame:
     from lemmaflow.llm.simhash import _print_of, shingle_set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, fps = [], []
             for text in b.column(3).cast(pa.binary()).to_pylist():
                 own = shingle_set(text, size)

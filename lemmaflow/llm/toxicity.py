@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import back, durable, rest_of
+from lemmaflow.llm.common import back, durable, rest_of, slices
 
 #: Labelled texts that training uses at most.
 SAMPLE = 12_000
@@ -114,7 +114,7 @@ class ToxicityModel:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, every = np.zeros((2, buckets), dtype=np.int64), np.ones(buckets, dtype=bool)
-            for b in batches:
+            for b in slices(batches):
                 for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     seen[int(y > 0), of(text, every)] += 1
             some = np.nonzero(seen.any(axis=0))[0]
@@ -131,7 +131,7 @@ class ToxicityModel:
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.zeros(buckets, dtype=bool)
             keep[own] = True
-            for b in batches:
+            for b in slices(batches):
                 found = [np.searchsorted(own, of(t, keep)).astype(np.int32) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "columns"])
 
@@ -151,7 +151,7 @@ class ToxicityModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep, value = np.zeros(buckets, dtype=bool), np.zeros(buckets, dtype=np.float32)
             keep[own], value[own] = True, weights
-            for b in batches:
+            for b in slices(batches):
                 z = np.array([intercept + float(value[of(t or "", keep)].sum(dtype=np.float64)) for t in b.column("text").to_pylist()])
                 scores = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "score"])

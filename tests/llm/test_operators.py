@@ -7,6 +7,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -639,6 +640,22 @@ def test_shuffles_go_when_a_table_is_written(spark):
     common.forget(table)
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    """A batch of long texts is a few MB while a table is written, and the texts that a stage scores come back in small batches."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "concat(id, ' ', repeat('some words ', 1000)) as text", "'x' as source")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows], pa.int64()), "size": pa.array([b.nbytes], pa.int64())})
+
+    seen = common.durable(docs.mapInArrow(sizes, "rows long, size long"))
+    assert seen.agg({"rows": "sum"}).first()[0] == 3000
+    assert seen.agg({"size": "max"}).first()[0] < 2 * common.BATCH_BYTES
+    batch = pa.RecordBatch.from_pydict({"text": [str(k) for k in range(1000)]})
+    parts = list(common.slices(iter([batch, batch.slice(0, 0)]), 256))
+    assert [p.num_rows for p in parts] == [256, 256, 256, 232] and pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+
+
 @pytest.mark.parametrize("name", ["op2_line_spread", "op7_topk", "op12_hard_negatives", "op13_source_divergence"])
 def test_query_against_its_sql(spark, name):
     import duckdb
