@@ -27,14 +27,19 @@ def _quoted(pattern: str) -> str:
 def statements() -> list[str]:
     tokens = lambda c: f"regexp_extract_all({c}, {_quoted(A.TOKEN)}, 0)"
     bare = lambda c: f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), {_quoted(A.NAMED)}, '$1 _NAME_'), r'\\s+', ' '))"
-    both = lambda a, b: f"(SELECT t, count_if(side = 0) AS p, count_if(side = 1) AS c FROM (SELECT explode({tokens(bare(a))}) AS t, 0 AS side UNION ALL SELECT explode({tokens(bare(b))}) AS t, 1 AS side) GROUP BY t)"
+    # a text's tokens sorted (s), where runs of equal ones begin and the last ends (b): each token once, with its number and the text's
+    ends = "filter(sequence(0, size(s)), i -> i = 0 OR i = size(s) OR s[i] <> s[i - 1])"
+    counts = lambda c, k: f"transform(array(sort_array({tokens(bare(c))})), s -> transform(array({ends}), b -> transform(slice(b, 1, size(b) - 1), (p, j) -> named_struct('t', s[p], 'k', {k}, 'n', CAST(b[j + 1] - p AS BIGINT))))[0])[0]"
+    # both texts' counts sorted (r): a token's count in the child, if it has one, comes right behind that in the parent
+    of_both = "CASE WHEN x.k = 0 THEN named_struct('t', x.t, 'p', x.n, 'c', CASE WHEN get(r, j + 1).t = x.t THEN get(r, j + 1).n ELSE 0L END) WHEN j = 0 OR r[j - 1].t <> x.t THEN named_struct('t', x.t, 'p', 0L, 'c', x.n) END"
+    changes = lambda a, b: f"transform(array(sort_array(concat({counts(a, 0)}, {counts(b, 1)}))), r -> filter(transform(r, (x, j) -> {of_both}), x -> x.p <> x.c))[0]"
     create = "CREATE OR REPLACE TEMPORARY FUNCTION"
     return [
         f"{create} folded_text(text STRING) RETURNS STRING RETURN trim(regexp_replace(coalesce(text, ''), r'\\s+', ' '))",
         f"{create} code_tokens(text STRING) RETURNS ARRAY<STRING> RETURN {tokens(bare('text'))}",
         f"{create} attempt_slots(n INT) RETURNS TABLE(g INT) RETURN SELECT explode(CASE WHEN n > 0 THEN sequence(0, n - 1) ELSE CAST(array() AS ARRAY<INT>) END)",
         f"{create} fenced_blocks(answer STRING) RETURNS TABLE(number INT, language STRING, code STRING) RETURN SELECT pos, regexp_extract(col, r'^([^\\n]*)', 1), regexp_replace(col, r'^[^\\n]*\\n', '') FROM (SELECT posexplode(regexp_extract_all(coalesce(answer, ''), r'(?s)```([^\\n`]*\\n.*?)```', 1)))",
-        f"{create} token_changes(parent STRING, child STRING) RETURNS TABLE(token STRING, parent_n BIGINT, child_n BIGINT) RETURN SELECT t, p, c FROM {both('parent', 'child')} WHERE p <> c",
+        f"{create} token_changes(parent STRING, child STRING) RETURNS TABLE(token STRING, parent_n BIGINT, child_n BIGINT) RETURN SELECT inline({changes('parent', 'child')})",
     ]
 
 

@@ -359,6 +359,17 @@ def test_readers(spark, tmp_path):
     assert R.labelled_union({"x": rows, "y": rows.drop("answer")}).where("run = 'y' and answer is null").count() == 2
 
 
+def test_token_changes_join_and_shuffle_no_texts(spark):
+    from lemmaflow.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "a b a", "b b"), (2, None, "x"), (3, "", None), (4, "é b", "é b"), (5, "a b a", "b b")], "k int, p string, c string").createOrReplaceTempView("_texts")
+    changed = spark.sql("SELECT k, token, parent_n, child_n FROM _texts, LATERAL token_changes(p, c)")
+    assert sorted(map(tuple, changed.collect())) == [(1, "a", 2, 0), (1, "b", 1, 2), (2, "x", 0, 1), (5, "a", 2, 0), (5, "b", 1, 2)]
+    plan = changed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_run_databases_and_selection(spark, tmp_path):
     (tmp_path / "runs" / "r").mkdir(parents=True)
     db = sqlite3.connect(tmp_path / "runs" / "r" / D.FILE)
