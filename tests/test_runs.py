@@ -393,6 +393,19 @@ def test_run_databases_and_selection(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
     with pytest.raises(ValueError):
         D.local_path("hdfs://x/y")
+
+
+def test_run_databases_are_read_by_few_tasks(spark, tmp_path):
+    """Row ids far apart and many small files: a task reads several ranges."""
+    sparse = [("far", k * 500 + 1, str(k), k, True) for k in range(100)]
+    small = [(f"r{k}", s, f"{k}.{s}", 2**53 + 1 if s == 1 else None, None) for k in range(90) for s in (3, 1, 2)]
+    kind = "run_id string, seq long, id string, public_metrics string, metadata string, correct boolean"
+    rows = spark.createDataFrame([(run, seq, id, "{}", str(n), flag) for run, seq, id, n, flag in sparse + small], kind)
+    D.write_databases(rows, str(tmp_path))
+    back = D.run_databases(spark, str(tmp_path), rows=2)
+    assert 2 <= back.rdd.getNumPartitions() <= 32 * spark.sparkContext.defaultParallelism
+    assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    assert sorted(r.id for r in back.where("seq > 40000 and correct").collect()) == sorted(id for run, seq, id, _, _ in sparse if seq > 40000)
     R.write_selection(spark.createDataFrame([(1, 1, "s"), (1, 2, "t")], "problem_id int, rank int, signature string"), str(tmp_path / "out"))
     assert [r.rank for r in spark.read.json(str(tmp_path / "out" / "index")).first().selected] == [1, 2]
 
