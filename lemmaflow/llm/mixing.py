@@ -184,6 +184,7 @@ class Mix:
     def _deal(self, levels: int) -> None:
         """Splits the sources' slots among 2 ** levels shards; sources get starts, an array with the
         first slot of each shard, and drawn, how many slots the shards draw in all."""
+        self.levels = levels
         slots = F.col("passes") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.col("end") + 1, F.col("blocks"))).otherwise(0)
         root = self.sources.agg(F.array_sort(F.collect_list(F.struct("sid", slots.cast("long").alias("q")))).alias("quotas"))
         leaves = split_quotas(root, levels).select("shard", F.explode("quotas").alias("x")).select("shard", "x.sid", "x.q")
@@ -196,12 +197,15 @@ class Mix:
         (pass, shard), empty for rows that the mix leaves out. A pass takes a row where some shard of the tree draws
         its block's slot; of the last slot's block only what fits is taken."""
         rows = _named(rows, self.sources, self.total).join(self.last, ["sid", "u"], "left")
-        slot = lambda p: p * F.col("blocks") + _turn(p)
         cut = F.when(F.col("rest") > 0, F.col("passes") * F.col("blocks") + F.col("end"))
-        taken = lambda p: (slot(p) < F.col("drawn")) & (F.coalesce(slot(p) != cut, F.lit(True)) | F.col("fits").isNotNull())
-        passes = F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), taken)
-        shard = lambda p: F.size(F.filter("starts", lambda s: s <= slot(p))) - 1
-        return rows.withColumn("placements", F.transform(passes, lambda p: F.struct(p.cast("int").alias("pass"), shard(p).alias("shard"))))
+        slots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.struct(p.cast("int").alias("pass"), (p * F.col("blocks") + _turn(p)).alias("slot")))
+        taken = lambda x: (x["slot"] < F.col("drawn")) & (F.coalesce(x["slot"] != cut, F.lit(True)) | F.col("fits").isNotNull())
+        return rows.withColumn("placements", F.transform(F.filter(slots, taken), lambda x: F.struct(x["pass"].alias("pass"), self._shard(x["slot"]).alias("shard"))))
+
+    def _shard(self, slot: Column) -> Column:
+        """The last shard whose first slot is not behind slot, by halving: a step for each level of the tree, not for each shard."""
+        halves = F.array(*[F.lit(2**k) for k in reversed(range(self.levels))])
+        return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get("starts", at + half) <= slot, at + half).otherwise(at))
 
 
 def mix_report(docs: DataFrame, cap: int = 3) -> DataFrame:
