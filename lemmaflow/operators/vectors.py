@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, FloatType, IntegerType, StructField, StructType
+
+from lemmaflow.operators import rounds
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,32 +73,48 @@ def _matrices(t: pa.Table) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.n
     return ids, by
 
 
-def _meeting(queries: DataFrame, rows: DataFrame, group: str | None, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides dealt into blocks, each block of the one to meet each of the other of its group: (g, qb, rb, id, v). What is held
-    for a group is its numbers of blocks."""
-    key = F.col(group) if group else F.lit(0)
-    q, r = (df.select(key.alias("g"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")) for df in (queries, rows))
-    blocks = lambda df, n: df.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
-    sizes = blocks(q, "nq").join(blocks(r, "nr"), "g")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.join(sizes, "g").withColumn("qb", own("nq")).withColumn("rb", all_of("nr"))
-    r = r.join(sizes, "g").withColumn("rb", own("nr")).withColumn("qb", all_of("nq"))
-    return tuple(df.select("g", "qb", "rb", "id", "v") for df in (q, r))
+def _blocks(df: DataFrame, group: str | None, block: int) -> DataFrame:
+    """(g, b, rows): the table (id, v) of each block as one binary value, written once. What is held for a group is its number of blocks."""
+    kind = df.schema["embedding"].dataType.elementType
+    own = df.select((F.col(group) if group else F.lit(0)).alias("g"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>" if isinstance(kind, FloatType) else "array<double>").alias("v"))
+    sizes = own.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = own.join(F.broadcast(sizes), "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).drop("n")
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        t, out = t.select(["id", "v"]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, t.schema) as stream:
+            stream.write_table(t.combine_chunks())
+        return pa.table({"g": [key[0].as_py()], "b": [key[1].as_py()], "rows": [out.getvalue().to_pybytes()]}, packed)
+
+    packed = pa.schema([("g", to_arrow_type(own.schema["g"].dataType)), ("b", pa.int32()), ("rows", pa.binary())])
+    return rounds.written(dealt.groupBy("g", "b").applyInArrow(pack, StructType([own.schema["g"], StructField("b", IntegerType()), StructField("rows", BinaryType())])))
 
 
 def _compared(queries: DataFrame, rows: DataFrame, group: str | None, block: int, answer: Callable, schema: str) -> DataFrame:
-    q, r = _meeting(queries, rows, group, block)
+    """Each block of queries meets each block of rows of its group. Tasks read the files of two parts of the blocks: no row is copied
+    and shuffled for the blocks that it meets, so disk grows with the rows, not with their square. answer(left, rights) is given a block of
+    queries and, one after the other, the blocks that meet it in a task, and yields columns."""
+    right = _blocks(rows, group, block)
+    left = right if queries is rows else _blocks(queries, group, block)
+    q, r = left.select("g", F.col("b").alias("qb"), F.col("rows").alias("left")), right.select("g", F.col("rows").alias("right"))
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64()}
     types = [kinds[part.split()[1]] for part in schema.split(", ")]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = answer(left, right) if left.num_rows and right.num_rows else [[] for _ in names]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda value: pa.ipc.open_stream(value.as_buffer()).read_all()
+        pairs = ((b.column("g")[k].as_py(), b.column("qb")[k].as_py(), b.column("left")[k], b.column("right")[k]) for b in batches for k in range(b.num_rows))
+        for _, met in itertools.groupby(pairs, lambda pair: pair[:2]):
+            first = next(met)
+            for columns in answer(table(first[2]), (table(pair[3]) for pair in itertools.chain([first], met))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    pairs = q.join(r.hint("shuffle_replicate_nl"), "g") if group else q.crossJoin(r.drop("g").hint("shuffle_replicate_nl"))
+    return pairs.select("g", "qb", "left", "right").mapInArrow(run, schema)
+
 
-    keys = ["g", "qb", "rb"]
-    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(run, schema)
+def _by_pair(answer: Callable) -> Callable:
+    return lambda left, rights: (answer(left, right) for right in rights)
 
 
 def most_similar(queries: DataFrame, rows: DataFrame, k: int = 1, group: str | None = "island_idx", block: int = BLOCK) -> DataFrame:
@@ -101,11 +122,11 @@ def most_similar(queries: DataFrame, rows: DataFrame, k: int = 1, group: str | N
     out; ties to the smaller id. group None: of all rows. Vectors that are null, empty, of another
     length, all 0 or not finite have similarity 0, as in cosine(). ids are whole numbers.
 
-    Blocks of queries and rows meet as matrices; within a block, cells of rows whose bound is below a query's k-th best are
-    skipped. Where a group's vectors lie equally far from each other nothing is skipped: queries times rows."""
+    Blocks of queries and rows meet as matrices, and a task keeps the k best so far; within a block, cells of rows whose bound is below a
+    query's k-th best are skipped. Where a group's vectors lie equally far from each other nothing is skipped: queries times rows."""
 
-    def answer(left: pa.Table, right: pa.Table) -> list:
-        (q_ids, q_by), (r_ids, r_by) = _matrices(left), _matrices(right)
+    def answer(left: pa.Table, rights: Iterator[pa.Table]) -> Iterator[list]:
+        q_ids, q_by = _matrices(left)
         score, found = np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64)
 
         def take(which: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -115,32 +136,35 @@ def most_similar(queries: DataFrame, rows: DataFrame, k: int = 1, group: str | N
             best = np.lexsort((ids, -scores), axis=1)[:, :k]
             score[which], found[which] = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
 
-        usable = np.zeros(len(r_ids), bool)
-        for dim, (at, units) in r_by.items():
-            usable[at] = True
-            if dim not in q_by:
-                continue
-            which, own = q_by[dim]
-            cells = Cells(units)
-            bounds = cells.bounds(own)
-            nearest = bounds.argmax(axis=1)
-            for first in (True, False):  # the most promising cell of each query, then those that may still help
-                for c in range(len(cells.cells)):
-                    some = np.nonzero((nearest == c) if first else (nearest != c) & (bounds[:, c] >= score[which, k - 1]))[0]
-                    if len(some) and len(cells.cells[c]):
-                        take(which[some], cells.products(own, c, some), r_ids[at[cells.cells[c]]])
-        # what cannot be compared has similarity 0; of these only the smallest ids can count
-        fit = {int(w): dim for dim, (which, _) in q_by.items() for w in which}
-        for dim in {*fit.values(), None}:
-            which = np.array([w for w in range(len(q_ids)) if fit.get(w) == dim])
-            alike = np.zeros(len(r_ids), bool)
-            if dim in r_by:
-                alike[r_by[dim][0]] = True
-            others = np.sort(r_ids[~alike])[: k + 1]
-            if len(which) and len(others):
-                take(which, np.zeros((len(which), len(others))), others)
+        for right in rights:
+            r_ids, r_by = _matrices(right)
+            for dim, (at, units) in r_by.items():
+                if dim not in q_by:
+                    continue
+                which, own = q_by[dim]
+                cells = Cells(units)
+                bounds = cells.bounds(own)
+                nearest = bounds.argmax(axis=1)
+                for first in (True, False):  # the most promising cell of each query, then those that may still help
+                    for c in range(len(cells.cells)):
+                        some = np.nonzero((nearest == c) if first else (nearest != c) & (bounds[:, c] >= score[which, k - 1]))[0]
+                        if len(some) and len(cells.cells[c]):
+                            raw = own[some] @ cells.units[cells.cells[c]].T
+                            better = raw.max(axis=1) >= score[which[some], k - 1] - 10.0 ** (1 - DIGITS)  # rounding takes no more
+                            if better.any():
+                                take(which[some[better]], np.round(raw[better], DIGITS), r_ids[at[cells.cells[c]]])
+            # what cannot be compared has similarity 0; of these only the smallest ids can count
+            fit = {int(w): dim for dim, (which, _) in q_by.items() for w in which}
+            for dim in {*fit.values(), None}:
+                which = np.array([w for w in range(len(q_ids)) if fit.get(w) == dim])
+                alike = np.zeros(len(r_ids), bool)
+                if dim in r_by:
+                    alike[r_by[dim][0]] = True
+                others = np.sort(r_ids[~alike])[: k + 1]
+                if len(which) and len(others):
+                    take(which, np.zeros((len(which), len(others))), others)
         rows_, ranks = np.nonzero(score > -np.inf)
-        return [q_ids[rows_], found[rows_, ranks], score[rows_, ranks]]
+        yield [q_ids[rows_], found[rows_, ranks], score[rows_, ranks]]
 
     met = _compared(queries, rows, group, block, answer, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
@@ -158,7 +182,7 @@ def similarities(queries: DataFrame, rows: DataFrame, group: str | None = "islan
             out[np.ix_(q_by[dim][0], r_by[dim][0])] = np.round(q_by[dim][1] @ r_by[dim][1].T, DIGITS)
         return [np.repeat(q_ids, len(r_ids)), np.tile(r_ids, len(q_ids)), out.ravel()]
 
-    return _compared(queries, rows, group, block, answer, "query_id long, id long, similarity double")
+    return _compared(queries, rows, group, block, _by_pair(answer), "query_id long, id long, similarity double")
 
 
 def novelty(queries: DataFrame, rows: DataFrame, threshold: float = 0.95, generation: str | None = None, group: str | None = "island_idx", block: int = BLOCK) -> DataFrame:
@@ -192,7 +216,7 @@ def novelty(queries: DataFrame, rows: DataFrame, threshold: float = 0.95, genera
         some = best > -2.0
         return [q_ids[some], best[some]]
 
-    met = _compared(tested, rows, group, block, answer, "query_id long, similarity double").groupBy("query_id").agg(F.max("similarity").alias("similarity"))
+    met = _compared(tested, rows, group, block, _by_pair(answer), "query_id long, similarity double").groupBy("query_id").agg(F.max("similarity").alias("similarity"))
     out = queries.select(F.col("id").alias("query_id")).join(met, "query_id", "left")
     return out.withColumn("novel", F.coalesce(F.col("similarity") <= threshold, F.lit(True)).cast("int"))
 
@@ -218,7 +242,7 @@ def similar_pairs(rows: DataFrame, threshold: float, group: str = "island_idx",
                         column.append(values)
         return [np.concatenate(c) for c in out]
 
-    pairs = _compared(rows, rows, group, block, answer, "a long, b long, similarity double")
+    pairs = _compared(rows, rows, group, block, _by_pair(answer), "a long, b long, similarity double")
     return pairs.join(rows.select(F.col("id").alias("a"), group), "a").select(F.col(group).alias("island_idx"), "a", "b", "similarity")
 
 

@@ -496,6 +496,20 @@ def test_blocks_of_vectors_against_brute_force(spark, block):
     assert pairs == {(g, i, j) for i, g, v in data for j, h, w in data if i < j and own(g, h) and cosine(v, w) >= 0.97}
 
 
+def test_blocks_meet_without_copies_of_rows(spark):
+    """No vector goes through a shuffle for the blocks that it meets; a task keeps the best of all blocks it meets."""
+    rng = np.random.default_rng(7)
+    data = rng.normal(size=(60, 4)).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(data)], "id long, island_idx int, embedding array<float>")
+    best = vectors.most_similar(rows, rows, 2, group=None, block=5)
+    for df in (best, vectors.most_similar(rows, rows, 2, block=5), vectors.similar_pairs(rows, 0.9, block=5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "CoGroup" not in plan
+    units = data / np.linalg.norm(data, axis=1)[:, None]
+    close = units @ units.T - 9 * np.eye(60)
+    assert sorted((r.query_id, r["rank"], r.id) for r in best.collect()) == [(q, n + 1, int(r)) for q in range(60) for n, r in enumerate(np.argsort(-close[q])[:2])]
+
+
 def test_path_steps(spark):
     from lemmaflow.operators import lineage
 
